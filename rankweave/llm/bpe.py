@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches
 
 #: Unicode's White_Space, which the tokenizer means by \s.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The same for texts of code points below 256, where plain classes are quicker.
 L1, N1, S1 = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"

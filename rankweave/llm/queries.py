@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints
-from .common import table
+from . import bpe, exact_dedup, fingerprints, langid, licenses, simhash, suffix_dedup, toxicity
+from .common import table, train_split
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,13 +18,44 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.drop("spans")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(train_split(F.col("doc_id"))))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (~train_split(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, usable=train_split(F.col("doc_id")))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (~train_split(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op9_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_toxicity, op4_suffix_dedup, op6_simhash, op8_exact_dedup, op9_bpe, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
