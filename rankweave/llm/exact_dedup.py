@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, durable
 
 MOST_BITS, HASHES, WORD = 27, 2, 5
+SALTS = 4  # parts of a group of copies in the join; Spark splits them further where they are large
 
 
 def _cell(digest: Column, i: int, bits: int) -> Column:
@@ -51,9 +52,11 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         maybe = maybe & F.col(f"_t{i}")
 
     alone = tested.where(~maybe).select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    shared = tested.where(maybe).select(key, "text_sha256")
+    # Groups are counted before they meet their rows; the salt keeps both sides of the join apart, so that large groups can be split.
+    shared = tested.where(maybe).select(key, "text_sha256", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"))
     groups = shared.groupBy("text_sha256").agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size"))
-    joined = shared.join(groups, "text_sha256").select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = shared.join(groups, ["text_sha256", "_salt"]).select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 
 

@@ -113,18 +113,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(key, *carry, lang_pred, score) of every row; no shuffle."""
+    """(key, *carry, lang_pred, score) of every row; no shuffle. `text` may be among the carried columns."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = [key, *(carry or [])]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     n = len(columns)
+    at_text = columns.index(text) if text in columns else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            col = batch.column(n)
+            col = batch.column(at_text)
             data, at = text_buffers(col)
             names, best = [], []
             for a, b in slices(at, 1 << 19):
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str
                         best += [0.0] * (d - c)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(best, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*columns, *([] if text in columns else [F.col(text).alias("_text")])).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def lettered(text: str | None) -> bool:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, langid, licenses, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, simhash, suffix_dedup, toxicity
 from .common import table, train_split
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,10 +34,21 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedupe_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    domains = labels.select("doc_id", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), domains)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +65,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_toxicity, op4_suffix_dedup, op6_simhash, op8_exact_dedup, op9_bpe, op10_langid)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_simhash, op7_mixing, op8_exact_dedup, op9_bpe, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

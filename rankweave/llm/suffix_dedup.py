@@ -17,6 +17,11 @@ windows share at the same place, so neighbouring suffixes with one anchor form o
 Digits are compared by 64-bit polynomial hashes, two independent ones for a decision to remove.
 Counts are aggregated before rows meet, so a string in a third of all texts is no hot group.
 
+Every pass scans the texts where they lie and finds the ranges anew; Bloom filters of bounded size
+tell it which to emit (those whose anchor occurs again, then those left open), so hashes and places
+move, and texts only once, to meet their spans at the end. A full filter lets more rows through and
+changes no result. Counts on what was emitted decide.
+
 Defined cases: null counts as empty; texts shorter than the window keep all bytes; matches never
 cross texts; a string that overlaps itself counts; repeated rows are texts of their own.
 """
@@ -24,21 +29,23 @@ cross texts; a string that overlaps itself counts; repeated rows are texts of th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, mixed, partitions, text_buffers
+from .bloom import Filter
+from .common import Rolling, bounded_batches, durable, mixed, text_buffers
 
 WINDOW, GRAM, STEP = 400, 64, 16
 CHUNK = 1 << 20  # windows of a long text that are anchored at once
+MOST_BITS = 27  # of a filter
 LEAST_KEY = -(1 << 63)
 PLACE = np.uint64((1 << 24) - 1)
-SPANS = "array<struct<rank:int,lo:int,hi:int,at:int,core:bigint>>"
-ROWS = "core long, outer long, _k long, rank int, lo int, hi int, at int"
+COLUMNS = ["core", "outer", "id", "_k", "row", "lo", "hi"]
+ROWS = "core long, outer long, id long, _k long, row long, lo int, hi int"
 _hashes: list[Rolling] = []
 
 
@@ -77,122 +84,148 @@ def anchored(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return lo, hi, at, core, mixed(two.between(q, lo, hi + window))
 
 
-def blocks(data: np.ndarray, spans: list[dict], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Pass 2: the ranges' blocks of STEP windows; returns lo, hi, at, core, outer."""
+def blocks(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, core: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Pass 2: blocks of STEP windows that meet the ranges, each once; returns lo, hi, core, outer."""
     one, two = hashes()
     p, q = one.prefix(data), two.prefix(data)
-    lo, hi, at, core = (np.array([s[k] for s in spans], np.int64) for k in ("lo", "hi", "at", "core"))
     first, last = (at - hi) // STEP, (at - lo) // STEP
     size = last - first + 1
     at, core = np.repeat(at, size), np.repeat(core, size)
     t = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    _, once = np.unique(at * 1024 + t, return_index=True)
+    at, core, t = at[once], core[once], t[once]
     near = at - STEP * t  # the block's last start; its first is STEP - 1 before
     lo, hi = np.maximum(near - STEP + 1, 0), np.minimum(near, len(data) - window)
-    digit = mixed(one.between(p, near, near - STEP + 1 + window) + core.view(np.uint64) + t.astype(np.uint64))
-    return lo, hi, at, digit, mixed(two.between(q, lo, hi + window) + (hi - lo).astype(np.uint64))
+    digit = mixed(one.between(p, near, near - STEP + 1 + window) + core + t.astype(np.uint64))
+    return lo, hi, digit, mixed(two.between(q, lo, hi + window) + (hi - lo).astype(np.uint64))
 
 
-def windows(data: np.ndarray, spans: list[dict], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Pass 3: single windows."""
+def windows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Pass 3: single windows, each once; returns lo, hi, core, outer."""
     one, two = hashes()
     p, q = one.prefix(data), two.prefix(data)
-    lo, hi = (np.array([s[k] for s in spans], np.int64) for k in ("lo", "hi"))
     size = hi - lo + 1
     at = np.unique(np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()))
-    return at, at, at, mixed(one.between(p, at, at + window)), mixed(two.between(q, at, at + window))
+    return at, at, mixed(one.between(p, at, at + window)), mixed(two.between(q, at, at + window))
+
+
+def range_ids(key: int, row: int, depth: int, lo: np.ndarray, core: np.ndarray) -> np.ndarray:
+    seed = np.array([key, row], np.int64).view(np.uint64)
+    base = mixed(mixed(seed[:1]) + seed[1:] + np.uint64(depth))
+    return mixed(base + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + core)
 
 
-def keep_bytes(data: np.ndarray, spans: list[dict] | None, window: int = WINDOW) -> tuple[bytes, int, int]:
-    """The bytes outside the windows of `spans`, how many went, and in how many runs."""
-    if not spans:
+def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filter], window: int = WINDOW) -> tuple[np.ndarray, ...] | None:
+    """(core, outer, id, lo, hi) of a text's ranges at a depth; filters are those of the anchors and of the open ranges above."""
+    got = anchored(data, window)
+    if got is None:
+        return None
+    lo, hi, at, core, outer = got
+    if filters:
+        use = filters[0].holds(core)
+        lo, hi, at, core, outer = lo[use], hi[use], at[use], core[use], outer[use]
+    ids = range_ids(key, row, 1, lo, core)
+    if depth > 1 and len(lo):
+        use = filters[1].holds(ids)
+        if not use.any():
+            return None
+        lo, hi, core, outer = blocks(data, lo[use], hi[use], at[use], core[use], window)
+        ids = range_ids(key, row, 2, lo, core)
+    if depth > 2 and len(lo):
+        use = filters[2].holds(ids)
+        if not use.any():
+            return None
+        lo, hi, core, outer = windows(data, lo[use], hi[use], window)
+        ids = range_ids(key, row, 3, lo, core)
+    return (core, outer, ids, lo, hi) if len(lo) else None
+
+
+def keep_bytes(data: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
+    """The bytes outside the spans lo..end, how many went, and in how many runs."""
+    if not len(lo):
         return data.tobytes(), 0, 0
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, [s["lo"] for s in spans], 1)
-    np.add.at(edge, [s["hi"] + window for s in spans], -1)
+    edge = np.bincount(lo, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
     gone = np.cumsum(edge[:-1]) > 0
     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
     return data[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-    """Rows sorted by (_k, text) with their rank among equal keys: (key, rank, bytes, row)."""
-    last, rank = None, -1
-    for batch in batches:
-        data, at = text_buffers(batch.column(n))
-        rows = []
-        for i, k in enumerate(batch.column(0).to_pylist()):
-            rank = rank + 1 if k == last else 0
-            last = k
-            rows.append((k, rank, data[at[i] : at[i + 1]], i))
-        yield batch, rows
-
-
-def _emit(parts: Callable[[np.ndarray, object], tuple | None], spans_at: int | None) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _texts(batches, 1):
-            spans = batch.column(spans_at).to_pylist() if spans_at is not None else None
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for k, rank, data, i in rows:
-                own = None if spans is None else [s for s in spans[i] or () if s["rank"] == rank]
-                if spans is not None and not own:
-                    continue
-                got = parts(data, own)
-                if got is None:
-                    continue
-                lo, hi, at, core, outer = got
-                for o, x in zip(out, (core.view(np.int64), outer.view(np.int64), np.full(len(lo), k, np.int64), np.full(len(lo), rank, np.int32), lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32))):
-                    o.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["core", "outer", "_k", "rank", "lo", "hi", "at"])
-
-    return run
-
-
 def _decided(rows: DataFrame) -> DataFrame:
     """Rows whose core occurs again, with `same`: whether core and outer do, and `open`: whether the next pass needs the row.
 
     It needs what is not `same`, and one row of each class that is, as a witness for the others.
     """
-    place = F.struct("_k", "rank", "lo")
     again = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("outer").alias("a"), F.max("outer").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("differ"))
-    left = rows.join(again, "core")
-    count = left.groupBy("core", "outer").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("core", "outer", "first")
-    both = left.join(count, ["core", "outer"], "left")
+    count = rows.groupBy("core", "outer").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("core", "outer", "first")
+    both = rows.join(again, "core").join(count, ["core", "outer"], "left")
     same = F.col("first").isNotNull()
-    return both.select(*rows.columns, same.alias("same"), (F.col("differ") & (~same | (F.col("first") == place))).alias("open"))
-
-
-def _spans(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("_k").agg(F.collect_list(F.struct("rank", "lo", "hi", "at", "core")).cast(SPANS).alias("spans"))
+    return both.select(*COLUMNS, same.alias("same"), (F.col("differ") & (~same | (F.col("first") == F.col("id")))).alias("open"))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
+    """(_k, row, lo, hi): ranges of window starts, by key and text hash, whose windows all occur again."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+
+    def emit(depth: int, filters: list[Filter], only_cores: bool = False) -> DataFrame:
+        shared = spark.sparkContext.broadcast(filters)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = text_buffers(batch.column(2))
+                out: list[list[np.ndarray]] = [[] for _ in COLUMNS]
+                for i, (k, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    got = ranges(data[at[i] : at[i + 1]], k, row, depth, shared.value, window)
+                    if got is None:
+                        continue
+                    core, outer, ids, lo, hi = got
+                    if only_cores:
+                        out[0].append(core.view(np.int64))
+                        continue
+                    for o, x in zip(out, (core.view(np.int64), outer.view(np.int64), ids.view(np.int64), np.full(len(lo), k, np.int64), np.full(len(lo), row, np.int64), lo.astype(np.int32), hi.astype(np.int32))):
+                        o.append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out if o], COLUMNS[:1] if only_cores else COLUMNS)
+
+        return own.mapInArrow(run, "core long" if only_cores else ROWS)
+
+    def repeated_cores(depth: int, filters: list[Filter]) -> Filter:
+        again = durable(emit(depth, filters, True).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+        return Filter(again, "core", again.count(), most_bits)
+
+    def open_ranges(decided: DataFrame) -> Filter:
+        ids = decided.where("open").select("id")
+        return Filter(ids, "id", ids.count(), most_bits)
+
+    filters = [repeated_cores(1, [])]
+    first = durable(_decided(durable(emit(1, filters))))
+    filters.append(open_ranges(first))
+    second = durable(_decided(durable(emit(2, filters))))
+    filters.append(open_ranges(second))
+    third = _decided(emit(3, filters))
+    columns = ["_k", "row", "lo", "hi"]
+    return first.where("same").select(*columns).unionByName(second.where("same").select(*columns)).unionByName(third.where("same").select(*columns))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept binary) of every row.
-
-    All passes are one plan: the texts are dealt out by key once, and every pass reads that exchange
-    again; only hashes and places move besides.
-    """
-    bounded_batches(docs.sparkSession)
+    """(key, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept binary) of every row."""
+    spans = repeated_spans(docs, key, text, window).groupBy("_k", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(F.col("_k").alias("_j"), F.col("row").alias("_row"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.coalesce(text, F.lit("")).alias("text"), F.col(key).alias("key"))
-    dealt = own.repartition(partitions(docs.sparkSession), "_k").sortWithinPartitions("_k", "text")
-    with_spans = lambda spans: dealt.join(spans, "_k", "left").select("_k", "text", "key", "spans")
-
-    first = _decided(dealt.select("_k", "text", "key").mapInArrow(_emit(lambda data, _: anchored(data, window), None), ROWS))
-    second = _decided(with_spans(_spans(first.where("open"))).mapInArrow(_emit(lambda data, s: blocks(data, s, window), 3), ROWS))
-    third = _decided(with_spans(_spans(second.where("open"))).mapInArrow(_emit(lambda data, s: windows(data, s, window), 3), ROWS))
-    columns = ["_k", "rank", "lo", "hi", "at", "core"]
-    repeated = _spans(first.where("same").select(*columns).unionByName(second.where("same").select(*columns)).unionByName(third.where("same").select(*columns)))
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    joined = own.join(spans, (F.col("_k") == F.col("_j")) & (F.col("row") == F.col("_row")), "left").select("key", "text", "lo", "hi")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _texts(batches, 1):
-            spans = batch.column(3).to_pylist()
+        for batch in batches:
+            data, at = text_buffers(batch.column(1))
             out = []
-            for _, rank, data, i in rows:
-                kept, gone, runs = keep_bytes(data, [s for s in spans[i] or () if s["rank"] == rank], window)
-                out.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
+            for i, (lo, hi) in enumerate(zip(batch.column(2), batch.column(3))):
+                part = data[at[i] : at[i + 1]]
+                none = np.zeros(0, np.int64)
+                kept, gone, runs = keep_bytes(part, lo.values.to_numpy() if lo.is_valid else none, hi.values.to_numpy() + window if hi.is_valid else none)
+                out.append((len(part), gone, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             n, gone, runs, sha, kept = zip(*out) if out else ([],) * 5
-            columns = [batch.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
             names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array(kept, pa.binary()))
@@ -200,4 +233,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return with_spans(repeated).mapInArrow(finish, schema)
+    return joined.mapInArrow(finish, schema)
