@@ -29,6 +29,13 @@ def words(keys: DataFrame, column: str, bits: int) -> DataFrame:
     return keys.groupBy(word_of(F.col(column), bits).alias("word")).agg(F.bit_or(mask_of(F.col(column))).alias("hits"))
 
 
+def tested(rows: DataFrame, side: DataFrame, bits: int, key: str, out: str) -> DataFrame:
+    """Adds `out`: whether the filter `side` (a broadcast of words()) may hold the key column; null keys are not held."""
+    named = side.select(F.col("word").alias("_bw"), F.col("hits").alias("_bh"))
+    hit = F.coalesce(F.col("_bh").bitwiseAND(mask_of(F.col(key))) == mask_of(F.col(key)), F.lit(False))
+    return rows.join(F.broadcast(named), word_of(F.col(key), bits) == F.col("_bw"), "left").withColumn(out, hit).drop("_bw", "_bh")
+
+
 class Filter:
     """The same filter as an array, for Python workers."""
 

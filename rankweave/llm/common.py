@@ -26,7 +26,13 @@ LOWER_BYTES[65:91] += 32
 
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() has a fast path, so it serves wherever it changes nothing more."""
-    return F.when(col.rlike(OTHER_UPPER), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
+    only_ascii = F.octet_length(col) == F.length(col)
+    return F.when(only_ascii | ~col.rlike(OTHER_UPPER), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row; Spark would else repeat it wherever, and in lambdas as often as, it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

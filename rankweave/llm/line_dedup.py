@@ -6,14 +6,16 @@ equal and the longer has at least `LEAST` words (so they agree in four fifths).
 earlier line is its duplicate or near-duplicate, whether or not that line stays; earlier means a
 smaller (id, hash of the text, line number). Lines without a word stay.
 
-1. A scan hashes each line, and the halves that one edit must leave alone (three a line). Keys that
-   several lines share are kept in a blocked Bloom filter of at most 2**MOST_BITS bits.
-2. A second scan keeps the lines that hit the filter, words and all; all others pass straight through.
-3. Repeated lines find their first by hash. Of the rest, each different line emits its deletion
-   neighbourhood as hashed keys: all words but one with the place of the gap (two lines that share
-   it differ by one replaced word), all words but one without it, and all words (a line of the second
-   kind meets one of the third where one word was deleted). Under a key only the earliest line of
-   each kind counts, so keys are aggregated and no pairs are made.
+1. A scan hashes each line, and the halves that one edit must leave alone (three a line); these digests are
+   stored. Keys that several lines share go into a blocked Bloom filter of at most 2**MOST_BITS bits, and only
+   lines that hit it go on; all others pass straight through.
+2. Repeated lines find their first by hash.
+3. Lines that share a half with a different line are read again, and emit their deletion neighbourhood as hashed
+   keys: all words but one with the place of the gap (two lines that share it differ by one replaced word), all
+   words but one without it, and all words (a line of the second kind meets one of the third where one word was
+   deleted). A shared first half leaves the gap to the second, and the reverse. Keys are counted first; those that
+   occur once are dropped by a second filter. Under a key only the earliest line of each kind counts, so keys are
+   aggregated and no pairs are made.
 4. Each line's pair with the earliest one is verified word by word.
 
 Defined cases: a null text stays null; an empty text has one line without words; repeated rows with
@@ -26,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, durable
+from .common import ascii_lower, durable, let
 
 LEAST, MOST_BITS = 5, 28
 RUN = 512  # words whose running hashes are folded at once
+SALTS = 4
 SELF, GAP, LESS = 0, 1, 2
 
 
@@ -50,18 +53,45 @@ def _running(values: Column) -> Column:
     return F.when(F.size(values) <= RUN, fold(values)).otherwise(runs(values))
 
 
+def _words(t: Column) -> Column:
+    return F.array_remove(F.split(t, " "), "")
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, row, line, w, n, h1, h2, halves) of every line with a word."""
+    """(key, row, line, h1, h2, k1, k2, k3) of every line with a word; k1 to k3 are null where a line is too short for near-duplicates."""
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.posexplode(F.split(ascii_lower(F.col(text)), "\n")).alias("line", "t"))
-    words = lines.select("key", "row", "line", F.array_remove(F.split("t", " "), "").alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    words = lines.select("key", "row", "line", _words(F.col("t")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     half = F.floor(F.col("n") / 2).cast("int")
     less = F.floor((F.col("n") - 1) / 2).cast("int")  # half of a line that is one word shorter
+    long_ = F.col("n") >= LEAST - 1
     head = lambda k: F.xxhash64(F.lit(1), k, F.slice("w", 1, k))
     tail = lambda k: F.xxhash64(F.lit(2), k, F.slice("w", F.col("n") - k + 1, k))
-    odd = F.col("n") % 2 == 1
     # For odd n both halves of the heads agree, for even n those of the tails.
-    halves = F.when(F.col("n") < LEAST - 1, F.array().cast("array<bigint>")).otherwise(F.array(head(half), tail(F.col("n") - half), F.when(odd, tail(F.col("n") - 1 - less)).otherwise(head(less))))
-    return words.select("key", "row", "line", "w", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(3), "w").alias("h2"), halves.alias("halves"))
+    third = F.when(F.col("n") % 2 == 1, tail(F.col("n") - 1 - less)).otherwise(head(less))
+    # The hashes of the two halves tell a line; a short one has two of its own.
+    one, two = F.when(long_, head(half)).otherwise(F.xxhash64(F.lit(3), "w")), F.when(long_, tail(F.col("n") - half)).otherwise(F.xxhash64(F.lit(4), "w"))
+    hashed = words.select("key", "row", "line", long_.alias("long"), one.alias("h1"), two.alias("h2"), F.when(long_, third).alias("k3"))
+    return hashed.select("key", "row", "line", "h1", "h2", F.when(F.col("long"), F.col("h1")).alias("k1"), F.when(F.col("long"), F.col("h2")).alias("k2"), "k3")
+
+
+def _neighbourhood(cand: DataFrame) -> DataFrame:
+    """(id, kind, k): hashed keys of the deletion neighbourhood of (id, w, heads, tails), each once a line and kind."""
+    n = F.size("w")
+    here = F.transform("w", lambda x, j: F.xxhash64(x, j))
+    back = F.transform("w", lambda x, j: F.xxhash64(x, j - 1))
+    at = F.when(F.col("heads") & F.col("tails"), F.sequence(F.lit(0), n - 1)).when(F.col("heads"), F.sequence(F.greatest(F.floor((n - 1) / 2).cast("int"), F.lit(0)), n - 1)).otherwise(F.sequence(F.lit(0), F.least(F.ceil((n + 1) / 2).cast("int"), n - 1)))
+
+    def keys(s: Column) -> Column:
+        total = F.element_at(s["pre"], -1)
+        gaps = F.transform(at, lambda i: F.xxhash64(F.lit(GAP), n, i, total.bitwiseXOR(F.get(s["g"], i))))
+        lesses = F.transform(at, lambda i: F.xxhash64(F.lit(LESS), n - 1, F.get(s["pre"], i).bitwiseXOR(F.element_at(s["sub"], -1)).bitwiseXOR(F.get(s["sub"], i + 1))))
+        none = F.array().cast("array<bigint>")
+        return F.struct(F.array(F.xxhash64(F.lit(LESS), n, total)).alias("s"), F.when(n >= LEAST, gaps).otherwise(none).alias("g"), F.when(n >= LEAST, F.array_distinct(lesses)).otherwise(none).alias("l"))
+
+    sums = lambda s: let(F.struct(s["g"], _running(s["g"]).alias("pre"), _running(s["b"]).alias("sub")), keys)
+    made = cand.select("id", let(F.struct(here.alias("g"), back.alias("b")), sums).alias("m"))
+    item = lambda kind, a: F.transform(a, lambda k: F.struct(F.lit(kind).cast("tinyint").alias("kind"), k.alias("k")))
+    return made.select("id", F.inline(F.concat(item(SELF, F.col("m.s")), item(GAP, F.col("m.g")), item(LESS, F.col("m.l")))))
 
 
 def _verified(a: Column, b: Column) -> Column:
@@ -77,49 +107,48 @@ def _verified(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """(key, row, line, near) of every line that goes."""
-    lines = _lines(docs, key, text)
+    lines = durable(_lines(docs, key, text))
     # A line's own key carries a value of its own, a half carries the line's hash: two values under a key mean two lines.
-    own = F.struct(F.xxhash64("h1", "h2").alias("k"), F.xxhash64("key", "row", "line").alias("v"))
-    keyed = lines.select(F.inline(F.concat(F.array(own), F.transform("halves", lambda k: F.struct(k.alias("k"), F.col("h1").alias("v"))))))
-    shared = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("k")
-    shared = durable(shared)
+    pair = lambda k, v: F.struct(F.col(k).alias("k"), v.alias("v"))
+    lines = lines.withColumn("own", F.xxhash64("h1", "h2")).withColumn("id", F.xxhash64("key", "row", "line"))
+    keyed = lines.select(F.inline(F.array(pair("own", F.col("id")), *[pair(k, F.col("own")) for k in ("k1", "k2", "k3")]))).where("k is not null")
+    shared = durable(keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("k"))
     bits = bloom.size_for(shared.count(), most_bits)
-    # At most 2**(bits - 6) words of the filter exist, so it may be broadcast.
-    words = F.broadcast(bloom.words(shared, "k", bits))
-
-    tested = lines.withColumn("own", F.xxhash64("h1", "h2"))
-    hit = []
-    for i, k in enumerate([F.col("own"), *(F.get("halves", F.lit(i)) for i in range(3))]):
-        tested = tested.withColumn(f"_k{i}", k).join(words.select(F.col("word").alias(f"_w{i}"), F.col("hits").alias(f"_h{i}")), bloom.word_of(F.col(f"_k{i}"), bits) == F.col(f"_w{i}"), "left")
-        hit.append(F.coalesce(F.col(f"_h{i}").bitwiseAND(bloom.mask_of(F.col(f"_k{i}"))) == bloom.mask_of(F.col(f"_k{i}")), F.lit(False)))
-    near = hit[1] | hit[2] | hit[3]
-    left = durable(tested.where(hit[0] | near).select("key", "row", "line", "h1", "h2", F.when(near, F.col("w")).alias("w")))
+    side = bloom.words(shared, "k", bits)
+    hits = lines
+    for k in ("own", "k1", "k2", "k3"):
+        hits = bloom.tested(hits, side, bits, k, f"_{k}")
+    # The third key is a head for even numbers of words, a tail for odd ones; it counts for both here.
+    left = hits.where("_own or _k1 or _k2 or _k3").select("key", "row", "line", "id", "h1", "h2", (F.col("_k1") | F.col("_k3")).alias("heads"), (F.col("_k2") | F.col("_k3")).alias("tails"))
+    left = durable(left)
 
     place = F.struct("key", "row", "line")
-    firsts = left.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
-    exact = left.drop("w").join(firsts, ["h1", "h2"]).where(place > F.col("first")).select("key", "row", "line", F.lit(False).alias("near"))
-
-    different = left.where("w is not null").groupBy("h1", "h2").agg(F.min(F.struct("key", "row", "line", "w")).alias("m"))
-    cand = durable(different.select("h1", "h2", F.struct("m.key", "m.row", "m.line").alias("place"), F.col("m.w").alias("w")))
-    n = F.size("w")
-    here = F.transform("w", lambda x, j: F.xxhash64(x, j))
-    back = F.transform("w", lambda x, j: F.xxhash64(x, j - 1))
-    sums = cand.select("place", n.alias("n"), here.alias("g"), _running(here).alias("pre"), _running(back).alias("sub"))
-    total = F.element_at("pre", -1)
-    at = F.sequence(F.lit(0), F.col("n") - 1)
-    item = lambda kind, k: F.struct(F.lit(kind).cast("tinyint").alias("kind"), k.alias("k"))
-    gaps = F.when(F.col("n") >= LEAST, F.transform(at, lambda i: item(GAP, F.xxhash64(F.lit(GAP), "n", i, total.bitwiseXOR(F.get("g", i))))))
-    lesses = F.when(F.col("n") >= LEAST, F.transform(at, lambda i: item(LESS, F.xxhash64(F.lit(LESS), F.col("n") - 1, F.get("pre", i).bitwiseXOR(F.element_at("sub", -1)).bitwiseXOR(F.get("sub", i + 1))))))
-    whole = F.array(item(SELF, F.xxhash64(F.lit(LESS), "n", total)))
-    none = F.array().cast("array<struct<kind:tinyint,k:bigint>>")
-    variants = sums.select("place", F.inline(F.array_distinct(F.concat(whole, F.coalesce(gaps, none), F.coalesce(lesses, none)))))
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place")))
-    met = variants.groupBy("k").agg(F.count("*").alias("c"), first(SELF).alias("s"), first(GAP).alias("g"), first(LESS).alias("l")).where("c > 1").drop("c")
-    earliest = F.when(F.col("kind") == SELF, F.col("l")).when(F.col("kind") == GAP, F.col("g")).otherwise(F.col("s"))
-    pairs = variants.join(met, "k").select("place", earliest.alias("other")).where("other < place").distinct()
+    salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt")
+    salt = F.pmod(F.col("id"), F.lit(SALTS)).alias("salt")
+    firsts = left.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first", salts)
+    exact = left.select("*", salt).join(firsts, ["h1", "h2", "salt"]).where(place > F.col("first")).select("key", "row", "line", F.lit(False).alias("near"))
+
+    # The first line of each different text of words, found by a filter over places in a scan that splits only what it keeps.
+    near = left.where("heads or tails").groupBy("h1", "h2").agg(F.min(F.struct("key", "row", "line", "id")).alias("m"), F.max("heads").alias("heads"), F.max("tails").alias("tails"))
+    near = durable(near.select("h1", "h2", F.struct("m.key", "m.row", "m.line").alias("place"), F.col("m.id").alias("id"), "heads", "tails"))
+    count = near.count()
+    bits = bloom.size_for(count, most_bits)
+    again = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).withColumn("id", F.xxhash64("key", "row", "line"))
+    found = bloom.tested(again, bloom.words(near, "id", bits), bits, "id", "_hit").where("_hit").select("id", _words(ascii_lower(F.col("t"))).alias("w"))
+    cand = durable(near.join(found.groupBy("id").agg(F.first("w").alias("w")), "id"))
+
+    variants = durable(_neighbourhood(cand))
+    repeated = durable(variants.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
+    bits = bloom.size_for(repeated.count(), most_bits)
+    variants = bloom.tested(variants, bloom.words(repeated, "k", bits), bits, "k", "_hit").where("_hit").drop("_hit")
+    variants = durable(variants.join(cand.select("id", "place"), "id"))
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"first{kind}")
+    met = variants.groupBy("k").agg(F.count("*").alias("c"), *map(first, (SELF, GAP, LESS))).where("c > 1").drop("c").select("*", salts)
+    earliest = F.when(F.col("kind") == SELF, F.col(f"first{LESS}")).when(F.col("kind") == GAP, F.col(f"first{GAP}")).otherwise(F.col(f"first{SELF}"))
+    pairs = variants.select("*", F.pmod(F.col("id"), F.lit(SALTS)).alias("salt")).join(met, ["k", "salt"]).select("place", earliest.alias("other")).where("other < place").distinct()
     sides = pairs.join(cand.select("place", "h1", "h2", F.col("w").alias("a")), "place").join(cand.select(F.col("place").alias("other"), F.col("w").alias("b")), "other")
-    gone = sides.where(_verified(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
-    nearly = left.select("key", "row", "line", "h1", "h2").join(gone, ["h1", "h2"]).select("key", "row", "line", F.lit(True).alias("near"))
+    gone = sides.where(_verified(F.col("a"), F.col("b"))).select("h1", "h2").distinct().select("*", salts)
+    nearly = left.select("key", "row", "line", "h1", "h2", salt).join(gone, ["h1", "h2", "salt"]).select("key", "row", "line", F.lit(True).alias("near"))
     return exact.unionByName(nearly)
 
 
@@ -129,12 +158,18 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Where `docs` has columns of these names, they are replaced.
     """
     gone = dropped_lines(docs, key, text).groupBy("key", "row").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
-    gone = gone.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.struct("gone", "near").alias("_gone"))
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_key"]) & (F.xxhash64(docs[text]) == gone["_row"]), "left")
-    parts = F.split(docs[text], "\n")
-    total = F.when(docs[text].isNull(), 0).otherwise(F.size(parts))
+    gone = durable(gone.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.struct("gone", "near").alias("_gone"), F.xxhash64("key", "row").alias("_id")))
+    # Texts that lose nothing pass straight through: a filter tells them, and only the others meet their lines.
+    bits = bloom.size_for(gone.count(), MOST_BITS)
+    own = docs.withColumn("_doc", F.xxhash64(key, F.xxhash64(text)))
+    own = bloom.tested(own, bloom.words(gone, "_id", bits), bits, "_doc", "_hit")
+    whole = own.where(~F.col("_hit")).withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType))
+    cut = own.where("_hit").join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_row")), "left").drop("_key", "_row", "_id")
+    joined = whole.unionByName(cut)
+    parts = F.split(F.col(text), "\n")
+    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone.gone"))
-    shown = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    own = [F.col(c) if c != text else shown.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
+    shown = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(let(parts, lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")))
+    columns = [F.col(c) if c != text else shown.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
     size = lambda c: F.when(F.col("_gone").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return joined.select(*own, total.cast("long").alias("n_lines"), size("_gone.gone").alias("n_dropped"), size("_gone.near").alias("n_near"))
+    return joined.select(*columns, total.cast("long").alias("n_lines"), size("_gone.gone").alias("n_dropped"), size("_gone.near").alias("n_near"))
