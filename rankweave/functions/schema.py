@@ -10,7 +10,7 @@ PROFILE = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "name", "core_skills", "secondary_skills", "soft_skills", "skill_summary", "potential_roles")]
     + [T.StructField("years_of_experience", T.DoubleType())]
 )
-EDGES = "edge_id long, type string, src string, dst string"
+EDGES = "edge_id string, type string, src string, dst string"
 NODES = "label string, key string, name string"
 
 #: Words in a column's name that tell its kind, tried in this order.

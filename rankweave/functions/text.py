@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,10 +13,16 @@ from . import vocab
 
 def lookup(col: Column, table: Mapping[str, object], default: Column | None = None) -> Column:
     """Value of a small fixed table, else the default (the column itself)."""
-    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    lit = lambda x: repr(float(x)) + "D" if isinstance(x, float) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items()) + ")")
     return F.coalesce(F.try_element_at(pairs, col), col if default is None else default)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row; Spark would else repeat it wherever, and in lambdas as often as, it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_typography(col: Column) -> Column:
     """Typographic quotes, dashes and their mis-decoded forms as ASCII."""
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), vocab.TYPOGRAPHY.items(), col)
@@ -25,9 +31,8 @@ def clean_typography(col: Column) -> Column:
 def canonical_skill(col: Column) -> Column:
     """Canonical name of a skill: aliases, abbreviations, one ending cut, abbreviations again."""
     s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(col)), "['\"]", ""), r"\s+", " "))
-    s = lookup(lookup(s, vocab.ALIASES), vocab.ABBREVIATIONS)
-    cut = F.coalesce(*[F.when(F.endswith(s, F.lit(x)) & (F.length(s) > len(x)), F.trim(F.substring(s, F.lit(1), F.length(s) - len(x)))) for x in vocab.SUFFIXES], s)
-    return F.trim(lookup(cut, vocab.ABBREVIATIONS))
+    cut = lambda t: F.coalesce(*[F.when(F.endswith(t, F.lit(x)) & (F.length(t) > len(x)), F.trim(F.substring(t, F.lit(1), F.length(t) - len(x)))) for x in vocab.SUFFIXES], t)
+    return let(s, lambda a: let(lookup(a, vocab.ALIASES), lambda b: let(lookup(b, vocab.ABBREVIATIONS), lambda c: let(cut(c), lambda d: F.trim(lookup(d, vocab.ABBREVIATIONS))))))
 
 
 def normal_token(col: Column) -> Column:
@@ -81,9 +86,9 @@ def skill_cell(col: Column) -> Column:
     text = F.coalesce(col, F.lit(""))
     names, levels = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = F.transform(F.arrays_zip(names.alias("n"), levels.alias("l")), lambda p: F.struct(canonical_skill(p["n"]).alias("skill"), level_weight(p["l"]).alias("weight")))
-    pairs = F.filter(pairs, lambda p: p["skill"] != "")
     plain = F.transform(F.split(text, r"[,;|]+"), lambda t: F.struct(canonical_skill(t).alias("skill"), F.lit(vocab.DEFAULT_PROFICIENCY).alias("weight")))
-    return F.when(F.size(pairs) > 0, pairs).otherwise(F.filter(plain, lambda p: p["skill"] != ""))
+    named = lambda a: F.filter(a, lambda p: p["skill"] != "")
+    return let(named(pairs), lambda p: F.when(F.size(p) > 0, p).otherwise(named(plain)))
 
 
 def skill_copies(weight: Column) -> Column:
@@ -103,7 +108,7 @@ def years(col: Column) -> Column:
 
 def string_list(col: Column) -> Column:
     """Null or a comma list to an array of items that are not blank."""
-    return F.when(col.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(col, ","), F.trim), lambda s: s != ""))
+    return F.when(col.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(col, ","), lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def normal_id(col: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
+from rankweave.functions.text import let
 
 MOST_QUERY_BYTES = 64 << 20
 
@@ -28,8 +29,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector over its length; a zero vector stays zero."""
-    length = F.greatest(norm(a), F.lit(1e-9))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(1e-9)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def fits(queries: DataFrame, vector: str) -> bool:

@@ -20,6 +20,10 @@ def _parts(term: Column, distance: int) -> Column:
     return F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(term, start(i) + 1, start(i + 1) - start(i)).alias("s")) for i in range(k)])
 
 
+def _cuts(token: Column, n: Column, i: int, size: Column, at: Column) -> Column:
+    return F.transform(at, lambda p: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(token, p + 1, size).alias("s")))
+
+
 def _probes(token: Column, distance: int) -> Column:
     """What a token must hold to be near a term of each length: every cut at every shift, once."""
     m, k = F.length(token), distance + 1
@@ -30,11 +34,11 @@ def _probes(token: Column, distance: int) -> Column:
             a = F.floor(n * i / k).cast("int")
             size = F.floor(n * (i + 1) / k).cast("int") - a
             at = F.sequence(F.greatest(a - distance, F.lit(0)), F.greatest(F.least(a + distance, m - size), F.greatest(a - distance, F.lit(0))))
-            out.append(F.transform(at, lambda p, i=i, size=size: F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(token, p + 1, size).alias("s"))))
+            out.append(_cuts(token, n, i, size, at))
         return F.flatten(F.array(*out))
 
     lengths = F.sequence(F.greatest(m - distance, F.lit(1)), m + distance)
-    return F.array_distinct(F.flatten(F.transform(lengths, for_length)))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: for_length(n))))
 
 
 def fuzzy_match(tokens: DataFrame, terms: DataFrame, distance: int = vocab.FUZZY_DISTANCE, ratio: float = vocab.FUZZY_RATIO, least: int = 3) -> DataFrame:

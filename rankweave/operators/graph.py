@@ -23,7 +23,7 @@ def contains(name: object, term: object):
 
 
 def walks(edges: DataFrame, depth: int) -> DataFrame:
-    """(skill, name): what a walk of `depth` different edges reaches, in either direction of RELATED_TO and along BELONGS_TO."""
+    """(skill, name): what a directed walk over `depth` different edges reaches."""
     step = edges.select("edge_id", "src", "dst")
     out = step.select(F.col("src").alias("skill"), F.col("dst").alias("name"), F.array("edge_id").alias("used"))
     for _ in range(depth - 1):
@@ -59,7 +59,7 @@ def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFra
 
 
 def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    return reached(has_skill, edges.where(F.col("type").isin(*DOMAIN_LINKS)), terms, 1, delta(vocab.GRAPH_DOMAIN, 2), "BELONGS_TO", far=True)
+    return reached(has_skill, edges.where(F.col("type").isin(*DOMAIN_LINKS)), terms, 1, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN", far=True)
 
 
 def role(suitable: DataFrame, terms: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def role(suitable: DataFrame, terms: DataFrame) -> DataFrame:
 def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int) -> DataFrame:
     """Three or four hops: the weight decays once for the distance and once for the hops."""
     gain = delta(vocab.GRAPH_RELATED, hops, vocab.GRAPH_DECAY ** (hops - 2))
-    return reached(has_skill, edges.where(F.col("type").isin(*LINKS)), terms, hops - 1, gain, "RELATED_TO")
+    return reached(has_skill, edges.where(F.col("type").isin(*LINKS)), terms, hops - 1, gain, f"HOP{hops}_CHAIN")
 
 
 def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:

@@ -53,11 +53,15 @@ def alpha(intent: Column, confidence: Column) -> Column:
     return F.round(0.5 + (base - 0.5) * confidence, 6)
 
 
+def _times(items: Column, name: str) -> Column:
+    return F.size(F.filter(items, lambda m: m == name))
+
+
 def adjustment(modifiers: Column, negated: Column, core_skills: Column) -> Column:
     """Bonuses of known modifiers, and a penalty for each negated skill within a core skill."""
     gain = F.lit(0.0)
     for name, bonus in vocab.MODIFIERS.items():
-        gain = gain + bonus * F.size(F.filter(modifiers, lambda m, name=name: m == name))
+        gain = gain + bonus * _times(modifiers, name)
     met = F.filter(negated, lambda n: F.exists(core_skills, lambda s: F.contains(F.lower(s), n)))
     return gain + vocab.NEGATION_PENALTY * F.size(met)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
+from rankweave.functions.text import let
 
 WORD = r"[a-z0-9][a-z0-9+#./-]*"
 
@@ -96,16 +97,20 @@ def negated_spans(text: Column) -> Column:
         # Each match of the trigger with what follows it up to the next words of its scope.
         head = F.split(q, pattern)
         hits = F.regexp_extract_all(q, F.lit(f"({pattern})"), F.lit(1))
+        # Where each match starts: the lengths of what is before it and between.
         before = F.transform(F.sequence(F.lit(0), F.size(hits)), lambda i: F.aggregate(F.slice(head, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-        spans.append(
-            F.transform(
-                F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>")),
-                lambda i, hits=hits, before=before, scope=scope: _span(q, F.get(before, i), F.length(F.get(hits, i)), scope),
-            )
-        )
+        def one(i: Column, hits: Column = hits, before: Column = before, scope: int = scope) -> Column:
+            return _span(q, F.get(before, i), F.length(F.get(hits, i)), scope)
+
+        at = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
+        spans.append(_each(at, one))
     return F.flatten(F.array(*spans))
 
 
+def _each(places: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(places, lambda i: body(i))
+
+
 def _span(q: Column, start: Column, size: Column, scope: int) -> Column:
     rest = F.trim(F.substring(q, start + size + 1, F.length(q)))
     covered = F.array_join(F.slice(F.split(rest, r"\s+"), 1, scope), " ")
@@ -115,8 +120,8 @@ def _span(q: Column, start: Column, size: Column, scope: int) -> Column:
 def negated(text: Column, skills: Column) -> Column:
     """Skills whose first place in the text lies in a negated span."""
     q = F.lower(text)
-    spans = negated_spans(text)
-    return F.filter(skills, lambda s: F.exists(spans, lambda p: (F.instr(q, s) > 0) & (F.instr(q, s) - 1 >= p["start"]) & (F.instr(q, s) - 1 <= p["end"])))
+    inside = lambda at, p: (at >= p["start"]) & (at <= p["end"])
+    return let(negated_spans(text), lambda spans: F.filter(skills, lambda s: (F.instr(q, s) > 0) & F.exists(spans, lambda p: inside(F.instr(q, s) - 1, p))))
 
 
 def exclusions(negated_skills: Column, negated_location: Column) -> Column:
