@@ -1,0 +1,301 @@
+"""The training-data operators against brute force, on edge cases and on the smallest tables."""
+
+from __future__ import annotations
+
+import sys
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import cases
+from pyspark.sql import functions as F
+
+from rankweave.llm import bpe, components, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, queries, simhash, suffix_dedup, toxicity
+from rankweave.llm.common import ascii_lower, train_split
+
+SF = "/root/testdata/sf0.001"
+
+
+def counted(df, *columns) -> Counter:
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return cases.edge_documents(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return cases.edge_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def doc_rows(docs):
+    return [tuple(r) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_ascii_lower(edges, rows):
+    assert counted(edges, ascii_lower(F.coalesce("text", F.lit("")))) == Counter((cases.lower(r[1]),) for r in rows)
+
+
+def test_fingerprints(edges, rows):
+    found = fingerprints.fingerprint_documents(edges)
+    assert counted(found, "doc_id", "n_chars", "edited_sha256") == cases.fingerprint_rows(rows)
+    by_text = {}
+    for r in found.join(edges.select("doc_id", "text"), "doc_id").where("doc_id not in (15, 33)").collect():
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        by_text.setdefault(r["text"] or "", set()).add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    full = [t for t in by_text if fingerprints.paragraphs(t)]
+    assert len({next(iter(by_text[t])) for t in full}) == len(full)
+
+
+def test_fingerprints_are_homomorphic():
+    of = fingerprints.Fingerprint.of
+    a, b = "first paragraph here\nsecond one", "third one is this"
+    assert (of(a) + of(b)).text() == of(b + "\n" + a).text()
+    assert (of(a + "\n" + b) - of(b)).text() == of("second one\nfirst paragraph here").text()
+    assert of(a).text() != of(b).text()
+
+
+def test_fingerprints_likeness(docs):
+    found = fingerprints.fingerprint_documents(docs).toPandas()
+    assert found.near_edited.mean() > 0.35 > 0.15 > found.near_next.mean()
+    assert (found.near_edited > found.near_next).mean() > 0.95
+
+
+def test_licenses(edges, rows):
+    found = licenses.scan_licenses(edges)
+    assert counted(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == cases.license_rows(rows)
+    labels = {r["doc_id"]: r for r in found.collect()}
+    assert labels[39]["labels"] == "cc-by,cc-by-nc,reserved" and labels[39]["score"] == 1.0
+    assert "gpl-3.0" not in labels[39]["labels"] and "gpl" in labels[42]["labels"]
+    assert labels[0]["labels"] == "" and labels[0]["score"] == 0.0
+
+
+def test_licenses_near_template(spark):
+    notice = licenses.NOTICES["mit"][1].replace("charge to", "charge or fee to")
+    far = "permission is hereby refused to nobody"
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([(1, "Intro. " + notice), (2, far)], "doc_id long, text string")).collect()}
+    assert found[1]["labels"] == "mit" and 0.6 <= found[1]["score"] < 1.0
+    assert found[2]["labels"] == ""
+
+
+@pytest.mark.parametrize("window", [100, 400])
+def test_suffix_dedup(edges, rows, window):
+    found = suffix_dedup.remove_repeats(edges, window=window)
+    assert counted(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cases.suffix_rows(rows, window)
+
+
+def test_suffix_dedup_small_tables(docs, doc_rows):
+    found = queries.op4_suffix_dedup(docs.sparkSession, SF)
+    assert counted(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cases.suffix_rows(doc_rows, 400)
+
+
+def test_suffix_dedup_full_filter(edges, rows):
+    found = suffix_dedup.remove_repeats(edges, window=100)
+    spans = suffix_dedup.repeated_spans(edges, window=100, most_bits=6)
+    assert spans.count() >= found.where("n_removed > 0").count()
+
+
+def test_line_dedup(edges, rows):
+    found = line_dedup.dedupe_lines(edges)
+    assert found.columns[: len(edges.columns)] == edges.columns
+    assert counted(found, "doc_id", "n_lines", "n_dropped", "n_near", "text") == cases.line_rows(rows)
+
+
+def test_line_dedup_small_tables(docs, doc_rows):
+    found = line_dedup.dedupe_lines(docs)
+    assert counted(found, "doc_id", "n_lines", "n_dropped", "n_near", "text") == cases.line_rows(doc_rows)
+
+
+def test_line_dedup_long_lines(spark):
+    long = " ".join(f"w{i}" for i in range(3 * line_dedup.RUN + 5))
+    texts = [(1, long), (2, long.replace("w700 ", "")), (3, long.replace("w1000 ", "other ")), (4, long[5:] + " tail")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert counted(line_dedup.dedupe_lines(docs), "doc_id", "n_lines", "n_dropped", "n_near", "text") == cases.line_rows(texts)
+
+
+def test_simhash(edges, rows):
+    assert counted(simhash.near_duplicates(edges), "doc_id", "fingerprint", "component_id") == cases.simhash_rows(rows)
+
+
+def test_simhash_small_tables(docs, doc_rows):
+    assert counted(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == cases.simhash_rows(doc_rows)
+
+
+def test_simhash_links_every_pair(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = set(base.tolist())
+    for b in base.tolist():
+        for _ in range(12):
+            x = b
+            for bit in rng.choice(64, rng.integers(1, 6), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    signed = sorted(int(np.uint64(x).view(np.int64)) for x in fps)
+    for block in (simhash.BLOCK, 4):
+        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block)
+        got = {r["node"]: r["least"] for r in components.components(found).collect()}
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, x in enumerate(signed):
+            for y in signed[:i]:
+                if ((x ^ y) & (2**64 - 1)).bit_count() <= 3:
+                    a, b = sorted((find(x), find(y)))
+                    root[b] = a
+        assert {x: got.get(x, x) for x in signed} == {x: find(x) for x in signed}
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(0, 500).selectExpr("id a", "id + 1 b").repartition(7)
+    found = {r["node"]: r["least"] for r in components.components(links).collect()}
+    assert found == {i: 0 for i in range(1, 501)}
+
+
+def test_exact_dedup(edges, rows):
+    found = exact_dedup.exact_duplicates(edges)
+    assert counted(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == cases.exact_rows(rows)
+    assert counted(exact_dedup.exact_duplicates(edges, most_bits=3), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == cases.exact_rows(rows)
+
+
+def test_bpe(edges, rows):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(queries.VOCABULARY)
+    want = Counter()
+    for r in rows:
+        ids = own.encode(r[1] or "", add_special_tokens=False).ids
+        want[r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert counted(bpe.encode_documents(edges, queries.VOCABULARY), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_bpe_properties():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    own, theirs = bpe.encoder(queries.VOCABULARY), Tokenizer.from_file(queries.VOCABULARY)
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.one_of(st.text(max_size=60), st.text(alphabet="etaonish .,'\n\téß 　²€1<|>", max_size=80)))
+    def check(text):
+        ids = own.encode(text)
+        assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids
+        assert own.decode(ids) == text
+
+    check()
+
+
+def test_language(docs):
+    model = langid.train(docs, usable=train_split(F.col("doc_id")))
+    found = langid.identify(docs, model, carry=["lang"]).where(~train_split(F.col("doc_id")))
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_language_edges(edges, rows, spark):
+    model = langid.train(edges, usable=train_split(F.col("doc_id")))
+    found = langid.identify(edges, model, carry=["text", "lang"]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
+    assert {r["lang_pred"] for r in langid.identify(edges, None).collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    scored = queries.op3_toxicity(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    caught = scored[scored.toxic == 1].predicted.mean()
+    false = scored[scored.toxic == 0].predicted.mean()
+    assert caught >= 0.6 and false <= 0.05
+    assert ((scored.score >= 0.3) == (scored.predicted == 1)).all()
+
+
+def test_toxicity_edges(edges, rows, spark):
+    labels = edges.select("doc_id", F.coalesce(F.contains("text", F.lit("idiot")), F.lit(False)).cast("int").alias("toxic"))
+    found = toxicity.score_documents(edges, toxicity.train(edges, labels)).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+    none = toxicity.score_documents(edges, toxicity.train(edges, labels.where("toxic = 1"))).collect()
+    assert {r["score"] for r in none} == {0.0}
+
+
+def test_mixing(spark):
+    found = queries.op7_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
+    assert (found.rate >= 0).all() and np.allclose(found[["p_clean", "p_low", "p_toxic"]].sum(1), 1, atol=0.02)
+    total = found.n_tokens.sum()
+    share = {d: (found.n_tokens * found[f"p_{d}"]).sum() / total for d in mixing.DOMAINS}
+    got = {d: (found.rate * found.n_tokens * found[f"p_{d}"]).sum() / total for d in mixing.DOMAINS}
+    for d in mixing.DOMAINS:
+        goal = mixing.TARGETS[d] * share["clean"] / mixing.TARGETS["clean"]
+        assert abs(got[d] - goal) < 0.25 * goal
+    both = found.merge(labels, on="doc_id")
+    clean = both[(both.quality == 1) & (both.toxic == 0)]
+    assert (clean.domain == "clean").mean() > 0.9
+
+
+def test_mixing_solver_against_dense_solution(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([3, 1, 1], 60)
+    grid = np.round(p * mixing.GRID).astype(int)
+    t = rng.integers(1, 400, 60)
+    cells = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(grid, t)], "p array<int>, t long")
+    steps = mixing.fit_rates(cells, steps=400)
+    w, q, a = np.ones(60), grid / mixing.GRID, t / t.sum()
+    for s in steps:
+        w = np.maximum(0, w * s["keep"] + s["add"] - grid @ np.array(s["pull"]))
+    have = a @ q
+    goal = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * have[0] / mixing.TARGETS["clean"]
+    loss = lambda w: ((((w * a) @ q - goal) ** 2) / (2 * goal)).sum() + mixing.RIDGE / 2 * (a * (w - 1) ** 2).sum()
+    best, v = loss(w), w.copy()
+    for _ in range(4000):
+        v = np.maximum(0, v - 0.2 * (q @ (((v * a) @ q - goal) / goal) + mixing.RIDGE * (v - 1)))
+    assert best <= loss(v) * 1.02 + 1e-6
+
+
+def test_mixing_edges(edges, rows, spark):
+    labels = edges.select("doc_id", F.lit("clean").alias("domain"))
+    assert mixing.mix_documents(edges, labels).count() == len(rows)
+    none = mixing.mix_documents(edges, labels.where("false"))
+    assert none.count() == len(rows)
+
+
+OPERATORS = {
+    "fingerprints": lambda d: fingerprints.fingerprint_documents(d),
+    "licenses": lambda d: licenses.scan_licenses(d),
+    "suffixes": lambda d: suffix_dedup.remove_repeats(d),
+    "lines": lambda d: line_dedup.dedupe_lines(d),
+    "simhash": lambda d: simhash.near_duplicates(d),
+    "exact": lambda d: exact_dedup.exact_duplicates(d),
+    "bpe": lambda d: bpe.encode_documents(d, queries.VOCABULARY),
+    "language": lambda d: langid.identify(d, langid.train(d)),
+    "toxicity": lambda d: toxicity.score_documents(d, toxicity.train(d, d.selectExpr("doc_id", "1 as toxic"))),
+    "mixing": lambda d: mixing.mix_documents(d, d.selectExpr("doc_id", "'low' as domain")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](cases.empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_null_ids(spark, name):
+    rows = [(None, "some text here\nwith two lines", "en"), (None, None, None), (4, "some text here", None)]
+    assert OPERATORS[name](spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 3
