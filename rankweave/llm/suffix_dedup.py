@@ -43,6 +43,7 @@ WINDOW, GRAM, STEP = 400, 64, 16
 CHUNK = 1 << 20  # windows of a long text that are anchored at once
 MOST_BITS = 27  # of a filter
 LEAST_KEY = -(1 << 63)
+SALTS = 4
 PLACE = np.uint64((1 << 24) - 1)
 COLUMNS = ["core", "outer", "id", "_k", "row", "lo", "hi"]
 ROWS = "core long, outer long, id long, _k long, row long, lo int, hi int"
@@ -116,7 +117,7 @@ def range_ids(key: int, row: int, depth: int, lo: np.ndarray, core: np.ndarray)
 
 
 def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filter], window: int = WINDOW) -> tuple[np.ndarray, ...] | None:
-    """(core, outer, id, lo, hi) of a text's ranges at a depth; filters are those of the anchors and of the open ranges above."""
+    """(core, outer, id, lo, hi) of a text's ranges at a depth; filters are those of the anchors, of the open ranges above, and of windows that occur again."""
     got = anchored(data, window)
     if got is None:
         return None
@@ -136,6 +137,9 @@ def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filte
         if not use.any():
             return None
         lo, hi, core, outer = windows(data, lo[use], hi[use], window)
+        if len(filters) > 3:
+            use = filters[3].holds(core)
+            lo, hi, core, outer = lo[use], hi[use], core[use], outer[use]
         ids = range_ids(key, row, 3, lo, core)
     return (core, outer, ids, lo, hi) if len(lo) else None
 
@@ -155,9 +159,13 @@ def _decided(rows: DataFrame) -> DataFrame:
 
     It needs what is not `same`, and one row of each class that is, as a witness for the others.
     """
-    again = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("outer").alias("a"), F.max("outer").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("differ"))
-    count = rows.groupBy("core", "outer").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("core", "outer", "first")
-    both = rows.join(again, "core").join(count, ["core", "outer"], "left")
+    salted = lambda column: F.pmod(F.col(column), F.lit(SALTS))
+    salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))
+    # Classes are counted before rows meet them; with the salt both sides of each join move, so Spark may split what is hot.
+    classes = rows.groupBy("core", "outer").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    totals = classes.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("core", (F.col("kinds") > 1).alias("differ"), salts.alias("salt"))
+    marked = classes.withColumn("salt", salted("outer")).join(totals, ["core", "salt"]).select("core", "outer", F.when(F.col("n") > 1, F.col("first")).alias("first"), "differ", salts.alias("salt"))
+    both = rows.withColumn("salt", salted("id")).join(marked, ["core", "outer", "salt"])
     same = F.col("first").isNotNull()
     return both.select(*COLUMNS, same.alias("same"), (F.col("differ") & (~same | (F.col("first") == F.col("id")))).alias("open"))
 
@@ -169,14 +177,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
     def emit(depth: int, filters: list[Filter], only_cores: bool = False) -> DataFrame:
-        shared = spark.sparkContext.broadcast(filters)
+        shared = spark.sparkContext.broadcast((filters, texts[-1] if texts else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, at = text_buffers(batch.column(2))
                 out: list[list[np.ndarray]] = [[] for _ in COLUMNS]
-                for i, (k, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                    got = ranges(data[at[i] : at[i + 1]], k, row, depth, shared.value, window)
+                own_filters, open_texts = shared.value
+                keys, rows = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                for i in np.flatnonzero(open_texts.holds(rows)) if open_texts is not None else range(len(rows)):
+                    k, row = keys[i], int(rows[i])
+                    got = ranges(data[at[i] : at[i + 1]], k, row, depth, own_filters, window)
                     if got is None:
                         continue
                     core, outer, ids, lo, hi = got
@@ -195,15 +206,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return Filter(again, "core", again.count(), most_bits)
 
     def open_ranges(decided: DataFrame) -> Filter:
-        ids = decided.where("open").select("id")
-        return Filter(ids, "id", ids.count(), most_bits)
+        """A filter of the open ranges; a scan at the next depth skips texts without one, by a filter of text hashes."""
+        ids = decided.where("open").select("id", "row")
+        count = ids.count()
+        texts.append(Filter(ids, "row", count, most_bits))
+        return Filter(ids, "id", count, most_bits)
 
+    texts: list[Filter] = []
     filters = [repeated_cores(1, [])]
     first = durable(_decided(durable(emit(1, filters))))
     filters.append(open_ranges(first))
     second = durable(_decided(durable(emit(2, filters))))
     filters.append(open_ranges(second))
-    third = _decided(emit(3, filters))
+    filters.append(repeated_cores(3, filters))
+    third = _decided(durable(emit(3, filters)))
     columns = ["_k", "row", "lo", "hi"]
     return first.where("same").select(*columns).unionByName(second.where("same").select(*columns)).unionByName(third.where("same").select(*columns))
 
