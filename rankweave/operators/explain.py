@@ -19,10 +19,10 @@ def display(ranked: DataFrame, details: DataFrame, asked: DataFrame) -> DataFram
 
     Ranked rows: qid, id, rank, scores, alpha, beta, modifier_delta, core_skills, matched_terms, roles, source.
     """
-    out = ranked.drop("intent").join(details, ["qid", "id"], "left").join(asked, "qid")
+    out = ranked.drop("intent").join(details, ["qid", "id"], "left").join(asked.withColumnRenamed("skills", "_wanted"), "qid")
     name = F.coalesce(T.present(F.col("name")), F.concat(F.lit("Candidate "), F.col("id").cast("string")))
     roles = F.coalesce("roles", _strings())
-    overlap = T.overlaps(F.col("core_skills"), F.col("skills"))
+    overlap = T.overlaps(F.col("core_skills"), F.col("_wanted"))
     reasons = F.transform(
         F.slice(F.filter(F.coalesce("reasons", F.array().cast("array<struct<query_term:string,matched_node:string,relationship:string,hops:int,score_delta:double>>")), lambda r: r["matched_node"].isNotNull()), 1, 6),
         lambda r: F.format_string("Matched '%s' → %s via %s (%d-hop, +%.3f)", r["query_term"], r["matched_node"], r["relationship"], r["hops"], r["score_delta"]),
@@ -30,7 +30,7 @@ def display(ranked: DataFrame, details: DataFrame, asked: DataFrame) -> DataFram
     fused = F.format_string("Fusion: α=%.2f·hybrid + β=%.2f·kg", "alpha", "beta")
     fused = F.when(F.col("modifier_delta") != 0, F.concat(fused, F.format_string("  (modifier Δ=%+.3f)", "modifier_delta"))).otherwise(fused)
     summary = F.concat(
-        F.format_string("%s: final score %.3f (source: %s). ", name, F.col("final_score"), F.col("source")),
+        F.format_string("%s: final score %.3f (source: %s). ", name, F.round("final_score", 3), F.col("source")),
         F.when(F.size("matched_terms") > 0, F.format_string("%d search terms matched via graph. ", F.size("matched_terms"))).otherwise(""),
         F.when(F.size(overlap) > 0, F.format_string("%d core-skill overlaps with query. ", F.size(overlap))).otherwise(""),
     )
@@ -56,7 +56,7 @@ def display(ranked: DataFrame, details: DataFrame, asked: DataFrame) -> DataFram
 
 
 def stub(row_id: Column, score: Column, source: Column) -> Column:
-    return F.format_string("Candidate %s: final score %.3f (source: %s). Click 'Why Selected' to generate a full AI explanation.", row_id.cast("string"), score, source)
+    return F.format_string("Candidate %s: final score %.3f (source: %s). Click 'Why Selected' to generate a full AI explanation.", row_id.cast("string"), F.round(score, 3), source)
 
 
 def share_tier(share: Column) -> Column:

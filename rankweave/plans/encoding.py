@@ -31,19 +31,19 @@ def has_skill(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("cid", "skill", weight.alias("weight"), level.alias("level"))
 
 
-def cells(spark: SparkSession, sf: str) -> DataFrame:
+def cells(spark: SparkSession, sf: str, held: DataFrame | None = None) -> DataFrame:
     """(cid, cell): skills as text such as `blue anvil (Expert), red bolt (Basic)`."""
     item = F.concat("skill", F.lit(" ("), "level", F.lit(")"))
-    return has_skill(spark, sf).groupBy("cid").agg(F.array_join(F.sort_array(F.collect_list(item)), ", ").alias("cell"))
+    return (has_skill(spark, sf) if held is None else held).groupBy("cid").agg(F.array_join(F.sort_array(F.collect_list(item)), ", ").alias("cell"))
 
 
-def skill_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return has_skill(spark, sf).select(F.col("cid").alias("doc_id"), "skill", "weight")
+def skill_rows(spark: SparkSession, sf: str, held: DataFrame | None = None) -> DataFrame:
+    return (has_skill(spark, sf) if held is None else held).select(F.col("cid").alias("doc_id"), "skill", "weight")
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
+def edges(spark: SparkSession, sf: str, held: DataFrame | None = None) -> DataFrame:
     """(edge_id, type, src, dst)"""
-    near = index.related(index.cooccurrence(skill_rows(spark, sf)), 3).select("src", "dst")
+    near = index.related(index.cooccurrence(skill_rows(spark, sf, held)), 3).select("src", "dst")
     belongs = table(spark, sf, "part").select(F.col("p_name").alias("src"), F.col("p_type").alias("dst")).distinct()
     one = lambda df, mark, kind: df.select(F.concat(F.lit(mark), "src", F.lit(">"), "dst").alias("edge_id"), F.lit(kind).alias("type"), "src", "dst")
     return one(near, "R:", "RELATED_TO").unionByName(one(belongs, "B:", "BELONGS_TO"))

@@ -9,6 +9,7 @@ from rankweave.operators import explain, fusion, graph, index, lexical, rerank
 
 from . import encoding
 from .encoding import EDGES_SQL, HAS_SKILL_SQL, PROFILES_SQL
+from .folders import settled
 from .sql import listed, values
 
 #: Graph queries: terms with kinds, and what is asked.
@@ -134,9 +135,10 @@ def _hop_sql(name: str) -> str:
     return f"{GRAPH}, {PATTERNS_SQL} SELECT CAST(qid AS INTEGER) AS qid, term, cid, node, CAST(hops AS INTEGER) AS hops, CAST(delta AS DOUBLE) AS delta FROM {name}"
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    skills = _skills(spark, sf)
-    found = graph.hits(skills, encoding.suitable(spark, sf), encoding.edges(spark, sf), _terms(spark))
+def _candidates(spark: SparkSession, sf: str, held: DataFrame | None = None) -> DataFrame:
+    held = settled(encoding.has_skill(spark, sf)) if held is None else held
+    skills = held.select("cid", "skill")
+    found = graph.hits(skills, encoding.suitable(spark, sf), settled(encoding.edges(spark, sf, held)), _terms(spark))
     return graph.candidates(found, skills, encoding.profiles(spark, sf), _asked(spark))
 
 
@@ -182,7 +184,8 @@ def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A hybrid branch that scores by skill level, and the graph branch."""
     from .index_queries import _profile_index
 
-    relations, top = _profile_index(spark, sf)
+    held = settled(encoding.has_skill(spark, sf))
+    relations, top = _profile_index(spark, sf, held)
     queries = _terms(spark).groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("text"))
     terms = lexical.query_terms(queries, F.split("text", " "), ["qid"])
     scores = lexical.bm25(relations, terms, ["qid"], delta=0.0)
@@ -190,7 +193,7 @@ def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     detail = top.select(F.col("doc_id").alias("id"), F.col("core_names").alias("core_skills"))
     years = encoding.profiles(spark, sf).select(F.col("cid").alias("id"), "years", "roles")
     hybrid = scaled.join(detail, "id").join(years, "id").select("qid", "id", "score", "core_skills", F.array().cast("array<string>").alias("matched_terms"), "years", "roles")
-    found = _candidates(spark, sf).select("qid", F.col("cid").alias("id"), F.round(F.col("score") / 100, 6).alias("score"), "core_skills", "matched_terms", "years", "roles")
+    found = _candidates(spark, sf, held).select("qid", F.col("cid").alias("id"), F.round(F.col("score") / 100, 6).alias("score"), "core_skills", "matched_terms", "years", "roles")
     return hybrid, found
 
 
@@ -276,7 +279,7 @@ def explanations(spark: SparkSession, sf: str) -> DataFrame:
 EXPLAIN_SQL = f"""{FULL}, {RERANK_SQL}
 SELECT CAST(qid AS INTEGER) AS qid, id, CASE WHEN round(f, 4) >= 0.8 THEN 'top-ranked' WHEN round(f, 4) >= 0.5 THEN 'highly ranked' WHEN round(f, 4) >= 0.25 THEN 'mid-ranked' ELSE 'lower-ranked' END AS tier,
   CASE WHEN a >= 0.65 THEN 'very strong' WHEN a >= 0.45 THEN 'strong' WHEN a >= 0.25 THEN 'moderate' ELSE 'weak' END AS share,
-  printf('Candidate %s: final score %.3f (source: %s). Click ''Why Selected'' to generate a full AI explanation.', CAST(id AS VARCHAR), round(f, 4), source) AS stub,
+  printf('Candidate %s: final score %.3f (source: %s). Click ''Why Selected'' to generate a full AI explanation.', CAST(id AS VARCHAR), round(round(f, 4), 3), source) AS stub,
   source || ' was retrieved with ' || CASE WHEN a >= b THEN 'keyword and lexical' ELSE 'knowledge-graph and semantic' END || ' signals leading the match. ' || CASE WHEN len(core_skills) > 0 THEN 'Relevant skills include ' || array_to_string(list_slice(core_skills, 1, 4), ', ') || '.' ELSE '' END
   || ' The combined retrieval score places this candidate in the result set based on alignment with the search intent across both retrieval channels.' AS narration FROM rk WHERE rank <= 5"""
 

@@ -51,6 +51,7 @@ def ask(spark: SparkSession, queries: DataFrame, profile: dict[str, DataFrame],
     branch = reached.select("qid", F.col("cid").alias("id"), "score", "core_skills", "matched_terms", "years", "roles", "reasons")
 
     intents = parsed.select("qid", F.col("intent.primary").alias("intent"), F.col("intent.confidence").alias("confidence"), F.col("intent.modifiers").alias("modifiers"), "negated")
+    hybrid, branch = settled(hybrid), settled(branch)
     ranked = rerank.reranked(rerank.pooled(hybrid, branch.drop("reasons")), intents, scale=True, limit=limit)
     details = ranked.select("qid", "id").join(people.select("id", "name"), "id", "left").join(branch.select("qid", "id", "reasons"), ["qid", "id"], "left").withColumn("summary", F.lit(""))
     return explain.display(ranked, details, intents.select("qid", "intent", "confidence").join(parsed.select("qid", "skills"), "qid"))
@@ -60,10 +61,11 @@ def search(spark: SparkSession, sf: str) -> DataFrame:
     """The fixed queries over the customers as candidates."""
     from .index_queries import _profile_index
 
-    relations, top = _profile_index(spark, sf)
-    skills = encoding.has_skill(spark, sf).select("cid", "skill")
+    held = settled(encoding.has_skill(spark, sf))
+    relations, top = _profile_index(spark, sf, held)
+    skills = held.select("cid", "skill")
     known = skills.select(F.col("skill").alias("term"), F.col("skill").alias("canonical")).distinct()
     roles = encoding.suitable(spark, sf).select(F.lower("role").alias("term"), F.lower("role").alias("canonical")).distinct()
-    profile = relations | {"top": top, "has_skill": skills, "suitable": encoding.suitable(spark, sf), "edges": encoding.edges(spark, sf), "profiles": encoding.profiles(spark, sf), "skills": known, "roles": roles}
+    profile = relations | {"top": top, "has_skill": skills, "suitable": encoding.suitable(spark, sf), "edges": settled(encoding.edges(spark, sf, held)), "profiles": encoding.profiles(spark, sf), "skills": known, "roles": roles}
     out = ask(spark, spark.createDataFrame(QUERIES, "qid int, text string"), profile)
     return out.select("qid", "rank", "id", "title", F.round("rrf_score", 4).alias("score"), "source", F.array_join("skills", ",").alias("skills"), F.array_join("bullets", " / ").alias("bullets"), "intent_alignment")

@@ -107,7 +107,7 @@ def save_index(relations: dict[str, DataFrame], path: str, info: dict | None = N
         df.write.parquet(f"{path}/{folder}/{name}")
     body = json.dumps({"version": version, "folder": folder, "relations": sorted(relations), "info": info or {}})
     jvm = spark.sparkContext._jvm
-    fs, where = _files(spark, f"{path}/_manifest.json")
+    fs, where = _files(spark, f"{path}/manifest.json")
     temporary = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest-{folder}.json")
     stream = fs.create(temporary, True)
     stream.write(bytearray(body.encode()))
@@ -119,7 +119,7 @@ def save_index(relations: dict[str, DataFrame], path: str, info: dict | None = N
 
 
 def manifest(spark: SparkSession, path: str) -> dict | None:
-    where = f"{path}/_manifest.json"
+    where = f"{path}/manifest.json"
     if not exists(spark, where):
         return None
     return json.loads(spark.read.text(where, wholetext=True).first()[0])
