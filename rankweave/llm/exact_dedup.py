@@ -35,7 +35,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     """(key, keep_id, group_size, kept, text_sha256) of every row."""
     digest = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
     rows = durable(docs.select(F.col(key), digest.alias("text_sha256")))
-    bits = min(most_bits, max(10, (16 * rows.count()).bit_length()))
+    bits = max(WORD + 1, min(most_bits, max(10, (16 * rows.count()).bit_length())))
 
     cells = rows.select(F.explode(F.array(*[_cell(F.col("text_sha256"), i, bits) for i in range(HASHES)])).alias("cell"))
     again = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
