@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import vocab
 from rankweave.functions.text import let
@@ -47,6 +49,39 @@ def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "ve
     return vectors.crossJoin(side).select(*[c for c in queries.columns if c != q], "doc_id", dot(F.col(q), F.col(v)).alias("score"))
 
 
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6) -> DataFrame:
+    """(qid, doc_id, score, rank): the k vectors of the largest inner product with each query (qid, qvec); ties by id.
+
+    The query matrix goes to the executors, after a check of its size; batches of vectors are multiplied
+    with it and pass on their own k best, so few rows move for the final ranks. A larger query batch is scored by
+    scores() instead. Vectors of another length than the queries' are left out.
+    """
+    if not fits(queries, q):
+        found = scores(queries, vectors, q, v).withColumn("score", F.round("score", places))
+    else:
+        held = queries.select("qid", q).collect()  # bounded by fits()
+        if not held:
+            return vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        names, matrix = [r[0] for r in held], np.array([r[1] for r in held], float)
+        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+        kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, asked = shared.value
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                found = np.round(rows @ asked.T, places)
+                for j in range(len(own)):
+                    best = np.lexsort((ids, -found[:, j]))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([own[j]] * len(best), out[0]), pa.array(ids[best], out[1]), pa.array(found[best, j])], ["qid", "doc_id", "score"])
+
+        out = (to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(vectors.schema["doc_id"].dataType))
+        found = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v).mapInArrow(run, kinds)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
+    return found.select("qid", "doc_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def weighted_mean(parts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
     """Mean of a document's scores over query variants by weight, cut to 0..1."""
     mean = F.sum(F.col(weight) * F.col("score")) / F.sum(weight)

@@ -174,7 +174,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector whose id is divisible by 50 against all vectors, the ten nearest."""
     rows = _vectors(spark, sf)
     queries = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
-    return _ranked(dense.scores(queries, rows.select("doc_id", "vec")), ["qid"]).select("qid", "rank", "doc_id", "score")
+    return dense.top_k(queries, rows.select("doc_id", "vec"), TOP, places=PLACES).select("qid", "rank", "doc_id", "score")
 
 
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

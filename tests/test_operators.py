@@ -126,3 +126,13 @@ def test_without_negated_falls_back(spark):
     variants = spark.createDataFrame([(1, 1, "java people", "original"), (2, 1, "go people", "original")], "qid int, ord int, query string, strategy string")
     parsed = spark.createDataFrame([(1, "no Java people", ["java"]), (2, "go people", ["java"])], "qid int, text string, negated array<string>")
     assert {(r["qid"], r["query"]) for r in understand.without_negated(variants, parsed).collect()} == {(1, "no java people"), (2, "go people")}
+
+
+def test_dense_top_k_agrees_with_all_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=5).round(1).tolist()) for i in range(60)] + [(60, [1.0])], "doc_id long, vec array<double>")
+    queries = rows.where("doc_id % 20 = 0 and doc_id < 60").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in dense.top_k(queries, rows.repartition(5), 7).collect()}
+    every = lexical.top_k(dense.scores(queries, rows.where("doc_id < 60")).withColumn("score", F.round("score", 6)), ["qid"], 7)
+    assert got == {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in every.collect()}
+    assert dense.top_k(queries.limit(0), rows, 3).count() == 0
