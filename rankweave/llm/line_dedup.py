@@ -173,3 +173,33 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     columns = [F.col(c) if c != text else shown.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
     size = lambda c: F.when(F.col("_gone").isNull(), 0).otherwise(F.size(c)).cast("long")
     return joined.select(*columns, total.cast("long").alias("n_lines"), size("_gone.gone").alias("n_dropped"), size("_gone.near").alias("n_near"))
+
+
+#: The same result in DuckDB, for tables whose ids are unique. Places are id * 2**24 + line.
+ORACLE_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents
+), w AS (
+  SELECT doc_id, n, line, doc_id * 16777216 + n AS place,
+         list_filter(string_split(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '') AS words
+  FROM l
+), d AS (
+  SELECT array_to_string(words, ' ') AS k, any_value(words) AS words, len(any_value(words)) AS size, min(place) AS place FROM w WHERE len(words) > 0 GROUP BY 1
+), e AS (
+  SELECT place, words, unnest(range(1, size + 1)) AS i FROM d WHERE size >= {LEAST}
+), g AS (
+  SELECT place, min(place) OVER (PARTITION BY array_to_string(list_concat(words[1:i - 1], [chr(10)], words[i + 1:]), ' ')) AS first FROM e
+), s AS (
+  SELECT DISTINCT e.place AS a, d.place AS b FROM e JOIN d ON d.k = array_to_string(list_concat(e.words[1:i - 1], e.words[i + 1:]), ' ')
+), near AS (
+  SELECT place FROM g WHERE first < place UNION SELECT a FROM s WHERE b < a UNION SELECT b FROM s WHERE a < b
+), f AS (
+  SELECT w.doc_id, w.n, w.line, d.place IS NOT NULL AND (d.place <> w.place OR near.place IS NOT NULL) AS gone, near.place IS NOT NULL AS close
+  FROM w LEFT JOIN d ON len(w.words) > 0 AND d.k = array_to_string(w.words, ' ') LEFT JOIN near ON near.place = d.place
+), t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, count(*) FILTER (WHERE close) AS n_near,
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS kept FROM f GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_near, 0) AS n_near, sha256(kept) AS kept_sha256
+FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
