@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, bounded_batches, hash_fraction, slices, text_buffers
 
 BITS, ORDERS = 20, (4, 5, 6)
-SAMPLE, FEATURES, THRESHOLD = 6000, 4096, 0.3
+SAMPLE, FEATURES, THRESHOLD = 6000, 2048, 0.3
 GATHER = 8  # tasks that count n-grams of the sample
 #: Letters and bytes beyond ASCII stand for themselves, anything else is a blank.
 FOLDED = LOWER_BYTES.copy()
@@ -69,30 +69,36 @@ def presence_pairs(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) ->
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 60) -> np.ndarray:
-    """Weights and intercept by Newton steps in the span of the rows or columns, whichever is smaller."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], l2)
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 25) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton steps whose systems conjugate gradients solve; no matrix beyond x is kept."""
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return x @ w[:-1].astype(x.dtype) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(r.astype(x.dtype) @ x, r.sum()).astype(float)
+
+    w = np.zeros(x.shape[1] + 1)
+    penalty = np.full(len(w), l2)
     penalty[-1] = 1e-6
-    # Conjugate gradients solve each Newton system, so no matrix beyond x is kept.
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        grad = back(p - y) + penalty * w
         curve = np.maximum(p * (1 - p), 1e-6)
         step, rest = np.zeros_like(w), grad.copy()
         way, size = rest.copy(), rest @ rest
-        for _ in range(30):
-            if size < 1e-12:
+        least = 1e-6 * size
+        for _ in range(20):
+            if size <= least or size < 1e-9:
                 break
-            hw = x.T @ (curve * (x @ way)) + penalty * way
+            hw = back(curve * times(way)) + penalty * way
             a = size / (way @ hw)
             step += a * way
             rest -= a * hw
             new = rest @ rest
             way, size = rest + new / size * way, new
         w -= step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-3 * max(1.0, np.abs(w).max()):
             break
     return w
 
@@ -164,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     found = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(bits, "k string, y int, x binary").collect())
     y = np.array([r[1] for r in found], float)
-    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1)[:, : len(chosen)] * ratio[chosen]
+    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1)[:, : len(chosen)] * ratio[chosen].astype(np.float32)
     weight = np.where(y == 1, counts[1] / n[1], counts[0] / n[0])
     best = (np.inf, 1.0, 0.5)
     fold_of = np.arange(len(y)) % 3
