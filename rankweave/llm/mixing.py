@@ -49,9 +49,10 @@ def _shape(lower: Column, words: Column, distinct: Column) -> Column:
     size = F.greatest(F.length(lower), F.lit(1))
     level = lambda name, x: F.concat(F.lit(f"#{name}:"), F.least(x, F.lit(40)).cast("int").cast("string"))
     return F.array(
-        level("symbols", F.floor(40 * (size - F.length(F.array_join(words, " "))) / size)),
-        level("gap", F.floor(size / n)),
-        level("repeat", F.floor(10 * F.size(distinct) / n)),
+        # A few words of usual shape are added, so that short texts do not look odd by chance.
+        level("symbols", F.floor(40 * (size - F.length(F.array_join(words, " "))) / (size + 60))),
+        level("gap", F.floor((size + 60) / (n + 10))),
+        level("repeat", F.floor(10 * (F.size(distinct) + 8) / (n + 10))),
         level("length", F.floor(F.log2(n))),
     )
 
