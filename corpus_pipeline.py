@@ -14,7 +14,7 @@ from rankweave.llm.common import hash_fraction, stored, table, train_split
 from rankweave.llm.queries import VOCABULARY
 
 LEAST_SCORE = 0.2
-ANCHOR_RATE = 1.15
+ANCHOR_RATE = 1.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
