@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, durable, hash_fraction
 
 SAMPLE, VOCABULARY, GRID, STEPS, RIDGE = 4000, 300, 200, 60, 0.02
-LEAST_MERIT, LEAST_SHARE, LEAST_LIFT = 5.0, 0.05, 5.0
+LEAST_MERIT, LEAST_LIFT = 5.0, 5.0
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 
@@ -90,16 +90,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     count = held.select("domain", F.explode("different").alias("token")).groupBy("token").agg(*per)
     chance = [(F.col(f"c{i}") + 0.5) / (n.get(d, 0) + 1.0) for i, d in enumerate(DOMAINS)]
     seen, total = sum(F.col(f"c{i}") for i in range(len(DOMAINS))), sum(n.values())
-    # A token counts if LEAST_SHARE of some domain's texts hold it, and its share in a domain is LEAST_LIFT times
-    # that elsewhere, or the reverse, and differs by LEAST_MERIT standard errors.
+    # A token counts if its share in a domain is LEAST_LIFT times that elsewhere, or the reverse, and differs by
+    # LEAST_MERIT standard errors. How common it is does not matter: domains may have many rare words.
     differs = []
     for i, d in enumerate(DOMAINS):
         c, m = F.col(f"c{i}"), n.get(d, 0)
         a, b, both = c / max(1, m), (seen - c) / max(1, total - m), seen / total
         far = F.abs(F.log(chance[i]) - F.log((seen - c + 0.5) / (total - m + 1.0))) >= math.log(LEAST_LIFT)
         differs.append(F.when(far, 1.0).otherwise(0.0) * F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / max(1, m) + 1 / max(1, total - m)) + 1e-9))
-    common = F.greatest(*[F.col(f"c{i}") / max(1, n.get(d, 0)) for i, d in enumerate(DOMAINS)])
-    top = count.where((seen >= 3) & (common >= LEAST_SHARE)).withColumn("merit", F.greatest(*differs)).where(F.col("merit") >= LEAST_MERIT).orderBy(F.desc("merit"), "token").limit(vocabulary)
+    top = count.where(seen >= 3).withColumn("merit", F.greatest(*differs)).where(F.col("merit") >= LEAST_MERIT).orderBy(F.desc("merit"), "token").limit(vocabulary)
     missing = [F.when(F.startswith("token", F.lit("#")), 0.0).otherwise(F.log(1 - c)) for c in chance]
     table = durable(top.select("token", F.array(*[F.log(c) - m for c, m in zip(chance, missing)]).alias("lw"), F.array(*missing).alias("lm")))
     absent = table.select(*[F.coalesce(F.sum(F.col("lm")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first()

@@ -299,3 +299,14 @@ def test_empty_table(spark, name):
 def test_null_ids(spark, name):
     rows = [(None, "some text here\nwith two lines", "en"), (None, None, None), (4, "some text here", None)]
     assert OPERATORS[name](spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 3
+
+
+def test_mixing_counts_rare_words(spark):
+    """Each of 30 words is in about 3 % of the toxic texts and in no other."""
+    rows = [(i, f"quiet words of text {i % 7}" + (f" vile{chr(97 + i % 30 // 6)}{chr(97 + i % 6)}" if i < 300 else ""), "toxic" if i < 300 else "clean") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    # Copies teach once, so each text gets a word of its own.
+    docs = docs.selectExpr("doc_id", "concat(text, ' n', doc_id) as text", "domain")
+    found = mixing.mix_documents(docs.select("doc_id", "text"), docs.select("doc_id", "domain")).toPandas().set_index("doc_id")
+    assert (found.p_toxic[range(300)] > 0.5).all()
+    assert (found.p_toxic[range(300, 1200)] < 0.5).all()
