@@ -6,7 +6,7 @@ of `documents`. Between stages, run() writes Parquet in the session's shared fol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, langid, line_dedup, mixing, simhash
@@ -32,11 +32,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays, once."""
-    keep = simhash.near_duplicates(docs).select(F.col("component_id").alias("_keep")).distinct()
-    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    """Of each class of near-duplicates the document with the smallest id, then text hash, stays, once."""
+    keep = simhash.survivors(docs).select(F.col("key").alias("_key"), F.col("row").alias("_row"))
+    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_key"]) & (F.xxhash64(docs["text"]) == keep["_row"]), "left_semi")
+    return left.withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

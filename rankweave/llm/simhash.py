@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, bounded_batches, durable
@@ -168,11 +168,26 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "side").select("key", "cell", "side", "fp").mapInArrow(_link, "a long, b long")
 
 
+def _classed(rows: DataFrame, own: Column) -> DataFrame:
+    """(fp, own, least) of every fingerprint: the least `own` of its rows, and its class."""
+    class_of = components(links(rows)).withColumnRenamed("node", "fp")
+    return rows.groupBy("fp").agg(F.min(own).alias("own")).join(class_of, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """(key, row) of one document of each class: the least id that is not null, then the least text hash.
+
+    Classes are told apart by their fingerprints, so texts that share an id, or have none, stay classes of their own.
+    """
+    keyed = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("row")).alias("_own"), text)
+    rows = durable(fingerprints(keyed, "_own", text, width))
+    return _classed(rows, F.col("_own")).groupBy("least").agg(F.min("own").alias("own")).select("own.key", "own.row")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fingerprint, component_id) of every row."""
     rows = durable(fingerprints(docs, key, text, width))
-    class_of = components(links(rows))
-    groups = rows.groupBy("fp").agg(F.min(key).alias("own")).join(class_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("least", F.coalesce("least", "fp"))
+    groups = _classed(rows, F.col(key))
     named = groups.groupBy("least").agg(F.min("own").alias("component_id"))
     of_fp = durable(groups.join(named, "least").select("fp", "component_id"))
     return rows.join(of_fp, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

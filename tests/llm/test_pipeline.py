@@ -48,3 +48,13 @@ def test_edges(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() >= 0
+
+
+def test_near_dedup_keeps_every_class(spark):
+    """Texts that share an id, or have none, are classes of their own; copies and repeated rows are not."""
+    texts = [" ".join(f"{w}{n}x{k}" for k in range(40)) for n, w in enumerate(["alpha", "beta", "gamma", "delta", "omega", "sigma"])]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (None, texts[5]), (9, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = pipeline.near_dedup(spark, docs, SF).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])]
+    assert sorted(map(tuple, left), key=str) == sorted(want, key=str)
