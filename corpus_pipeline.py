@@ -14,7 +14,6 @@ from rankweave.llm.common import hash_fraction, stored, table, train_split
 from rankweave.llm.queries import VOCABULARY
 
 LEAST_SCORE = 0.2
-ANCHOR_RATE = 1.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays with the probability of its rate, by a hash of its id; a rate of 1 or more keeps it.
-
-    Clean text, the anchor, gets rates over 1, so that other domains make room for it.
-    """
+    """A document stays with the probability of its rate, by a hash of its id. No document stays more than once, so rates end at 1."""
     labels = table(spark, sf_dir, "labels")
     domains = labels.select("doc_id", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    mixed = mixing.mix(docs, domains, scale=ANCHOR_RATE)
+    mixed = mixing.mix(docs, domains, most=1.0)
     gone = mixed.where(F.col("rate") + hash_fraction(F.col("key"), 909) < 1).select(F.col("key").alias("_key"), F.col("row").alias("_row"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_key"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left_anti")
 

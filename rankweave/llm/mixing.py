@@ -12,8 +12,9 @@ metric a, so a step is w <- max(0, w - s (sum_k r_k p_k / g_k + ridge (w - 1))),
 are rounded to 1 / GRID; documents with equal posteriors have equal rates, so steps run over at
 most GRID**(domains - 1) pre-aggregated cells, and a document's rate is refolded from the steps.
 
-Targets are weights by domain. Their scale is such that `anchor` needs the rate `scale`, 1 unless said
-otherwise: the other domains are measured against what the anchor has.
+Targets are weights by domain. Their scale is such that `anchor` needs the rate 1: the other domains are
+measured against what the anchor has. Where rates above `most` cannot be applied, steps are projected to
+[0, most], so that the totals that are met are those of the rates as applied.
 
 Training: at most about `sample` labelled rows and `vocabulary` tokens (documented bounds); the sample's
 ids and the token table are broadcast, as these bounds prove their size.
@@ -125,8 +126,8 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]] | None, key
     return found.select("key", "row", "copies", "t", F.array(*[F.round(x / total * GRID).cast("int") for x in e]).alias("p"))
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", scale: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> list[dict]:
-    """Steps of the projected gradient over (p, t) cells: w <- max(0, keep * w + add - sum_k pull_k p_k)."""
+def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", most: float = math.inf, steps: int = STEPS, ridge: float = RIDGE) -> list[dict]:
+    """Steps of the projected gradient over (p, t) cells: w <- min(most, max(0, keep * w + add - sum_k pull_k p_k))."""
     k = len(DOMAINS)
     sums = [F.sum(F.col("t") * F.col("p")[i] / GRID) for i in range(k)]
     both = [F.sum(F.col("t") * F.col("p")[i] / GRID * F.col("p")[j] / GRID) for i in range(k) for j in range(k)]
@@ -135,7 +136,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     if not total:
         return []
     have = [float(x) / total for x in got[1 : k + 1]]
-    unit = scale * have[DOMAINS.index(anchor)] / targets[anchor]
+    unit = have[DOMAINS.index(anchor)] / targets[anchor]
     goal = [max(targets[d] * unit, 1e-6) for d in DOMAINS]
     gram = [[float(got[1 + k + i * k + j]) / total / (goal[i] * goal[j]) ** 0.5 for j in range(k)] for i in range(k)]
     bound = max(sum(abs(x) for x in row) for row in gram) + ridge
@@ -146,7 +147,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     for step in range(steps):
         pull = [size * (e - g) / g / GRID for e, g in zip(expected, goal)]
         done.append({"keep": 1 - size * ridge, "add": size * ridge, "pull": pull})
-        now = now.withColumn("w", _stepped(F.col("w"), done[-1]["keep"], done[-1]["add"], [F.lit(x) for x in pull]))
+        now = now.withColumn("w", _stepped(F.col("w"), done[-1]["keep"], done[-1]["add"], [F.lit(x) for x in pull], most))
         if step % 10 == 9:
             now = durable(now)
         row = now.agg(*[F.sum(F.col("w") * F.col("t") * F.col("p")[i] / GRID) for i in range(k)]).first()
@@ -157,22 +158,23 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     return done
 
 
-def _stepped(w: Column, keep: object, add: object, pull: list[Column]) -> Column:
+def _stepped(w: Column, keep: object, add: object, pull: list[Column], most: float) -> Column:
     down = pull[0] * F.col("p")[0]
     for i, x in enumerate(pull[1:], 1):
         down = down + x * F.col("p")[i]
-    return F.greatest(F.lit(0.0), w * keep + add - down)
+    w = F.greatest(F.lit(0.0), w * keep + add - down)
+    return w if math.isinf(most) else F.least(F.lit(float(most)), w)
 
 
-def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, anchor: str = "clean", scale: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, anchor: str = "clean", most: float = math.inf) -> DataFrame:
     """(key, row, copies, n_tokens, domain, p_<domain>..., rate) by key and text hash; `labels` is (key, domain)."""
     found = durable(posteriors(docs, train(docs, labels, key, text), key, text))
     cells = found.groupBy("p").agg(F.sum(F.col("t") * F.col("copies")).alias("t"))
-    steps = fit_rates(cells, targets, anchor, scale)
+    steps = fit_rates(cells, targets, anchor, most)
     rate: Column = F.lit(1.0)
     if steps:
         folded = F.array(*[F.struct(F.lit(s["keep"]).alias("keep"), F.lit(s["add"]).alias("add"), *[F.lit(x).alias(f"g{i}") for i, x in enumerate(s["pull"])]) for s in steps])
-        rate = F.aggregate(folded, F.lit(1.0), lambda w, s: _stepped(w, s["keep"], s["add"], [s[f"g{i}"] for i in range(len(DOMAINS))]))
+        rate = F.aggregate(folded, F.lit(1.0), lambda w, s: _stepped(w, s["keep"], s["add"], [s[f"g{i}"] for i in range(len(DOMAINS))], most))
     best = F.array_position("p", F.array_max("p")).cast("int")
     shares = [(F.col("p")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return found.select("key", "row", "copies", F.col("t").alias("n_tokens"), F.element_at(F.array(*map(F.lit, DOMAINS)), best).alias("domain"), *shares, rate.alias("rate"))

@@ -310,3 +310,27 @@ def test_mixing_counts_rare_words(spark):
     found = mixing.mix_documents(docs.select("doc_id", "text"), docs.select("doc_id", "domain")).toPandas().set_index("doc_id")
     assert (found.p_toxic[range(300)] > 0.5).all()
     assert (found.p_toxic[range(300, 1200)] < 0.5).all()
+
+
+def test_mixing_meets_targets_with_capped_rates(spark):
+    """Rates are applied as chances, so the totals of the capped rates, not of rates above 1, meet the targets."""
+    cells = spark.createDataFrame([([200, 0, 0], 700), ([0, 200, 0], 200), ([0, 0, 200], 100)], "p array<int>, t long")
+    w = np.ones(3)
+    for s in mixing.fit_rates(cells, most=1.0, steps=400):
+        w = np.clip(w * s["keep"] + s["add"] - np.eye(3) * mixing.GRID @ np.array(s["pull"]), 0, 1)
+    low, toxic = w[1] * 200 / (w[0] * 700), w[2] * 100 / (w[0] * 700)
+    assert abs(low - 7 / 90) < 0.05 * 7 / 90 and abs(toxic - 3 / 90) < 0.05 * 3 / 90
+
+
+def test_pipeline_mixing_rates_are_chances(spark):
+    """The stage fits with the cap that it applies: no other weight on clean text."""
+    import corpus_pipeline
+
+    seen = {}
+    real = mixing.mix
+    mixing.mix = lambda *a, **k: seen.update(k) or real(*a, **k)
+    try:
+        corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    finally:
+        mixing.mix = real
+    assert seen == {"most": 1.0}
