@@ -11,7 +11,8 @@ the id; their packed features, a fixed number of bytes a row, are all that reach
 
 Defined cases: a null text or one without a letter gets `und` and score 0; with nothing to learn
 from, every text does. Ties between languages go to the first by name. Repeated rows get equal
-results. Long texts are read whole.
+results. Long texts are read whole: those over `PART` bytes in parts, lest they fill all slots, and
+their score is the mean of their parts', each weighted by its number of n-grams.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import LOWER_BYTES, bounded_batches, hash_fraction, slices, text_bu
 
 DIMENSIONS, ORDERS = 8192, 4
 SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 3000, 160, 0.05, 4.0
+PART = 1 << 15  # bytes of a text that are scored at once
 #: How bytes are read: A-Z as a-z, digits as one.
 FOLDED = LOWER_BYTES.copy()
 FOLDED[48:58] = 48
@@ -89,6 +91,17 @@ def scores(model: dict, rows: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def long_scores(model: dict, data: np.ndarray) -> np.ndarray:
+    """Scores of one text in parts, which overlap so that each n-gram is in one."""
+    out, total = np.zeros(len(model["names"])), 0.0
+    for a in range(0, len(data), PART):
+        part = data[a : a + PART + ORDERS - 1]
+        row = presences(part, np.array([0, len(part)]))
+        weight = float(row.sum())
+        out, total = out + weight * scores(model, row)[0], total + weight
+    return out / total
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, sample: int = SAMPLE) -> dict | None:
     """Fit on at most about `sample` rows of `docs` where `usable` holds and lang and text are not null."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
@@ -135,7 +148,16 @@ def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str
                     here = [False] * (d - c)
                     if own is not None:
                         here = [lettered(t.as_py()) for t in col[c:d]]
-                        s = scores(own, presences(part, at[c : d + 1] - at[c]))
+                        size = np.diff(at[c : d + 1])
+                        if size.max() <= PART:
+                            s = scores(own, presences(part, at[c : d + 1] - at[c]))
+                        else:
+                            s = np.empty((d - c, len(own["names"])), np.float32)
+                            short = size <= PART
+                            ends = np.concatenate(([0], np.cumsum(size[short])))
+                            s[short] = scores(own, presences(part[np.repeat(short, size)], ends))
+                            for i in np.flatnonzero(~short):
+                                s[i] = long_scores(own, data[at[c + i] : at[c + i + 1]])
                         top = s.argmax(1)
                         names += [own["names"][k] if ok else "und" for k, ok in zip(top, here)]
                         best += [float(v) if ok else 0.0 for v, ok in zip(s.max(1), here)]

@@ -334,3 +334,16 @@ def test_pipeline_mixing_rates_are_chances(spark):
     finally:
         mixing.mix = real
     assert seen == {"most": 1.0}
+
+
+def test_language_of_texts_of_megabytes(spark):
+    """Texts of one language joined to 4 MB have that language, with the score of ordinary texts."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(base, usable=train_split(F.col("doc_id")))
+    held = base.where(~train_split(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text").toPandas()
+    joined = {lang: "\n".join(texts) for lang, texts in held.groupby("lang").text}
+    rows = [(i, (t * (1 + 4_000_000 // len(t)))[:4_000_000], lang) for i, (lang, t) in enumerate(sorted(joined.items()))]
+    found = langid.identify(spark.createDataFrame([*rows, (99, "a", "x")], "doc_id int, text string, lang string"), model).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert [got[i]["lang_pred"] for i, _, _ in rows] == [lang for _, _, lang in rows]
+    assert all(got[i]["score"] > 0.8 for i, _, _ in rows), [(lang, got[i]["score"]) for i, _, lang in rows]
