@@ -1,0 +1,23 @@
+"""Queries over all rows that they are about, against their SQL without its own cuts."""
+
+from __future__ import annotations
+
+import pytest
+from compare import connect, rows_of_spark, rows_of_sql
+
+import __spark_entry__ as entry_module
+
+SF = "/root/testdata/sf0.001"
+#: What the registered SQL cuts by, and what takes its place here.
+CUTS = {
+    "bm25_normalized": ("WHERE item_id < 10 ", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_no_row_is_left_out(spark, name):
+    sql = entry_module.oracle_sql()[name].replace(*CUTS[name])
+    names, got = rows_of_spark(entry_module.queries()[name](spark, SF))
+    columns, want = rows_of_sql(connect(SF), sql)
+    assert names == columns
+    assert not got - want and not want - got, (list((got - want).items())[:3], list((want - got).items())[:3])
