@@ -186,7 +186,7 @@ def dense_weighted_avg(spark: SparkSession, sf: str) -> DataFrame:
     """Queries of three variants each: a vector, the next two, weighted by their strategies."""
     rows = _vectors(spark, sf)
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("strategy")) for i, s in enumerate(("original", "related_tech", "template"))]))
-    asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), shift.alias("s")).select("qid", "s.i", "s.strategy")
+    asked = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), shift.alias("s")).select("qid", "s.i", "s.strategy")
     queries = asked.join(rows.select(F.col("doc_id").alias("v"), F.col("vec").alias("qvec")), F.col("v") == F.col("qid") + F.col("i")).select("qid", "strategy", "qvec")
     parts = dense.variant_weights(dense.scores(queries, rows.select("doc_id", "vec")))
     return dense.weighted_mean(parts, ["qid"]).select("qid", "doc_id", F.round("score", PLACES).alias("score"))

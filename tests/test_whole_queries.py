@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 #: What the registered SQL cuts by, and what takes its place here.
 CUTS = {
     "bm25_normalized": ("WHERE item_id < 10 ", ""),
+    "dense_weighted_avg": ("vec_id % 100 = 0", "vec_id % 50 = 0"),
 }
 
 
