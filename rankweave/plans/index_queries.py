@@ -71,7 +71,7 @@ BM25_SQL = """s AS (SELECT item_id, p.doc_id, round(sum(n_ * idf * (tf * (1.5::D
 def term_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Which words of each benchmark passage each document holds; the count and the first of them."""
     hits = lexical.matched_terms(_corpus(spark, sf)["postings"], _benchmark_terms(spark, sf), ["item_id"])
-    return hits.where(F.size("matched") >= 12).select("item_id", "doc_id", F.size("matched").cast("long").alias("n"), F.get("matched", F.lit(0)).alias("first"))
+    return hits.select("item_id", "doc_id", F.size("matched").cast("long").alias("n"), F.get("matched", F.lit(0)).alias("first"))
 
 
 def bm25_normalized(spark: SparkSession, sf: str) -> DataFrame:

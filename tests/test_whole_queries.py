@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 CUTS = {
     "bm25_normalized": ("WHERE item_id < 10 ", ""),
     "dense_weighted_avg": ("vec_id % 100 = 0", "vec_id % 50 = 0"),
+    "term_matches": (" HAVING count(*) >= 12", ""),
+    "skill_lookup": (" ORDER BY skill LIMIT 5", ""),
 }
 
 
