@@ -347,3 +347,9 @@ def test_language_of_texts_of_megabytes(spark):
     got = {r["doc_id"]: r for r in found}
     assert [got[i]["lang_pred"] for i, _, _ in rows] == [lang for _, _, lang in rows]
     assert all(got[i]["score"] > 0.8 for i, _, _ in rows), [(lang, got[i]["score"]) for i, _, lang in rows]
+
+
+def test_toxicity_counts_features_beyond_the_first_2048(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert 2048 < model["wanted"].sum() <= 4096
