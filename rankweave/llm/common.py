@@ -1,7 +1,8 @@
 """Pieces shared by the training-data operators.
 
 Every operator takes a DataFrame and the names of its key and text columns, and
-touches no other column, so extra columns with clashing names are harmless.
+touches no other column; where it keeps them, they travel in one struct, so extra
+columns with clashing names are harmless.
 """
 
 from __future__ import annotations
@@ -43,34 +44,48 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that long texts do not add up in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Keep Arrow batches small, by rows and by bytes, so that long texts do not add up in a Python worker.
+
+    The session's settings are lowered where they are larger, as they are read when the plan runs.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's folder for durable data (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The session's folder for durable data (spark.checkpoint.dir); a temporary one only where none is set and all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write Parquet in the shared folder and read it again."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write Parquet in the shared folder, one folder a value of `by` where given, and read it again."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of stored() once nothing reads them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/stored-", 1)[0] + "/stored-" + f.rsplit("/stored-", 1)[1].split("/")[0] for f in df.inputFiles() if "/stored-" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
-    spark.checkpoint.dir is read from the session; only where neither it nor a folder
-    set earlier exists (tests, notebooks) is a temporary one used.
+    spark.checkpoint.dir is read from the session. Files go when the table does, where the
+    session sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -86,6 +101,12 @@ def hash_fraction(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
+def whole(key: Column, kind: str) -> Column:
+    """A key as a 64-bit number: itself where it is one, else its hash; null is the least."""
+    number = key.cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
+    return F.when(key.isNull(), F.lit(-(1 << 63))).otherwise(number)
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets, without a copy; null counts as empty."""
     if col.null_count:
