@@ -5,9 +5,9 @@ more than one row hits. Pass 2 tests every row against these cells. A row with a
 unique for certain and passes straight through; only rows whose cells are all hit again shuffle by
 their full digest. False positives cost a shuffled row, never a wrong group.
 
-The filter that is broadcast holds at most 2**bits / 32 words of 32 cells; it is sized from the row
-count, 16 cells a row, and never over `most_bits`. Beyond that many rows more rows pass the filter and shuffle,
-and results stay the same.
+The filter is cut into slices of at most 2**most_bits cells, 8 to 16 cells a row: a row belongs to one slice, by
+other bits of its digest. Digests are stored by slice, and each slice is tested against its own cells only, so
+what is broadcast at a time has a fixed bound (2**most_bits / 32 words) and the filter prunes as well at any size.
 
 Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal texts
 the row with the largest id stays; a null id is smaller than any other. Of repeated rows with the
@@ -17,12 +17,14 @@ Ties, empty and long texts need no special case; an empty table gives an empty r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable
+from .common import ascii_lower, durable, stored
 
-MOST_BITS, HASHES, WORD = 27, 2, 5
+MOST_BITS, HASHES, WORD = 27, 2, 5  # cells of a slice, cells a row, cells a word
 SALTS = 4  # parts of a group of copies in the join; Spark splits them further where they are large
 
 
@@ -31,26 +33,44 @@ def _cell(digest: Column, i: int, bits: int) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256) of every row."""
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
-    rows = durable(docs.select(F.col(key), digest.alias("text_sha256")))
-    bits = max(WORD + 1, min(most_bits, max(10, (16 * rows.count()).bit_length())))
-
-    cells = rows.select(F.explode(F.array(*[_cell(F.col("text_sha256"), i, bits) for i in range(HASHES)])).alias("cell"))
-    again = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    words = again.groupBy(F.shiftright("cell", WORD).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(cell & {(1 << WORD) - 1} as int))")).alias("hits"))
-
-    tested = rows
+def _tested(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """Rows of a slice with _t0, _t1, ...: whether each of their cells is hit again."""
     for i in range(HASHES):
         cell = _cell(F.col("text_sha256"), i, bits)
         side = words.select(F.col("word").alias(f"_w{i}"), F.col("hits").alias(f"_h{i}"))
-        tested = tested.join(F.broadcast(side), F.shiftright(cell, WORD) == F.col(f"_w{i}"), "left")
-        tested = tested.withColumn(f"_t{i}", F.coalesce(F.expr(f"getbit(_h{i}, cast(conv(substring(text_sha256, {1 + 8 * i}, 8), 16, 10) as bigint) & {(1 << WORD) - 1})") == 1, F.lit(False)))
+        rows = rows.join(F.broadcast(side), F.shiftright(cell, WORD) == F.col(f"_w{i}"), "left")
+        rows = rows.withColumn(f"_t{i}", F.coalesce(F.expr(f"getbit(_h{i}, cast(conv(substring(text_sha256, {1 + 8 * i}, 8), 16, 10) as bigint) & {(1 << WORD) - 1})") == 1, F.lit(False)))
+    return rows
+
+
+def tested_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> tuple[DataFrame, Column]:
+    """Digests with the outcome of each cell's test, and whether a row may have an equal."""
+    digest = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
+    rows = durable(docs.select(F.col(key), digest.alias("text_sha256")))
+    count = rows.count()
+    bits = max(WORD + 1, min(most_bits, max(10, (16 * count).bit_length())))
+    slices = max(1, -(-16 * count // (2 << bits)))
+    if slices > 1:
+        rows = stored(rows.withColumn("_slice", F.pmod(F.conv(F.substring("text_sha256", 1 + 8 * HASHES, 8), 16, 10).cast("long"), F.lit(slices)).cast("int")), by="_slice")
+    else:
+        rows = rows.withColumn("_slice", F.lit(0))
+
+    cells = rows.select("_slice", F.explode(F.array(*[_cell(F.col("text_sha256"), i, bits) for i in range(HASHES)])).alias("cell"))
+    again = cells.groupBy("_slice", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    words = again.groupBy("_slice", F.shiftright("cell", WORD).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(cell & {(1 << WORD) - 1} as int))")).alias("hits"))
+    if slices > 1:
+        words = durable(words)
+    parts = [_tested(rows.where(F.col("_slice") == i), words.where(F.col("_slice") == i), bits) for i in range(slices)]
+    tested = reduce(DataFrame.unionByName, parts)
     maybe = F.lit(True)
     for i in range(HASHES):
         maybe = maybe & F.col(f"_t{i}")
+    return tested, maybe
 
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """(key, keep_id, group_size, kept, text_sha256) of every row."""
+    tested, maybe = tested_rows(docs, key, text, most_bits)
     alone = tested.where(~maybe).select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # Groups are counted before they meet their rows; the salt keeps both sides of the join apart, so that large groups can be split.
     shared = tested.where(maybe).select(key, "text_sha256", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"))
