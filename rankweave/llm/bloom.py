@@ -36,6 +36,27 @@ def tested(rows: DataFrame, side: DataFrame, bits: int, key: str, out: str) -> D
     return rows.join(F.broadcast(named), word_of(F.col(key), bits) == F.col("_bw"), "left").withColumn(out, hit).drop("_bw", "_bh")
 
 
+def marked(rows: DataFrame, keys: DataFrame, column: str, tests: dict[str, str], most_bits: int, filler: Column) -> DataFrame:
+    """Adds, for each (key column, out) of `tests`, whether `keys` may hold the key; null keys are not held.
+
+    `keys` has different values. Where they fit a filter of 2**most_bits bits at 32 bits a key, the filter is
+    broadcast and rows stay where they are; more of them are joined by key, exactly. `filler`, a hash of the
+    row, then stands for null keys, lest they meet in one task.
+    """
+    count = keys.count()
+    bits = size_for(count, most_bits)
+    if 32 * count <= 1 << bits:
+        side = words(keys, column, bits)
+        for key, out in tests.items():
+            rows = tested(rows, side, bits, key, out)
+        return rows
+    for key, out in tests.items():
+        side = keys.select(F.col(column).alias("_bk"), F.lit(True).alias("_bt"))
+        held = F.coalesce(F.col("_bt"), F.lit(False)) & F.col(key).isNotNull()
+        rows = rows.join(side, F.coalesce(F.col(key), filler) == F.col("_bk"), "left").withColumn(out, held).drop("_bk", "_bt")
+    return rows
+
+
 class Filter:
     """The same filter as an array, for Python workers."""
 

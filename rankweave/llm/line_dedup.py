@@ -8,7 +8,7 @@ smaller (id, hash of the text, line number). Lines without a word stay.
 
 1. A scan hashes each line, and the halves that one edit must leave alone (three a line); these digests are
    stored. Keys that several lines share go into a blocked Bloom filter of at most 2**MOST_BITS bits, and only
-   lines that hit it go on; all others pass straight through.
+   lines that hit it go on; all others pass straight through. Keys too many for one filter are joined instead.
 2. Repeated lines find their first by hash.
 3. Lines that share a half with a different line are read again, and emit their deletion neighbourhood as hashed
    keys: all words but one with the place of the gap (two lines that share it differ by one replaced word), all
@@ -113,11 +113,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most
     lines = lines.withColumn("own", F.xxhash64("h1", "h2")).withColumn("id", F.xxhash64("key", "row", "line"))
     keyed = lines.select(F.inline(F.array(pair("own", F.col("id")), *[pair(k, F.col("own")) for k in ("k1", "k2", "k3")]))).where("k is not null")
     shared = durable(keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("k"))
-    bits = bloom.size_for(shared.count(), most_bits)
-    side = bloom.words(shared, "k", bits)
-    hits = lines
-    for k in ("own", "k1", "k2", "k3"):
-        hits = bloom.tested(hits, side, bits, k, f"_{k}")
+    hits = bloom.marked(lines, shared, "k", {k: f"_{k}" for k in ("own", "k1", "k2", "k3")}, most_bits, F.col("id"))
     # The third key is a head for even numbers of words, a tail for odd ones; it counts for both here.
     left = hits.where("_own or _k1 or _k2 or _k3").select("key", "row", "line", "id", "h1", "h2", (F.col("_k1") | F.col("_k3")).alias("heads"), (F.col("_k2") | F.col("_k3")).alias("tails"))
     left = durable(left)
@@ -131,16 +127,13 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most
     # The first line of each different text of words, found by a filter over places in a scan that splits only what it keeps.
     near = left.where("heads or tails").groupBy("h1", "h2").agg(F.min(F.struct("key", "row", "line", "id")).alias("m"), F.max("heads").alias("heads"), F.max("tails").alias("tails"))
     near = durable(near.select("h1", "h2", F.struct("m.key", "m.row", "m.line").alias("place"), F.col("m.id").alias("id"), "heads", "tails"))
-    count = near.count()
-    bits = bloom.size_for(count, most_bits)
     again = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).withColumn("id", F.xxhash64("key", "row", "line"))
-    found = bloom.tested(again, bloom.words(near, "id", bits), bits, "id", "_hit").where("_hit").select("id", _words(ascii_lower(F.col("t"))).alias("w"))
+    found = bloom.marked(again, near.select("id"), "id", {"id": "_hit"}, most_bits, F.col("id")).where("_hit").select("id", _words(ascii_lower(F.col("t"))).alias("w"))
     cand = durable(near.join(found.groupBy("id").agg(F.first("w").alias("w")), "id"))
 
     variants = durable(_neighbourhood(cand))
     repeated = durable(variants.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    bits = bloom.size_for(repeated.count(), most_bits)
-    variants = bloom.tested(variants, bloom.words(repeated, "k", bits), bits, "k", "_hit").where("_hit").drop("_hit")
+    variants = bloom.marked(variants, repeated, "k", {"k": "_hit"}, most_bits, F.col("id")).where("_hit").drop("_hit")
     variants = durable(variants.join(cand.select("id", "place"), "id"))
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"first{kind}")
     met = variants.groupBy("k").agg(F.count("*").alias("c"), *map(first, (SELF, GAP, LESS))).where("c > 1").drop("c").select("*", salts)
@@ -157,22 +150,29 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Where `docs` has columns of these names, they are replaced.
     """
+    added = ("n_lines", "n_dropped", "n_near")
+    columns = [F.col(f"own.`{c}`") if c != text else F.col("shown").alias(c) for c in docs.columns if c not in added]
+    return without_repeats(docs, key, text).select(*columns, *added)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(own, shown, n_lines, n_dropped, n_near): each row of `docs` as a struct, and its text without the lines that go."""
     gone = dropped_lines(docs, key, text).groupBy("key", "row").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
     gone = durable(gone.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.struct("gone", "near").alias("_gone"), F.xxhash64("key", "row").alias("_id")))
     # Texts that lose nothing pass straight through: a filter tells them, and only the others meet their lines.
-    bits = bloom.size_for(gone.count(), MOST_BITS)
-    own = docs.withColumn("_doc", F.xxhash64(key, F.xxhash64(text)))
-    own = bloom.tested(own, bloom.words(gone, "_id", bits), bits, "_doc", "_hit")
-    whole = own.where(~F.col("_hit")).withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType))
-    cut = own.where("_hit").join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_row")), "left").drop("_key", "_row", "_id")
+    # All columns of a row travel in one struct, so none of their names can clash with those used here.
+    of = lambda c: F.col(f"own.`{c}`")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(key, F.xxhash64(text)).alias("doc"))
+    own = bloom.marked(own, gone.select("_id").distinct(), "_id", {"doc": "hit"}, MOST_BITS, F.col("doc"))
+    whole = own.where("not hit").select("own", F.lit(None).cast(gone.schema["_gone"].dataType).alias("_gone"))
+    cut = own.where("hit").join(gone, of(key).eqNullSafe(F.col("_key")) & (F.xxhash64(of(text)) == F.col("_row")), "left").select("own", "_gone")
     joined = whole.unionByName(cut)
-    parts = F.split(F.col(text), "\n")
-    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))
+    parts = F.split(of(text), "\n")
+    total = F.when(of(text).isNull(), 0).otherwise(F.size(parts))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone.gone"))
-    shown = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(let(parts, lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")))
-    columns = [F.col(c) if c != text else shown.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
+    shown = F.when(F.col("_gone").isNull(), of(text)).otherwise(let(parts, lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")))
     size = lambda c: F.when(F.col("_gone").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return joined.select(*columns, total.cast("long").alias("n_lines"), size("_gone.gone").alias("n_dropped"), size("_gone.near").alias("n_near"))
+    return joined.select("own", shown.alias("shown"), total.cast("long").alias("n_lines"), size("_gone.gone").alias("n_dropped"), size("_gone.near").alias("n_near"))
 
 
 #: The same result in DuckDB, for tables whose ids are unique. Places are id * 2**24 + line.
