@@ -8,7 +8,8 @@ nonnegative rates w are fitted so that the expected domain totals sum(w t p) mee
     minimise  sum_k (E_k(w) - g_k)^2 / (2 g_k)  +  ridge / 2 * sum_d a_d (w_d - 1)^2,   w >= 0
 
 with a = t / sum(t) and E, g as shares of all tokens. It is solved by projected gradient steps in the
-metric a, so a step is w <- max(0, w - s (sum_k r_k p_k / g_k + ridge (w - 1))), r = E - g. Posteriors
+metric a, so a step is w <- max(0, v - s (sum_k r_k p_k / g_k + ridge (v - 1))), r = E(v) - g, taken at
+a point v a little beyond w (constant momentum). Posteriors
 are rounded to 1 / GRID; documents with equal posteriors have equal rates, so steps run over at
 most GRID**(domains - 1) pre-aggregated cells, and a document's rate is refolded from the steps.
 
@@ -16,8 +17,9 @@ Targets are weights by domain. Their scale is such that `anchor` needs the rate
 measured against what the anchor has. Where rates above `most` cannot be applied, steps are projected to
 [0, most], so that the totals that are met are those of the rates as applied.
 
-Training: at most about `sample` labelled rows and `vocabulary` tokens (documented bounds); the sample's
-ids and the token table are broadcast, as these bounds prove their size.
+Training: at most about `sample` labelled rows (a documented bound), whose ids are broadcast. All tokens that pass
+the tests of lift and merit count; their table is broadcast where its measured size is under `MOST_TOKENS`.
+Steps go on until no domain's total moves by more than `SETTLED` of its goal; not settling is an error.
 
 Defined cases: null or empty texts have 0 tokens and the posterior that their shape tokens give; with
 no labelled rows all domains are equally likely; without tokens at all rates stay 1. Repeated rows are
@@ -31,9 +33,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, hash_fraction
+from .common import ascii_lower, durable, hash_fraction, let
 
-SAMPLE, VOCABULARY, GRID, STEPS, RIDGE = 4000, 300, 200, 60, 0.02
+SAMPLE, GRID, STEPS, RIDGE, SETTLED = 4000, 200, 400, 0.02, 1e-5
+MOST_TOKENS = 1 << 20  # of a token table that is broadcast; a larger one is joined by token
 LEAST_MERIT, LEAST_LIFT = 5.0, 5.0
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
@@ -67,7 +70,7 @@ def _tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.select("key", "row", F.size("words").cast("long").alias("t"), F.concat("distinct", _shape(F.col("lower"), F.col("words"), F.col("distinct"))).alias("different"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[float]] | None:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, list[float]] | None:
     """Token table (token, lw array<double>) and the log priors, from `labels` (key, domain).
 
     A chosen word that is missing counts too, so a word's lw is log p - log(1 - p) and the prior holds the
@@ -99,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         a, b, both = c / max(1, m), (seen - c) / max(1, total - m), seen / total
         far = F.abs(F.log(chance[i]) - F.log((seen - c + 0.5) / (total - m + 1.0))) >= math.log(LEAST_LIFT)
         differs.append(F.when(far, 1.0).otherwise(0.0) * F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / max(1, m) + 1 / max(1, total - m)) + 1e-9))
-    top = count.where(seen >= 3).withColumn("merit", F.greatest(*differs)).where(F.col("merit") >= LEAST_MERIT).orderBy(F.desc("merit"), "token").limit(vocabulary)
+    top = count.where(seen >= 3).withColumn("merit", F.greatest(*differs)).where(F.col("merit") >= LEAST_MERIT)
     missing = [F.when(F.startswith("token", F.lit("#")), 0.0).otherwise(F.log(1 - c)) for c in chance]
     table = durable(top.select("token", F.array(*[F.log(c) - m for c, m in zip(chance, missing)]).alias("lw"), F.array(*missing).alias("lm")))
     absent = table.select(*[F.coalesce(F.sum(F.col("lm")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first()
@@ -116,7 +119,7 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]] | None, key
     rows = _tokenised(docs, key, text)
     # The first token of each row is a header that carries the number of words, and counts the copies of a row.
     each = rows.select("key", "row", F.posexplode(F.concat(F.array(F.lit("")), "different")).alias("at", "token"), "t")
-    hits = each.join(F.broadcast(table), "token", "left").where((F.col("at") == 0) | F.col("lw").isNotNull())
+    hits = each.join(F.broadcast(table) if table.count() <= MOST_TOKENS else table, "token", "left").where((F.col("at") == 0) | F.col("lw").isNotNull())
     header = F.when(F.col("at") == 0, F.lit(1))
     found = hits.groupBy("key", "row").agg(F.count(header).alias("copies"), F.max("t").alias("t"), *[F.coalesce(F.sum(F.when(F.col("at") > 0, F.col("lw")[i])), F.lit(0.0)).alias(f"s{i}") for i in range(k)])
     raw = [F.col(f"s{i}") / F.col("copies") + prior[i] for i in range(k)]
@@ -127,7 +130,7 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]] | None, key
 
 
 def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", most: float = math.inf, steps: int = STEPS, ridge: float = RIDGE) -> list[dict]:
-    """Steps of the projected gradient over (p, t) cells: w <- min(most, max(0, keep * w + add - sum_k pull_k p_k))."""
+    """Steps of the projected gradient over (p, t) cells: w <- min(most, max(0, keep * v + add - sum_k pull_k p_k)), v <- w + ahead * (w - before)."""
     k = len(DOMAINS)
     sums = [F.sum(F.col("t") * F.col("p")[i] / GRID) for i in range(k)]
     both = [F.sum(F.col("t") * F.col("p")[i] / GRID * F.col("p")[j] / GRID) for i in range(k) for j in range(k)]
@@ -141,29 +144,37 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     gram = [[float(got[1 + k + i * k + j]) / total / (goal[i] * goal[j]) ** 0.5 for j in range(k)] for i in range(k)]
     bound = max(sum(abs(x) for x in row) for row in gram) + ridge
     size = 1.0 / bound
+    root = (size * ridge) ** 0.5
+    ahead = (1 - root) / (1 + root)  # momentum for a loss that curves between ridge and bound
     done: list[dict] = []
-    now = durable(cells.withColumn("w", F.lit(1.0)))
-    expected = have
+    now = durable(cells.withColumn("s", F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))))
+    seen, at = have, have
     for step in range(steps):
-        pull = [size * (e - g) / g / GRID for e, g in zip(expected, goal)]
-        done.append({"keep": 1 - size * ridge, "add": size * ridge, "pull": pull})
-        now = now.withColumn("w", _stepped(F.col("w"), done[-1]["keep"], done[-1]["add"], [F.lit(x) for x in pull], most))
+        pull = [size * (e - g) / g / GRID for e, g in zip(at, goal)]
+        done.append({"keep": 1 - size * ridge, "add": size * ridge, "pull": pull, "ahead": ahead})
+        now = now.withColumn("s", _stepped(F.col("s"), done[-1]["keep"], done[-1]["add"], done[-1]["ahead"], [F.lit(x) for x in pull], most))
         if step % 10 == 9:
             now = durable(now)
-        row = now.agg(*[F.sum(F.col("w") * F.col("t") * F.col("p")[i] / GRID) for i in range(k)]).first()
-        new = [float(x) / total for x in row]
-        if max(abs(a - b) / g for a, b, g in zip(new, expected, goal)) < 1e-5:
-            break
-        expected = new
-    return done
+        row = now.agg(*[F.sum(F.col(f"s.{c}") * F.col("t") * F.col("p")[i] / GRID) for c in "wv" for i in range(k)]).first()
+        new, at = [float(x) / total for x in row[:k]], [float(x) / total for x in row[k:]]
+        moved = max(abs(a - b) / g for a, b, g in zip(new, seen, goal))
+        if moved < SETTLED and step:
+            return done
+        seen = new
+    raise RuntimeError(f"rates have not settled after {steps} steps: the last moved a total by {moved:.2g} of its goal")
 
 
-def _stepped(w: Column, keep: object, add: object, pull: list[Column], most: float) -> Column:
+def _stepped(s: Column, keep: object, add: object, ahead: object, pull: list[Column], most: float) -> Column:
+    """The state after a step: the rate w, and the point v beyond it where the next gradient is taken."""
     down = pull[0] * F.col("p")[0]
     for i, x in enumerate(pull[1:], 1):
         down = down + x * F.col("p")[i]
-    w = F.greatest(F.lit(0.0), w * keep + add - down)
-    return w if math.isinf(most) else F.least(F.lit(float(most)), w)
+
+    def after(w: Column) -> Column:
+        return F.struct(w.alias("w"), (w + ahead * (w - s["w"])).alias("v"))
+
+    w = F.greatest(F.lit(0.0), s["v"] * keep + add - down)
+    return let(w if math.isinf(most) else F.least(F.lit(float(most)), w), after)
 
 
 def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, anchor: str = "clean", most: float = math.inf) -> DataFrame:
@@ -173,8 +184,9 @@ def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     steps = fit_rates(cells, targets, anchor, most)
     rate: Column = F.lit(1.0)
     if steps:
-        folded = F.array(*[F.struct(F.lit(s["keep"]).alias("keep"), F.lit(s["add"]).alias("add"), *[F.lit(x).alias(f"g{i}") for i, x in enumerate(s["pull"])]) for s in steps])
-        rate = F.aggregate(folded, F.lit(1.0), lambda w, s: _stepped(w, s["keep"], s["add"], [s[f"g{i}"] for i in range(len(DOMAINS))], most))
+        folded = F.array(*[F.struct(*[F.lit(s[c]).alias(c) for c in ("keep", "add", "ahead")], *[F.lit(x).alias(f"g{i}") for i, x in enumerate(s["pull"])]) for s in steps])
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))
+        rate = F.aggregate(folded, start, lambda w, s: _stepped(w, s["keep"], s["add"], s["ahead"], [s[f"g{i}"] for i in range(len(DOMAINS))], most), lambda w: w["w"])
     best = F.array_position("p", F.array_max("p")).cast("int")
     shares = [(F.col("p")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return found.select("key", "row", "copies", F.col("t").alias("n_tokens"), F.element_at(F.array(*map(F.lit, DOMAINS)), best).alias("domain"), *shares, rate.alias("rate"))
