@@ -6,7 +6,7 @@ is the number of n-grams that they share over the root of the product of their n
 training texts give the Nyström approximation; one-versus-rest ridge regression on its features
 gives a matrix from landmarks to languages. A batch of texts is scored by two matrix products.
 
-Training: at most `sample` rows (a documented bound), spread evenly over the languages by a hash of
+Training: about `sample` rows (a documented bound), spread evenly over the languages by a hash of
 the id; their packed features, a fixed number of bytes a row, are all that reaches the driver.
 
 Defined cases: a null text or one without a letter gets `und` and score 0; with nothing to learn
@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import LOWER_BYTES, bounded_batches, hash_fraction, slices, text_buffers
 
@@ -103,7 +104,7 @@ def long_scores(model: dict, data: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, sample: int = SAMPLE) -> dict | None:
-    """Fit on at most about `sample` rows of `docs` where `usable` holds and lang and text are not null."""
+    """Fit on rows of `docs` where `usable` holds and lang and text are not null: about `sample`, a share of each language by a hash of the id."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
     if not counts:
@@ -120,25 +121,31 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     h = hash_fraction(F.col(key), 101)
     picked = rows.select(h.alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("h") < share[F.col("lang")])
-    found = sorted(picked.mapInArrow(run, "h double, lang string, bits binary").collect())[: 2 * sample]
+    found = sorted(picked.mapInArrow(run, "h double, lang string, bits binary").collect())
     bits = np.frombuffer(b"".join(bytes(r[2]) for r in found), np.uint8).reshape(len(found), -1)
     return fit(np.unpackbits(bits, axis=1), [r[1] for r in found])
 
 
-def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(key, *carry, lang_pred, score) of every row; no shuffle. `text` may be among the carried columns."""
-    spark = docs.sparkSession
+def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) of every row; no shuffle."""
+    found = identified(docs.select(F.struct(key).alias("own"), F.col(text).alias("text")), model)
+    return found.select(F.col(f"own.`{key}`"), "lang_pred", "score")
+
+
+def identified(rows: DataFrame, model: dict | None, field: str | None = None) -> DataFrame:
+    """(own, lang_pred, score) of rows (own struct, text): what `own` holds is carried along, whatever its fields' names.
+
+    The text may be a field of `own`; then it moves once.
+    """
+    spark = rows.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = [key, *(carry or [])]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    n = len(columns)
-    at_text = columns.index(text) if text in columns else n
+    kind = rows.schema["own"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            col = batch.column(at_text)
+            col = batch.column(0).field(field) if field else batch.column(1)
             data, at = text_buffers(col)
             names, best = [], []
             for a, b in slices(at, 1 << 19):
@@ -164,9 +171,10 @@ def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str
                     else:
                         names += ["und"] * (d - c)
                         best += [0.0] * (d - c)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(best, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["own", "lang_pred", "score"])
 
-    return docs.select(*columns, *([] if text in columns else [F.col(text).alias("_text")])).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = StructType([StructField("own", kind), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.select("own", *([] if field else ["text"])).mapInArrow(run, out)
 
 
 def lettered(text: str | None) -> bool:

@@ -175,13 +175,16 @@ def _classed(rows: DataFrame, own: Column) -> DataFrame:
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, row) of one document of each class: the least id that is not null, then the least text hash.
+    """(key, row, copies) of one document of each class: the least id that is not null, then the least text hash.
 
-    Classes are told apart by their fingerprints, so texts that share an id, or have none, stay classes of their own.
+    Classes are told apart by their fingerprints, so texts that share an id, or have none, stay classes of their
+    own. `copies` counts the rows of that id and text.
     """
     keyed = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("row")).alias("_own"), text)
     rows = durable(fingerprints(keyed, "_own", text, width))
-    return _classed(rows, F.col("_own")).groupBy("least").agg(F.min("own").alias("own")).select("own.key", "own.row")
+    kept = _classed(rows, F.col("_own")).groupBy("least").agg(F.min("own").alias("own"))
+    copies = rows.groupBy(F.col("_own").alias("own")).agg(F.count("*").alias("copies"))
+    return kept.join(copies, "own").select("own.key", "own.row", "copies")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
