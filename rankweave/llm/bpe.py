@@ -2,7 +2,8 @@
 
 Encoding backtracks over Aho-Corasick matches: at each position the longest token that starts
 there is tried; it stands if the pair with the token before it is compatible, which means that
-merging the two tokens' bytes in rank order gives just these two tokens. Otherwise the next
+merging the two tokens' bytes in rank order gives just these two tokens (the published linear-time
+backtracking encoder for byte pair encodings). Otherwise the next
 shorter token that is a prefix is tried, and where none is left the last token is taken back and
 the position closed. Each position closes at most once, so time is linear in the word's bytes,
 and the result is exactly that of applying the merges. Decoding reads token bytes through an
@@ -44,7 +45,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder(dict):
-    """A word's ids as uint16 bytes, made when first asked for; at most `most` words are kept."""
+    """A word's ids as bytes (uint16 where the vocabulary fits, else uint32), made when first asked for; at most `most` words are kept."""
 
     def __init__(self, path: str, most: int = 300_000):
         super().__init__()
@@ -56,6 +57,7 @@ class Encoder(dict):
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         raw |= {i: s.encode() for s, i in self.special.items()}
         n = max(raw) + 1
+        self.kind = np.dtype(np.uint16 if n <= 1 << 16 else np.uint32)
         self.tokens = [raw.get(i, b"") for i in range(n)]
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.tokens]))).astype(np.int64)
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -67,7 +69,7 @@ class Encoder(dict):
             merged[ids[a], ids[b]] = t = ids[a + b]
             self.halves[t] = (ids[a], ids[b])
         self.merged, self.fits = merged, {}
-        self.single = {t: np.uint16(i).tobytes() for i, t in enumerate(self.tokens) if i not in self.special.values() and t}
+        self.single = {t: self.kind.type(i).tobytes() for i, t in enumerate(self.tokens) if i not in self.special.values() and t}
         self.lengths = [len(t) for t in self.tokens]
         by_bytes = {t: i for i, t in enumerate(self.tokens) if i not in self.special.values() and t}
         self.shorter = [next((by_bytes[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in by_bytes), -1) for t in self.tokens]
@@ -131,7 +133,7 @@ class Encoder(dict):
         coded = word.encode()
         found = self.single.get(coded)
         if found is None:
-            found = np.array(self.word_ids(coded), np.uint16).tobytes()
+            found = np.array(self.word_ids(coded), self.kind).tobytes()
         self[word] = found
         return found
 
@@ -145,9 +147,9 @@ class Encoder(dict):
         if len(self.fits) > 4 * self.most:
             self.fits.clear()
         if self.split is None or not any(s in text for s in self.special):
-            return np.frombuffer(self._plain(text), np.uint16)
-        parts = [np.uint16(self.special[p]).tobytes() if p in self.special else self._plain(p) for p in self.split.split(text) if p]
-        return np.frombuffer(b"".join(parts), np.uint16)
+            return np.frombuffer(self._plain(text), self.kind)
+        parts = [self.kind.type(self.special[p]).tobytes() if p in self.special else self._plain(p) for p in self.split.split(text) if p]
+        return np.frombuffer(b"".join(parts), self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
         start = self.offsets[ids]

@@ -12,7 +12,8 @@ Both parts are groups, so a paragraph is inserted by adding its vector and delet
 
 Defined cases: a null text counts as empty; the empty multiset has the zero vector; two empty
 texts have likeness 1, an empty and another text 0. Repeated rows are rows of their own, ordered
-by (id, text); of rows with one id the first by text counts as the next document.
+by (id, text); of rows with one id the first by text counts as the next document. Ids are whole
+numbers; others raise an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Rolling, bounded_batches, mixed, partitions
 
@@ -143,7 +145,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     bounds and first ids: two numbers a partition.
     """
     spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col(key), F.lit(LEAST_KEY)).cast("long").alias("_k"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key}: ids must be whole numbers, as the next document is the next id")
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = max(1, partitions(spark))
     cuts = own.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5])).first()[0] or []
     cuts = np.unique(np.array(cuts if n > 1 else [], np.int64))

@@ -37,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Filter
-from .common import Rolling, bounded_batches, durable, mixed, text_buffers
+from .common import Rolling, bounded_batches, durable, mixed, text_buffers, whole
 
 WINDOW, GRAM, STEP = 400, 64, 16
 CHUNK = 1 << 20  # windows of a long text that are anchored at once
 MOST_BITS = 27  # of a filter
-LEAST_KEY = -(1 << 63)
 SALTS = 4
 PLACE = np.uint64((1 << 24) - 1)
 COLUMNS = ["core", "outer", "id", "_k", "row", "lo", "hi"]
@@ -174,7 +173,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """(_k, row, lo, hi): ranges of window starts, by key and text hash, whose windows all occur again."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    own = docs.select(whole(F.col(key), docs.schema[key].dataType.simpleString()).alias("_k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
     def emit(depth: int, filters: list[Filter], only_cores: bool = False) -> DataFrame:
         shared = spark.sparkContext.broadcast((filters, texts[-1] if texts else None))
@@ -224,11 +223,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return first.where("same").select(*columns).unionByName(second.where("same").select(*columns)).unionByName(third.where("same").select(*columns))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False, most_bits: int = MOST_BITS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept binary) of every row."""
-    spans = repeated_spans(docs, key, text, window).groupBy("_k", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(F.col("_k").alias("_j"), F.col("row").alias("_row"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    spans = repeated_spans(docs, key, text, window, most_bits).groupBy("_k", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(F.col("_k").alias("_j"), F.col("row").alias("_row"), F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("_k"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    own = docs.select(whole(F.col(key), docs.schema[key].dataType.simpleString()).alias("_k"), F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     joined = own.join(spans, (F.col("_k") == F.col("_j")) & (F.col("row") == F.col("_row")), "left").select("key", "text", "lo", "hi")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,21 +128,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     every = np.ones(1 << BITS, bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
+        df, n = np.zeros((2, 1 << BITS), np.uint32), [0, 0]
         for batch in batches:
             data, at = text_buffers(batch.column(2))
             y = np.array(batch.column(1).to_pylist())
             for a, b in slices(at, 1 << 20):
                 owner, slot = presence_pairs(data[at[a] : at[b]], at[a : b + 1] - at[a], every)
                 for c in (0, 1):
-                    df[c] += np.bincount(slot[y[a + owner] == c], minlength=1 << BITS).astype(np.uint16)
+                    df[c] += np.bincount(slot[y[a + owner] == c], minlength=1 << BITS).astype(np.uint32)
             n = [n[0] + int((y == 0).sum()), n[1] + int((y == 1).sum())]
         if sum(n):
             yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["n0", "n1", "df"])
 
     df, n = np.zeros((2, 1 << BITS)), np.zeros(2)
     for r in rows.mapInArrow(count, "n0 long, n1 long, df binary").toLocalIterator():
-        df += np.frombuffer(r["df"], np.uint16).reshape(2, -1)
+        df += np.frombuffer(r["df"], np.uint32).reshape(2, -1)
         n += r["n0"], r["n1"]
     if not n.all():
         return None
