@@ -103,8 +103,8 @@ def test_suffix_dedup_small_tables(docs, doc_rows):
 
 def test_suffix_dedup_full_filter(edges, rows):
     found = suffix_dedup.remove_repeats(edges, window=100)
-    spans = suffix_dedup.repeated_spans(edges, window=100, most_bits=6)
-    assert spans.count() >= found.where("n_removed > 0").count()
+    full = suffix_dedup.remove_repeats(edges, window=100, most_bits=6)
+    assert counted(full, *found.columns) == counted(found, *found.columns) == cases.suffix_rows(rows, 100)
 
 
 def test_line_dedup(edges, rows):
@@ -206,13 +206,14 @@ def test_bpe_properties():
 
 def test_language(docs):
     model = langid.train(docs, usable=train_split(F.col("doc_id")))
-    found = langid.identify(docs, model, carry=["lang"]).where(~train_split(F.col("doc_id")))
+    found = langid.identify(docs, model).where(~train_split(F.col("doc_id"))).join(docs.select("doc_id", "lang"), "doc_id")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
 def test_language_edges(edges, rows, spark):
     model = langid.train(edges, usable=train_split(F.col("doc_id")))
-    found = langid.identify(edges, model, carry=["text", "lang"]).collect()
+    carried = edges.select(F.struct("text", "lang", F.lit(1).alias("score"), F.lit(2).alias("lang_pred")).alias("own"))
+    found = langid.identified(carried, model, "text").select("own.text", "own.lang", "lang_pred", "score").collect()
     assert len(found) == len(rows)
     for r in found:
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
@@ -244,12 +245,21 @@ def test_mixing(spark):
     got = {d: (found.rate * found.n_tokens * found[f"p_{d}"]).sum() / total for d in mixing.DOMAINS}
     for d in mixing.DOMAINS:
         goal = mixing.TARGETS[d] * share["clean"] / mixing.TARGETS["clean"]
-        assert abs(got[d] - goal) < 0.25 * goal
+        assert abs(got[d] - goal) < 0.02 * goal
     both = found.merge(labels, on="doc_id")
     clean = both[(both.quality == 1) & (both.toxic == 0)]
     assert (clean.domain == "clean").mean() > 0.9
 
 
+def refolded(steps, grid, most=np.inf):
+    """A document's rate from the steps, with the momentum that each step states."""
+    w = v = np.ones(len(grid))
+    for s in steps:
+        new = np.clip(v * s["keep"] + s["add"] - grid @ np.array(s["pull"]), 0, most)
+        w, v = new, new + s["ahead"] * (new - w)
+    return w
+
+
 def test_mixing_solver_against_dense_solution(spark):
     rng = np.random.default_rng(5)
     p = rng.dirichlet([3, 1, 1], 60)
@@ -257,23 +267,23 @@ def test_mixing_solver_against_dense_solution(spark):
     t = rng.integers(1, 400, 60)
     cells = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(grid, t)], "p array<int>, t long")
     steps = mixing.fit_rates(cells, steps=400)
-    w, q, a = np.ones(60), grid / mixing.GRID, t / t.sum()
-    for s in steps:
-        w = np.maximum(0, w * s["keep"] + s["add"] - grid @ np.array(s["pull"]))
+    w, q, a = refolded(steps, grid), grid / mixing.GRID, t / t.sum()
     have = a @ q
     goal = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * have[0] / mixing.TARGETS["clean"]
     loss = lambda w: ((((w * a) @ q - goal) ** 2) / (2 * goal)).sum() + mixing.RIDGE / 2 * (a * (w - 1) ** 2).sum()
     best, v = loss(w), w.copy()
     for _ in range(4000):
         v = np.maximum(0, v - 0.2 * (q @ (((v * a) @ q - goal) / goal) + mixing.RIDGE * (v - 1)))
-    assert best <= loss(v) * 1.02 + 1e-6
+    assert best <= loss(v) * 1.001 + 1e-6
 
 
 def test_mixing_edges(edges, rows, spark):
     labels = edges.select("doc_id", F.lit("clean").alias("domain"))
-    assert mixing.mix_documents(edges, labels).count() == len(rows)
-    none = mixing.mix_documents(edges, labels.where("false"))
-    assert none.count() == len(rows)
+    one = mixing.mix_documents(edges, labels).collect()
+    assert Counter(r["doc_id"] for r in one) == Counter(r[0] for r in rows) and {r["domain"] for r in one} == {"clean"}
+    none = mixing.mix_documents(edges, labels.where("false")).collect()
+    assert Counter(r["doc_id"] for r in none) == Counter(r[0] for r in rows)
+    assert {(r["p_clean"], r["p_low"], r["p_toxic"]) for r in none} == {(67 / 200, 67 / 200, 67 / 200)}
 
 
 OPERATORS = {
@@ -315,9 +325,7 @@ def test_mixing_counts_rare_words(spark):
 def test_mixing_meets_targets_with_capped_rates(spark):
     """Rates are applied as chances, so the totals of the capped rates, not of rates above 1, meet the targets."""
     cells = spark.createDataFrame([([200, 0, 0], 700), ([0, 200, 0], 200), ([0, 0, 200], 100)], "p array<int>, t long")
-    w = np.ones(3)
-    for s in mixing.fit_rates(cells, most=1.0, steps=400):
-        w = np.clip(w * s["keep"] + s["add"] - np.eye(3) * mixing.GRID @ np.array(s["pull"]), 0, 1)
+    w = refolded(mixing.fit_rates(cells, most=1.0), np.eye(3) * mixing.GRID, 1.0)
     low, toxic = w[1] * 200 / (w[0] * 700), w[2] * 100 / (w[0] * 700)
     assert abs(low - 7 / 90) < 0.05 * 7 / 90 and abs(toxic - 3 / 90) < 0.05 * 3 / 90
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -44,10 +45,22 @@ def test_stages(spark):
 
 
 def test_edges(spark):
+    """What is without letters goes at once; what a copy, a null or a repeated id has is kept by its class."""
     docs = cases.edge_documents(spark).select("doc_id", "text", "lang", "row", "n_chars", "key")
-    for _, stage in pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+    rows = [(r[0], r[1]) for r in cases.edge_rows()]
+    named = dict(pipeline.STAGES)
+    one = named["language ID"](spark, docs, SF)
+    lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    assert {(r["doc_id"], r["text"]) for r in one.collect()} <= set(lettered)
+    two = named["line dedup"](spark, docs, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in two.where("text is not null").collect()) == sorted((i, t) for (i, _, _, _, t), n in cases.line_rows(rows).items() for _ in range(n) if t is not None)
+    three = named["SimHash near-dedup"](spark, docs, SF).collect()
+    assert len(three) == len({c for _, _, c in cases.simhash_rows(rows)})
+    assert set((r["doc_id"], r["text"]) for r in three) <= set(rows)
+    four = named["mixing"](spark, docs, SF).collect()
+    assert not Counter((r["doc_id"], r["text"]) for r in four) - Counter(rows)
+    five = named["BPE"](spark, docs, SF)
+    assert Counter(r["doc_id"] for r in five.collect()) == Counter(r[0] for r in rows)
 
 
 def test_near_dedup_keeps_every_class(spark):
