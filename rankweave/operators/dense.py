@@ -1,7 +1,7 @@
 """Dense vectors: exact inner products, normalisation, prototypes, projections.
 
-Queries are a stated batch and small; they meet all rows through a broadcast whose size is checked
-(`MOST_QUERY_BYTES`); a larger batch is scored in parts.
+Queries are a stated batch; their matrix goes to the executors in blocks of a checked size
+(`MOST_QUERY_BYTES`), and batches of vectors are multiplied with it where they lie.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import vocab
 from rankweave.functions.text import let
@@ -34,58 +33,82 @@ def unit(a: Column) -> Column:
     return let(a, lambda v: let(F.greatest(norm(v), F.lit(1e-9)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def fits(queries: DataFrame, vector: str) -> bool:
-    """Whether a query batch may be broadcast: its measured size is under the bound."""
+def blocks(queries: DataFrame, vector: str, most: int = MOST_QUERY_BYTES) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The other columns and the matrix of a query batch, in blocks of at most about `most` bytes, by a hash of the other columns."""
     size = queries.agg(F.sum(F.size(vector) * 8 + 64)).first()[0] or 0
-    return size <= MOST_QUERY_BYTES
+    parts, others = max(1, -(-size // most)), [c for c in queries.columns if c != vector]
+    for i in range(parts):
+        held = (queries if parts == 1 else queries.where(F.pmod(F.xxhash64(*others), F.lit(parts)) == i)).toArrow()  # bounded
+        if held.num_rows:
+            yield held.select(others).combine_chunks(), np.array(held.column(vector).to_pylist(), float)
 
 
-def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "vec") -> DataFrame:
-    """(query columns, doc_id, score): inner product of each query with each vector, aligned by id.
+def _rows_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    return batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
-    A query batch is scored against all rows in blocks: rows stay where they are.
-    """
-    side = F.broadcast(queries) if fits(queries, q) else queries.repartition(queries.sparkSession.sparkContext.defaultParallelism)
-    return vectors.crossJoin(side).select(*[c for c in queries.columns if c != q], "doc_id", dot(F.col(q), F.col(v)).alias("score"))
 
+def _kinds(queries: DataFrame, vectors: DataFrame, q: str) -> str:
+    own = [f"`{n}` {t}" for n, t in queries.dtypes if n != q]
+    return ", ".join([*own, f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}", "score double"])
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6) -> DataFrame:
-    """(qid, doc_id, score, rank): the k vectors of the largest inner product with each query (qid, qvec); ties by id.
 
-    The query matrix goes to the executors, after a check of its size; batches of vectors are multiplied
-    with it and pass on their own k best, so few rows move for the final ranks. A larger query batch is scored by
-    scores() instead. Vectors of another length than the queries' are left out.
-    """
-    if not fits(queries, q):
-        found = scores(queries, vectors, q, v).withColumn("score", F.round("score", places))
-    else:
-        held = queries.select("qid", q).collect()  # bounded by fits()
-        if not held:
-            return vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-        names, matrix = [r[0] for r in held], np.array([r[1] for r in held], float)
+def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int | None, places: int | None, most: int) -> DataFrame:
+    """(query columns, doc_id, score) of all pairs, or of the k best of each query in each batch of vectors."""
+    kinds, out = _kinds(queries, vectors, q), None
+    for names, matrix in blocks(queries, q, most):
         shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-        kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, asked = shared.value
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                found = np.round(rows @ asked.T, places)
-                for j in range(len(own)):
-                    best = np.lexsort((ids, -found[:, j]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([own[j]] * len(best), out[0]), pa.array(ids[best], out[1]), pa.array(found[best, j])], ["qid", "doc_id", "score"])
-
-        out = (to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(vectors.schema["doc_id"].dataType))
-        found = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v).mapInArrow(run, kinds)
+                ids, rows = _rows_of(batch)
+                found = rows @ asked.T
+                if places is not None:
+                    found = np.round(found, places)
+                for j in range(len(asked)):
+                    at = np.arange(len(ids)) if k is None else np.lexsort((ids.to_numpy(zero_copy_only=False), -found[:, j]))[:k]
+                    named = own.take(pa.array(np.full(len(at), j))).columns
+                    yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in named], ids.take(pa.array(at)), pa.array(found[at, j])], [*own.column_names, "doc_id", "score"])
+
+        part = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v).mapInArrow(run, kinds)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], kinds) if out is None else out
+
+
+def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "vec", most: int = MOST_QUERY_BYTES) -> DataFrame:
+    """(query columns, doc_id, score): inner product of each query with each vector, aligned by id; rows stay where they are.
+
+    Vectors of another length than the queries' are left out.
+    """
+    return _multiplied(queries, vectors, q, v, None, None, most)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6, most: int = MOST_QUERY_BYTES) -> DataFrame:
+    """(qid, doc_id, score, rank): the k vectors of the largest inner product with each query (qid, qvec); ties by id.
+
+    Batches of vectors pass on their own k best, so few rows move for the final ranks.
+    """
+    found = _multiplied(queries.select("qid", q), vectors, q, v, k, places, most)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    return found.select("qid", "doc_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def weighted_query(queries: DataFrame, keys: list[str], weight: str = "w", q: str = "qvec") -> DataFrame:
+    """(keys, qvec): the mean of a query's variants by weight. Its product with a vector is the weighted mean of theirs."""
+    listed = queries.groupBy(*keys).agg(F.collect_list(F.struct(F.col(weight).cast("double").alias("w"), F.col(q).alias("x"))).alias("_l"), F.sum(weight).alias("_w"))
+    zero = F.transform(F.get("_l", F.lit(0))["x"], lambda x: F.lit(0.0))
+    total = F.aggregate("_l", zero, lambda acc, s: F.zip_with(acc, s["x"], lambda a, x: a + s["w"] * x.cast("double")))
+    return listed.select(*keys, F.transform(total, lambda x: x / F.col("_w")).alias(q))
+
+
+def clipped(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
 def weighted_mean(parts: DataFrame, keys: list[str], weight: str = "w") -> DataFrame:
     """Mean of a document's scores over query variants by weight, cut to 0..1."""
     mean = F.sum(F.col(weight) * F.col("score")) / F.sum(weight)
-    return parts.groupBy(*keys, "doc_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("score"))
+    return parts.groupBy(*keys, "doc_id").agg(clipped(mean).alias("score"))
 
 
 def centroids(vectors: DataFrame, label: str, v: str = "vec") -> DataFrame:
@@ -95,14 +118,38 @@ def centroids(vectors: DataFrame, label: str, v: str = "vec") -> DataFrame:
     return listed.select(label, F.transform("l", lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, label: str, v: str = "vec") -> DataFrame:
+def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, label: str, v: str = "vec", most: int = MOST_QUERY_BYTES) -> DataFrame:
     """(doc_id, label, score): the prototype of the largest inner product, negative ones as 0; ties by label."""
-    each = vectors.crossJoin(F.broadcast(prototypes)).select("doc_id", F.col(label).alias("label"), F.greatest(F.lit(0.0), dot(F.col(v), F.col("centroid"))).alias("score"))
-    return each.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "label")).alias("m")).select("doc_id", "m.label", (-F.col("m.less")).alias("score"))
+    kind = prototypes.schema[label].dataType.simpleString()
+    kinds, out, n = f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}, label {kind}, score double", None, 0
+    for names, matrix in blocks(prototypes.select(label, "centroid").orderBy(label), "centroid", most):
+        shared = vectors.sparkSession.sparkContext.broadcast((names.column(0).combine_chunks(), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            labels, asked = shared.value
+            order = np.argsort(np.array(labels.to_pylist()), kind="stable")
+            for batch in batches:
+                ids, rows = _rows_of(batch)
+                found = np.maximum(rows @ asked[order].T, 0.0)
+                best = found.argmax(1)
+                yield pa.RecordBatch.from_arrays([ids, labels.take(pa.array(order[best])), pa.array(found[np.arange(len(best)), best])], ["doc_id", "label", "score"])
 
+        part = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v).mapInArrow(run, kinds)
+        out, n = part if out is None else out.unionByName(part), n + 1
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], kinds)
+    if n == 1:
+        return out
+    return out.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "label")).alias("m")).select("doc_id", "m.label", (-F.col("m.less")).alias("score"))
 
-def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], prefix: str = "", out: str = "vec") -> DataFrame:
-    """Vectors of texts by an injected encoder, in Arrow batches, each of unit length. Queries pass a prefix, documents none."""
+
+def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray] | None, prefix: str = "", out: str = "vec") -> DataFrame:
+    """Vectors of texts by an injected encoder, in Arrow batches, each of unit length. Queries pass a prefix, documents none.
+
+    Without an encoder this fails: made-up vectors would give made-up ranks.
+    """
+    if encoder is None:
+        raise ValueError("no encoder is given; hashed_projection or latent_vectors need none")
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -125,12 +172,17 @@ def hashed_projection(post: DataFrame, terms: DataFrame, dimensions: int = 384)
 
 
 def latent_vectors(docs: DataFrame, key: str, tokens: Column, k: int = 256, least: int = 2, most: float = 0.95, features: int = 1 << 15) -> DataFrame:
-    """(doc_id, vec): latent semantic vectors of 1- and 2-grams (sublinear tf·idf, truncated SVD, unit length)."""
+    """(doc_id, vec): latent semantic vectors of 1- and 2-grams (sublinear tf·idf, truncated SVD, unit length).
+
+    The `features` most frequent grams count (a documented bound: the SVD holds features squared numbers). Ids
+    may be of any type. The SVD is Spark's own, which takes and gives rows as an RDD.
+    """
     from pyspark.ml.feature import IDF, CountVectorizer, NGram
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    words = docs.select(F.col(key).alias("doc_id"), tokens.alias("one"))
+    names = docs.select(F.col(key).alias("own"), F.xxhash64(key).alias("doc_id"))
+    words = docs.select(F.xxhash64(key).alias("doc_id"), tokens.alias("one"))
     grams = NGram(n=2, inputCol="one", outputCol="two").transform(words).select("doc_id", F.concat("one", "two").alias("grams"))
     counted = CountVectorizer(inputCol="grams", outputCol="tf", minDF=least, maxDF=most, vocabSize=features).fit(grams).transform(grams)
     damped = counted.select("doc_id", array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))).alias("tf"))
@@ -139,7 +191,7 @@ def latent_vectors(docs: DataFrame, key: str, tokens: Column, k: int = 256, leas
     found = IndexedRowMatrix(rows).computeSVD(k, computeU=True)
     s = found.s.toArray()
     out = found.U.rows.map(lambda r: (int(r.index), (r.vector.toArray() * s).tolist())).toDF("doc_id long, vec array<double>")
-    return out.select("doc_id", unit(F.col("vec")).alias("vec"))
+    return out.join(names, "doc_id").select(F.col("own").alias("doc_id"), unit(F.col("vec")).alias("vec"))
 
 
 def variant_weights(queries: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 
+from .ranks import numbered
+
 
 def reciprocal_ranks(scores: DataFrame, weights: dict[str, float], k: int = vocab.RRF_K) -> DataFrame:
     """Adds rrf: the sum of w / (k + rank) over the score columns, ranks over all rows of a query, ties by id.
 
-    Ranks come before any filter, as filtered rows keep their places.
+    Ranks come before any filter, as filtered rows keep their places. Rows are read several times, so `scores` should be stored.
     """
     out, total = scores, None
     for name, w in weights.items():
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(name), "doc_id"))
-        out = out.withColumn(f"rank_{name}", rank)
+        out = numbered(out, ["qid"], name, "doc_id", f"rank_{name}")
         part = F.lit(w) / (k + F.col(f"rank_{name}"))
         total = part if total is None else total + part
     return out.withColumn("rrf", total)

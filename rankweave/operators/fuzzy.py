@@ -6,11 +6,11 @@ the d + 1 parts that one is cut into, at least one part at a place shifted by d
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
+from rankweave.functions.text import let
 
 
 def _parts(term: Column, distance: int) -> Column:
@@ -69,43 +69,71 @@ def corrected(queries: DataFrame, terms: DataFrame, protected: DataFrame, key: s
     return out.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", one.alias("w")))).alias("l")).select(key, F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("corrected"))
 
 
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 · longest common subsequence over the sum of lengths."""
-    out = []
-    for x, y in zip(a, b):
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y):
-                up = row[j + 1]
-                row[j + 1] = last + 1 if c == d else max(up, row[j])
-                last = up
-        out.append(200.0 * row[-1] / (len(x) + len(y)) if x or y else 100.0)
-    return pd.Series(out)
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, row by row of the usual table."""
+    x, y = F.split(a, ""), F.split(b, "")
+    start = F.array_repeat(F.lit(0), F.size(y) + 1)
 
+    def row(last: Column, c: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            return F.array_append(done, F.when(F.get(y, j - 1) == c, F.get(last, j - 1) + 1).otherwise(F.greatest(F.get(last, j), F.element_at(done, -1))))
 
-def canonical_match(names: DataFrame, canon: DataFrame, threshold: float = vocab.CANONICAL_RATIO, gram: int = 2) -> DataFrame:
+        return F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(F.lit(0)), cell)
+
+    return F.element_at(F.aggregate(x, start, row), -1)
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """200 · longest common subsequence over the sum of lengths; 100 for two empty strings."""
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 100.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(200.0 * common_length(a, b) / both)
+
+
+def _slack(both: Column, threshold: float) -> Column:
+    """Characters that may be inserted or deleted between strings whose lengths add up to `both`."""
+    return F.floor(both * (100 - threshold) / 100 + 1e-9).cast("int")
+
+
+def canonical_match(names: DataFrame, canon: DataFrame, threshold: float = vocab.CANONICAL_RATIO) -> DataFrame:
     """(name, canonical, is_new): equal in lower case, else the best indel ratio of at least the threshold, else the name itself.
 
-    canon(key, name): keys in lower case. A ratio of 90 leaves at most a tenth of both strings out, so
-    lengths differ by less than a quarter, and some word gram is shared; pairs are made by shared
-    grams and length class only. Ties go to the smallest key.
+    canon(key, name): keys in lower case. With d the insertions and deletions that the ratio allows for two lengths, one of
+    the d + 1 parts that a key is cut into stands in the name, moved by d at most; pairs are made by equal parts for
+    each length that a partner may have, so none is lost. They pass `levenshtein` (never over d) before the ratio is
+    worked out. Ties go to the smallest key.
     """
-    ratio = F.pandas_udf(indel_ratio, "double")
     own = names.select(F.trim("name").alias("name"), F.lower(F.trim("name")).alias("key")).distinct()
-    exact = own.join(canon.select("key", F.col("name").alias("canonical")), "key")
-    rest = own.join(canon.select("key"), "key", "left_anti")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.substring(c, i, gram)))
-    sides = rest.select("key", "name", F.explode(grams(F.col("key"))).alias("g")).join(canon.select(F.col("key").alias("other"), F.col("name").alias("canonical"), F.explode(grams(F.col("key"))).alias("g")), "g")
-    shared = sides.groupBy("key", "name", "other", "canonical").agg(F.count("*").alias("n"))
-    # Each inserted or deleted character breaks at most `gram` grams of the longer string.
-    longer, both = F.greatest(F.length("key"), F.length("other")), F.length("key") + F.length("other")
-    lost = both * (1 - threshold / 100) * gram
-    close = shared.where((F.abs(F.length("key") - F.length("other")) <= both * (1 - threshold / 100)) & (F.col("n") >= F.greatest(F.lit(1.0), 0.5 * (longer - gram + 1) - lost)))
-    found = close.withColumn("r", ratio("key", "other")).where(F.col("r") >= threshold)
-    best = found.groupBy("name").agg(F.max_by("canonical", F.struct("r", F.transform(F.split("other", ""), lambda c: -F.ascii(c)))).alias("canonical"))
-    near = rest.join(best, "name", "left")
-    return exact.select("name", "canonical", F.lit(False).alias("is_new")).unionByName(near.select("name", F.coalesce("canonical", "name").alias("canonical"), F.col("canonical").isNull().alias("is_new")))
+    keys = canon.groupBy("key").agg(F.min("name").alias("canonical"))
+    exact = own.join(keys, "key")
+    rest = own.join(keys.select("key"), "key", "left_anti")
+    # Lengths whose ratio can reach the threshold at all: the shorter is at least t / (2 - t) of the longer.
+    share = threshold / (200 - threshold)
+    lengths = lambda n: F.sequence(F.greatest(F.ceil(n * share - 1e-9).cast("int"), F.lit(1)), F.greatest(F.floor(n / share + 1e-9).cast("int"), F.lit(1)))
+    part = lambda m, n, i, s: F.struct(m.alias("m"), n.alias("n"), i.alias("i"), s.alias("s"))
+    cut = lambda n, i, d: F.floor(n * i / (d + 1)).cast("int")
+
+    def of_key(m: Column) -> Column:  # parts of a key of length n, for names of length m
+        n = F.length("other")
+        return let(_slack(n + m, threshold), lambda d: F.transform(F.sequence(F.lit(0), d), lambda i: part(m, n, i, F.substring("other", cut(n, i, d) + 1, cut(n, i + 1, d) - cut(n, i, d)))))
+
+    def of_name(n: Column) -> Column:  # what a name of length m must hold for keys of length n
+        m = F.length("key")
+
+        def at(i: Column, d: Column) -> Column:
+            size = cut(n, i + 1, d) - cut(n, i, d)
+            first = F.greatest(cut(n, i, d) - d, F.lit(0))
+            return F.transform(F.sequence(first, F.greatest(F.least(cut(n, i, d) + d, m - size), first)), lambda p: part(m, n, i, F.substring("key", p + 1, size)))
+
+        return let(_slack(n + m, threshold), lambda d: F.flatten(F.transform(F.sequence(F.lit(0), d), lambda i: at(i, d))))
+
+    left = rest.select("key", "name", F.explode(F.array_distinct(F.flatten(F.transform(lengths(F.length("key")), of_name)))).alias("k"))
+    right = keys.select(F.col("key").alias("other"), "canonical").select("other", "canonical", F.explode(F.flatten(F.transform(lengths(F.length("other")), of_key))).alias("k"))
+    pairs = left.join(right, "k").select("key", "name", "other", "canonical").distinct()
+    near = pairs.where(F.levenshtein("key", "other") <= _slack(F.length("key") + F.length("other"), threshold))
+    found = near.withColumn("r", indel_ratio(F.col("key"), F.col("other"))).where(F.col("r") >= threshold)
+    best = found.groupBy("name").agg(F.min(F.struct((-F.col("r")).alias("less"), "other", "canonical")).alias("m")).select("name", F.col("m.canonical").alias("canonical"))
+    matched = rest.join(best, "name", "left")
+    return exact.select("name", "canonical", F.lit(False).alias("is_new")).unionByName(matched.select("name", F.coalesce("canonical", "name").alias("canonical"), F.col("canonical").isNull().alias("is_new")))
 
 
 def disjoint(domains: DataFrame, subdomains: DataFrame, roles: DataFrame, skills: DataFrame) -> dict[str, DataFrame]:

@@ -1,12 +1,13 @@
 """Weighted matching of terms over a property graph.
 
 edges(edge_id, type, src, dst) link names; has_skill(cid, skill), suitable(cid, role). A path may
-visit a node again but not use an edge twice. Reachability skill -> name by depth is worked out once,
-without candidates, so candidates join last and never fan out over hops.
+visit a node again but not use an edge twice. Walks run backwards from the names that hold a term, depth by
+depth and without candidates, so candidates join last and never fan out over hops.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 
+from .ranks import small
+
 LINKS = ("RELATED_TO", "BELONGS_TO")
 DOMAIN_LINKS = ("HAS_SUBDOMAIN", "BELONGS_TO")
 
@@ -22,15 +25,45 @@ def contains(name: object, term: object):
     return F.contains(F.lower(name), F.lower(term))
 
 
+USED = "array<struct<e:string,near:string>>"
+
+
+def step(state: DataFrame, edges: DataFrame, keys: list[str], left: int, backward: bool = False) -> DataFrame:
+    """One more edge of each walk (keys, node, used), with `left` more to come.
+
+    Of the used edges those are kept that could be used again: all while there are several steps left, before the last step
+    those that go on from the node, then none. Walks that meet in a node with the same such edges become one row, so
+    rows stay far fewer than walks.
+    """
+    near, far = ("dst", "src") if backward else ("src", "dst")
+    follow = edges.select(F.col("edge_id").alias("_e"), F.col(near).alias("_near"), F.col(far).alias("_far"))
+    out = state.join(follow, F.col("node") == F.col("_near")).where(~F.exists("used", lambda u: u["e"] == F.col("_e")))
+    moved = out.select(*keys, F.col("_far").alias("node"), F.array_append("used", F.struct(F.col("_e").alias("e"), F.col("_near").alias("near"))).alias("used"))
+    kept = F.col("used") if left > 1 else F.filter("used", lambda u: u["near"] == F.col("node")) if left else F.array().cast(USED)
+    return moved.select(*keys, "node", F.array_sort(kept).alias("used")).distinct()
+
+
 def walks(edges: DataFrame, depth: int) -> DataFrame:
     """(skill, name): what a directed walk over `depth` different edges reaches."""
-    step = edges.select("edge_id", "src", "dst")
-    out = step.select(F.col("src").alias("skill"), F.col("dst").alias("name"), F.array("edge_id").alias("used"))
-    for _ in range(depth - 1):
-        follow = step.select(F.col("edge_id").alias("_e"), F.col("src").alias("_s"), F.col("dst").alias("_d"))
-        out = out.join(follow, F.col("name") == F.col("_s")).where(~F.array_contains("used", F.col("_e")))
-        out = out.select("skill", F.col("_d").alias("name"), F.array_append("used", F.col("_e")).alias("used")).distinct()
-    return out.select("skill", "name").distinct()
+    state = edges.select(F.col("src").alias("skill"), F.col("src").alias("node"), F.array().cast(USED).alias("used")).distinct()
+    for i in range(depth):
+        state = step(state, edges, ["skill"], depth - 1 - i)
+    return state.select("skill", F.col("node").alias("name")).distinct()
+
+
+def sources(edges: DataFrame, terms: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[DataFrame]:
+    """For each depth from 1: (qid, term, skill) from which a walk over that many different edges reaches a name with the term.
+
+    Names are matched with the terms first, each name once; walks then run backwards from the few that match. `keep`
+    may store the states, as each depth goes on from the last.
+    """
+    names = edges.select(F.col("dst").alias("node")).distinct()
+    met = names.join(small(terms.select("qid", "term").distinct()), contains(F.col("node"), F.col("term")))
+    state, out = met.select("qid", "term", "node", F.array().cast(USED).alias("used")), []
+    for i in range(depth):
+        state = keep(step(state, edges, ["qid", "term"], depth - 1 - i, backward=True))
+        out.append(state.select("qid", "term", F.col("node").alias("skill")).distinct())
+    return out
 
 
 def delta(weight: float, hops: int, extra: float = 1.0) -> float:
@@ -40,43 +73,48 @@ def delta(weight: float, hops: int, extra: float = 1.0) -> float:
 def direct(has_skill: DataFrame, terms: DataFrame) -> DataFrame:
     """One hop: a skill of the candidate holds the term. Skill terms weigh 3, others 1.5."""
     names = has_skill.select("skill").distinct()
-    met = names.join(terms, contains(F.col("skill"), F.col("term")))
+    met = names.join(small(terms), contains(F.col("skill"), F.col("term")))
     gain = F.when(F.col("kind") == "skill", delta(vocab.GRAPH_DIRECT, 1)).otherwise(delta(vocab.GRAPH_RELATED, 1))
     return has_skill.join(met, "skill").select("qid", "term", "cid", F.col("skill").alias("node"), F.lit("HAS_SKILL").alias("via"), F.lit(1).alias("hops"), gain.alias("delta")).distinct()
 
 
-def reached(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, depth: int, gain: float, via: str, far: bool = False) -> DataFrame:
-    """`depth` edges beyond HAS_SKILL reach a name with the term; the node is the skill, or the far name."""
-    names = walks(edges, depth)
-    met = names.join(terms, contains(F.col("name"), F.col("term")))
-    node = F.col("name") if far else F.col("skill")
-    met = met.select("qid", "term", "skill", node.alias("node")).distinct()
-    return has_skill.join(met, "skill").select("qid", "term", "cid", "node", F.lit(via).alias("via"), F.lit(depth + 1).alias("hops"), F.lit(gain).alias("delta")).distinct()
+def _held(has_skill: DataFrame, met: DataFrame, node: str, hops: int, gain: float, via: str) -> DataFrame:
+    """Candidates that hold the skills of (qid, term, skill, ...); `node` names the column that is reported."""
+    return has_skill.join(met, "skill").select("qid", "term", "cid", F.col(node).alias("node"), F.lit(via).alias("via"), F.lit(hops).alias("hops"), F.lit(gain).alias("delta")).distinct()
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("type").isin(*LINKS))
 
 
-def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    return reached(has_skill, edges.where(F.col("type").isin(*LINKS)), terms, 1, delta(vocab.GRAPH_RELATED, 2), "RELATED_TO")
+def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, found: list[DataFrame] | None = None) -> DataFrame:
+    """Two hops: a name next to a skill holds the term; the node is the skill."""
+    return _held(has_skill, (found or sources(_linked(edges), terms, 1))[0], "skill", 2, delta(vocab.GRAPH_RELATED, 2), "RELATED_TO")
 
 
 def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    return reached(has_skill, edges.where(F.col("type").isin(*DOMAIN_LINKS)), terms, 1, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN", far=True)
+    """Two hops to a domain that holds the term; the node is the domain."""
+    own = edges.where(F.col("type").isin(*DOMAIN_LINKS)).select(F.col("src").alias("skill"), F.col("dst").alias("name")).distinct()
+    names = own.select("name").distinct().join(small(terms.select("qid", "term").distinct()), contains(F.col("name"), F.col("term")))
+    return _held(has_skill, own.join(names, "name"), "name", 2, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN")
 
 
 def role(suitable: DataFrame, terms: DataFrame) -> DataFrame:
     """One hop to a role, for role and skill terms."""
-    met = suitable.select("role").distinct().join(terms.where(F.col("kind").isin("role", "skill")), contains(F.col("role"), F.col("term")))
+    met = suitable.select("role").distinct().join(small(terms.where(F.col("kind").isin("role", "skill"))), contains(F.col("role"), F.col("term")))
     return suitable.join(met, "role").select("qid", "term", "cid", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
 
 
-def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int) -> DataFrame:
-    """Three or four hops: the weight decays once for the distance and once for the hops."""
+def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int, found: list[DataFrame] | None = None) -> DataFrame:
+    """Three or four hops: the weight decays once for the distance and once for the hops; the node is the skill."""
     gain = delta(vocab.GRAPH_RELATED, hops, vocab.GRAPH_DECAY ** (hops - 2))
-    return reached(has_skill, edges.where(F.col("type").isin(*LINKS)), terms, hops - 1, gain, f"HOP{hops}_CHAIN")
+    return _held(has_skill, (found or sources(_linked(edges), terms, hops - 1))[hops - 2], "skill", hops, gain, f"HOP{hops}_CHAIN")
 
 
-def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """All six patterns for all terms (qid, term, kind) in one plan."""
-    found = [direct(has_skill, terms), related(has_skill, edges, terms), domain(has_skill, edges, terms), role(suitable, terms), far(has_skill, edges, terms, 3), far(has_skill, edges, terms, 4)]
+def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All six patterns for all terms (qid, term, kind); the walks of three depths are made once, and stored by `keep`."""
+    walked = sources(_linked(edges), terms, 3, keep)
+    found = [direct(has_skill, terms), related(has_skill, edges, terms, walked), domain(has_skill, edges, terms), role(suitable, terms), far(has_skill, edges, terms, 3, walked), far(has_skill, edges, terms, 4, walked)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -146,3 +184,29 @@ def without_candidates(edges: DataFrame, gone: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `new`, and those of `old` under other keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def merged(old: DataFrame, batches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """MERGE of batches one after the other: a row of a later batch replaces those of its keys; of equal keys in a batch one row, the least, stays."""
+    out = old
+    for batch in batches:
+        rest = [c for c in batch.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else batch.distinct()
+        out = upsert(out, one.select(*old.columns), keys)
+    return out
+
+
+def read(relations: dict[str, DataFrame], label: str, **equal: object) -> DataFrame:
+    """Rows of a node label or an edge type whose columns have the given values: what a graph runner answers."""
+    rows = relations[label]
+    for name, value in equal.items():
+        rows = rows.where(F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name).eqNullSafe(F.lit(value)))
+    return rows
+
+
+def with_fallback(candidates: DataFrame, graph_skills: DataFrame, table_skills: DataFrame) -> DataFrame:
+    """Candidates (cid) with the graph's skills, else those of the profile table; ids are compared as text, whatever their types."""
+    one = lambda df, name: df.select(F.col("cid").cast("string").alias("_c"), F.col("skills").alias(name))
+    out = candidates.withColumn("_c", F.col("cid").cast("string")).join(one(graph_skills, "_g"), "_c", "left").join(one(table_skills, "_t"), "_c", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("skills", F.when(F.size(F.coalesce("_g", none)) > 0, F.col("_g")).otherwise(F.coalesce("_t", none))).drop("_c", "_g", "_t")

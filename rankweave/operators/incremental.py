@@ -62,3 +62,17 @@ def adjust_term_stats(df: DataFrame, removed: DataFrame, added: DataFrame) -> Da
 def touched(incoming: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Incoming rows that are new or changed."""
     return incoming.join(changes.where(F.col("change").isin("new", "changed")).select(F.col("id").alias(key)), key, "left_semi")
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of `new`, and those of `old` under other keys."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def removed(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return old.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def get_many(store: DataFrame, wanted: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """A store's rows for each wanted key; what is missing or null has its default."""
+    return wanted.select(key).join(store, key, "left").na.fill(defaults)

@@ -6,10 +6,13 @@ term_stats(term, df, idf), corpus_stats(n, avgdl), skill_postings(skill, doc_id,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
+from rankweave.functions import vocab
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -17,6 +20,27 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, term): the tokens of each text one by one, as text.bm25_tokens gives them; abbreviations come by a join with their fixed, small table."""
+    table = docs.sparkSession.createDataFrame([(k, v.split(" ")) for k, v in vocab.ABBREVIATIONS.items()], "token string, words array<string>")
+    found = docs.select(F.col(key).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9][a-z0-9+#_]*"), F.lit(0))).alias("token"))
+    return found.join(F.broadcast(table), "token", "left").select("doc_id", F.explode(F.coalesce("words", F.array("token"))).alias("term"))
+
+
+def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """All lexical relations of a text corpus; postings carry their document's length (dl) and are stored once by `store`.
+
+    Texts move once, to their document's partition; counts, lengths and later scores of a document need no other move.
+    """
+    own = docs.select(F.col(key), F.col(text)).repartition(key)
+    counted = token_rows(own, key, text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    post = store(counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))))
+    stats = post.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    n, mean = corpus_stats(docs, stats).first()
+    corpus = docs.sparkSession.createDataFrame([(n, mean)], "n long, avgdl double")
+    return {"postings": post, "doc_stats": stats, "corpus_stats": corpus, "term_stats": term_stats(post, corpus)}
+
+
 def profile_postings(profiles: DataFrame, key: str, skill_columns: list[str], text_columns: list[str]) -> DataFrame:
     """Term frequencies of profiles: skills count by their level, other text by its tokens.
 
@@ -114,3 +138,13 @@ def skill_frequency(post: DataFrame) -> DataFrame:
 def graph_stats(pairs: DataFrame, post: DataFrame) -> DataFrame:
     """Nodes, edges and total edge weight of the co-occurrence graph."""
     return post.agg(F.count_distinct("skill").alias("nodes")).crossJoin(pairs.agg(F.count("*").alias("edges"), F.coalesce(F.sum("w"), F.lit(0)).alias("weight")))
+
+
+def plain_relations(profiles: DataFrame, key: str, core: str, others: list[str], times: int = 3) -> dict[str, DataFrame]:
+    """Relations of a small index that needs no skill cells: plain tokens, those of the core column `times` over."""
+    tokens = lambda c: T.simple_tokens(F.col(c))
+    each = profiles.select(F.col(key).alias("doc_id"), F.concat(*[F.transform(tokens(core), lambda t: F.struct(t.alias("term"), F.lit(times).alias("n")))], *[F.transform(tokens(c), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))) for c in others]).alias("_t"))
+    post = each.select("doc_id", F.inline("_t")).groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+    stats = doc_stats(post)
+    corpus = corpus_stats(profiles, stats)
+    return {"postings": post, "doc_stats": stats, "corpus_stats": corpus, "term_stats": term_stats(post, corpus)}

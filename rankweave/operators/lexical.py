@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 
+from .index import term_stats
+from .ranks import small
+
 
 def query_terms(queries: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
     return queries.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
@@ -20,10 +23,19 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = vocab.K1, b: f
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def wanted_terms(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
+    """Query terms with their idf; only they are counted, so the vocabulary as a whole is not."""
+    asked = small(terms.select("term").distinct())
+    return terms.join(term_stats(index["postings"].join(asked, "term", "left_semi"), index["corpus_stats"]), "term")
+
+
+def _with_length(index: dict[str, DataFrame], hits: DataFrame) -> DataFrame:
+    return hits if "dl" in hits.columns else hits.join(index["doc_stats"], "doc_id")
+
+
 def bm25_parts(index: dict[str, DataFrame], terms: DataFrame, keys: list[str], k1: float = vocab.K1, b: float = vocab.B, delta: float = vocab.DELTA) -> DataFrame:
     """(keys, doc_id, term, part): what each query term adds to each document."""
-    wanted = terms.join(index["term_stats"], "term")
-    hits = index["postings"].join(wanted, "term").join(index["doc_stats"], "doc_id").crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))
+    hits = _with_length(index, index["postings"].join(small(wanted_terms(index, terms)), "term")).crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))
     part = F.col("n") * F.col("idf") * (saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) + delta)
     return hits.select(*keys, "doc_id", "term", part.alias("part"))
 
@@ -35,8 +47,10 @@ def bm25(index: dict[str, DataFrame], terms: DataFrame, keys: list[str], **how:
 
 def boosted_parts(index: dict[str, DataFrame], terms: DataFrame, boosts: DataFrame, core_terms: DataFrame, keys: list[str]) -> DataFrame:
     """As bm25_parts without delta: tf times the boost of (doc_id, term), idf times 1.5 for a query's core terms."""
-    wanted = terms.join(index["term_stats"], "term").join(core_terms.select(*keys, "term", F.lit(True).alias("core")), [*keys, "term"], "left")
-    hits = index["postings"].join(wanted, "term").join(boosts, ["doc_id", "term"], "left").join(index["doc_stats"], "doc_id")
+    wanted = wanted_terms(index, terms).join(core_terms.select(*keys, "term", F.lit(True).alias("core")), [*keys, "term"], "left")
+    asked = small(terms.select("term").distinct())
+    hits = index["postings"].join(small(wanted), "term").join(boosts.join(asked, "term", "left_semi"), ["doc_id", "term"], "left")
+    hits = _with_length(index, hits)
     hits = hits.crossJoin(F.broadcast(index["corpus_stats"].select(F.greatest("avgdl", F.lit(1.0)).alias("avgdl"))))
     tf = F.col("tf") * F.coalesce("boost", F.lit(1.0))
     up = F.when(F.col("core"), vocab.CORE_IDF).otherwise(1.0)
@@ -100,3 +114,32 @@ def matched_skills(wanted: DataFrame, synonyms: DataFrame, post: DataFrame) -> D
     hits = post.join(exact.unionByName(other), "skill")
     best = hits.groupBy("qid", "doc_id", "wanted").agg(F.min(F.struct("place", "skill", "weight")).alias("m"))
     return best.select("qid", "doc_id", "wanted", "m.skill", "m.weight", F.when(F.col("m.place") >= 0, F.concat(F.lit("synonym of '"), "wanted", F.lit("'"))).alias("via"))
+
+
+def with_skills(scores: DataFrame, asked: DataFrame, post: DataFrame, score: str = "score") -> DataFrame:
+    """Hits (qid, doc_id, score) with the asked skills (qid, skill) that each holds, the share of them, and the score scaled within its query."""
+    n = asked.groupBy("qid").agg(F.count_distinct("skill").alias("_n"))
+    held = asked.join(post.select("skill", "doc_id"), "skill").groupBy("qid", "doc_id").agg(F.sort_array(F.collect_set("skill")).alias("matched_skills"))
+    out = min_max(scores, ["qid"], score).join(held, ["qid", "doc_id"], "left").join(n, "qid", "left")
+    matched = F.coalesce("matched_skills", F.array().cast("array<string>"))
+    share = F.round(F.size(matched) / F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)), 3)
+    return out.withColumn("matched_skills", matched).withColumn("skill_overlap", share).drop("_n")
+
+
+def containing(docs: DataFrame, passages: DataFrame, grams: int = 4) -> DataFrame:
+    """(qid, doc_id): texts (doc_id, text) that hold a passage (qid, p) word for word.
+
+    The words within a passage, its first and last one aside, stand whole in a text that holds it, so texts meet
+    passages by equal runs of `grams` words, and pairs are then verified. A passage with fewer inner words is looked
+    for in every text; these are joined by themselves.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    run = lambda at: F.xxhash64(*[F.get("w", at + i) for i in range(grams)])
+    asked = passages.withColumn("w", words(F.col("p")))
+    enough = F.size("w") >= grams + 2
+    keys = small(asked.where(enough).select("qid", "p", run(F.lit(1)).alias("h")))
+    held = docs.withColumn("w", words(F.coalesce(F.col("text"), F.lit(""))))
+    runs = held.select("doc_id", "text", "w", F.posexplode("w").alias("at", "_first")).where(F.col("at") + grams <= F.size("w"))
+    met = runs.select("doc_id", "text", run(F.col("at")).alias("h")).join(keys, "h").where(F.contains("text", F.col("p"))).select("qid", "doc_id").distinct()
+    short = small(asked.where(~enough).select("qid", "p"))
+    return met.unionByName(docs.join(short, F.contains("text", F.col("p"))).select("qid", "doc_id"))

@@ -90,3 +90,19 @@ def reranked(pool: DataFrame, asked: DataFrame, scale: bool = False, limit: int
     for c in ("final_score", "hybrid_score", "kg_score", "alpha", "beta", "modifier_delta"):
         out = out.withColumn(c, F.round(c, 4))
     return out.drop("modifiers", "negated", "confidence")
+
+
+def from_hybrid(raw: DataFrame) -> DataFrame:
+    """The hybrid branch's nested rows (candidate_id, scores struct<primary, rrf>, ...) as flat candidates: both id names as text, the primary score unless it is empty."""
+    cid = F.col("candidate_id").cast("string")
+    first = F.col("scores.primary")
+    score = F.when(first.isNotNull() & (first != 0), first).otherwise(F.col("scores.rrf"))
+    return raw.select(cid.alias("id"), cid.alias("candidate_id"), score.alias("score"), *[c for c in raw.columns if c != "candidate_id"])
+
+
+def from_graph(raw: DataFrame) -> DataFrame:
+    """The graph branch's rows as candidates: text and list columns that are null are empty."""
+    cid = F.col("candidate_id").cast("string")
+    fill = {"string": F.lit(""), "array<string>": F.array().cast("array<string>")}
+    rest = [F.coalesce(c, fill[t]).alias(c) if t in fill else F.col(c) for c, t in raw.dtypes if c != "candidate_id"]
+    return raw.select(cid.alias("id"), cid.alias("candidate_id"), *rest)

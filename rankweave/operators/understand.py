@@ -242,6 +242,52 @@ def synonym_table(spark, groups: Sequence[Sequence[str]] = vocab.SYNONYMS) -> Da
     return spark.createDataFrame(rows, "term string, canonical string, synonym string, place int")
 
 
+def dictionary(lists: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(term, kind) of several lists (term): terms in lower case; the first list that has a term names its kind."""
+    every = None
+    for place, (kind, df) in enumerate(lists):
+        one = df.select(F.lower(F.trim("term")).alias("term"), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind")).alias("m")).where("term <> ''")
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("term").agg(F.min("m").alias("m")).select("term", "m.kind")
+
+
+def load_vocabulary(spark, path: str) -> DataFrame:
+    """(term, canonical) of a vocabulary file, JSON lines of {"term": ..., "aliases": [...]}; an alias that is a term of its own stays one."""
+    rows = spark.read.schema("term string, aliases array<string>").json(path)
+    own = rows.select(F.lower("term").alias("term"), F.lower("term").alias("canonical"), F.lit(0).alias("place"))
+    other = rows.select(F.explode("aliases").alias("a"), F.lower("term").alias("canonical")).select(F.lower("a").alias("term"), "canonical", F.lit(1).alias("place"))
+    best = own.unionByName(other).groupBy("term").agg(F.min(F.struct("place", "canonical")).alias("m"))
+    return best.select("term", F.col("m.canonical").alias("canonical"))
+
+
+def concatenated(standard: Column, related: Column) -> Column:
+    """Standard variants, then those of related technologies; a repeated one keeps its first place."""
+    return F.array_distinct(F.concat(F.coalesce(standard, _strings()), F.coalesce(related, _strings())))
+
+
+def query_skills(queries: DataFrame, known: DataFrame, tokens: Callable[[Column], Column], names: Sequence[Callable[[Column], Column]], key: str = "qid", text: str = "text") -> DataFrame:
+    """(qid, skill): tokens of a query that are, under one of the name rules, known skills."""
+    each = queries.select(key, F.explode(tokens(F.col(text))).alias("_t"))
+    made = each.select(key, F.explode(F.array(*[f(F.col("_t")) for f in names])).alias("skill")).distinct()
+    return made.join(known.select("skill").distinct(), "skill", "left_semi").select(key, "skill")
+
+
+def top_intents(scored: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
+    """(keys, intent, score, place): of hypotheses (keys, intent, score) each intent's best, and of these the k best; ties by name."""
+    best = scored.groupBy(*keys, "intent").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "intent"))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
+def judged(top: DataFrame, keys: Sequence[str], primary: float = 0.4, modifier: float = 0.3) -> DataFrame:
+    """(keys, intent, confidence, modifiers): the first intent where it reaches `primary`, else unknown at 0.5; others that reach `modifier` follow."""
+    listed = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "intent", "score"))).alias("l"))
+    first = F.get("l", F.lit(0))
+    enough = first["score"] >= primary
+    more = F.transform(F.filter(F.slice("l", 2, 2), lambda x: x["score"] >= modifier), lambda x: x["intent"])
+    return listed.select(*keys, F.when(enough, first["intent"]).otherwise("unknown").alias("intent"), F.when(enough, first["score"]).otherwise(0.5).alias("confidence"), F.when(enough, more).otherwise(F.slice(more, 1, 0)).alias("modifiers"))
+
+
 def answers(column: Column, schema: str) -> Column:
     """Fields of a service's JSON answer, code fences cut; null where it is not JSON of the schema."""
     clean = F.trim(F.regexp_replace(column, r"```(?:json)?|```", ""))

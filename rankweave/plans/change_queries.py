@@ -13,6 +13,7 @@ from rankweave.sources import io
 from rankweave.sources.io import table
 from rankweave.streaming import watch
 
+from .folders import settled
 from .search import search
 from .sql import ABBR, tokens
 
@@ -84,10 +85,10 @@ NEW_DOCS_SQL = """docs AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ||
 def _updated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Postings and document frequencies after an incremental update."""
     old, new = _documents(spark, sf)
-    tok = T.bm25_tokens(F.col("text"))
-    before = index.postings(old, "doc_id", tok)
-    changes = incremental.classify(incremental.ledger(old, "doc_id", ["text"]), incremental.ledger(new, "doc_id", ["text"]))
-    fresh = index.postings(incremental.touched(new, changes, "doc_id"), "doc_id", tok)
+    post = lambda df: index.token_rows(df, "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    before = settled(post(old))
+    changes = settled(incremental.classify(incremental.ledger(old, "doc_id", ["text"]), incremental.ledger(new, "doc_id", ["text"])))
+    fresh = settled(post(incremental.touched(new, changes, "doc_id")))
     gone = changes.where("change in ('changed', 'deleted')").select(F.col("id").alias("doc_id"))
     removed = before.join(gone, "doc_id", "left_semi")
     df = before.groupBy("term").agg(F.count("*").alias("df"))

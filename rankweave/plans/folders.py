@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The session's shared folder (spark.checkpoint.dir), or one set earlier; a temporary one only where neither exists."""
+    """The session's shared folder (spark.checkpoint.dir), or one set earlier; a temporary one only where neither exists and all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankweave-"))
     return sc.getCheckpointDir()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import explain, fusion, graph, index, lexical, rerank
+from rankweave.operators import explain, fusion, graph, index, lexical, ranks, rerank
 
 from . import encoding
 from .encoding import EDGES_SQL, HAS_SKILL_SQL, PROFILES_SQL
@@ -34,6 +34,12 @@ def _skills(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.has_skill(spark, sf).select("cid", "skill")
 
 
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Skills of candidates and stored edges; lines of quantity 40 and more make a skill (see encoding)."""
+    held = settled(encoding.has_skill(spark, sf))
+    return held.select("cid", "skill"), settled(encoding.edges(spark, sf, held))
+
+
 def skill_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 strongest holders of each skill, with their names."""
     post = encoding.skill_rows(spark, sf)
@@ -42,7 +48,7 @@ def skill_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(encoding.profiles(spark, sf).select(F.col("cid").alias("doc_id"), "name"), "doc_id", "left").select("skill", "rank", "doc_id", "weight", "name")
 
 
-SKILL_LOOKUP_SQL = f"""{HAS}, a AS (SELECT DISTINCT skill FROM hs ORDER BY skill LIMIT 5)
+SKILL_LOOKUP_SQL = f"""{HAS}, a AS (SELECT DISTINCT skill FROM hs)
 SELECT skill, CAST(rank AS INTEGER) AS rank, cid AS doc_id, weight, c_name AS name FROM (SELECT skill, cid, weight, row_number() OVER (PARTITION BY skill ORDER BY weight DESC, cid) AS rank FROM hs JOIN a USING (skill)) LEFT JOIN customer ON cid = c_custkey WHERE rank <= 50"""
 
 
@@ -99,11 +105,11 @@ def hop1_direct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hop2_related(spark: SparkSession, sf: str) -> DataFrame:
-    return _hit_columns(graph.related(_skills(spark, sf), encoding.edges(spark, sf), _terms(spark)))
+    return _hit_columns(graph.related(*_graph(spark, sf), _terms(spark)))
 
 
 def hop2_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return _hit_columns(graph.domain(_skills(spark, sf), encoding.edges(spark, sf), _terms(spark)))
+    return _hit_columns(graph.domain(*_graph(spark, sf), _terms(spark)))
 
 
 def hop1_role(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,11 +117,11 @@ def hop1_role(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hop3(spark: SparkSession, sf: str) -> DataFrame:
-    return _hit_columns(graph.far(_skills(spark, sf), encoding.edges(spark, sf), _terms(spark), 3))
+    return _hit_columns(graph.far(*_graph(spark, sf), _terms(spark), 3))
 
 
 def hop4(spark: SparkSession, sf: str) -> DataFrame:
-    return _hit_columns(graph.far(_skills(spark, sf), encoding.edges(spark, sf), _terms(spark), 4))
+    return _hit_columns(graph.far(*_graph(spark, sf), _terms(spark), 4))
 
 
 PATTERNS_SQL = f"""{TERMS_SQL},
@@ -138,7 +144,7 @@ def _hop_sql(name: str) -> str:
 def _candidates(spark: SparkSession, sf: str, held: DataFrame | None = None) -> DataFrame:
     held = settled(encoding.has_skill(spark, sf)) if held is None else held
     skills = held.select("cid", "skill")
-    found = graph.hits(skills, encoding.suitable(spark, sf), settled(encoding.edges(spark, sf, held)), _terms(spark))
+    found = graph.hits(skills, encoding.suitable(spark, sf), settled(encoding.edges(spark, sf, held)), _terms(spark), settled)
     return graph.candidates(found, skills, encoding.profiles(spark, sf), _asked(spark))
 
 
@@ -285,19 +291,74 @@ SELECT CAST(qid AS INTEGER) AS qid, id, CASE WHEN round(f, 4) >= 0.8 THEN 'top-r
 
 
 def skill_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Wanted skills that a profile has, itself or by the first of two made-up synonyms."""
-    names = encoding.skill_rows(spark, sf).select("skill").distinct()
-    ordered = names.orderBy("skill").limit(4).collect()  # the fixed query: four skills, a bounded set
-    a, b, c, d = (r[0] for r in ordered)
-    wanted = spark.createDataFrame([(1, a), (1, "made up"), (2, "other")], "qid int, skill string")
-    synonyms = spark.createDataFrame([("made up", b, 0), ("made up", c, 1), ("other", d, 0)], "term string, synonym string, place int")
-    return lexical.matched_skills(wanted, synonyms, encoding.skill_rows(spark, sf))
+    """Every skill as wanted by name, and by a made-up name that has it, after one that nobody has, as a synonym."""
+    post = encoding.skill_rows(spark, sf)
+    names = post.select("skill").distinct()
+    like = F.concat(F.lit("like "), "skill")
+    wanted = names.select(F.lit(1).alias("qid"), "skill").unionByName(names.select(F.lit(2).alias("qid"), like.alias("skill")))
+    synonyms = names.select(like.alias("term"), F.inline(F.array(F.struct(F.lit("nobody").alias("synonym"), F.lit(0).alias("place")), F.struct(F.col("skill").alias("synonym"), F.lit(1).alias("place")))))
+    return lexical.matched_skills(wanted, synonyms, post)
+
+
+SKILL_MATCHES_SQL = f"""{HAS} SELECT CAST(1 AS INTEGER) AS qid, cid AS doc_id, skill AS wanted, skill, weight, CAST(NULL AS VARCHAR) AS via FROM hs
+UNION ALL SELECT 2, cid, 'like ' || skill, skill, weight, 'synonym of ' || chr(39) || 'like ' || skill || chr(39) FROM hs"""
+
+
+def reasons_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons of each graph candidate by falling gain, then hops."""
+    skills, edges = _graph(spark, sf)
+    found = graph.scored(graph.hits(skills, encoding.suitable(spark, sf), edges, _terms(spark), settled))
+    return found.select("qid", "cid", F.posexplode("reasons").alias("place", "r")).select("qid", "cid", "place", "r.query_term", "r.matched_node", "r.hops")
+
+
+REASONS_SQL = f"""{GRAPH}, {PATTERNS_SQL} SELECT CAST(qid AS INTEGER) AS qid, cid, CAST(row_number() OVER (PARTITION BY qid, cid ORDER BY delta DESC, hops, term, node) - 1 AS INTEGER) AS place, term AS query_term, node AS matched_node, CAST(hops AS INTEGER) AS hops FROM hits"""
+
+
+def skill_names_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of core and secondary skills together."""
+    top = index.top_skills(encoding.skill_rows(spark, sf))
+    return top.select("doc_id", F.array_join(F.array_sort(F.array_union("core_names", "secondary_names")), ",").alias("names"))
+
+
+NAMES_UNION_SQL = f"""{HAS} SELECT cid AS doc_id, string_agg(skill, ',' ORDER BY skill) AS names FROM (SELECT cid, skill, row_number() OVER (PARTITION BY cid ORDER BY weight DESC, skill) AS rn FROM hs) WHERE rn <= 10 GROUP BY cid"""
+
+
+def unique_skills(spark: SparkSession, sf: str) -> DataFrame:
+    """The sorted vocabulary with places."""
+    own = settled(index.vocabulary(encoding.skill_rows(spark, sf), "skill").select("skill", F.lit(1).alias("g"), F.lit(0).alias("even")))
+    return ranks.numbered(own, ["g"], "even", "skill", "place").select("skill", "place")
+
+
+def skill_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Holders of weighted skills with the share of the query's skills that each holds, and the score within its query."""
+    post = encoding.skill_rows(spark, sf)
+    names = post.select("skill").distinct()
+    asked = names.join(_terms(spark).select("qid", "term"), F.contains("skill", F.col("term"))).select("qid", "skill").distinct()
+    scores = post.join(asked, "skill").groupBy("qid", "doc_id").agg(F.sum("weight").alias("score"))
+    found = lexical.with_skills(scores.withColumn("score", F.round("score", 4)), asked, post)
+    return found.select("qid", "doc_id", "score", F.round("normalised", 6).alias("normalised"), F.array_join("matched_skills", ",").alias("matched"), "skill_overlap")
+
+
+SEARCH_SQL = f"""{HAS}, {TERMS_SQL}, a AS (SELECT DISTINCT qid, skill FROM hs, terms WHERE contains(skill, term)), n AS (SELECT qid, count(*) AS n FROM a GROUP BY qid),
+s AS (SELECT qid, cid, round(sum(weight), 4) AS score, string_agg(skill, ',' ORDER BY skill) AS matched, count(*) AS m FROM hs JOIN a USING (skill) GROUP BY qid, cid),
+e AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM s)
+SELECT CAST(e.qid AS INTEGER) AS qid, cid AS doc_id, score, round(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END, 6) AS normalised, matched, round(m / CAST(n AS DOUBLE), 3) AS skill_overlap FROM e JOIN n ON n.qid = e.qid"""
+
+
+def hit_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of hits and the sentence that joins them."""
+    top = index.top_skills(encoding.skill_rows(spark, sf))
+    k = F.col("doc_id")
+    core, other = (F.filter(c, lambda s: F.contains(s, F.lit("e"))) for c in ("core_names", "secondary_names"))
+    band = F.when(k % 2 == 0, F.lit("senior"))
+    reasons = fusion.signals(core, other, (k % 7 / 10).cast("double"), (k % 10 / 10).cast("double"), band, F.when(k % 3 > 0, (k % 9).cast("double")))
+    return top.select("doc_id", fusion.why(reasons).alias("why"))
 
 
-SKILL_MATCHES_SQL = f"""{HAS}, n AS (SELECT skill, row_number() OVER (ORDER BY skill) AS i FROM (SELECT DISTINCT skill FROM hs)),
-w AS (SELECT 1 AS qid, skill AS wanted, skill, -1 AS place FROM n WHERE i = 1 UNION ALL SELECT 1, 'made up', skill, CAST(i - 2 AS INTEGER) FROM n WHERE i IN (2, 3) UNION ALL SELECT 2, 'other', skill, 0 FROM n WHERE i = 4),
-r AS (SELECT qid, cid AS doc_id, wanted, skill, weight, place, row_number() OVER (PARTITION BY qid, cid, wanted ORDER BY place) AS k FROM hs JOIN w USING (skill))
-SELECT qid, doc_id, wanted, skill, weight, CASE WHEN place >= 0 THEN 'synonym of ''' || wanted || '''' END AS via FROM r WHERE k = 1"""
+HIT_REASONS_SQL = f"""{HAS}, t AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY weight DESC, skill) AS rn FROM hs QUALIFY rn <= 10),
+g AS (SELECT cid, string_agg(skill, ', ' ORDER BY rn) FILTER (WHERE weight >= 1.2 AND contains(skill, 'e')) AS c, string_agg(skill, ', ' ORDER BY rn) FILTER (WHERE weight < 1.2 AND contains(skill, 'e')) AS o FROM t GROUP BY cid)
+SELECT cid AS doc_id, coalesce(nullif(concat_ws(' | ', 'Core skill match: ' || c, 'Secondary skill match: ' || o, CASE WHEN cid % 7 > 0 THEN printf('Keyword relevance (BM25=%.3f)', cid % 7 / 10.0::DOUBLE) END,
+  CASE WHEN cid % 10 > 5 THEN printf('Semantic similarity (cos=%.3f)', cid % 10 / 10.0::DOUBLE) END, CASE WHEN cid % 2 = 0 THEN 'Experience band ' || chr(39) || 'senior' || chr(39) || ' — candidate has ' || CAST(CASE WHEN cid % 3 > 0 THEN cid % 9 ELSE 0 END AS VARCHAR) || '.0 yrs' END), ''), 'General profile relevance') AS why FROM g"""
 
 QUERIES = {
     "skill_lookup": (skill_lookup, SKILL_LOOKUP_SQL),
@@ -306,6 +367,11 @@ QUERIES = {
     "related_skills": (related_skills, f"{HAS}, {EDGES_SQL} SELECT s1 AS src, s2 AS dst, w, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY w DESC, s2) AS rn FROM co) WHERE rn <= 3"),
     "graph_stats": (graph_stats, f"{HAS}, {EDGES_SQL} SELECT (SELECT count(DISTINCT skill) FROM hs) AS nodes, count(*) AS edges, CAST(sum(w) AS BIGINT) AS weight FROM co WHERE s1 < s2"),
     "skill_frequency": (skill_frequency, f"{HAS} SELECT skill, count(DISTINCT cid) AS profiles FROM hs GROUP BY skill"),
+    "reasons_sorted": (reasons_sorted, REASONS_SQL),
+    "skill_names_union": (skill_names_union, NAMES_UNION_SQL),
+    "unique_skills": (unique_skills, f"{HAS} SELECT skill, CAST(row_number() OVER (ORDER BY skill) AS INTEGER) AS place FROM (SELECT DISTINCT skill FROM hs)"),
+    "skill_search": (skill_search, SEARCH_SQL),
+    "hit_reasons": (hit_reasons, HIT_REASONS_SQL),
     "skill_matches": (skill_matches, SKILL_MATCHES_SQL),
     "node_counts": (node_counts, f"{HAS} SELECT 'Skill' AS label, count(DISTINCT skill) AS n FROM hs UNION ALL SELECT 'Candidate', count(DISTINCT c_custkey) FROM customer UNION ALL SELECT 'Role', count(DISTINCT c_mktsegment) FROM customer"),
     "experience_filter": (experience_filter, EXPERIENCE_SQL),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.functions import vocab
-from rankweave.operators import dense, fusion, index, lexical, metrics
+from rankweave.operators import dense, fusion, incremental, index, lexical, metrics, understand
 from rankweave.sources.io import table
 
 from . import encoding
@@ -29,9 +30,11 @@ VARIANTS = [
 SKILL_QUERIES = [(1, "blue anvil", "blue anvil"), (2, "red bolt green", "red bolt"), (3, "anvil", "zzz")]
 
 
+DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
 def _corpus(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return index.build(docs, "doc_id", T.bm25_tokens(F.col("text")))
+    return index.build_texts(table(spark, sf, "documents"), "doc_id", "text", settled)
 
 
 def _benchmark_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +116,69 @@ def matched_keywords(spark: SparkSession, sf: str) -> DataFrame:
 MATCHED_SQL = """SELECT CAST(qid AS INTEGER) AS qid, doc_id, term, c AS contribution FROM (SELECT p.qid, p.doc_id, term, round(round(part / most, 4), 3) AS c FROM parts p JOIN agg a ON a.qid = p.qid AND a.doc_id = p.doc_id) WHERE c > 0"""
 
 
+def keywords_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Query words of each hit by falling contribution."""
+    return _aggregated(spark, sf).select("qid", "doc_id", F.posexplode("keywords").alias("place", "k")).select("qid", "doc_id", "place", "k.term")
+
+
+RANKED_SQL = """SELECT CAST(qid AS INTEGER) AS qid, doc_id, CAST(row_number() OVER (PARTITION BY qid, doc_id ORDER BY c DESC, term) - 1 AS INTEGER) AS place, term FROM (SELECT p.qid, p.doc_id, term, round(part / most, 4) AS c FROM parts p JOIN agg a ON a.qid = p.qid AND a.doc_id = p.doc_id) WHERE c > 0"""
+
+
+def top_intents(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen vectors as hypotheses of their label's intent: the three best intents of every vector, and what they decide."""
+    rows = _vectors(spark, sf)
+    asked = rows.where("doc_id < 16").select(F.concat(F.lit("intent"), "label").alias("intent"), F.col("vec").alias("qvec"))
+    top = understand.top_intents(dense.scores(asked, rows.select("doc_id", "vec")), ["doc_id"])
+    said = understand.judged(top, ["doc_id"]).select("doc_id", F.col("intent").alias("said"), F.array_join("modifiers", ",").alias("modifiers"))
+    return top.join(said, "doc_id").select("doc_id", "place", "intent", F.round("score", PLACES).alias("score"), "said", "modifiers")
+
+
+INTENTS_SQL = f"""WITH h AS (SELECT b.vec_id AS doc_id, 'intent' || a.label AS intent, max({DOT}) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 16 GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent) AS place FROM h QUALIFY place <= 3),
+j AS (SELECT doc_id, CASE WHEN max(score) FILTER (WHERE place = 1) >= 0.4::DOUBLE THEN max(intent) FILTER (WHERE place = 1) ELSE 'unknown' END AS said,
+  CASE WHEN max(score) FILTER (WHERE place = 1) >= 0.4::DOUBLE THEN coalesce(string_agg(intent, ',' ORDER BY place) FILTER (WHERE place > 1 AND score >= 0.3::DOUBLE), '') ELSE '' END AS modifiers FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(place AS INTEGER) AS place, intent, round(score, 6) AS score, said, modifiers FROM t JOIN j USING (doc_id)"""
+
+
+def encoded_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names by an injected encoder, as documents and, with a prefix, as queries."""
+    encoder = lambda texts: np.array([[len(t), t.count("e"), 1.0] for t in texts])
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    both = dense.encode(dense.encode(parts, "p_name", encoder), "p_name", encoder, prefix="query: ", out="asked")
+    return both.select("p_partkey", *[F.round(F.get(v, F.lit(i)), PLACES).alias(f"{v}{i}") for v in ("vec", "asked") for i in range(3)])
+
+
+ENCODED_SQL = """WITH r AS (SELECT p_partkey, CAST(length(p_name) AS DOUBLE) AS n, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS DOUBLE) AS e FROM part)
+SELECT p_partkey, round(n / sqrt(n * n + e * e + 1), 6) AS vec0, round(e / sqrt(n * n + e * e + 1), 6) AS vec1, round(1 / sqrt(n * n + e * e + 1), 6) AS vec2, round((n + 7) / sqrt((n + 7) * (n + 7) + (e + 1) * (e + 1) + 1), 6) AS asked0,
+  round((e + 1) / sqrt((n + 7) * (n + 7) + (e + 1) * (e + 1) + 1), 6) AS asked1, round(1 / sqrt((n + 7) * (n + 7) + (e + 1) * (e + 1) + 1), 6) AS asked2 FROM r"""
+
+
+def vector_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors removed, appended, and some of them asked for by id."""
+    rows = _vectors(spark, sf).select("doc_id", "vec")
+    kept = incremental.removed(rows, rows.where("doc_id % 5 = 0"), "doc_id")
+    more = incremental.upserted(kept, rows.where("doc_id % 7 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "vec"), "doc_id")
+    wanted = rows.where("doc_id % 3 = 0").select("doc_id").unionByName(rows.where("doc_id % 21 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id")))
+    return incremental.get_many(more, wanted, "doc_id", {}).select("doc_id", F.get("vec", F.lit(0)).cast("double").alias("first"))
+
+
+UPKEEP_SQL = """SELECT vec_id AS doc_id, CAST(CASE WHEN vec_id % 5 <> 0 THEN embedding[1] END AS DOUBLE) AS first FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE vec_id % 21 = 0"""
+
+
+def plain_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the small index without skill cells: core skills count three times."""
+    top = index.top_skills(encoding.skill_rows(spark, sf)).join(encoding.suitable(spark, sf).select(F.col("cid").alias("doc_id"), "role"), "doc_id")
+    rows = top.select("doc_id", F.array_join("core_names", " ").alias("core"), F.array_join("secondary_names", " ").alias("secondary"), "role")
+    found = index.plain_relations(rows, "doc_id", "core", ["secondary", "role"])
+    return found["term_stats"].join(found["postings"].groupBy("term").agg(F.sum("tf").alias("total")), "term").select("term", "df", F.round("idf", PLACES).alias("idf"), "total")
+
+
+PLAIN_SQL = f"""WITH {encoding.HAS_SKILL_SQL}, t AS (SELECT cid, unnest(string_split(skill, ' ')) AS w, CASE WHEN weight >= 1.2 THEN 3 ELSE 1 END AS n FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY weight DESC, skill) AS rn FROM hs) WHERE rn <= 10
+  UNION ALL SELECT DISTINCT cid, lower(c_mktsegment), 1 FROM hs JOIN customer ON cid = c_custkey),
+d AS (SELECT count(DISTINCT cid) AS docs FROM hs)
+SELECT lower(w) AS term, count(DISTINCT cid) AS df, round(ln((docs - count(DISTINCT cid) + 0.5::DOUBLE) / (count(DISTINCT cid) + 0.5::DOUBLE) + 1), 6) AS idf, CAST(sum(n) AS BIGINT) AS total FROM t, d WHERE length(w) > 1 GROUP BY lower(w), docs"""
+
+
 def variant_top5(spark: SparkSession, sf: str) -> DataFrame:
     """The five best positive hits of each variant."""
     terms = lexical.query_terms(_variants(spark), T.bm25_tokens(F.col("query")), ["qid", "query", "strategy"])
@@ -177,7 +243,6 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.top_k(queries, rows.select("doc_id", "vec"), TOP, places=PLACES).select("qid", "rank", "doc_id", "score")
 
 
-DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 DENSE_SQL = f"""SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
 SELECT a.vec_id AS qid, b.vec_id AS doc_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10"""
 
@@ -188,11 +253,11 @@ def dense_weighted_avg(spark: SparkSession, sf: str) -> DataFrame:
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("strategy")) for i, s in enumerate(("original", "related_tech", "template"))]))
     asked = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), shift.alias("s")).select("qid", "s.i", "s.strategy")
     queries = asked.join(rows.select(F.col("doc_id").alias("v"), F.col("vec").alias("qvec")), F.col("v") == F.col("qid") + F.col("i")).select("qid", "strategy", "qvec")
-    parts = dense.variant_weights(dense.scores(queries, rows.select("doc_id", "vec")))
-    return dense.weighted_mean(parts, ["qid"]).select("qid", "doc_id", F.round("score", PLACES).alias("score"))
+    found = dense.scores(dense.weighted_query(dense.variant_weights(queries), ["qid"]), rows.select("doc_id", "vec"))
+    return found.select("qid", "doc_id", F.round(dense.clipped(F.col("score")), PLACES).alias("score"))
 
 
-WEIGHTED_SQL = f"""WITH s(i, w) AS (VALUES (0, 1.0::DOUBLE), (1, 1.2::DOUBLE), (2, 0.6::DOUBLE)), q AS (SELECT vec_id AS qid, i, w FROM embeddings, s WHERE vec_id % 100 = 0)
+WEIGHTED_SQL = f"""WITH s(i, w) AS (VALUES (0, 1.0::DOUBLE), (1, 1.2::DOUBLE), (2, 0.6::DOUBLE)), q AS (SELECT vec_id AS qid, i, w FROM embeddings, s WHERE vec_id % 50 = 0)
 SELECT qid, b.vec_id AS doc_id, round(greatest(0, least(1, sum(w * {DOT}) / sum(w))), 6) AS score FROM q JOIN embeddings a ON a.vec_id = qid + i, embeddings b GROUP BY qid, b.vec_id"""
 
 
@@ -224,7 +289,7 @@ def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
     lexical_ = _aggregated(spark, sf).select("qid", "doc_id", F.round("score", PLACES).alias("bm25"))
     queries = _variants(spark).select("qid").distinct().join(rows.select((F.col("doc_id") + 1).alias("qid"), F.col("vec").alias("qvec")), "qid")
     both = dense.scores(queries, rows).join(lexical_, ["qid", "doc_id"], "left")
-    return both.select("qid", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))), PLACES).alias("dense"))
+    return settled(both.select("qid", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.round(dense.clipped(F.col("score")), PLACES).alias("dense")))
 
 
 HYBRID_SQL = f"""hy AS (SELECT q.qid, b.vec_id AS doc_id, round(coalesce(agg.score, 0), 6) AS bm25, round(greatest(0, least(1, {DOT})), 6) AS dense
@@ -255,9 +320,8 @@ SELECT CAST(qid AS INTEGER) AS qid, CAST(rank AS INTEGER) AS rank, doc_id, fused
 def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 against the documents that hold a passage word for word."""
     found = bm25_plus_topk(spark, sf).select(F.col("item_id").alias("qid"), "doc_id", "rank")
-    # A passage is found by its first 40 characters first: an equi join on windows would be larger than this small query set.
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("p"))
-    relevant = table(spark, sf, "documents").join(F.broadcast(passages), F.contains(F.col("text"), F.col("p"))).select("qid", "doc_id")
+    relevant = lexical.containing(table(spark, sf, "documents").select("doc_id", "text"), passages)
     per = metrics.retrieval_metrics(found, relevant, TOP)
     return per.select("qid", *[F.round(c, 5).alias(c) for c in ("p_at_k", "r_at_k", "ap", "rr", "ndcg")])
 
@@ -284,10 +348,15 @@ QUERIES = {
     "term_stats": (term_stats, f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "corpus_stats": (corpus_stats, f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary FROM corpus"),
     "bm25_plus_topk": (bm25_plus_topk, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"),
-    "term_matches": (term_matches, f"WITH {INDEX}, {QUERY_TERMS_SQL} SELECT item_id, doc_id, count(*) AS n, min(term) AS first FROM post JOIN qt USING (term) GROUP BY item_id, doc_id HAVING count(*) >= 12"),
-    "bm25_normalized": (bm25_normalized, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL.replace('round(sum(', '(sum(').replace('), 6) AS score', ')) AS score')}, e AS (SELECT item_id, min(score) AS lo, max(score) AS hi FROM s WHERE item_id < 10 GROUP BY item_id) SELECT item_id, count(*) AS hits, round(avg(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END), 4) AS mean, max(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END) AS most FROM s JOIN e USING (item_id) GROUP BY item_id"),
+    "term_matches": (term_matches, f"WITH {INDEX}, {QUERY_TERMS_SQL} SELECT item_id, doc_id, count(*) AS n, min(term) AS first FROM post JOIN qt USING (term) GROUP BY item_id, doc_id"),
+    "bm25_normalized": (bm25_normalized, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL.replace('round(sum(', '(sum(').replace('), 6) AS score', ')) AS score')}, e AS (SELECT item_id, min(score) AS lo, max(score) AS hi FROM s GROUP BY item_id) SELECT item_id, count(*) AS hits, round(avg(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END), 4) AS mean, max(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END) AS most FROM s JOIN e USING (item_id) GROUP BY item_id"),
     "bm25_variant_agg": (bm25_variant_agg, f"WITH {INDEX}, {VARIANTS_SQL} SELECT CAST(qid AS INTEGER) AS qid, doc_id, round(score, 6) AS score FROM agg"),
     "matched_keywords": (matched_keywords, f"WITH {INDEX}, {VARIANTS_SQL} {MATCHED_SQL}"),
+    "keywords_ranked": (keywords_ranked, f"WITH {INDEX}, {VARIANTS_SQL} {RANKED_SQL}"),
+    "top_intents": (top_intents, INTENTS_SQL),
+    "encoded_vectors": (encoded_vectors, ENCODED_SQL),
+    "vector_upkeep": (vector_upkeep, UPKEEP_SQL),
+    "plain_index": (plain_index, PLAIN_SQL),
     "variant_top5": (variant_top5, f"WITH {INDEX}, {VARIANTS_SQL}, {TOP5_SQL}"),
     "bm25_boosted_topk": (bm25_boosted_topk, BOOSTED_SQL),
     "dense_topk": (dense_topk, DENSE_SQL),

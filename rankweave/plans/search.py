@@ -28,12 +28,13 @@ def ask(spark: SparkSession, queries: DataFrame, profile: dict[str, DataFrame],
     parts = lexical.boosted_parts(profile, terms, lexical.skill_boosts(profile["top"]), words.crossJoin(F.broadcast(variants.select("query", "strategy").distinct())), ["qid", "query", "strategy"])
     lexical_ = lexical.over_variants(parts).withColumn("score", F.round("score", 6))
     if "vectors" in profile:
-        similar = dense.weighted_mean(dense.variant_weights(dense.scores(profile["query_vectors"], profile["vectors"])), ["qid"]).withColumnRenamed("score", "dense")
+        asked = dense.weighted_query(dense.variant_weights(profile["query_vectors"]), ["qid"])
+        similar = dense.scores(asked, profile["vectors"]).select("qid", "doc_id", dense.clipped(F.col("score")).alias("dense"))
         both = lexical_.withColumnRenamed("score", "bm25").join(similar, ["qid", "doc_id"], "full_outer").na.fill(0.0, ["bm25", "dense"])
         weights = {"bm25": vocab.ALPHA_BM25, "dense": vocab.ALPHA_DENSE}
     else:
         both, weights = lexical_.withColumnRenamed("score", "bm25").withColumn("dense", F.lit(0.0)), {"bm25": vocab.ALPHA_BM25}
-    fused = fusion.reciprocal_ranks(both, weights).join(profile["top"], "doc_id", "left").join(profile["profiles"].select(F.col("cid").alias("doc_id"), "years"), "doc_id", "left")
+    fused = fusion.reciprocal_ranks(settled(both), weights).join(profile["top"], "doc_id", "left").join(profile["profiles"].select(F.col("cid").alias("doc_id"), "years"), "doc_id", "left")
     asked = parsed.select("qid", "skills", "negated", F.col("years").alias("wanted"), "band", "intent")
     fused = fused.join(asked, "qid")
     names = F.array_union(F.coalesce("core_names", F.array().cast("array<string>")), F.coalesce("secondary_names", F.array().cast("array<string>")))
@@ -45,7 +46,7 @@ def ask(spark: SparkSession, queries: DataFrame, profile: dict[str, DataFrame],
 
     listed = variants.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("ord", "query", "strategy"))).alias("l")).select("qid", F.transform("l", lambda v: F.struct(v["query"], v["strategy"])).alias("queries"))
     wanted = graph.collect_terms(parsed.select("qid", "skills", "role", "band", "negated").join(listed, "qid"))
-    found = graph.hits(profile["has_skill"], profile["suitable"], profile["edges"], wanted)
+    found = graph.hits(profile["has_skill"], profile["suitable"], profile["edges"], settled(wanted), settled)
     conditions = parsed.select("qid", T.years(F.col("years")).alias("wanted"), "band", "negated")
     reached = graph.candidates(found, profile["has_skill"], profile["profiles"], conditions)
     branch = reached.select("qid", F.col("cid").alias("id"), "score", "core_skills", "matched_terms", "years", "roles", "reasons")

@@ -254,25 +254,15 @@ def typos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    terms = words.select("term", F.crc32(F.col("term")).alias("place"))
-    return fuzzy.fuzzy_match(typos(spark, sf), terms)
+    """The nearest word of part names for each token; ties go to the word of the smallest part."""
+    words = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.min("p_partkey").alias("place"))
+    return fuzzy.fuzzy_match(typos(spark, sf), words)
 
 
-FUZZY_SQL = """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
+FUZZY_SQL = """WITH w AS (SELECT term, min(p_partkey) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) GROUP BY term),
 t AS (SELECT DISTINCT unnest([term, substr(term, 2), substr(term, 1, length(term) - 1) || 'x', substr(term, 1, 2) || 'q' || substr(term, 3)]) AS token FROM w),
-p AS (SELECT token, term, levenshtein(token, term) AS dist FROM t, w WHERE length(token) >= 3 AND levenshtein(token, term) <= 2),
-r AS (SELECT *, min(dist) OVER (PARTITION BY token) AS best FROM p WHERE 1 - dist / CAST(greatest(length(token), length(term)) AS DOUBLE) >= CAST(0.7 AS DOUBLE))
-SELECT token, min(CAST(dist AS INTEGER)) AS dist, count(*) AS ties FROM r WHERE dist = best GROUP BY token"""
-
-
-def fuzzy_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """The distance to, and the number of, the nearest words of each token."""
-    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    found = fuzzy.fuzzy_match(typos(spark, sf), words.select("term", F.crc32(F.col("term")).alias("place")))
-    pairs = found.select("token", F.col("dist").alias("best")).crossJoin(F.broadcast(words)).where(F.levenshtein("token", "term") == F.col("best"))
-    close = pairs.where(1.0 - F.col("best") / F.greatest(F.length("token"), F.length("term")) >= vocab.FUZZY_RATIO)
-    return close.groupBy("token").agg(F.min("best").alias("dist"), F.count("*").alias("ties"))
+p AS (SELECT token, term, place, levenshtein(token, term) AS dist FROM t, w WHERE length(token) >= 3 AND levenshtein(token, term) <= 2)
+SELECT token, term, CAST(dist AS INTEGER) AS dist FROM p WHERE 1 - dist / CAST(greatest(length(token), length(term)) AS DOUBLE) >= CAST(0.7 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, place, term) = 1"""
 
 
 def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,7 +347,7 @@ QUERIES = {
     "synonym_expand": (synonym_expand, SYNONYM_SQL),
     "template_expand": (template_expand, TEMPLATE_SQL),
     "negation_spans": (negation_spans, NEGATION_SPANS_SQL),
-    "fuzzy_distance": (fuzzy_distance, FUZZY_SQL),
+    "fuzzy_match": (fuzzy_match, FUZZY_SQL),
     "spell_correct": (spell_correct, SPELL_SQL),
     "canonical_match": (canonical_match, CANONICAL_SQL),
     "disjoint_levels": (disjoint_levels, DISJOINT_SQL),

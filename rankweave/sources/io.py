@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,19 @@ class Locations:
     index: str
     profiles: str
 
+    @classmethod
+    def of(cls, settings: Mapping[str, str], home: str) -> Locations:
+        """From settings INDEX_DIR and PROFILES_PATH, else below a home folder."""
+        return cls(settings.get("INDEX_DIR") or f"{home}/index", settings.get("PROFILES_PATH") or f"{home}/profiles")
+
+
+def settings_file(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of a file of NAME=value lines; comments and other lines are left out, the last of a name counts."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.ltrim(F.col("value"), F.lit("\ufeff")), r"\r?\n")).alias("at", "line"))
+    line = F.trim("line")
+    own = lines.where((line != "") & ~F.startswith(line, F.lit("#")) & F.contains(line, F.lit("="))).select("at", F.trim(F.substring_index(line, "=", 1)).alias("name"), F.trim(F.substring(line, F.instr(line, "=") + 1, F.length(line))).alias("value"))
+    return own.groupBy("name").agg(F.max_by("value", "at").alias("value"))
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -97,32 +111,44 @@ def append_new(found: DataFrame, known: DataFrame, path: str) -> None:
     new.select(F.concat(F.lit("* "), "name").alias("value")).write.mode("append").text(path)
 
 
-def save_index(relations: dict[str, DataFrame], path: str, info: dict | None = None) -> int:
-    """Write all relations as a new version, then point the manifest at it; readers see the old or the new version whole."""
-    spark = next(iter(relations.values())).sparkSession
-    old = manifest(spark, path)
-    version = (old["version"] if old else 0) + 1
-    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
-    for name, df in relations.items():
-        df.write.parquet(f"{path}/{folder}/{name}")
-    body = json.dumps({"version": version, "folder": folder, "relations": sorted(relations), "info": info or {}})
-    jvm = spark.sparkContext._jvm
-    fs, where = _files(spark, f"{path}/manifest.json")
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest-{folder}.json")
+def _written(spark: SparkSession, path: str, body: str) -> bool:
+    """A new small file that appears whole or, where one of that name is there already, not at all."""
+    fs, where = _files(spark, path)
+    temporary = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     stream = fs.create(temporary, True)
     stream.write(bytearray(body.encode()))
     stream.close()
-    fs.delete(where, False)
-    if not fs.rename(temporary, where):
-        raise OSError(f"{path}: the manifest could not be published")
+    done = not fs.exists(where) and fs.rename(temporary, where)
+    if not done:
+        fs.delete(temporary, False)
+    return done
+
+
+def save_index(relations: dict[str, DataFrame], path: str, info: dict | None = None, append: dict[str, DataFrame] | None = None, kind: str = "parquet") -> int:
+    """Write all relations as a new version, then publish its manifest; readers see the old or the new version whole.
+
+    Manifests carry their version in their names and are never replaced; the last one counts. `append` adds
+    rows to relations of the version before without writing those again.
+    """
+    spark = next(iter((relations or append).values())).sparkSession
+    old = manifest(spark, path) or {"version": 0, "relations": {}}
+    version = old["version"] + 1
+    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+    held = {}
+    for name, df in (relations | (append or {})).items():
+        df.write.format(kind).option("header", True).save(f"{path}/{folder}/{name}")
+        held[name] = (old["relations"].get(name, []) if append and name in append else []) + [folder]
+    kept = {n: f for n, f in old["relations"].items() if append and n not in held}
+    if not _written(spark, f"{path}/manifest-{version:010d}.json", json.dumps({"version": version, "relations": kept | held, "kind": kind, "info": info or {}})):
+        raise OSError(f"{path}: version {version} has been published by another writer")
     return version
 
 
 def manifest(spark: SparkSession, path: str) -> dict | None:
-    where = f"{path}/manifest.json"
-    if not exists(spark, where):
-        return None
-    return json.loads(spark.read.text(where, wholetext=True).first()[0])
+    """The last published manifest."""
+    fs, where = _files(spark, f"{path}/manifest-*.json")
+    found = sorted(str(f.getPath().toString()) for f in (fs.globStatus(where) or []))
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) if found else None
 
 
 def load_index(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -130,7 +156,11 @@ def load_index(spark: SparkSession, path: str, schemas: dict[str, str] | None =
     found = manifest(spark, path)
     if found is None:
         raise FileNotFoundError(f"{path}: no index")
-    out = {name: spark.read.parquet(f"{path}/{found['folder']}/{name}") for name in found["relations"]}
+    def read(name: str, folders: list[str]) -> DataFrame:
+        paths = [f"{path}/{folder}/{name}" for folder in folders]
+        return spark.read.parquet(*paths) if found["kind"] == "parquet" else spark.read.csv(paths, header=True, schema=(schemas or {})[name])
+
+    out = {name: read(name, folders) for name, folders in found["relations"].items()}
     return out | {name: spark.createDataFrame([], s) for name, s in (schemas or {}).items() if name not in out}
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.functions import vocab
-from rankweave.operators import dense, explain, fuzzy, graph, index, lexical, metrics, rerank, understand
+from rankweave.operators import dense, explain, fuzzy, graph, index, lexical, metrics, ranks, rerank, understand
 
 
 def test_encode_with_prefix(spark):
@@ -105,11 +106,105 @@ def test_metrics(spark):
     assert metrics.accuracy(results, "qid", "rank").first()["accuracy"] == 0.25
 
 
-def test_indel_ratio():
-    import pandas as pd
-
-    a, b = pd.Series(["kitten", "", "ab"]), pd.Series(["sitting", "", "cd"])
-    assert np.allclose(fuzzy.indel_ratio(a, b), [200 * 4 / 13, 100, 0])
+def test_indel_ratio(spark):
+    rows = spark.createDataFrame([("kitten", "sitting", 200 * 4 / 13), ("", "", 100.0), ("ab", "cd", 0.0), ("", "x", 0.0)], "a string, b string, want double")
+    for r in rows.select("want", fuzzy.indel_ratio(F.col("a"), F.col("b")).alias("got")).collect():
+        assert abs(r["got"] - r["want"]) < 1e-9
+
+
+def test_canonical_match_against_all_pairs(spark):
+    """Repetitive names, names that differ by several characters, and names of all short lengths."""
+    rng, alphabet = np.random.default_rng(8), "ab c"
+    canon = {"a" * 50, "abc" * 12, "x", "xy", "cloud infrastructure engineering", *("".join(rng.choice(list(alphabet), rng.integers(2, 24))).strip() or "z" for _ in range(40))}
+    names = {"a" * 49, "a" * 41, "abc" * 12 + "b", "cab" + "abc" * 11, "XY", "cloud infra structure enginering"}
+    for c in canon:
+        for _ in range(2):
+            x = list(c)
+            for _ in range(rng.integers(1, 4)):
+                if rng.random() < 0.5 and len(x) > 1:
+                    del x[rng.integers(len(x))]
+                else:
+                    x.insert(rng.integers(len(x) + 1), str(rng.choice(list("abcz"))))
+            names.add("".join(x).strip() or "q")
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y):
+                up = row[j + 1]
+                row[j + 1] = last + 1 if c == d else max(up, row[j])
+                last = up
+        return row[-1]
+
+    want = {}
+    for n in names:
+        key = n.lower()
+        if key in canon:
+            want[n] = (key, False)
+            continue
+        near = [(-200 * common(key, c) / (len(key) + len(c)), c) for c in canon if 200 * common(key, c) / (len(key) + len(c)) >= 90 - 1e-9]
+        want[n] = (min(near)[1], False) if near else (n, True)
+    got = fuzzy.canonical_match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(c, c) for c in canon], "key string, name string"))
+    assert {r["name"]: (r["canonical"], r["is_new"]) for r in got.collect()} == want
+
+
+def test_numbers_over_a_whole_group(spark):
+    """As a window numbers them, with many ties, several groups, and sides too large to broadcast."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 5 > 0, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(40)).cast("double")).alias("s")).repartition(5).cache()
+    want = lexical.top_k(rows.withColumnRenamed("id", "doc_id"), ["g"], 10_000, "s").select("g", "doc_id", "rank")
+    for most in (ranks.MOST_ROWS, 1):
+        got = ranks.numbered(rows, ["g"], "s", "id", "n", cuts=8, most=most)
+        assert sorted(map(tuple, got.select("g", "id", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert ranks.numbered(rows.where("false"), ["g"], "s", "id", "n").count() == 0
+
+
+def test_passages_in_texts(spark):
+    docs = spark.createDataFrame([(1, "xx one two three four five six yy"), (2, "one two three four five"), (3, None), (4, "a shortone"), (5, "one two three four fiveX six")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "ne two three four five six"), (2, "short"), (3, "one two three four five si"), (4, "one two  three four five six")], "qid int, p string")
+    assert {tuple(r) for r in lexical.containing(docs, asked).collect()} == {(1, 1), (2, 4), (3, 1)}
+
+
+def test_walks_run_backwards_as_forwards(spark):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(str(i), "RELATED_TO", f"n{a}", f"n{b}") for i, (a, b) in enumerate(rng.integers(0, 7, (24, 2)))], "edge_id string, type string, src string, dst string")
+    terms = spark.createDataFrame([(1, "n1", "skill"), (2, "n", "skill")], "qid int, term string, kind string")
+    listed = [(r["edge_id"], r["src"], r["dst"]) for r in edges.collect()]
+    paths = [[e] for e in listed]
+    for depth, found in enumerate(graph.sources(edges, terms, 3), 1):
+        pairs = {(p[0][1], p[-1][2]) for p in paths}
+        assert {tuple(r) for r in graph.walks(edges, depth).collect()} == pairs
+        assert {tuple(r) for r in found.collect()} == {(q, t, s) for q, t in ((1, "n1"), (2, "n")) for s, n in pairs if t in n}
+        paths = [[*p, e] for p in paths for e in listed if e[1] == p[-1][2] and e not in p]
+
+
+def test_no_encoder_is_an_error(spark):
+    with pytest.raises(ValueError, match="encoder"):
+        dense.encode(spark.range(1), "id", None)
+
+
+def test_query_blocks(spark):
+    """A query batch over the bound is scored in blocks, with the same result."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "doc_id long, vec array<double>")
+    queries = rows.select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"), F.lit(2.0).alias("w"))
+    one, many = (sorted((r["qid"], r["doc_id"], round(r["score"], 9)) for r in dense.scores(queries.drop("w"), rows, most=m).collect()) for m in (1 << 20, 500))
+    assert one == many and len(one) == 2500
+    mean = dense.weighted_query(queries.withColumn("qid", F.col("qid") % 5), ["qid"])
+    parts = dense.scores(queries.withColumn("qid", F.col("qid") % 5), rows)
+    a = {(r["qid"], r["doc_id"]): r["score"] for r in dense.weighted_mean(parts, ["qid"]).collect()}
+    b = {(r["qid"], r["doc_id"]): r["s"] for r in dense.scores(mean, rows).withColumn("s", dense.clipped(F.col("score"))).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_vocabulary_file(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.createDataFrame([("Kubernetes", ["k8s", "kube"]), ("Go", ["golang"]), ("kube", ["k8s"])], "term string, aliases array<string>").write.json(path)
+    found = understand.load_vocabulary(spark, path)
+    assert {tuple(r) for r in found.collect()} == {("kubernetes", "kubernetes"), ("k8s", "kube"), ("kube", "kube"), ("go", "go"), ("golang", "go")}
+    many = spark.range(4000).select(F.concat(F.lit("term"), "id").alias("term"), F.concat(F.lit("term"), "id").alias("canonical")).unionByName(found)
+    asked = spark.createDataFrame([(1, "needs golang, term17 and K8S")], "qid int, text string")
+    assert understand.terms_in(asked, many).first()["found"] == ["go", "kube", "term17"]
 
 
 def test_aliases(spark):
