@@ -28,6 +28,7 @@ rows of their own with equal results; an empty table gives an empty result. Long
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, durable, hash_fraction, let
 
 SAMPLE, GRID, STEPS, RIDGE, SETTLED = 4000, 200, 400, 0.02, 1e-5
+CELL_TASKS = 8  # of a gradient step, as cells are at most about GRID**2 / 2 whatever the data's size
 MOST_TOKENS = 1 << 20  # of a token table that is broadcast; a larger one is joined by token
 LEAST_MERIT, LEAST_LIFT = 5.0, 5.0
 DOMAINS = ("clean", "low", "toxic")
@@ -147,14 +149,13 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     root = (size * ridge) ** 0.5
     ahead = (1 - root) / (1 + root)  # momentum for a loss that curves between ridge and bound
     done: list[dict] = []
-    now = durable(cells.withColumn("s", F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))))
+    held = durable(cells.coalesce(CELL_TASKS))
     seen, at = have, have
     for step in range(steps):
         pull = [size * (e - g) / g / GRID for e, g in zip(at, goal)]
         done.append({"keep": 1 - size * ridge, "add": size * ridge, "pull": pull, "ahead": ahead})
-        now = now.withColumn("s", _stepped(F.col("s"), done[-1]["keep"], done[-1]["add"], done[-1]["ahead"], [F.lit(x) for x in pull], most))
-        if step % 10 == 9:
-            now = durable(now)
+        # The steps so far are one array literal, so that every step runs the same compiled code.
+        now = held.select("p", "t", refolded(done, most).alias("s"))
         row = now.agg(*[F.sum(F.col(f"s.{c}") * F.col("t") * F.col("p")[i] / GRID) for c in "wv" for i in range(k)]).first()
         new, at = [float(x) / total for x in row[:k]], [float(x) / total for x in row[k:]]
         moved = max(abs(a - b) / g for a, b, g in zip(new, seen, goal))
@@ -164,6 +165,15 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, anchor: str
     raise RuntimeError(f"rates have not settled after {steps} steps: the last moved a total by {moved:.2g} of its goal")
 
 
+def refolded(steps: list[dict], most: float) -> Column:
+    """struct(w, v) of a row with posteriors p after all steps."""
+    names = [*("keep", "add", "ahead"), *(f"g{i}" for i in range(len(DOMAINS)))]
+    rows = [dict(zip(names, [s["keep"], s["add"], s["ahead"], *s["pull"]])) for s in steps]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<" + ", ".join(f"{n}: double" for n in names) + ">>")
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))
+    return F.aggregate(listed, start, lambda w, s: _stepped(w, s["keep"], s["add"], s["ahead"], [s[f"g{i}"] for i in range(len(DOMAINS))], most))
+
+
 def _stepped(s: Column, keep: object, add: object, ahead: object, pull: list[Column], most: float) -> Column:
     """The state after a step: the rate w, and the point v beyond it where the next gradient is taken."""
     down = pull[0] * F.col("p")[0]
@@ -182,11 +192,7 @@ def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = durable(posteriors(docs, train(docs, labels, key, text), key, text))
     cells = found.groupBy("p").agg(F.sum(F.col("t") * F.col("copies")).alias("t"))
     steps = fit_rates(cells, targets, anchor, most)
-    rate: Column = F.lit(1.0)
-    if steps:
-        folded = F.array(*[F.struct(*[F.lit(s[c]).alias(c) for c in ("keep", "add", "ahead")], *[F.lit(x).alias(f"g{i}") for i, x in enumerate(s["pull"])]) for s in steps])
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))
-        rate = F.aggregate(folded, start, lambda w, s: _stepped(w, s["keep"], s["add"], s["ahead"], [s[f"g{i}"] for i in range(len(DOMAINS))], most), lambda w: w["w"])
+    rate = refolded(steps, most)["w"] if steps else F.lit(1.0)
     best = F.array_position("p", F.array_max("p")).cast("int")
     shares = [(F.col("p")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return found.select("key", "row", "copies", F.col("t").alias("n_tokens"), F.element_at(F.array(*map(F.lit, DOMAINS)), best).alias("domain"), *shares, rate.alias("rate"))
