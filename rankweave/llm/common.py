@@ -44,7 +44,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Keep Arrow batches small, by rows and by bytes, so that long texts do not add up in a Python worker.
 
     The session's settings are lowered where they are larger, as they are read when the plan runs.
