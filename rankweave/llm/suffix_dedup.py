@@ -14,13 +14,22 @@ windows share at the same place, so neighbouring suffixes with one anchor form o
   bytes that all windows of a block hold; a block whose whole bytes occur again is repeated.
 * pass 3: the windows of the blocks that are still undecided, at full depth.
 
+This gives the groups of the sort of single suffixes. Each digit is a function of the window alone (its anchor and the
+anchor's place; the part that its block shares; all its bytes), and each fixes the one before, so groups are only
+split further from pass to pass, and equal windows are never parted: that is the order of the digits from the
+most significant one down. A row stands for a run of suffixes with one digit. It leaves early in two cases, both of which
+settle every suffix of the run: its digit occurs once (no window of it can repeat), or all bytes that the run's windows
+hold occur again as a whole (then each of its windows does). Groups are compared for equality only, as their
+order among themselves has no part in the result.
+
 Digits are compared by 64-bit polynomial hashes, two independent ones for a decision to remove.
 Counts are aggregated before rows meet, so a string in a third of all texts is no hot group.
 
 Every pass scans the texts where they lie and finds the ranges anew; Bloom filters of bounded size
 tell it which to emit (those whose anchor occurs again, then those left open), so hashes and places
 move, and texts only once, to meet their spans at the end. A full filter lets more rows through and
-changes no result. Counts on what was emitted decide.
+changes no result. Counts on what was emitted decide. A filter holds about 4 million keys at full strength, which is
+reached at some gigabytes of text; beyond that passes 2 and 3 emit more rows than they need.
 
 Defined cases: null counts as empty; texts shorter than the window keep all bytes; matches never
 cross texts; a string that overlaps itself counts; repeated rows are texts of their own.
