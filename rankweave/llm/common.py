@@ -91,6 +91,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def weighed(side: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text of a side, by a job; a side that is used again should be stored first."""
+    texts = [F.octet_length(f"`{f.name}`") for f in side.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0).cast("long"))
+    found = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return found["n"], found["b"]
+
+
+def small(side: DataFrame, rows: int = 1 << 18, size: int = 32 << 20) -> bool:
+    """Whether a side is few enough rows and bytes to be broadcast, by counting it."""
+    n, b = weighed(side)
+    return n <= rows and b <= size
+
+
+def beside(rows: DataFrame, side: DataFrame, keys: list[str], tie: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Rows with a side's columns: broadcast where the counted side is small, else copied to `salts` keys, so that no group meets in one task."""
+    if small(side):
+        return rows.join(F.broadcast(side), keys, how)
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def train_split(key: Column) -> Column:
     """Rows that labels may be learnt from: crc32 of the id as text, modulo 4, is not 2."""
     return F.coalesce(F.crc32(key.cast("string")), F.lit(0)) % 4 != 2

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, simhash, suffix_dedup, toxicity
+from . import bpe, divergence, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ranked_search, simhash, suffix_dedup, toxicity, warc
 from .common import table, train_split
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,9 +64,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~train_split(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_simhash, op7_mixing, op8_exact_dedup, op9_bpe, op10_langid)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_simhash, op7_mixing, op8_exact_dedup, op9_bpe, op10_langid, op11_divergence, op12_search, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    with_sql = {"op5_line_dedup": line_dedup, "op8_exact_dedup": exact_dedup, "op11_divergence": divergence, "op12_search": ranked_search, "op13_warc": warc}
+    return {name: module.ORACLE_SQL for name, module in with_sql.items()}
