@@ -152,11 +152,13 @@ def candidates(lists: DataFrame, terms: DataFrame, k: int = TOP) -> DataFrame:
     short = F.least(F.col("least") - 1, F.col("most"))
     send = limited.select("item", "term", "w", short.alias("short"), F.expr("(least + w - 1) div w").alias("from")).where("w * `from` <= most")
     floors = send.groupBy("term").agg(F.min("from").alias("floor"))
-    sent = _with(_with(lists, floors, ["term"]).where("x >= floor").drop("floor"), send, ["term"]).where("x >= `from`")
-    sums = stored(sent.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("x")).alias("sum"), F.sum("short").alias("covered")))
-    bounds = limited.groupBy("item").agg(F.max("bound").alias("before"), F.sum(short).alias("rest")).join(kth(sums, "sum", k), "item", "left")
-    bounds = bounds.select("item", "rest", F.greatest("before", F.coalesce("bound", F.lit(0).cast("long"))).alias("bound"))
-    return _with(sums, bounds, ["item"]).where(F.col("sum") + F.col("rest") - F.col("covered") >= F.col("bound")).select("item", "row")
+    # What is sent moves once, a posting for all items that its term serves, to its document's partition, where items' sums need no other move.
+    sent = _with(lists, floors, ["term"]).where("x >= floor").select("row", "term", "x").repartition("row")
+    sums = _with(sent, send, ["term"]).where("x >= `from`").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("x")).alias("sum"), F.sum("short").alias("covered"))
+    ends = stored(limited.groupBy("item").agg(F.max("bound").alias("before"), F.sum(short).alias("rest")))
+    upper = F.col("sum") + F.col("rest") - F.col("covered")
+    near = stored(_with(sums, ends, ["item"]).where(upper >= F.col("before")).select("item", "row", "sum", upper.alias("upper")))
+    return _with(near, kth(near, "sum", k), ["item"]).where("upper >= bound").select("item", "row")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
