@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,15 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def appended(parts: Iterable[DataFrame]) -> DataFrame:
+    """Write tables of one schema one after the other, each by a job of its own, and read them as one."""
+    path = None
+    for df in parts:
+        path = path or f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of stored() once nothing reads them any more."""
     spark = df.sparkSession

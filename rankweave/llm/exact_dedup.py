@@ -6,8 +6,9 @@ unique for certain and passes straight through; only rows whose cells are all hi
 their full digest. False positives cost a shuffled row, never a wrong group.
 
 The filter is cut into slices of at most 2**most_bits cells, 8 to 16 cells a row: a row belongs to one slice, by
-other bits of its digest. Digests are stored by slice, and each slice is tested against its own cells only, so
-what is broadcast at a time has a fixed bound (2**most_bits / 32 words) and the filter prunes as well at any size.
+other bits of its digest. Digests are stored by slice, and slices are tested one after the other, each in a job of its own
+against its own cells, whose outcome is stored. So what is broadcast at a time has a fixed bound (HASHES tables of
+2**most_bits / 32 words), however many slices there are, and the filter prunes as well at any size.
 
 Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal texts
 the row with the largest id stays; a null id is smaller than any other. Of repeated rows with the
@@ -17,12 +18,10 @@ Ties, empty and long texts need no special case; an empty table gives an empty r
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, stored
+from .common import appended, ascii_lower, durable, stored
 
 MOST_BITS, HASHES, WORD = 27, 2, 5  # cells of a slice, cells a row, cells a word
 SALTS = 4  # parts of a group of copies in the join; Spark splits them further where they are large
@@ -59,9 +58,11 @@ def tested_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", most_b
     again = cells.groupBy("_slice", "cell").agg(F.count("*").alias("n")).where("n > 1")
     words = again.groupBy("_slice", F.shiftright("cell", WORD).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(cell & {(1 << WORD) - 1} as int))")).alias("hits"))
     if slices > 1:
-        words = durable(words)
-    parts = [_tested(rows.where(F.col("_slice") == i), words.where(F.col("_slice") == i), bits) for i in range(slices)]
-    tested = reduce(DataFrame.unionByName, parts)
+        words = stored(words, by="_slice")
+        parts = (_tested(rows.where(F.col("_slice") == i), words.where(F.col("_slice") == i), bits) for i in range(slices))
+        tested = appended(parts)
+    else:
+        tested = _tested(rows, words, bits)
     maybe = F.lit(True)
     for i in range(HASHES):
         maybe = maybe & F.col(f"_t{i}")
