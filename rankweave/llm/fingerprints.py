@@ -5,8 +5,9 @@ to one wide vector, and a fingerprint is the sum of the vectors:
 
 * `LATTICE` lanes, drawn from SHAKE-128 of the paragraph, are added modulo 2**32. They decide
   equality, whatever the order of the paragraphs.
-* `SKETCH` lanes hold signed counts of the paragraph's three-word shingles, added modulo 2**16.
-  The cosine of two such vectors estimates the cosine of the shingle counts, so it is a likeness.
+* `SKETCH` lanes hold signed counts of the paragraph's three-word shingles, added modulo 2**32.
+  The cosine of two such vectors estimates the cosine of the shingle counts, so it is a likeness. A text
+  of Spark has under 2**31 bytes and so fewer shingles than half the modulus: no lane of a text wraps.
 
 Both parts are groups, so a paragraph is inserted by adding its vector and deleted by subtracting it.
 
@@ -73,7 +74,7 @@ class Fingerprint:
 
     def __init__(self, lattice: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.lattice = np.zeros(LATTICE, np.uint32) if lattice is None else lattice
-        self.sketch = np.zeros(SKETCH, np.int16) if sketch is None else sketch.astype(np.int16)
+        self.sketch = np.zeros(SKETCH, np.int32) if sketch is None else sketch.astype(np.int32)
 
     @classmethod
     def of(cls, text: str | None, most: int = 4096) -> Fingerprint:
@@ -90,7 +91,7 @@ class Fingerprint:
         return Fingerprint(self.lattice - other.lattice, self.sketch - other.sketch)
 
     def text(self) -> str:
-        return base64.b64encode(self.lattice.astype("<u4").tobytes() + self.sketch.astype("<i2").tobytes()).decode()
+        return base64.b64encode(self.lattice.astype("<u4").tobytes() + self.sketch.astype("<i4").tobytes()).decode()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -102,7 +103,7 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 def fingerprint_texts(texts: list[str], budget: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Lattice and sketch lanes of many texts; a paragraph that several of them share is hashed once."""
-    lattice, sketch = np.zeros((len(texts), LATTICE), np.uint32), np.zeros((len(texts), SKETCH), np.int16)
+    lattice, sketch = np.zeros((len(texts), LATTICE), np.uint32), np.zeros((len(texts), SKETCH), np.int32)
     first = 0
     while first < len(texts):
         size, last = 0, first
@@ -126,7 +127,7 @@ def fingerprint_texts(texts: list[str], budget: int = 1 << 21) -> tuple[np.ndarr
                     cut = np.concatenate(([0], np.flatnonzero(o[1:] != o[:-1]) + 1))
                     rows = first + o[cut]
                     lattice[rows] += np.add.reduceat(a[u], cut, axis=0, dtype=np.uint32)
-                    sketch[rows] += np.add.reduceat(b[u], cut, axis=0).astype(np.int16)
+                    sketch[rows] += np.add.reduceat(b[u], cut, axis=0).astype(np.int32)
         first = last
     return lattice, sketch
 
@@ -185,7 +186,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
         n = len(texts)
         lattice, sketch = fingerprint_texts([*texts, following, *changed])
         nxt, mine, new = slice(1, n + 1), slice(0, n), slice(n + 1, None)
-        code = lambda part: [base64.b64encode(a.tobytes() + b.tobytes()).decode() for a, b in zip(lattice[part].astype("<u4"), sketch[part].astype("<i2"))]
+        code = lambda part: [base64.b64encode(a.tobytes() + b.tobytes()).decode() for a, b in zip(lattice[part].astype("<u4"), sketch[part].astype("<i4"))]
         like = lambda part: likeness(sketch[mine], sketch[part], (lattice[mine] == lattice[part]).all(1))
         values = [keys, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in changed], code(mine), code(new), like(new), like(nxt)]
         return pa.RecordBatch.from_arrays([pa.array(keys, keys_type[0]), *map(pa.array, values[1:])], names)
