@@ -52,7 +52,7 @@ def _kinds(queries: DataFrame, vectors: DataFrame, q: str) -> str:
     return ", ".join([*own, f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}", "score double"])
 
 
-def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int | None, places: int | None, most: int) -> DataFrame:
+def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int | None, places: int | None, most: int, clip: bool = False) -> DataFrame:
     """(query columns, doc_id, score) of all pairs, or of the k best of each query in each batch of vectors."""
     kinds, out = _kinds(queries, vectors, q), None
     for names, matrix in blocks(queries, q, most):
@@ -63,6 +63,8 @@ def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int |
             for batch in batches:
                 ids, rows = _rows_of(batch)
                 found = rows @ asked.T
+                if clip:
+                    found = np.clip(found, 0.0, 1.0)
                 if places is not None:
                     found = np.round(found, places)
                 for j in range(len(asked)):
@@ -83,12 +85,12 @@ def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "ve
     return _multiplied(queries, vectors, q, v, None, None, most)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6, most: int = MOST_QUERY_BYTES) -> DataFrame:
-    """(qid, doc_id, score, rank): the k vectors of the largest inner product with each query (qid, qvec); ties by id.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6, most: int = MOST_QUERY_BYTES, clip: bool = False) -> DataFrame:
+    """(qid, doc_id, score, rank): the k vectors of the largest inner product, cut to 0..1 where asked, with each query (qid, qvec); ties by id.
 
     Batches of vectors pass on their own k best, so few rows move for the final ranks.
     """
-    found = _multiplied(queries.select("qid", q), vectors, q, v, k, places, most)
+    found = _multiplied(queries.select("qid", q), vectors, q, v, k, places, most, clip)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

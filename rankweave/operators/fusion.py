@@ -52,11 +52,16 @@ def boosted(rrf: Column, valid: Column, hits: Column) -> Column:
     return F.when(valid, rrf).otherwise(0.0) * (1.0 + vocab.CORE_HIT * hits)
 
 
+def gate_passed(bm25: Column, dense: Column, best: Column) -> Column:
+    """Enough words, or some words and a dense score near the query's best one."""
+    gate = F.when(best > 0, best * vocab.DENSE_GATE).otherwise(vocab.DENSE_GATE_EMPTY)
+    return (bm25 >= vocab.BM25_FLOOR) | ((dense >= gate) & (bm25 > 0))
+
+
 def gated(scored: DataFrame, fused: str = "fused") -> DataFrame:
     """Zeroes the fused score of rows that pass no quality gate; the dense gate follows the query's best row."""
     best = scored.groupBy("qid").agg(F.max("dense").alias("_best"))
-    gate = F.when(F.col("_best") > 0, F.col("_best") * vocab.DENSE_GATE).otherwise(vocab.DENSE_GATE_EMPTY)
-    keep = (F.col("bm25") >= vocab.BM25_FLOOR) | ((F.col("dense") >= gate) & (F.col("bm25") > 0))
+    keep = gate_passed(F.col("bm25"), F.col("dense"), F.col("_best"))
     return scored.join(best, "qid").withColumn(fused, F.when(keep, F.col(fused)).otherwise(0.0)).drop("_best")
 
 

@@ -2,7 +2,8 @@
 
 edges(edge_id, type, src, dst) link names; has_skill(cid, skill), suitable(cid, role). A path may
 visit a node again but not use an edge twice. Walks run backwards from the names that hold a term, depth by
-depth and without candidates, so candidates join last and never fan out over hops.
+depth and without candidates, so candidates join last and never fan out over hops. Names that hold a term come from an
+inverted index of q-grams (names.py); the patterns share one look-up of it.
 """
 
 from __future__ import annotations
@@ -15,14 +16,21 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 
+from .names import gram_index, holding
 from .ranks import small
 
 LINKS = ("RELATED_TO", "BELONGS_TO")
 DOMAIN_LINKS = ("HAS_SUBDOMAIN", "BELONGS_TO")
 
 
-def contains(name: object, term: object):
-    return F.contains(F.lower(name), F.lower(term))
+def terms_held(names: DataFrame, name: str, terms: DataFrame) -> DataFrame:
+    """(term, name): the different names that hold each term, whatever the case."""
+    return holding(gram_index(names.select(name), name), terms)
+
+
+def _asked(terms: DataFrame, held: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(qid, term, columns, name): the rows of `terms` with the names that hold their terms."""
+    return held.withColumnRenamed("name", name).join(small(terms.select("qid", "term", *columns).distinct()), "term")
 
 
 USED = "array<struct<e:string,near:string>>"
@@ -51,14 +59,13 @@ def walks(edges: DataFrame, depth: int) -> DataFrame:
     return state.select("skill", F.col("node").alias("name")).distinct()
 
 
-def sources(edges: DataFrame, terms: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[DataFrame]:
+def sources(edges: DataFrame, terms: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df, held: DataFrame | None = None) -> list[DataFrame]:
     """For each depth from 1: (qid, term, skill) from which a walk over that many different edges reaches a name with the term.
 
     Names are matched with the terms first, each name once; walks then run backwards from the few that match. `keep`
-    may store the states, as each depth goes on from the last.
+    may store the states, as each depth goes on from the last. `held` may give terms_held() of these names and others.
     """
-    names = edges.select(F.col("dst").alias("node")).distinct()
-    met = names.join(small(terms.select("qid", "term").distinct()), contains(F.col("node"), F.col("term")))
+    met = _asked(terms, terms_held(edges, "dst", terms) if held is None else held, "node")
     state, out = met.select("qid", "term", "node", F.array().cast(USED).alias("used")), []
     for i in range(depth):
         state = keep(step(state, edges, ["qid", "term"], depth - 1 - i, backward=True))
@@ -70,10 +77,9 @@ def delta(weight: float, hops: int, extra: float = 1.0) -> float:
     return round(weight * extra * vocab.GRAPH_DECAY ** (hops - 1), 4)
 
 
-def direct(has_skill: DataFrame, terms: DataFrame) -> DataFrame:
+def direct(has_skill: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One hop: a skill of the candidate holds the term. Skill terms weigh 3, others 1.5."""
-    names = has_skill.select("skill").distinct()
-    met = names.join(small(terms), contains(F.col("skill"), F.col("term")))
+    met = _asked(terms, terms_held(has_skill, "skill", terms) if held is None else held, "skill", "kind")
     gain = F.when(F.col("kind") == "skill", delta(vocab.GRAPH_DIRECT, 1)).otherwise(delta(vocab.GRAPH_RELATED, 1))
     return has_skill.join(met, "skill").select("qid", "term", "cid", F.col("skill").alias("node"), F.lit("HAS_SKILL").alias("via"), F.lit(1).alias("hops"), gain.alias("delta")).distinct()
 
@@ -92,16 +98,16 @@ def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, found: lis
     return _held(has_skill, (found or sources(_linked(edges), terms, 1))[0], "skill", 2, delta(vocab.GRAPH_RELATED, 2), "RELATED_TO")
 
 
-def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
+def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Two hops to a domain that holds the term; the node is the domain."""
     own = edges.where(F.col("type").isin(*DOMAIN_LINKS)).select(F.col("src").alias("skill"), F.col("dst").alias("name")).distinct()
-    names = own.select("name").distinct().join(small(terms.select("qid", "term").distinct()), contains(F.col("name"), F.col("term")))
-    return _held(has_skill, own.join(names, "name"), "name", 2, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN")
+    met = _asked(terms, terms_held(own, "name", terms) if held is None else held, "name")
+    return _held(has_skill, own.join(met, "name"), "name", 2, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN")
 
 
-def role(suitable: DataFrame, terms: DataFrame) -> DataFrame:
+def role(suitable: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One hop to a role, for role and skill terms."""
-    met = suitable.select("role").distinct().join(small(terms.where(F.col("kind").isin("role", "skill"))), contains(F.col("role"), F.col("term")))
+    met = _asked(terms.where(F.col("kind").isin("role", "skill")), terms_held(suitable, "role", terms) if held is None else held, "role")
     return suitable.join(met, "role").select("qid", "term", "cid", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
 
 
@@ -112,9 +118,11 @@ def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int, fou
 
 
 def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All six patterns for all terms (qid, term, kind); the walks of three depths are made once, and stored by `keep`."""
-    walked = sources(_linked(edges), terms, 3, keep)
-    found = [direct(has_skill, terms), related(has_skill, edges, terms, walked), domain(has_skill, edges, terms), role(suitable, terms), far(has_skill, edges, terms, 3, walked), far(has_skill, edges, terms, 4, walked)]
+    """All six patterns for all terms (qid, term, kind); names are looked up once, and the walks of three depths are made once, all stored by `keep`."""
+    names = has_skill.select(F.col("skill").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).unionByName(suitable.select(F.col("role").alias("name")))
+    held = keep(terms_held(names, "name", terms))
+    walked = sources(_linked(edges), terms, 3, keep, held)
+    found = [direct(has_skill, terms, held), related(has_skill, edges, terms, walked), domain(has_skill, edges, terms, held), role(suitable, terms, held), far(has_skill, edges, terms, 3, walked), far(has_skill, edges, terms, 4, walked)]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from rankweave.functions import text as T
 from rankweave.operators import incremental, index
 from rankweave.sources import io
 from rankweave.sources.io import table
-from rankweave.streaming import watch
+from rankweave.streaming import debounce, deliver, watch
 
-from .folders import settled
+from .folders import settled, working_folder
 from .search import search
 from .sql import ABBR, tokens
 
@@ -110,8 +111,6 @@ REBUILT = f"WITH {ABBR}, {NEW_DOCS_SQL}, {tokens('docs')}, post AS (SELECT doc_i
 def file_stream_cdc(spark: SparkSession, sf: str) -> DataFrame:
     """Two files of orders arrive one after the other; the target that the stream maintains is the new snapshot without deletions."""
     old, new = _orders(spark, sf)
-    from rankweave.plans.folders import working_folder
-
     base = f"{working_folder(spark)}/watch-{uuid.uuid4().hex}"
     source, target = f"{base}/in", f"{base}/target"
     schema = old.schema.simpleString().removeprefix("struct<").removesuffix(">")
@@ -130,10 +129,78 @@ def file_stream_cdc(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_SQL = f"WITH {ORDERS_SQL} SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, price FROM new UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, price FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)"
 
 
+QUIET_HOURS, GAP_HOURS, JITTER_HOURS = 6, 12, 30
+
+
+def _event_stream(spark: SparkSession, sf: str, files: int = 4) -> tuple[DataFrame, str]:
+    """Events as a stream of files, out of order by up to JITTER_HOURS, and a last file whose one event, of no user, moves the clock on."""
+    base = f"{working_folder(spark)}/events-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    low, high = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    # An event arrives up to the jitter after its time; files hold equal spans of arrival.
+    span = (high - low).total_seconds() / files
+    arrival = F.unix_seconds("ts") - int(low.timestamp()) + F.pmod(F.xxhash64("event_id"), F.lit(JITTER_HOURS * 3600))
+    placed = settled(rows.withColumn("file", F.least(F.floor(arrival / max(span, 1)), F.lit(files - 1)).cast("int")))
+    for i in range(files):
+        placed.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    clock = rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(high + timedelta(days=30)).cast(rows.schema["ts"].dataType).alias("ts"), F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), "event_type")
+    clock.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+
+
+def _streamed(found: DataFrame, base: str) -> DataFrame:
+    """Run a stream to the end of its files, and read what it put out."""
+    found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return found.sparkSession.read.schema(found.schema).parquet(f"{base}/out")
+
+
+def burst_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's bursts of events, put out once after six quiet hours, with the last event."""
+    events, base = _event_stream(spark, sf)
+    found = _streamed(debounce.quiet_bursts(events, "user_id", "ts", f"{QUIET_HOURS} hours", f"{JITTER_HOURS + 1} hours"), base)
+    return found.where("user_id >= 0").select("user_id", *[F.unix_micros(c).alias(c) for c in ("first", "last")], "n", F.col("change.event_type").alias("event_type"))
+
+
+BURST_SQL = f"""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {QUIET_HOURS} HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS burst FROM m)
+SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n, arg_max(event_type, ts) AS event_type FROM g GROUP BY user_id, burst"""
+
+
+def leading_edge_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events that apply at once, none within twelve hours after another that did."""
+    events, base = _event_stream(spark, sf)
+    return _streamed(debounce.leading_edges(events, "user_id", "ts", timedelta(hours=GAP_HOURS), f"{JITTER_HOURS + 1} hours"), base).where("user_id >= 0").select("user_id", F.unix_micros("ts").alias("at"))
+
+
+LEADING_SQL = f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events),
+nx AS (SELECT a.user_id, a.ts, min(b.ts) AS next FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL {GAP_HOURS} HOUR GROUP BY a.user_id, a.ts),
+r AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT nx.user_id, nx.next FROM r JOIN nx ON nx.user_id = r.user_id AND nx.ts = r.ts WHERE nx.next IS NOT NULL)
+SELECT user_id, epoch_us(ts) AS at FROM r"""
+
+
+def sync_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders sent to a sink that fails: every fifth twice, every 41st always. What is delivered with which try, and what is given up."""
+    base = f"{working_folder(spark)}/sync-{uuid.uuid4().hex}"
+    orders, row = _orders(spark, sf)[0], "o_orderkey long, o_custkey long, o_orderpriority string, price long"
+    orders.select("o_orderkey", "o_custkey", "o_orderpriority", "price").write.parquet(f"{base}/in")
+
+    def send(order: dict, attempt: int) -> None:
+        if order["o_orderkey"] % 41 == 0 or order["o_orderkey"] % 5 == 0 and attempt < 3:
+            raise ConnectionError("busy")
+
+    hour = iter(range(1 << 30)).__next__
+    deliver.deliver_stream(spark, f"{base}/in", row, "o_orderkey", f"{base}/state", f"{base}/checkpoint", send, clock=hour).awaitTermination()
+    deliver.drain(spark, row, "o_orderkey", f"{base}/state", send, clock=hour, sleep=lambda _: None)
+    found = deliver.relations(spark, f"{base}/state", row)
+    one = lambda name: found[name].select("row.o_orderkey", "row.price", F.lit(name).alias("state"), "attempt")
+    return one("done").unionByName(one("quarantine")).unionByName(one("waiting"))
+
+
+RETRIES_SQL = f"""WITH {ORDERS_SQL} SELECT o_orderkey, price, CASE WHEN o_orderkey % 41 = 0 THEN 'quarantine' ELSE 'done' END AS state, CAST(CASE WHEN o_orderkey % 41 = 0 OR o_orderkey % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempt FROM old"""
+
+
 def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Relations saved twice as versions and loaded again."""
-    from rankweave.plans.folders import working_folder
-
     path = f"{working_folder(spark)}/index-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents").select("doc_id", "text")
     relations = index.build(docs, "doc_id", T.simple_tokens(F.col("text")))
@@ -152,6 +219,9 @@ QUERIES = {
     "table_fingerprint": (table_fingerprint, FINGERPRINT_SQL),
     "incremental_index": (incremental_index, f"{REBUILT} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl, count(*) AS terms FROM post GROUP BY doc_id"),
     "incremental_terms": (incremental_terms, f"{REBUILT} SELECT term, count(*) AS df FROM post GROUP BY term"),
+    "burst_stream": (burst_stream, BURST_SQL),
+    "leading_edge_stream": (leading_edge_stream, LEADING_SQL),
+    "sync_retries": (sync_retries, RETRIES_SQL),
     "index_round_trip": (index_round_trip, ROUND_TRIP_SQL),
     "file_stream_cdc": (file_stream_cdc, STREAM_SQL),
     "search_end_to_end": (search, None),

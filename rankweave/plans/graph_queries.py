@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.functions import vocab
 from rankweave.operators import explain, fusion, graph, index, lexical, ranks, rerank
+from rankweave.operators.names import held_terms
+from rankweave.sources.io import table
 
 from . import encoding
 from .encoding import EDGES_SQL, HAS_SKILL_SQL, PROFILES_SQL
@@ -177,15 +180,31 @@ a(qid, negated) AS (VALUES (1, ['blue anvil']), (2, ['an']), (3, ['red', 'green
 SELECT CAST(qid AS INTEGER) AS qid, count(*) FILTER (WHERE len(list_filter(negated, lambda n: len(list_filter(names, lambda s: contains(s, n))) > 0)) > 0) AS by_part,
   count(*) FILTER (WHERE len(list_filter(negated, lambda n: list_contains(names, n) OR list_contains(flatten(list_transform(names, lambda s: string_split(s, ' '))), n))) > 0) AS by_word, count(*) AS n FROM t, a GROUP BY qid"""
 
-COLLECT = [(1, ["Python", "sql"], "Data Engineer", "senior", ["sql"], [("python and spark, senior engineer", "original"), ("related kafka.", "kg_static")]), (2, None, None, "odd", None, [("find go", "original")])]
-COLLECTED = [(1, "python", "skill"), (1, "data engineer", "role"), (1, "senior", "role"), (1, "lead", "role"), (1, "principal", "role"), (1, "staff", "role"), (1, "architect", "role"), (1, "spark", "skill"), (1, "related", "domain"), (1, "kafka", "domain"), (2, "odd", "role"), (2, "find", "skill")]
-
 
 def graph_terms(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(COLLECT, "qid int, skills array<string>, role string, band string, negated array<string>, queries array<struct<query:string,strategy:string>>")
+    """Graph terms of made-up requests, one a part: its words as skills, its type as a role, bands, texts, and a negated word."""
+    k, words = F.col("p_partkey"), F.split("p_name", " ")
+    texts = F.array(
+        F.struct(F.concat("p_name", F.lit(" and spark, senior "), "p_brand").alias("query"), F.lit("original").alias("strategy")),
+        F.struct(F.concat(F.lit("related "), "p_type", F.lit(". go")).alias("query"), F.lit("kg_static").alias("strategy")),
+    )
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf, "part").select(
+        k.alias("qid"), F.when(k % 5 != 0, F.array(F.upper(F.get(words, F.lit(0))), F.get(words, F.lit(1)))).alias("skills"), F.when(k % 2 == 0, F.col("p_type")).otherwise(none).alias("role"),
+        F.when(k % 3 == 0, "Senior").when(k % 3 == 1, "odd").otherwise(none).alias("band"), F.when(k % 4 == 0, F.array(F.get(words, F.lit(1)))).alias("negated"), texts.alias("queries"),
+    )
     return graph.collect_terms(rows)
 
 
+TERMS_OF_PARTS_SQL = f"""WITH r AS (SELECT p_partkey AS qid, string_split(p_name, ' ') AS w, * FROM part),
+u AS (SELECT qid, 0 AS place, 0 AS at, lower(w[1]) AS term, 'skill' AS kind FROM r WHERE qid % 5 <> 0 UNION ALL SELECT qid, 0, 1, lower(w[2]), 'skill' FROM r WHERE qid % 5 <> 0
+  UNION ALL SELECT qid, 1, 0, lower(p_type), 'role' FROM r WHERE qid % 2 = 0
+  UNION ALL SELECT qid, 2, 0, unnest({listed(vocab.SENIORITY["senior"])}), 'role' FROM r WHERE qid % 3 = 0 UNION ALL SELECT qid, 2, 0, 'odd', 'role' FROM r WHERE qid % 3 = 1
+  UNION ALL SELECT qid, 3, 0, unnest(regexp_split_to_array(lower(p_name || ' and spark, senior ' || p_brand), '[\\s,]+')), 'skill' FROM r
+  UNION ALL SELECT qid, 4, 0, trim(unnest(regexp_split_to_array(lower('related ' || p_type || '. go'), '[\\s,]+')), '.'), 'domain' FROM r)
+SELECT qid, term, arg_min(kind, place) AS kind FROM u JOIN r USING (qid) WHERE NOT (qid % 4 = 0 AND term = w[2]) AND (place < 3 OR (length(term) >= 3 AND NOT list_contains({listed(vocab.GRAPH_STOP)}, term))) GROUP BY qid, term"""
+
+
 def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A hybrid branch that scores by skill level, and the graph branch."""
     from .index_queries import _profile_index
@@ -332,8 +351,7 @@ def unique_skills(spark: SparkSession, sf: str) -> DataFrame:
 def skill_search(spark: SparkSession, sf: str) -> DataFrame:
     """Holders of weighted skills with the share of the query's skills that each holds, and the score within its query."""
     post = encoding.skill_rows(spark, sf)
-    names = post.select("skill").distinct()
-    asked = names.join(_terms(spark).select("qid", "term"), F.contains("skill", F.col("term"))).select("qid", "skill").distinct()
+    asked = held_terms(post, "skill", _terms(spark).select("qid", "term"), fold=False).select("qid", "skill").distinct()
     scores = post.join(asked, "skill").groupBy("qid", "doc_id").agg(F.sum("weight").alias("score"))
     found = lexical.with_skills(scores.withColumn("score", F.round("score", 4)), asked, post)
     return found.select("qid", "doc_id", "score", F.round("normalised", 6).alias("normalised"), F.array_join("matched_skills", ",").alias("matched"), "skill_overlap")
@@ -381,7 +399,7 @@ QUERIES = {
     "graph_hop1_role": (hop1_role, _hop_sql("hr")),
     "graph_hop3": (hop3, _hop_sql("h3")),
     "graph_hop4": (hop4, _hop_sql("h4")),
-    "graph_terms": (graph_terms, f"WITH {values('r', 'qid, term, kind', COLLECTED)} SELECT CAST(qid AS INTEGER) AS qid, term, kind FROM r"),
+    "graph_terms": (graph_terms, TERMS_OF_PARTS_SQL),
     "graph_score": (graph_score, f"{GRAPH}, {PATTERNS_SQL}, {CANDIDATES_SQL} SELECT CAST(qid AS INTEGER) AS qid, cid, graph_score, experience_score, score, matched, reasons, best FROM ca"),
     "negation_filter": (negation_filter, NEGATION_SQL),
     "tag_and_combine": (tag_and_combine, f"{FULL} SELECT CAST(coalesce(h.qid, k.qid) AS INTEGER) AS qid, coalesce(h.id, k.id) AS id, CASE WHEN h.id IS NOT NULL THEN h.score ELSE k.score END AS score, CASE WHEN h.id IS NOT NULL AND k.id IS NOT NULL THEN 'both' WHEN h.id IS NOT NULL THEN 'hybrid' ELSE 'kg' END AS source FROM hb h FULL OUTER JOIN kb k ON h.qid = k.qid AND h.id = k.id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.functions import vocab
-from rankweave.operators import dense, fusion, incremental, index, lexical, metrics, understand
+from rankweave.operators import dense, fusion, incremental, index, lexical, metrics, pruned, threshold, understand
 from rankweave.sources.io import table
 
 from . import encoding
@@ -71,6 +71,19 @@ BM25_SQL = """s AS (SELECT item_id, p.doc_id, round(sum(n_ * idf * (tf * (1.5::D
   FROM (SELECT item_id, term, n AS n_ FROM qt) q JOIN terms USING (term) JOIN post p USING (term) JOIN dls ON dls.doc_id = p.doc_id, corpus GROUP BY item_id, p.doc_id)"""
 
 
+def _pruned(spark: SparkSession, sf: str, k: int = TOP) -> DataFrame:
+    """The benchmark passages against stored blocks: scores of the documents that were opened, and the postings that each took."""
+    found = _corpus(spark, sf)
+    impacts = pruned.with_impact(found["postings"], found["corpus_stats"]).select("doc_id", "term", "u")
+    blocks = settled(pruned.range_blocks(impacts, store=settled))
+    return settled(pruned.top_k(blocks, _benchmark_terms(spark, sf), ["item_id"], k, found["corpus_stats"].first()["n"], settled))
+
+
+def bm25_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """As bm25_plus_topk, from blocks with their maxima and without scoring every posting."""
+    return _ranked(lexical.positive(_pruned(spark, sf)), ["item_id"]).select("item_id", "rank", "doc_id", "score")
+
+
 def term_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Which words of each benchmark passage each document holds; the count and the first of them."""
     hits = lexical.matched_terms(_corpus(spark, sf)["postings"], _benchmark_terms(spark, sf), ["item_id"])
@@ -310,6 +323,21 @@ def hybrid_gate_floor(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.floored(fusion.gated(fused), 50).select("qid", "rank", "doc_id", "fused")
 
 
+def fused_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """As hybrid_gate_floor, by a threshold algorithm over both rankings."""
+    rows = settled(_vectors(spark, sf).join(table(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", "vec"))
+    hits = _aggregated(spark, sf).select("qid", "doc_id", F.round("score", PLACES).alias("bm25")).where("bm25 > 0")
+    hits = settled(hits.join(rows.select("doc_id"), "doc_id", "left_semi").select("qid", "doc_id", "bm25"))
+    queries = settled(_variants(spark).select("qid").distinct().join(rows.select((F.col("doc_id") + 1).alias("qid"), F.col("vec").alias("qvec")), "qid"))
+
+    def adjusted(seen: DataFrame) -> DataFrame:
+        fused = F.round(fusion.boosted(F.col("rrf"), F.col("doc_id") % 7 != 0, (F.col("doc_id") % 3 == 0).cast("int")), 9)
+        return seen.withColumn("fused", F.when(fusion.gate_passed(F.col("bm25"), F.col("dense"), F.col("_best")), fused).otherwise(0.0))
+
+    found = threshold.fused_top(queries, rows, hits, 50, adjusted, 1.0 + vocab.CORE_HIT, places=PLACES, store=settled)
+    return fusion.floored(found, 50).select("qid", "rank", "doc_id", "fused")
+
+
 GATE_SQL = """g AS (SELECT qid, doc_id, bm25, dense, round(CASE WHEN doc_id % 7 <> 0 THEN rrf ELSE 0 END * (1 + 0.3::DOUBLE * CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END), 9) AS f0,
   max(dense) OVER (PARTITION BY qid) AS best FROM rf),
 k AS (SELECT qid, doc_id, CASE WHEN bm25 >= 0.15 OR (dense >= CASE WHEN best > 0 THEN best * 0.75::DOUBLE ELSE 0.6 END AND bm25 > 0) THEN f0 ELSE 0 END AS fused FROM g),
@@ -348,6 +376,7 @@ QUERIES = {
     "term_stats": (term_stats, f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "corpus_stats": (corpus_stats, f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS vocabulary FROM corpus"),
     "bm25_plus_topk": (bm25_plus_topk, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"),
+    "bm25_pruned_topk": (bm25_pruned_topk, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"),
     "term_matches": (term_matches, f"WITH {INDEX}, {QUERY_TERMS_SQL} SELECT item_id, doc_id, count(*) AS n, min(term) AS first FROM post JOIN qt USING (term) GROUP BY item_id, doc_id"),
     "bm25_normalized": (bm25_normalized, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL.replace('round(sum(', '(sum(').replace('), 6) AS score', ')) AS score')}, e AS (SELECT item_id, min(score) AS lo, max(score) AS hi FROM s GROUP BY item_id) SELECT item_id, count(*) AS hits, round(avg(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END), 4) AS mean, max(CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END) AS most FROM s JOIN e USING (item_id) GROUP BY item_id"),
     "bm25_variant_agg": (bm25_variant_agg, f"WITH {INDEX}, {VARIANTS_SQL} SELECT CAST(qid AS INTEGER) AS qid, doc_id, round(score, 6) AS score FROM agg"),
@@ -365,6 +394,7 @@ QUERIES = {
     "nearest_prototype": (nearest_prototype, PROTOTYPE_SQL),
     "rrf_fusion": (rrf_fusion, f"WITH {INDEX}, {VARIANTS_SQL}, {HYBRID_SQL} SELECT CAST(qid AS INTEGER) AS qid, doc_id, rb, rd, round(rrf, 8) AS rrf FROM rf"),
     "hybrid_gate_floor": (hybrid_gate_floor, f"WITH {INDEX}, {VARIANTS_SQL}, {HYBRID_SQL}, {GATE_SQL}"),
+    "fused_threshold_topk": (fused_threshold_topk, f"WITH {INDEX}, {VARIANTS_SQL}, {HYBRID_SQL}, {GATE_SQL}"),
     "ir_metrics": (ir_metrics, f"WITH {INDEX}, {QUERY_TERMS_SQL}, {BM25_SQL}, {IR_SQL}"),
     "hashed_projection": (hashed_projection, f"WITH {INDEX} {PROJECTION_SQL}"),
 }

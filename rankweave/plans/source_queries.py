@@ -142,7 +142,7 @@ def branch_isolation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     at = F.col("conv_id") * 1000 + F.col("turn")
-    return table(spark, sf, "conversations").where("text is not null").select(at.alias("qid"), F.concat(F.substring("text", 1, 2), F.lit(" ")).alias("text"), at.alias("at"))
+    return table(spark, sf, "conversations").where("text is not null").select(at.alias("qid"), F.concat("text", F.lit(" ")).alias("text"), at.alias("at"))
 
 
 def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +151,7 @@ def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return trace.answered(asked, settled(cache), length, 30)
 
 
-CACHED_SQL = """a AS (SELECT conv_id * 1000 + turn AS qid, md5(trim(lower(substr(text, 1, 2) || ' '))) AS key, CAST(length(trim(substr(text, 1, 2) || ' ')) AS INTEGER) AS answer FROM conversations WHERE text IS NOT NULL),
+CACHED_SQL = """a AS (SELECT conv_id * 1000 + turn AS qid, md5(trim(lower(text || ' '))) AS key, CAST(length(trim(text || ' ')) AS INTEGER) AS answer FROM conversations WHERE text IS NOT NULL),
 c1 AS (SELECT key, answer, "at" FROM (SELECT key, arg_min(answer, qid) AS answer, min(qid) AS "at", row_number() OVER (ORDER BY min(qid) DESC, key) AS n FROM a WHERE qid % 2 = 0 GROUP BY key) WHERE n <= 20),
 new AS (SELECT key, arg_min(answer, qid) AS answer, min(qid) AS "at" FROM a WHERE key NOT IN (SELECT key FROM c1) GROUP BY key),
 known AS (SELECT * FROM c1 UNION ALL SELECT * FROM new)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import schema, vocab
@@ -39,20 +39,34 @@ QUERY_TEXTS = [
     (12, "plain words"),
     (13, "full-stack polyglot, 0-2 years"),
 ]
-PARAGRAPHS = [(1, "It’s “fine” – really…"), (2, "em—dash and â\u0080\u0099 mojibake"), (3, "plain"), (4, None)]
-LISTS = [(1, "Cloud (AWS, GCP), SQL (Basic)"), (2, "a, b ,, c (x)"), (3, None), (4, "one")]
-ENTITIES = [("Expert", "High", "CORE", "Senior"), ("wizard", "low", "soft", "chief"), (None, "urgent", None, "captain"), ("advanced beginner", None, "other", "INTERN")]
+#: How often an offer is turned down in made-up texts, one for each trigger of a negation.
+TURNS = [" not ", " no ", " without ", " excluding ", " avoid ", " non-", " except ", " prefer not "]
+
 
 
 def _rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return _rows(spark, QUERY_TEXTS, "qid int, text string")
+def _asks(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, text): each customer's question, one of the fixed texts with their segment and a number of years."""
+    fixed = _rows(spark, [(i - 1, t) for i, t in QUERY_TEXTS], "_q int, text string")
+    people = table(spark, sf, "customer").withColumn("_q", (F.col("c_custkey") % len(QUERY_TEXTS)).cast("int")).join(F.broadcast(fixed), "_q")
+    return people.select(F.col("c_custkey").alias("qid"), F.concat("text", F.lit(" in "), F.lower("c_mktsegment"), F.lit(", about "), (F.col("c_custkey") % 23).cast("string"), F.lit(" years")).alias("text"))
+
+
+ASKS_SQL = f"""{values("q", "qid, text", QUERY_TEXTS)},
+asks AS (SELECT c_custkey AS qid, q.text || ' in ' || lower(c_mktsegment) || ', about ' || CAST(c_custkey % 23 AS VARCHAR) || ' years' AS text FROM customer JOIN q ON q.qid = 1 + c_custkey % {len(QUERY_TEXTS)})"""
+#: Runs of 1 to 4 words of each question.
+GRAMS_SQL = r"""ws AS (SELECT qid, lower(text) AS low, list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#./-]*'), lambda w: rtrim(w, './-')) AS w FROM asks),
+grams AS (SELECT DISTINCT qid, array_to_string(list_slice(w, i, i + k - 1), ' ') AS term FROM (SELECT qid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM ws, range(1, 5) r(k)))"""
 
 
-QUERIES_SQL = values("q", "qid, text", QUERY_TEXTS)
+def _spans_sql(source: str) -> str:
+    """CTE spans(qid, a, b): what each first match of a negation trigger covers in `low` of `source`."""
+    return f"""{values("negs", "pattern, scope", vocab.NEGATIONS)},
+heads AS (SELECT qid, low, scope, length(regexp_split_to_array(low, pattern)[1]) AS a, length(regexp_extract(low, pattern)) AS n FROM {source}, negs WHERE regexp_matches(low, pattern)),
+spans AS (SELECT qid, a, a + n + length(array_to_string(list_slice(regexp_split_to_array(trim(substr(low, a + n + 1)), '\\s+'), 1, scope), ' ')) AS b FROM heads)"""
 
 
 def skill_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,8 +118,14 @@ SELECT canon.id, skill, coalesce(text, '') AS text, {lookup("lower(trim(name))",
 )
 
 
+def _typeset(text: Column) -> Column:
+    return F.concat(F.replace(F.replace(text, F.lit(" a"), F.lit(" “a")), F.lit("e "), F.lit("e’ – ")), F.lit(" â\u0080\u0099…"))
+
+
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, PARAGRAPHS, "id int, t string").select("id", T.clean_typography(F.col("t")).alias("clean"), F.size(T.simple_tokens(F.col("t"))).alias("words"))
+    """Turns of conversations with typographic characters put in, and cleaned of them again."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", _typeset(F.col("text")).alias("t"))
+    return turns.select("conv_id", "turn", T.clean_typography(F.col("t")).alias("clean"), F.size(T.simple_tokens(F.col("t"))).alias("words"))
 
 
 def _replaced(expr: str) -> str:
@@ -114,18 +134,21 @@ def _replaced(expr: str) -> str:
     return expr
 
 
-CLEAN_TEXT_SQL = f"""WITH {values("p", "id, t", PARAGRAPHS)}
-SELECT CAST(id AS INTEGER) AS id, {_replaced("t")} AS clean,
+CLEAN_TEXT_SQL = f"""WITH p AS (SELECT conv_id, turn, replace(replace(text, ' a', ' “a'), 'e ', 'e’ – ') || ' â\u0080\u0099…' AS t FROM conversations)
+SELECT conv_id, turn, {_replaced("t")} AS clean,
        CAST(len(list_filter(string_split(regexp_replace(lower(coalesce(t, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1)) AS INTEGER) AS words FROM p"""
 
 
 def paren_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, LISTS, "id int, t string").select("id", F.array_join(T.paren_list(F.col("t")), "|").alias("items"), F.array_join(T.string_list(F.col("t")), "|").alias("plain"))
+    """Lists of part names, types and brands, in part in parentheses; every tenth is null."""
+    cell = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(", "), "p_type", F.lit("), "), "p_type", F.lit(" (x), , "), "p_brand")
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, cell).alias("t"))
+    return rows.select("p_partkey", F.array_join(T.paren_list(F.col("t")), "|").alias("items"), F.array_join(T.string_list(F.col("t")), "|").alias("plain"))
 
 
-PAREN_LISTS_SQL = """WITH r(id, items, plain) AS (VALUES
-  (1, 'Cloud|SQL', 'Cloud (AWS|GCP)|SQL (Basic)'), (2, 'a|b|c', 'a|b|c (x)'), (3, '', ''), (4, 'one', 'one'))
-SELECT CAST(id AS INTEGER) AS id, items, plain FROM r"""
+PAREN_LISTS_SQL = """WITH r AS (SELECT *, CASE WHEN p_partkey % 10 <> 0 THEN p_name || ' (' || p_brand || ', ' || p_type || '), ' || p_type || ' (x), , ' || p_brand END AS t FROM part)
+SELECT p_partkey, CASE WHEN t IS NULL THEN '' ELSE concat_ws('|', p_name, p_type, p_brand) END AS items,
+  coalesce(array_to_string(list_filter(list_transform(string_split(t, ','), lambda s: trim(s)), lambda s: s <> ''), '|'), '') AS plain FROM r"""
 
 
 def simple_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,94 +179,98 @@ FROM cells JOIN prof ON cells.cid = prof.cid"""
 
 
 def experience_band(spark: SparkSession, sf: str) -> DataFrame:
-    return _queries(spark).select("qid", understand.band(F.col("text")).alias("band"))
+    return _asks(spark, sf).select("qid", understand.band(F.col("text")).alias("band"))
 
 
-EXPERIENCE_BAND_SQL = f"""WITH {QUERIES_SQL} SELECT CAST(qid AS INTEGER) AS qid, CASE {" ".join(f"WHEN {' OR '.join(f'regexp_matches(lower(text), {quote(p)})' for p in ps)} THEN {quote(b)}" for b, ps in vocab.BANDS.items())} END AS band FROM q"""
+EXPERIENCE_BAND_SQL = f"""WITH {ASKS_SQL} SELECT qid, CASE {" ".join(f"WHEN {' OR '.join(f'regexp_matches(lower(text), {quote(p)})' for p in ps)} THEN {quote(b)}" for b, ps in vocab.BANDS.items())} END AS band FROM asks"""
 
 
 def years_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _queries(spark).select("qid", understand.years_asked(F.col("text")).alias("years"), T.years(understand.years_asked(F.col("text"))).alias("value"))
+    return _asks(spark, sf).select("qid", understand.years_asked(F.col("text")).alias("years"), T.years(understand.years_asked(F.col("text"))).alias("value"))
 
 
-YEARS_EXTRACT_SQL = rf"""WITH {QUERIES_SQL} SELECT CAST(qid AS INTEGER) AS qid, nullif(regexp_extract(lower(text), '(\d+)\s*\+?\s*years?', 1), '') AS years,
-CAST(nullif(regexp_extract(lower(text), '(\d+)\s*\+?\s*years?', 1), '') AS DOUBLE) AS value FROM q"""
+YEARS_EXTRACT_SQL = rf"""WITH {ASKS_SQL} SELECT qid, nullif(regexp_extract(lower(text), '(\d+)\s*\+?\s*years?', 1), '') AS years,
+CAST(nullif(regexp_extract(lower(text), '(\d+)\s*\+?\s*years?', 1), '') AS DOUBLE) AS value FROM asks"""
 
 
 def intent_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return _queries(spark).select("qid", F.array_join(understand.rules_matched(F.col("text")), ",").alias("rules"))
+    return _asks(spark, sf).select("qid", F.array_join(understand.rules_matched(F.col("text")), ",").alias("rules"))
 
 
-INTENT_RULES_SQL = f"""WITH {QUERIES_SQL} SELECT CAST(qid AS INTEGER) AS qid, concat_ws(',', {", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(lower(text), {quote(p)})' for p in ps)} THEN {quote(n)} END" for n, ps in vocab.RULES)}) AS rules FROM q"""
+INTENT_RULES_SQL = f"""WITH {ASKS_SQL} SELECT qid, concat_ws(',', {", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(lower(text), {quote(p)})' for p in ps)} THEN {quote(n)} END" for n, ps in vocab.RULES)}) AS rules FROM asks"""
 
 
-def _parsed(spark: SparkSession, queries: DataFrame | None = None) -> DataFrame:
-    return settled(understand.parse(queries if queries is not None else _queries(spark), understand.vocabulary(spark, vocab.SKILLS, vocab.SKILL_ALIASES), understand.vocabulary(spark, vocab.ROLES)))
-
-
-#: What parsing the fixed queries gives, worked out by hand from the rules.
-PARSED = [
-    (1, "python", "", "python developer", "senior", "5", None, None, "experience_filter"),
-    (2, "java", "python", None, "senior", None, None, None, "experience_filter"),
-    (3, "react", "", None, None, None, None, "bangalore", "multi_skill"),
-    (4, "", "aws", "data scientist", None, None, "fintech", None, "domain_search"),
-    (5, "machine learning", "", None, None, None, None, None, "ranking"),
-    (6, "docker,kubernetes", "", None, None, None, None, None, "multi_skill"),
-    (7, "django", "", None, None, None, None, None, "comparative"),
-    (8, "", "", "frontend developer", "entry", None, "healthtech", None, "experience_filter"),
-    (9, "", "", None, "executive", "12", None, None, "experience_filter"),
-    (10, "devops", "", "devops engineer", None, None, None, None, "availability"),
-    (11, "", "", "data analyst", None, None, None, "pune", "role_search"),
-    (12, "", "", None, None, None, None, None, "unknown"),
-    (13, "", "", None, "entry", "2", None, None, "multi_skill"),
-]
+def _parsed(spark: SparkSession, queries: DataFrame) -> DataFrame:
+    return settled(understand.parse(queries, understand.vocabulary(spark, vocab.SKILLS, vocab.SKILL_ALIASES), understand.vocabulary(spark, vocab.ROLES)))
 
 
 def parse_query(spark: SparkSession, sf: str) -> DataFrame:
-    p = _parsed(spark)
+    p = _parsed(spark, _asks(spark, sf))
     return p.select("qid", F.array_join(F.array_sort("skills"), ",").alias("skills"), F.array_join("negated", ",").alias("negated"), "role", "band", "years", "domain", "place", F.col("intent.primary").alias("intent"))
 
 
-PARSE_QUERY_SQL = f"""WITH {values("r", "qid, skills, negated, role, band, years, domain, place, intent", PARSED)} SELECT CAST(qid AS INTEGER) AS qid, skills, negated, CAST(role AS VARCHAR) AS role, CAST(band AS VARCHAR) AS band, CAST(years AS VARCHAR) AS years, CAST(domain AS VARCHAR) AS domain, CAST(place AS VARCHAR) AS place, intent FROM r"""
+def _first_sql(terms: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {quote(x)})' for x in [name, *more])} THEN {quote(name)}" for name, more in terms.items()) + " END"
+
+
+_KNOWN = {t: t for t in vocab.SKILLS} | {x: name for name, more in vocab.SKILL_ALIASES.items() for x in [name, *more]}
+_RULES = ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches(low, {quote(p)})' for p in ps)} THEN {quote(n)} END" for n, ps in vocab.RULES)
+PARSE_QUERY_SQL = f"""WITH {ASKS_SQL}, {GRAMS_SQL}, {_spans_sql("ws")}, {values("known", "term, name", _KNOWN.items())}, {values("roles", "term", [(r,) for r in vocab.ROLES])},
+held AS (SELECT qid, name, min((-len(string_split(term, ' ')), term)) AS place FROM grams JOIN known USING (term) GROUP BY qid, name),
+marked AS (SELECT qid, name, place, EXISTS (SELECT 1 FROM spans s WHERE s.qid = h.qid AND instr(low, name) > 0 AND instr(low, name) - 1 BETWEEN s.a AND s.b) AS neg FROM held h JOIN ws USING (qid)),
+skills AS (SELECT qid, string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT neg) AS skills, count(*) FILTER (WHERE NOT neg) AS n, string_agg(name, ',' ORDER BY place) FILTER (WHERE neg) AS negated FROM marked GROUP BY qid),
+role AS (SELECT qid, arg_min(term, (-len(string_split(term, ' ')), term)) AS role FROM grams JOIN roles USING (term) GROUP BY qid),
+one AS (SELECT qid, coalesce(skills, '') AS skills, coalesce(n, 0) AS n, coalesce(negated, '') AS negated, role,
+  CASE {" ".join(f"WHEN {' OR '.join(f'regexp_matches(low, {quote(p)})' for p in ps)} THEN {quote(b)}" for b, ps in vocab.BANDS.items())} END AS band,
+  nullif(regexp_extract(low, '{vocab.YEARS}', 1), '') AS years, {_first_sql(vocab.DOMAINS)} AS domain, {_first_sql({p: [] for p in vocab.PLACES})} AS place, list_filter([{_RULES}], lambda r: r IS NOT NULL) AS rules
+  FROM ws LEFT JOIN skills USING (qid) LEFT JOIN role USING (qid))
+SELECT qid, skills, negated, role, band, years, domain, place, CASE WHEN n >= 2 THEN 'multi_skill' WHEN band IS NOT NULL AND (n >= 1 OR role IS NOT NULL) THEN 'experience_filter' WHEN domain IS NOT NULL AND band IS NULL AND n <= 1 THEN 'domain_search'
+  ELSE coalesce(list_filter(rules, lambda r: negated = '' OR r <> 'skill_search')[1], 'unknown') END AS intent FROM one"""
 
 
 def query_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """All admitted variants: original, synonyms, relations, templates."""
-    parsed = _parsed(spark)
+    """All admitted variants of the customers' questions: original, synonyms, relations, templates."""
+    parsed = _parsed(spark, _asks(spark, sf))
     return understand.without_negated(understand.expand(parsed), parsed)
 
 
 def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return understand.synonym_table(spark).select("term", "canonical", "synonym", "place")
+    """The other names of every term of a question that has some."""
+    grams = _asks(spark, sf).select("qid", F.explode(understand.ngrams(F.col("text"))).alias("term"))
+    return grams.join(F.broadcast(understand.synonym_table(spark)), "term").select("qid", "term", "canonical", "synonym", "place")
 
 
 SYNONYM_ROWS = [(t, g[0], s, i) for g in vocab.SYNONYMS for t in g for i, s in enumerate(x for x in g if x != t)]
-SYNONYM_SQL = f"WITH {values('r', 'term, canonical, synonym, place', SYNONYM_ROWS)} SELECT term, canonical, synonym, CAST(place AS INTEGER) AS place FROM r"
-
-TEMPLATE_CASES = [(1, "python", "data scientist"), (2, "react sql", None)]
+SYNONYM_SQL = f"WITH {ASKS_SQL}, {GRAMS_SQL}, {values('r', 'term, canonical, synonym, place', SYNONYM_ROWS)} SELECT qid, term, canonical, synonym, CAST(place AS INTEGER) AS place FROM grams JOIN r USING (term)"
 
 
 def template_expand(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, [(i, f"query {i}", s.split(" "), r) for i, s, r in TEMPLATE_CASES], "qid int, text string, skills array<string>, role string")
+    """Templates of two intents filled with the words of each part's name and, for every other part, its type as the role."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.concat(F.lit("query "), F.col("p_partkey").cast("string")).alias("text"), F.split("p_name", " ").alias("skills"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).alias("role"))
     none = F.lit(None).cast("string")
     parsed = rows.select("*", none.alias("band"), none.alias("years"), none.alias("domain"), none.alias("place"), F.struct(F.lit("skill_search").alias("primary"), F.array(F.lit("role_search")).alias("modifiers")).alias("intent"))
     return understand.admitted(understand.template_variants(parsed)).select("qid", "ord", "query", "strategy")
 
 
-TEMPLATE_SQL = f"""WITH {values("c", "qid, skills, role", TEMPLATE_CASES)}, {values("t", "place, tpl", [(i, t) for i, t in enumerate(vocab.TEMPLATES["skill_search"][:2] + vocab.TEMPLATES["role_search"][:2])])},
+TEMPLATE_SQL = f"""WITH c AS (SELECT p_partkey AS qid, p_name AS skills, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) END AS role FROM part), {values("t", "place, tpl", [(i, t) for i, t in enumerate(vocab.TEMPLATES["skill_search"][:2] + vocab.TEMPLATES["role_search"][:2])])},
 f AS (SELECT qid, place, lower(trim(replace(replace(tpl, '{{skills}}', skills), '{{role}}', coalesce(role, '')))) AS query FROM c, t)
-SELECT CAST(qid AS INTEGER) AS qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY place, query) AS INTEGER) AS ord, query, 'template' AS strategy FROM f WHERE length(query) > 3"""
-
-NEGATION_CASES = [(1, "python but not java", ["python", "java"]), (2, "no sql, without spring boot", ["sql", "spring", "boot"]), (3, "java avoid javascript", ["java", "javascript"]), (4, "prefer not aws or gcp", ["aws", "gcp"]), (5, "nothing here", ["here"])]
-NEGATED = {1: ["java"], 2: ["sql", "spring", "boot"], 3: ["javascript"], 4: ["aws"], 5: []}
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY place, query) AS INTEGER) AS ord, query, 'template' AS strategy FROM f WHERE length(query) > 3"""
 
 
 def negation_spans(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, NEGATION_CASES, "qid int, text string, skills array<string>")
+    """Which of a part's words, type and brand a negation covers, with each trigger in turn."""
+    turn = F.element_at(F.array(*map(F.lit, TURNS)), (F.col("p_partkey") % len(TURNS)).cast("int") + 1)
+    words = F.split("p_name", " ")
+    skills = F.array(F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.lower("p_type"), F.lower("p_brand"))
+    text = F.concat(F.lit("find "), F.get(words, F.lit(0)), turn, F.get(words, F.lit(1)), F.lit(" "), F.lower("p_type"), F.lit(" and "), F.lower("p_brand"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), text.alias("text"), skills.alias("skills"))
     return rows.select("qid", F.array_join(understand.negated(F.col("text"), F.col("skills")), ",").alias("negated"))
 
 
-NEGATION_SPANS_SQL = f"WITH {values('r', 'qid, negated', [(k, ','.join(v)) for k, v in NEGATED.items()])} SELECT CAST(qid AS INTEGER) AS qid, negated FROM r"
+NEGATION_SPANS_SQL = f"""WITH src AS (SELECT p_partkey AS qid, string_split(p_name, ' ') AS w, lower(p_type) AS t, lower(p_brand) AS b, ([{", ".join(map(quote, TURNS))}])[p_partkey % {len(TURNS)} + 1] AS turn FROM part),
+said AS (SELECT qid, 'find ' || w[1] || turn || w[2] || ' ' || t || ' and ' || b AS low, [w[1], w[2], t, b] AS skills FROM src), {_spans_sql("said")},
+cov AS (SELECT qid, list((a, b)) AS l FROM spans GROUP BY qid)
+SELECT qid, array_to_string(list_filter(skills, lambda s: instr(low, s) > 0 AND len(list_filter(coalesce(l, []), lambda p: instr(low, s) - 1 >= p[1] AND instr(low, s) - 1 <= p[2])) > 0), ',') AS negated FROM said LEFT JOIN cov USING (qid)"""
 
 
 def typos(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,29 +292,40 @@ p AS (SELECT token, term, place, levenshtein(token, term) AS dist FROM t, w WHER
 SELECT token, term, CAST(dist AS INTEGER) AS dist FROM p WHERE 1 - dist / CAST(greatest(length(token), length(term)) AS DOUBLE) >= CAST(0.7 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, place, term) = 1"""
 
 
-def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries with misspelt words corrected to skills; numbers and known words stay."""
-    rows = _rows(spark, [(1, "Pythn and dockr"), (2, "KUBERNETS expert 5 years"), (3, "plain talk")], "qid int, text string")
-    terms = _rows(spark, [(t, i) for i, t in enumerate(t for t in vocab.SKILLS if " " not in t)], "term string, place int")
-    protected = _rows(spark, [("expert",), ("years",), ("plain",), ("talk",)], "term string")
-    return fuzzy.corrected(rows, terms, protected)
+BENT = ["w", "substr(w, 2)", "substr(w, 1, length(w) - 1) || 'x'", "substr(w, 1, 2) || 'q' || substr(w, 3)"]
+TAIL = " expert with 5 years"
 
 
-SPELL_SQL = "SELECT CAST(qid AS INTEGER) AS qid, corrected FROM (VALUES (1, 'Python and docker'), (2, 'KUBERNETES expert 5 years'), (3, 'plain talk')) r(qid, corrected)"
+def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
+    """A word of each part's name, bent in one of four ways and in one of three cases, corrected to the words of all names."""
+    words = table(spark, sf, "part").select("p_partkey", F.get(F.split("p_name", " "), (F.col("p_partkey") % 2).cast("int")).alias("w"))
+    bent = F.when(F.col("p_partkey") % 4 == 0, F.expr(BENT[0])).when(F.col("p_partkey") % 4 == 1, F.expr(BENT[1])).when(F.col("p_partkey") % 4 == 2, F.expr(BENT[2])).otherwise(F.expr(BENT[3]))
+    cased = F.when(F.col("p_partkey") % 3 == 0, bent).when(F.col("p_partkey") % 3 == 1, F.upper(bent)).otherwise(F.initcap(bent))
+    rows = words.select(F.col("p_partkey").alias("qid"), F.concat(cased, F.lit(TAIL)).alias("text"))
+    terms = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.min("p_partkey").alias("place"))
+    return fuzzy.corrected(rows, terms, _rows(spark, [("expert",), ("with",), ("years",)], "term string"))
 
-CANON = ["Machine Learning Engineering", "Cloud Infrastructure", "Data Platform"]
-NAMES = ["machine learning engineerin", "CLOUD INFRASTRUCTURE", "Cloud Infrastructures", "Quantum Baking", "data platforms", "Machine Learning Engineering "]
+
+SPELL_SQL = f"""WITH v AS (SELECT term, min(p_partkey) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) GROUP BY term),
+b AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {BENT[0]} WHEN 1 THEN {BENT[1]} WHEN 2 THEN {BENT[2]} ELSE {BENT[3]} END AS token FROM (SELECT p_partkey, string_split(p_name, ' ')[p_partkey % 2 + 1] AS w FROM part)),
+t AS (SELECT DISTINCT token FROM b WHERE length(token) >= 4 AND token NOT IN (SELECT term FROM v)),
+f AS (SELECT token, term FROM (SELECT token, term, place, levenshtein(token, term) AS dist FROM t, v) WHERE dist <= 2 AND 1 - dist / CAST(greatest(length(token), length(term)) AS DOUBLE) >= CAST(0.7 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, place, term) = 1)
+SELECT p_partkey AS qid, CASE p_partkey % 3 WHEN 0 THEN coalesce(term, token) WHEN 1 THEN upper(coalesce(term, token)) ELSE upper(substr(coalesce(term, token), 1, 1)) || substr(coalesce(term, token), 2) END || {quote(TAIL)} AS corrected FROM b LEFT JOIN f USING (token)"""
 
 
 def canonical_match(spark: SparkSession, sf: str) -> DataFrame:
-    names = _rows(spark, [(n,) for n in NAMES], "name string")
-    canon = _rows(spark, [(n.lower(), n) for n in CANON], "key string, name string")
-    return fuzzy.canonical_match(names, canon)
+    """Part names in capitals, with a blank, or short of a letter, and names of nations, against the part names."""
+    parts = table(spark, sf, "part").select("p_name").distinct()
+    forms = F.explode(F.array(F.upper("p_name"), F.concat("p_name", F.lit(" ")), F.expr("substr(p_name, 1, length(p_name) - 1)")))
+    names = parts.select(forms.alias("name")).unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("name")))
+    return fuzzy.canonical_match(names, parts.select(F.lower("p_name").alias("key"), F.col("p_name").alias("name")))
 
 
-CANONICAL_SQL = """SELECT * FROM (VALUES ('machine learning engineerin', 'Machine Learning Engineering', false), ('CLOUD INFRASTRUCTURE', 'Cloud Infrastructure', false),
-('Cloud Infrastructures', 'Cloud Infrastructure', false), ('Quantum Baking', 'Quantum Baking', true), ('data platforms', 'Data Platform', false),
-('Machine Learning Engineering', 'Machine Learning Engineering', false)) r(name, canonical, is_new)"""
+#: A name short of one of n letters has the ratio 200 * (n - 1) / (2 * n - 1); no two part names are nearer to it.
+CANONICAL_SQL = f"""WITH p AS (SELECT DISTINCT p_name FROM part)
+SELECT upper(p_name) AS name, p_name AS canonical, false AS is_new FROM p UNION SELECT p_name, p_name, false FROM p
+UNION SELECT substr(p_name, 1, length(p_name) - 1), CASE WHEN 200 * (length(p_name) - 1) / (2 * length(p_name) - 1)::DOUBLE >= {vocab.CANONICAL_RATIO} THEN p_name ELSE substr(p_name, 1, length(p_name) - 1) END, 200 * (length(p_name) - 1) / (2 * length(p_name) - 1)::DOUBLE < {vocab.CANONICAL_RATIO} FROM p
+UNION SELECT n_name, n_name, true FROM nation"""
 
 
 def disjoint_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +349,11 @@ UNION ALL SELECT 'roles', name FROM r WHERE lower(trim(name)) NOT IN (SELECT k F
 
 
 def entity_checks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, [(i, *e) for i, e in enumerate(ENTITIES)], "id int, p string, i string, t string, s string")
+    """Fields of orders as a level, an importance, a skill type and a seniority; values outside their domains are null."""
+    k = F.col("o_orderkey") % 4
+    level = F.when(F.col("o_orderstatus") == "F", "Expert").when(F.col("o_orderstatus") == "O", "wizard").otherwise("Advanced Beginner")
+    kind, rank = F.when(k == 0, "CORE").when(k == 1, "soft").when(k == 2, "other"), F.when(k == 0, "Senior").when(k == 1, "captain").when(k == 2, "INTERN")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), level.alias("p"), F.substring("o_orderpriority", 3, 20).alias("i"), kind.alias("t"), rank.alias("s"))
     return rows.select("id", fuzzy.domain_value(F.col("p"), vocab.PROFICIENCY_LEVELS).alias("proficiency"), fuzzy.domain_value(F.col("i"), vocab.IMPORTANCE).alias("importance"), fuzzy.domain_value(F.col("t"), vocab.SKILL_TYPES).alias("type"), fuzzy.domain_value(F.col("s"), vocab.SENIORITIES).alias("seniority"))
 
 
@@ -319,18 +361,43 @@ def _allowed(column: str, allowed: list[str]) -> str:
     return f"CASE WHEN lower({column}) IN ({', '.join(map(quote, allowed))}) THEN lower({column}) END"
 
 
-ENTITY_SQL = f"""WITH {values("e", "id, p, i, t, s", [(n, *e) for n, e in enumerate(ENTITIES)])} SELECT CAST(id AS INTEGER) AS id, {_allowed("p", vocab.PROFICIENCY_LEVELS)} AS proficiency,
-{_allowed("i", vocab.IMPORTANCE)} AS importance, {_allowed("t", vocab.SKILL_TYPES)} AS type, {_allowed("s", vocab.SENIORITIES)} AS seniority FROM e"""
+ENTITY_SQL = f"""WITH e AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Expert' WHEN 'O' THEN 'wizard' ELSE 'Advanced Beginner' END AS p, substr(o_orderpriority, 3) AS i,
+  CASE o_orderkey % 4 WHEN 0 THEN 'CORE' WHEN 1 THEN 'soft' WHEN 2 THEN 'other' END AS t, CASE o_orderkey % 4 WHEN 0 THEN 'Senior' WHEN 1 THEN 'captain' WHEN 2 THEN 'INTERN' END AS s FROM orders)
+SELECT id, {_allowed("p", vocab.PROFICIENCY_LEVELS)} AS proficiency, {_allowed("i", vocab.IMPORTANCE)} AS importance, {_allowed("t", vocab.SKILL_TYPES)} AS type, {_allowed("s", vocab.SENIORITIES)} AS seniority FROM e"""
+
+#: Tables and their columns, for the SQL.
+DISCOVERED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"],
+}
 
 
 def field_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    found = schema.discover(schema.PROFILE)
-    rows = [(k, ",".join(getattr(found, k))) for k in ("numeric", "summary", "skill", "role", "text")] + [("key", found.key), ("name", found.name)]
-    return _rows(spark, rows, "kind string, columns string")
+    """The kind of every column of some tables, and how many of its values are present."""
+    out = None
+    for name in DISCOVERED:
+        rows = table(spark, sf, name)
+        found = schema.discover(rows.schema)
+        kinds = [(c, k) for k in ("numeric", "summary", "skill", "role", "text") for c in getattr(found, k)]
+        counted = rows.agg(*[F.count(c).alias(c) for c, _ in kinds])
+        listed = counted.select(F.inline(F.array(*[F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(c).alias("present")) for c, k in kinds])))
+        out = listed if out is None else out.unionByName(listed)
+    return out
+
+
+def _kind_sql() -> str:
+    words = lambda k: " OR ".join(f"contains(lower(column_name), {quote(w)})" for w in schema.KINDS[k])
+    numeric = "data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT')"
+    return f"CASE WHEN {words('numeric')} OR {numeric} THEN 'numeric' " + " ".join(f"WHEN {words(k)} THEN '{k}'" for k in ("summary", "skill", "role")) + " ELSE 'text' END"
 
 
-FIELD_SQL = """SELECT * FROM (VALUES ('numeric', 'years_of_experience'), ('summary', 'skill_summary'), ('skill', 'core_skills,secondary_skills,soft_skills'),
-('role', 'potential_roles'), ('text', ''), ('key', 'id'), ('name', 'name')) r(kind, columns)"""
+FIELD_SQL = "WITH counted AS (" + " UNION ALL ".join(f"""SELECT '{t}' AS "table", unnest(c) AS "column", unnest(n) AS present FROM (SELECT [{", ".join(map(quote, cs))}] AS c, [{", ".join(f"count({c})" for c in cs)}] AS n FROM {t})""" for t, cs in DISCOVERED.items()) + f"""),
+kinds AS (SELECT DISTINCT table_name AS "table", column_name AS "column", {_kind_sql()} AS kind FROM information_schema.columns)
+SELECT "table", "column", kind, CAST(present AS BIGINT) AS present FROM counted JOIN kinds USING ("table", "column")"""
 
 QUERIES = {
     "skill_parse": (skill_parse, SKILL_PARSE_SQL),
