@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
-from rankweave.operators import incremental, index
+from rankweave.operators import incremental, index, merkle
 from rankweave.sources import io
 from rankweave.sources.io import table
 from rankweave.streaming import debounce, deliver, watch
@@ -47,6 +47,21 @@ def row_hash_cdc(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf)
 
 
+def merkle_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What differs between two snapshots of few changes, from the buckets whose hashes differ."""
+    old = _orders(spark, sf)[0]
+    moved = old.where("o_orderkey % 997 <> 0").withColumn("price", F.when(F.col("o_orderkey") % 1499 == 1, F.col("price") + 1).otherwise(F.col("price")))
+    new = moved.unionByName(old.where("o_orderkey % 1999 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000))
+    base = f"{working_folder(spark)}/trees-{uuid.uuid4().hex}"
+    for rows, name in ((old, "old"), (new, "new")):
+        merkle.write_tree(rows, "o_orderkey", ORDER_COLUMNS, f"{base}/{name}", buckets=256)
+    return merkle.changes(spark, f"{base}/old", f"{base}/new")
+
+
+MERKLE_SQL = """SELECT o_orderkey AS id, 'deleted' AS change FROM orders WHERE o_orderkey % 997 = 0 UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 1499 = 1 AND o_orderkey % 997 <> 0
+UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 1999 = 0"""
+
+
 def row_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Short hashes of the index's ledger."""
     return incremental.ledger(_orders(spark, sf)[1], "o_orderkey", ORDER_COLUMNS, 16)
@@ -213,6 +228,7 @@ ROUND_TRIP_SQL = """SELECT doc_id, CAST(2 * len(w) AS BIGINT) AS dl FROM (SELECT
 
 QUERIES = {
     "row_hash_cdc": (row_hash_cdc, f"WITH {ORDERS_SQL} SELECT id, change FROM ch"),
+    "merkle_changes": (merkle_changes, MERKLE_SQL),
     "row_hashes": (row_hashes, f"WITH {ORDERS_SQL} SELECT id, substr(hash, 1, 16) AS hash FROM hb"),
     "cdc_summary": (cdc_summary, f"WITH {ORDERS_SQL} SELECT change, count(*) AS n FROM ch GROUP BY change"),
     "key_changes": (key_changes, f"WITH {ORDERS_SQL} SELECT id, change FROM ch WHERE change IN ('new', 'deleted')"),

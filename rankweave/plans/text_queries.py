@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import schema, vocab
 from rankweave.functions import text as T
-from rankweave.operators import fuzzy, understand
+from rankweave.operators import dictionary, fuzzy, understand
 from rankweave.sources.io import table
 
 from . import encoding
@@ -313,6 +313,24 @@ f AS (SELECT token, term FROM (SELECT token, term, place, levenshtein(token, ter
 SELECT p_partkey AS qid, CASE p_partkey % 3 WHEN 0 THEN coalesce(term, token) WHEN 1 THEN upper(coalesce(term, token)) ELSE upper(substr(coalesce(term, token), 1, 1)) || substr(coalesce(term, token), 2) END || {quote(TAIL)} AS corrected FROM b LEFT JOIN f USING (token)"""
 
 
+COMMON = 5  # documents that hold a word of the dictionary
+
+
+def dictionary_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the benchmark passages, each with one of three slips, corrected by the words of the documents."""
+    known = dictionary.counted(table(spark, sf, "documents"), "text", COMMON)
+    held = table(spark, sf, "benchmark").select(F.explode(dictionary.words(F.col("text"))).alias("w")).where(F.length("w") >= dictionary.LEAST).distinct()
+    slip = F.when(F.length("w") % 3 == 0, F.expr("substr(w, 1, 1) || substr(w, 3)")).when(F.length("w") % 3 == 1, F.expr("substr(w, 1, 2) || 'q' || substr(w, 4)")).otherwise(F.expr("substr(w, 1, 2) || 'zx' || substr(w, 3)"))
+    return dictionary.corrections(held.select(slip.alias("token")), settled(known))
+
+
+DICTIONARY_SQL = f"""WITH d AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'))) AS word FROM documents) WHERE length(word) >= {dictionary.LEAST - 1} GROUP BY word HAVING count(*) >= {COMMON}),
+w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS w FROM benchmark),
+t AS (SELECT DISTINCT CASE length(w) % 3 WHEN 0 THEN substr(w, 1, 1) || substr(w, 3) WHEN 1 THEN substr(w, 1, 2) || 'q' || substr(w, 4) ELSE substr(w, 1, 2) || 'zx' || substr(w, 3) END AS token FROM w WHERE length(w) >= {dictionary.LEAST}),
+p AS (SELECT token, word, n, levenshtein(token, word) AS dist FROM t JOIN d ON abs(length(token) - length(word)) <= 2 WHERE length(token) >= {dictionary.LEAST} AND token NOT IN (SELECT word FROM d))
+SELECT token, word, CAST(dist AS INTEGER) AS dist, n FROM p WHERE dist <= CASE WHEN length(token) < {dictionary.LONG} THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, n DESC, word) = 1"""
+
+
 def canonical_match(spark: SparkSession, sf: str) -> DataFrame:
     """Part names in capitals, with a blank, or short of a letter, and names of nations, against the part names."""
     parts = table(spark, sf, "part").select("p_name").distinct()
@@ -416,6 +434,7 @@ QUERIES = {
     "negation_spans": (negation_spans, NEGATION_SPANS_SQL),
     "fuzzy_match": (fuzzy_match, FUZZY_SQL),
     "spell_correct": (spell_correct, SPELL_SQL),
+    "dictionary_corrections": (dictionary_corrections, DICTIONARY_SQL),
     "canonical_match": (canonical_match, CANONICAL_SQL),
     "disjoint_levels": (disjoint_levels, DISJOINT_SQL),
     "entity_checks": (entity_checks, ENTITY_SQL),

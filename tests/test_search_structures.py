@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
-from rankweave.operators import fusion, index, lexical, names, pruned, ranks, threshold
+from rankweave.operators import dictionary, fusion, index, lexical, merkle, names, pruned, ranks, threshold
 from rankweave.plans import graph_queries, index_queries
 from rankweave.plans.folders import settled
 
@@ -113,3 +115,53 @@ def test_fused_top(spark, k, most_seen, monkeypatch):
 
 def test_sides_are_counted(spark):
     assert "Broadcast" in nodes_of(spark.range(5).join(ranks.small(spark.range(3)), "id"))
+
+
+def test_dictionary_against_all_pairs(spark):
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(3, 9)))
+    texts = [" ".join(made() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "ABCD abcd"]
+    held = spark.createDataFrame([(t,) for t in texts], "t string")
+    known = {r["word"]: r["n"] for r in dictionary.counted(held, "t", 2).collect()}
+    want = Counter(w for t in texts for w in {x for x in re.split("[^a-z]+", (t or "").lower()) if len(x) >= 3})
+    assert known == {w: n for w, n in want.items() if n >= 2}
+    tokens = sorted({made() for _ in range(300)} | {"abc", "Abcd", "ab-cd"})
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row: list, i: int, x: str, b: str) -> list:
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return out
+
+    expected = set()
+    for t in tokens:
+        if len(t) >= 4 and re.fullmatch("[a-z]+", t) and t not in known:
+            near = [(d, -n, w) for w, n in known.items() if (d := distance(t, w)) <= (1 if len(t) < 6 else 2)]
+            if near:
+                d, n, w = min(near)
+                expected.add((t, w, d, -n))
+    found = dictionary.corrections(spark.createDataFrame([(t,) for t in tokens], "token string"), dictionary.counted(held, "t", 2))
+    assert {tuple(r) for r in found.collect()} == expected and len(expected) > 50
+
+
+def test_merkle_reads_what_differs(spark, tmp_path):
+    rows = spark.range(3000).select("id", (F.col("id") * 7 % 100).alias("v"))
+    moved = rows.where("id <> 5").withColumn("v", F.when(F.col("id") == 17, 1000).otherwise(F.col("v"))).unionByName(spark.createDataFrame([(9000, 1)], "id long, v long"))
+    paths = {name: str(tmp_path / name) for name in ("old", "new", "same")}
+    for name, df in (("old", rows), ("new", moved), ("same", rows.repartition(7))):
+        merkle.write_tree(df, "id", ["v"], paths[name], buckets=300)
+    assert {tuple(r) for r in merkle.changes(spark, paths["old"], paths["new"]).collect()} == {(5, "deleted"), (17, "changed"), (9000, "new")}
+    found = merkle.differing(spark, paths["old"], paths["new"])
+    assert 1 <= len(found) <= 3 and merkle.differing(spark, paths["old"], paths["same"]) == []
+    plan = nodes_of(merkle.read_buckets(spark, paths["old"], found, "long"))
+    assert "PartitionFilters: [bucket#" in plan and "Filter" not in plan.split("FileScan")[0]
+    root = merkle.tree(spark, paths["old"]).orderBy(F.desc("level")).first()
+    assert root["n"] == 3000 and root["node"] == 0
+    merkle.write_tree(rows.limit(0), "id", ["v"], str(tmp_path / "none"), buckets=300)
+    assert merkle.changes(spark, str(tmp_path / "none"), paths["old"]).where("change = 'new'").count() == 3000
