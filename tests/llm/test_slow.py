@@ -186,6 +186,22 @@ def test_slices_of_the_exact_filter_still_prune(spark):
     assert tested.where("not _t0 or not _t1").count() > 3000
 
 
+def test_slices_do_not_broadcast_at_once(spark):
+    """A plan over many slices holds as many broadcasts as one over few: slices are tested in jobs of their own."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 150).alias("text"))
+    plans = [exact_dedup.exact_duplicates(docs, most_bits=bits)._jdf.queryExecution().executedPlan().toString() for bits in (6, 27)]
+    assert plans[0].count("BroadcastExchange") <= 2 < 40 <= exact_dedup.tested_rows(docs, most_bits=6)[0].select("_slice").distinct().count() + 15
+
+
+def test_long_texts_keep_their_likeness():
+    """Sums of a million shingles do not wrap."""
+    long, short = (fingerprints.Fingerprint.of("a b c " * n) for n in (400_000, 5_000))
+    same = np.array([False])
+    assert fingerprints.likeness(long.sketch[None], short.sketch[None], same)[0] > 0.999
+    (_, many), (_, few) = (fingerprints.fingerprint_texts(["a b c " * n]) for n in (400_000, 5_000))
+    assert fingerprints.likeness(many, few, same)[0] > 0.999
+
+
 def test_keys_beyond_one_filter_are_joined(spark):
     rows = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.xxhash64("id")).alias("k"))
     keys = spark.range(0, 500, 2).select(F.xxhash64("id").alias("k"))
