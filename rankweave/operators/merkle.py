@@ -43,7 +43,10 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
 def differing(spark: SparkSession, old: str, new: str) -> list[int]:
     """Buckets whose leaves differ, found from the roots down; children are compared only where their parents differ."""
     a, b = tree(spark, old), tree(spark, new)
-    top = max(r["level"] for r in (a.agg(F.max("level").alias("level")).first(), b.agg(F.max("level").alias("level")).first()))
+    tops = [t.agg(F.max("level")).first()[0] for t in (a, b)]
+    if None in tops:  # an empty snapshot has no nodes
+        return sorted(r["node"] for r in a.unionByName(b).where("level = 0").select("node").collect())
+    top = max(tops)
     nodes: list[int] | None = None
     for level in range(top, -1, -1):
         pick = lambda df, name: df.where((F.col("level") == level) & (F.lit(True) if nodes is None else F.floor(F.col("node") / FAN).isin(nodes))).select("node", F.col("hash").alias(name))  # noqa: B023, E731
