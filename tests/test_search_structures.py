@@ -155,7 +155,7 @@ def test_merkle_reads_what_differs(spark, tmp_path):
     moved = rows.where("id <> 5").withColumn("v", F.when(F.col("id") == 17, 1000).otherwise(F.col("v"))).unionByName(spark.createDataFrame([(9000, 1)], "id long, v long"))
     paths = {name: str(tmp_path / name) for name in ("old", "new", "same")}
     for name, df in (("old", rows), ("new", moved), ("same", rows.repartition(7))):
-        merkle.write_tree(df, "id", ["v"], paths[name], buckets=300)
+        merkle.write_tree(df, "id", ["v"], paths[name], buckets=60)
     assert {tuple(r) for r in merkle.changes(spark, paths["old"], paths["new"]).collect()} == {(5, "deleted"), (17, "changed"), (9000, "new")}
     found = merkle.differing(spark, paths["old"], paths["new"])
     assert 1 <= len(found) <= 3 and merkle.differing(spark, paths["old"], paths["same"]) == []
@@ -163,5 +163,5 @@ def test_merkle_reads_what_differs(spark, tmp_path):
     assert "PartitionFilters: [bucket#" in plan and "Filter" not in plan.split("FileScan")[0]
     root = merkle.tree(spark, paths["old"]).orderBy(F.desc("level")).first()
     assert root["n"] == 3000 and root["node"] == 0
-    merkle.write_tree(rows.limit(0), "id", ["v"], str(tmp_path / "none"), buckets=300)
+    merkle.write_tree(rows.limit(0), "id", ["v"], str(tmp_path / "none"), buckets=60)
     assert merkle.changes(spark, str(tmp_path / "none"), paths["old"]).where("change = 'new'").count() == 3000
