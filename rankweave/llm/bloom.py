@@ -15,6 +15,11 @@ def size_for(keys: int, most_bits: int, per_key: int = 32) -> int:
     return min(most_bits, max(12, (per_key * keys).bit_length()))
 
 
+def fits(keys: int, most_bits: int, per_key: int = 32) -> bool:
+    """Whether a filter of 2**most_bits bits holds the keys at full strength."""
+    return per_key * keys <= 1 << most_bits
+
+
 def word_of(key: Column, bits: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (bits - 6)) - 1))
 

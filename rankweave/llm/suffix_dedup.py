@@ -25,11 +25,16 @@ order among themselves has no part in the result.
 Digits are compared by 64-bit polynomial hashes, two independent ones for a decision to remove.
 Counts are aggregated before rows meet, so a string in a third of all texts is no hot group.
 
-Every pass scans the texts where they lie and finds the ranges anew; Bloom filters of bounded size
-tell it which to emit (those whose anchor occurs again, then those left open), so hashes and places
-move, and texts only once, to meet their spans at the end. A full filter lets more rows through and
-changes no result. Counts on what was emitted decide. A filter holds about 4 million keys at full strength, which is
-reached at some gigabytes of text; beyond that passes 2 and 3 emit more rows than they need.
+Every pass scans the texts where they lie and finds the ranges anew, and emits those that may still
+matter: first those whose anchor occurs again, then those left open. Counts on what was emitted decide.
+Which these are is told in one of two ways, with equal results and, but for a few false positives, equal rows:
+
+* as many keys as a Bloom filter of 2**`most_bits` bits holds at 32 bits a key (4 million) are broadcast as one, so hashes
+  and places move, and texts only once, to meet their spans at the end;
+* more of them (some gigabytes of text on) are joined. Keys that occur again meet the emitted rows by key before these are
+  written, salted where one is hot. Open ranges are gathered to their text, whose own ranges bound the list, and only
+  texts that have some move to meet them. No filter fills up, nothing that grows with the data is broadcast, and a pass writes
+  rows for what is open alone, at any size.
 
 Defined cases: null counts as empty; texts shorter than the window keep all bytes; matches never
 cross texts; a string that overlaps itself counts; repeated rows are texts of their own.
@@ -45,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Filter
+from .bloom import Filter, fits
 from .common import Rolling, bounded_batches, durable, mixed, text_buffers, whole
 
 WINDOW, GRAM, STEP = 400, 64, 16
@@ -124,13 +129,23 @@ def range_ids(key: int, row: int, depth: int, lo: np.ndarray, core: np.ndarray)
     return mixed(base + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + core)
 
 
-def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filter], window: int = WINDOW) -> tuple[np.ndarray, ...] | None:
-    """(core, outer, id, lo, hi) of a text's ranges at a depth; filters are those of the anchors, of the open ranges above, and of windows that occur again."""
+class Listed:
+    """The same question as to a filter, answered by the list of keys itself."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return np.isin(keys.view(np.int64), self.keys)
+
+
+def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filter | Listed | None], window: int = WINDOW) -> tuple[np.ndarray, ...] | None:
+    """(core, outer, id, lo, hi) of a text's ranges at a depth; filters are those of the anchors, of the open ranges above, and of windows that occur again. None lets all through."""
     got = anchored(data, window)
     if got is None:
         return None
     lo, hi, at, core, outer = got
-    if filters:
+    if filters and filters[0] is not None:
         use = filters[0].holds(core)
         lo, hi, at, core, outer = lo[use], hi[use], at[use], core[use], outer[use]
     ids = range_ids(key, row, 1, lo, core)
@@ -145,7 +160,7 @@ def ranges(data: np.ndarray, key: int, row: int, depth: int, filters: list[Filte
         if not use.any():
             return None
         lo, hi, core, outer = windows(data, lo[use], hi[use], window)
-        if len(filters) > 3:
+        if len(filters) > 3 and filters[3] is not None:
             use = filters[3].holds(core)
             lo, hi, core, outer = lo[use], hi[use], core[use], outer[use]
         ids = range_ids(key, row, 3, lo, core)
@@ -178,14 +193,26 @@ def _decided(rows: DataFrame) -> DataFrame:
     return both.select(*COLUMNS, same.alias("same"), (F.col("differ") & (~same | (F.col("first") == F.col("id")))).alias("open"))
 
 
+def _by_text(levels: list[DataFrame]) -> DataFrame:
+    """(_k, row, open): for each text with open ranges at the last level, the lists of its open ids at each level."""
+    rows = levels[0].withColumn("level", F.lit(0))
+    for i, level in enumerate(levels[1:], 1):
+        rows = rows.unionByName(level.withColumn("level", F.lit(i)))
+    lists = [F.collect_set(F.when(F.col("level") == i, F.col("id"))) for i in range(len(levels))]
+    return rows.groupBy("_k", "row").agg(F.array(*lists).alias("open")).where(F.size(F.element_at("open", -1)) > 0)
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """(_k, row, lo, hi): ranges of window starts, by key and text hash, whose windows all occur again."""
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(whole(F.col(key), docs.schema[key].dataType.simpleString()).alias("_k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
-    def emit(depth: int, filters: list[Filter], only_cores: bool = False) -> DataFrame:
-        shared = spark.sparkContext.broadcast((filters, texts[-1] if texts else None))
+    def emit(depth: int, filters: list[Filter | None], only_cores: bool = False) -> DataFrame:
+        texts_of = opened[-1][1] if opened else None
+        by_text = any(f is None for f in filters[1:3])
+        source = own.join(_by_text([rows for rows, _ in opened]), ["_k", "row"]).select("_k", "row", "text", "open") if by_text else own
+        shared = spark.sparkContext.broadcast((filters, None if by_text else texts_of))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -195,7 +222,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 keys, rows = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 for i in np.flatnonzero(open_texts.holds(rows)) if open_texts is not None else range(len(rows)):
                     k, row = keys[i], int(rows[i])
-                    got = ranges(data[at[i] : at[i + 1]], k, row, depth, own_filters, window)
+                    use = own_filters
+                    if by_text:
+                        lists = [Listed(x.values.to_numpy()) for x in batch.column(3)[i].values]
+                        use = [None, *lists, *own_filters[3:]]
+                    got = ranges(data[at[i] : at[i + 1]], k, row, depth, use, window)
                     if got is None:
                         continue
                     core, outer, ids, lo, hi = got
@@ -207,27 +238,34 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out if o], COLUMNS[:1] if only_cores else COLUMNS)
 
-        return own.mapInArrow(run, "core long" if only_cores else ROWS)
+        return source.mapInArrow(run, "core long" if only_cores else ROWS)
 
-    def repeated_cores(depth: int, filters: list[Filter]) -> Filter:
+    def repeated(depth: int, filters: list[Filter | None]) -> DataFrame:
+        """Rows of a depth whose core occurs again; adds the filter of these cores, or None where they are joined."""
         again = durable(emit(depth, filters, True).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-        return Filter(again, "core", again.count(), most_bits)
-
-    def open_ranges(decided: DataFrame) -> Filter:
-        """A filter of the open ranges; a scan at the next depth skips texts without one, by a filter of text hashes."""
-        ids = decided.where("open").select("id", "row")
-        count = ids.count()
-        texts.append(Filter(ids, "row", count, most_bits))
-        return Filter(ids, "id", count, most_bits)
-
-    texts: list[Filter] = []
-    filters = [repeated_cores(1, [])]
-    first = durable(_decided(durable(emit(1, filters))))
-    filters.append(open_ranges(first))
+        count = again.count()
+        filters.append(Filter(again, "core", count, most_bits) if fits(count, most_bits) else None)
+        rows = emit(depth, filters)
+        if filters[-1] is not None:
+            return durable(rows)
+        copies = again.select("core", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
+        return durable(rows.withColumn("salt", F.pmod("id", F.lit(SALTS))).join(copies, ["core", "salt"], "left_semi").drop("salt"))
+
+    def add_open(decided: DataFrame) -> None:
+        """The open ranges, as a filter with one of the texts that hold some, or as a table to be joined."""
+        rows = decided.where("open").select("_k", "row", "id")
+        count = rows.count()
+        room = fits(count, most_bits)
+        filters.append(Filter(rows, "id", count, most_bits) if room else None)
+        opened.append((rows, Filter(rows, "row", count, most_bits) if room else None))
+
+    opened: list[tuple[DataFrame, Filter | None]] = []
+    filters: list[Filter | None] = []
+    first = durable(_decided(repeated(1, filters)))
+    add_open(first)
     second = durable(_decided(durable(emit(2, filters))))
-    filters.append(open_ranges(second))
-    filters.append(repeated_cores(3, filters))
-    third = _decided(durable(emit(3, filters)))
+    add_open(second)
+    third = _decided(repeated(3, filters))
     columns = ["_k", "row", "lo", "hi"]
     return first.where("same").select(*columns).unionByName(second.where("same").select(*columns)).unionByName(third.where("same").select(*columns))
 

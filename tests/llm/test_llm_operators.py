@@ -101,6 +101,27 @@ def test_suffix_dedup_small_tables(docs, doc_rows):
     assert counted(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cases.suffix_rows(doc_rows, 400)
 
 
+@pytest.mark.parametrize("most_bits", [6, 12])
+def test_suffix_dedup_beyond_filters(docs, doc_rows, monkeypatch, most_bits):
+    """With more keys than a filter holds, rows are equal and no pass writes more than with filters that hold all."""
+    written: list[int] = []
+
+    def counted_durable(df):
+        kept = suffix_dedup_durable(df)
+        if kept.columns == suffix_dedup.COLUMNS:
+            written.append(kept.count())
+        return kept
+
+    suffix_dedup_durable = suffix_dedup.durable
+    monkeypatch.setattr(suffix_dedup, "durable", counted_durable)
+    found = suffix_dedup.remove_repeats(docs, most_bits=most_bits)
+    assert counted(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cases.suffix_rows(doc_rows, 400)
+    few, written = written[:], []
+    suffix_dedup.repeated_spans(docs)
+    assert len(few) == len(written) == 3
+    assert all(0 < a <= b for a, b in zip(few, written)), (few, written)
+
+
 def test_suffix_dedup_full_filter(edges, rows):
     found = suffix_dedup.remove_repeats(edges, window=100)
     full = suffix_dedup.remove_repeats(edges, window=100, most_bits=6)
