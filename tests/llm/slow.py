@@ -67,9 +67,9 @@ def notices_found(text: str | None, notices: dict[str, list[str]], k: int, drift
 
 
 def toxic_score(text: str | None, table: np.ndarray, bias: float, orders: tuple[int, ...], bits: int) -> float:
-    """Sum over the set of a text's n-gram slots, through the logistic function."""
+    """Sum over the set of slots of a text's n-grams of characters, through the logistic function."""
     kept = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (text or "").translate(LOWERED))
-    raw = re.sub(" +", " ", f" {kept} ").encode()
+    raw = [int.from_bytes(c.encode()) for c in re.sub(" +", " ", f" {kept} ")]
     slots = set()
     for n in orders:
         for i in range(len(raw) - n + 1):

@@ -249,6 +249,32 @@ def test_toxicity(spark):
     assert ((scored.score >= 0.3) == (scored.predicted == 1)).all()
 
 
+def test_toxicity_fit_is_that_of_a_dense_matrix():
+    draw = np.random.default_rng(0)
+    held = draw.random((200, 60)) < 0.2
+    held[:, 50] = False
+    held[7] = False
+    scale, use = draw.normal(size=60), (np.arange(200) % 3 > 0).astype(float)
+    y = (held[:, :5].sum(1) + 0.3 * draw.normal(size=200) > 1).astype(float)
+    w = toxicity.logistic(toxicity.Sparse([np.flatnonzero(r) for r in held], scale), y, use, 1.0, tolerance=1e-9)
+    x, v, penalty = np.c_[held * scale, np.ones(200)], np.zeros(61), np.r_[np.ones(60), 1e-6]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve((x.T * (use * p * (1 - p))) @ x + np.diag(penalty), x.T @ (use * (p - y)) + penalty * v)
+    assert np.abs(w - v).max() < 1e-5
+
+
+def test_toxicity_reads_characters():
+    """Grams are of characters of one to four bytes, within their own text."""
+    texts = ["añb", "", "日本 x", "😀é", "plain"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found, offsets = toxicity.characters(data, at)
+    assert offsets.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+    assert found.tolist() == [int.from_bytes(c.encode()) for c in "".join(texts)]
+    assert toxicity.characters(data[:0], np.zeros(3, np.int64))[1].tolist() == [0, 0, 0]
+
+
 def test_toxicity_edges(edges, rows, spark):
     labels = edges.select("doc_id", F.coalesce(F.contains("text", F.lit("idiot")), F.lit(False)).cast("int").alias("toxic"))
     found = toxicity.score_documents(edges, toxicity.train(edges, labels)).collect()
@@ -378,7 +404,9 @@ def test_language_of_texts_of_megabytes(spark):
     assert all(got[i]["score"] > 0.8 for i, _, _ in rows), [(lang, got[i]["score"]) for i, _, lang in rows]
 
 
-def test_toxicity_counts_features_beyond_the_first_2048(spark):
+def test_toxicity_keeps_every_informative_feature(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    assert 2048 < model["wanted"].sum() <= 4096
+    assert model["wanted"].sum() > 30_000
+    strict = toxicity.train(docs, labels, merit=4.0)
+    assert 0 < strict["wanted"].sum() < model["wanted"].sum() and not (strict["wanted"] & ~model["wanted"]).any()
