@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from rankweave.functions import text as T
 from rankweave.functions import vocab
 
+PIECE = 8 << 20  # bytes of text that a task tokenises
+
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Term frequencies; one shuffle by (doc_id, term) after partial counts."""
@@ -27,17 +29,20 @@ def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.join(F.broadcast(table), "token", "left").select("doc_id", F.explode(F.coalesce("words", F.array("token"))).alias("term"))
 
 
-def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> dict[str, DataFrame]:
     """All lexical relations of a text corpus; postings carry their document's length (dl) and are stored once by `store`.
 
     Texts move once, to their document's partition; counts, lengths and later scores of a document need no other move.
+    There is a partition for each `piece` bytes of text, by counting them: tokens take far more memory than the compressed
+    text by which Spark would join partitions, so a task's memory depends on `piece` and not on the corpus.
     """
-    own = docs.select(F.col(key), F.col(text)).repartition(key)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    own = docs.select(F.col(key), F.col(text)).repartition(1 + size // piece, key)
     counted = token_rows(own, key, text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     post = store(counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))))
     stats = post.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    n, mean = corpus_stats(docs, stats).first()
-    corpus = docs.sparkSession.createDataFrame([(n, mean)], "n long, avgdl double")
+    total = stats.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+    corpus = docs.sparkSession.createDataFrame([(n, total / n if total else 1.0)], "n long, avgdl double")
     return {"postings": post, "doc_stats": stats, "corpus_stats": corpus, "term_stats": term_stats(post, corpus)}
 
 

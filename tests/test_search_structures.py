@@ -44,6 +44,14 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_texts_are_dealt_by_their_bytes(spark):
+    docs = spark.createDataFrame([(i, "some words of a text") for i in range(100)], "doc_id long, text string")
+    found = index.build_texts(docs, "doc_id", "text", settled, piece=100)
+    assert found["postings"].rdd.getNumPartitions() == 21
+    assert found["corpus_stats"].first() == (100, 5.0) and found["postings"].count() == 500
+    assert index.build_texts(docs.limit(0), "doc_id", "text", settled)["corpus_stats"].first() == (0, 1.0)
+
+
 def test_blocks(spark):
     rng = random.Random(2)
     rows = [(i, t, rng.random()) for t in "abc" for i in rng.sample(range(500), {"a": 500, "b": 70, "c": 1}[t])]
