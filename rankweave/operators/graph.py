@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
@@ -19,6 +19,7 @@ from rankweave.functions import vocab
 from .names import gram_index, holding
 from .ranks import small
 
+EACH = 1 << 15  # skills of candidates whose hits a task makes
 LINKS = ("RELATED_TO", "BELONGS_TO")
 DOMAIN_LINKS = ("HAS_SUBDOMAIN", "BELONGS_TO")
 
@@ -77,53 +78,81 @@ def delta(weight: float, hops: int, extra: float = 1.0) -> float:
     return round(weight * extra * vocab.GRAPH_DECAY ** (hops - 1), 4)
 
 
-def direct(has_skill: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """One hop: a skill of the candidate holds the term. Skill terms weigh 3, others 1.5."""
+def _at(met: DataFrame, node: str, via: str, hops: int, gain: Column) -> DataFrame:
+    """(qid, term, skill, node, via, hops, delta): what a skill adds to whoever holds it; `node` names the column that is reported."""
+    return met.select("qid", "term", "skill", F.col(node).alias("node"), F.lit(via).alias("via"), F.lit(hops).alias("hops"), gain.alias("delta")).distinct()
+
+
+def _held(has_skill: DataFrame, at: DataFrame) -> DataFrame:
+    """Candidates that hold the skills of _at()."""
+    return has_skill.join(small(at), "skill").select("qid", "term", "cid", "node", "via", "hops", "delta").distinct()
+
+
+def _direct(has_skill: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     met = _asked(terms, terms_held(has_skill, "skill", terms) if held is None else held, "skill", "kind")
     gain = F.when(F.col("kind") == "skill", delta(vocab.GRAPH_DIRECT, 1)).otherwise(delta(vocab.GRAPH_RELATED, 1))
-    return has_skill.join(met, "skill").select("qid", "term", "cid", F.col("skill").alias("node"), F.lit("HAS_SKILL").alias("via"), F.lit(1).alias("hops"), gain.alias("delta")).distinct()
+    return _at(met, "skill", "HAS_SKILL", 1, gain)
 
 
-def _held(has_skill: DataFrame, met: DataFrame, node: str, hops: int, gain: float, via: str) -> DataFrame:
-    """Candidates that hold the skills of (qid, term, skill, ...); `node` names the column that is reported."""
-    return has_skill.join(met, "skill").select("qid", "term", "cid", F.col(node).alias("node"), F.lit(via).alias("via"), F.lit(hops).alias("hops"), F.lit(gain).alias("delta")).distinct()
+def direct(has_skill: DataFrame, terms: DataFrame) -> DataFrame:
+    """One hop: a skill of the candidate holds the term. Skill terms weigh 3, others 1.5."""
+    return _held(has_skill, _direct(has_skill, terms))
 
 
 def _linked(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("type").isin(*LINKS))
 
 
-def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, found: list[DataFrame] | None = None) -> DataFrame:
+def _related(walked: list[DataFrame]) -> DataFrame:
+    return _at(walked[0], "skill", "RELATED_TO", 2, F.lit(delta(vocab.GRAPH_RELATED, 2)))
+
+
+def related(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
     """Two hops: a name next to a skill holds the term; the node is the skill."""
-    return _held(has_skill, (found or sources(_linked(edges), terms, 1))[0], "skill", 2, delta(vocab.GRAPH_RELATED, 2), "RELATED_TO")
+    return _held(has_skill, _related(sources(_linked(edges), terms, 1)))
 
 
-def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """Two hops to a domain that holds the term; the node is the domain."""
+def _domain(edges: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     own = edges.where(F.col("type").isin(*DOMAIN_LINKS)).select(F.col("src").alias("skill"), F.col("dst").alias("name")).distinct()
     met = _asked(terms, terms_held(own, "name", terms) if held is None else held, "name")
-    return _held(has_skill, own.join(met, "name"), "name", 2, delta(vocab.GRAPH_DOMAIN, 2), "HAS_SUBDOMAIN")
+    return _at(own.join(met, "name"), "name", "HAS_SUBDOMAIN", 2, F.lit(delta(vocab.GRAPH_DOMAIN, 2)))
+
+
+def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """Two hops to a domain that holds the term; the node is the domain."""
+    return _held(has_skill, _domain(edges, terms))
 
 
 def role(suitable: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One hop to a role, for role and skill terms."""
     met = _asked(terms.where(F.col("kind").isin("role", "skill")), terms_held(suitable, "role", terms) if held is None else held, "role")
-    return suitable.join(met, "role").select("qid", "term", "cid", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
+    return suitable.join(small(met), "role").select("qid", "term", "cid", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
 
 
-def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int, found: list[DataFrame] | None = None) -> DataFrame:
-    """Three or four hops: the weight decays once for the distance and once for the hops; the node is the skill."""
+def _far(walked: list[DataFrame], hops: int) -> DataFrame:
     gain = delta(vocab.GRAPH_RELATED, hops, vocab.GRAPH_DECAY ** (hops - 2))
-    return _held(has_skill, (found or sources(_linked(edges), terms, hops - 1))[hops - 2], "skill", hops, gain, f"HOP{hops}_CHAIN")
+    return _at(walked[hops - 2], "skill", f"HOP{hops}_CHAIN", hops, F.lit(gain))
+
+
+def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int) -> DataFrame:
+    """Three or four hops: the weight decays once for the distance and once for the hops; the node is the skill."""
+    return _held(has_skill, _far(sources(_linked(edges), terms, hops - 1), hops))
 
 
 def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All six patterns for all terms (qid, term, kind); names are looked up once, and the walks of three depths are made once, all stored by `keep`."""
+    """All six patterns for all terms (qid, term, kind); names are looked up once, and the walks of three depths are made once, all stored by `keep`.
+
+    What skills add is gathered for all patterns first and joined with their holders once. Skills and roles are dealt by
+    candidate, a task for each `EACH` skills, so hits of a candidate meet in the task that made them. They compress so well
+    that tasks joined by the size of their shuffles would hold ever more of them.
+    """
     names = has_skill.select(F.col("skill").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).unionByName(suitable.select(F.col("role").alias("name")))
     held = keep(terms_held(names, "name", terms))
     walked = sources(_linked(edges), terms, 3, keep, held)
-    found = [direct(has_skill, terms, held), related(has_skill, edges, terms, walked), domain(has_skill, edges, terms, held), role(suitable, terms, held), far(has_skill, edges, terms, 3, walked), far(has_skill, edges, terms, 4, walked)]
-    return reduce(DataFrame.unionByName, found)
+    at = keep(reduce(DataFrame.unionByName, [_direct(has_skill, terms, held), _related(walked), _domain(edges, terms, held), _far(walked, 3), _far(walked, 4)]))
+    tasks = 1 + has_skill.count() // EACH
+    dealt = lambda df, name: df.select("cid", name).repartition(tasks, "cid")
+    return _held(dealt(has_skill, "skill"), at).unionByName(role(dealt(suitable, "role"), terms, held))
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -151,7 +180,8 @@ def candidates(found: DataFrame, has_skill: DataFrame, profiles: DataFrame, aske
     profiles(cid, years, roles array), asked(qid, wanted, band, negated array).
     """
     skills = has_skill.groupBy("cid").agg(F.sort_array(F.collect_set("skill")).alias("core_skills"))
-    out = scored(found).join(skills, "cid", "left").join(profiles, "cid", "left").join(asked, "qid")
+    # Few queries: moved by qid, all candidates of a query would meet in one task.
+    out = scored(found).join(skills, "cid", "left").join(profiles, "cid", "left").join(small(asked), "qid")
     own = experience_score(F.col("years"), F.col("wanted"), F.col("roles"), F.col("band"))
     out = out.withColumn("experience_score", own).withColumn("score", F.round(F.col("graph_score") + own, 4))
     negated = F.exists("core_skills", lambda s: F.exists("negated", lambda n: F.contains(F.lower(s), n)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 
+from .ranks import numbered, small
+
 
 def tagged(hybrid: DataFrame, graph: DataFrame) -> DataFrame:
     """Full outer merge by (qid, id): score of the hybrid branch, else of the graph's, and where a row comes from."""
@@ -66,8 +70,8 @@ def adjustment(modifiers: Column, negated: Column, core_skills: Column) -> Colum
     return gain + vocab.NEGATION_PENALTY * F.size(met)
 
 
-def reranked(pool: DataFrame, asked: DataFrame, scale: bool = False, limit: int | None = None) -> DataFrame:
-    """final = alpha·hybrid + beta·graph + adjustment, cut to 0..1, with ranks by final score, ties by id.
+def finals(pool: DataFrame, asked: DataFrame, scale: bool = False) -> DataFrame:
+    """final = alpha·hybrid + beta·graph + adjustment, cut to 0..1, unrounded.
 
     asked(qid, intent, confidence, modifiers, negated). `scale` first brings each branch to 0..1 within
     its query, as graph scores have no bound of their own.
@@ -75,23 +79,37 @@ def reranked(pool: DataFrame, asked: DataFrame, scale: bool = False, limit: int
     out = pool
     if scale:
         ends = pool.groupBy("qid").agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in ("hybrid_score", "kg_score") for f in (F.min, F.max)])
-        out = pool.join(ends, "qid")
+        out = pool.join(F.broadcast(ends), "qid")  # one row a query
         for c in ("hybrid_score", "kg_score"):
             lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")
             out = out.withColumn(c, F.when(hi == lo, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col(c) - lo) / (hi - lo)))
         out = out.drop(*[c for c in out.columns if c.startswith(("_min_", "_max_"))])
-    out = out.join(asked, "qid").withColumn("alpha", alpha(F.col("intent"), F.col("confidence"))).withColumn("beta", F.round(1.0 - F.col("alpha"), 6))
+    out = out.join(small(asked), "qid").withColumn("alpha", alpha(F.col("intent"), F.col("confidence"))).withColumn("beta", F.round(1.0 - F.col("alpha"), 6))
     out = out.withColumn("modifier_delta", adjustment(F.col("modifiers"), F.col("negated"), F.col("core_skills")))
     raw = F.col("alpha") * F.col("hybrid_score") + F.col("beta") * F.col("kg_score") + F.col("modifier_delta")
-    out = out.withColumn("final_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final_score"), "id")))
-    if limit is not None:
-        out = out.where(F.col("rank") <= limit)
+    return out.withColumn("final_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+
+def rounded(out: DataFrame) -> DataFrame:
+    """Scores at four places, for display."""
     for c in ("final_score", "hybrid_score", "kg_score", "alpha", "beta", "modifier_delta"):
         out = out.withColumn(c, F.round(c, 4))
     return out.drop("modifiers", "negated", "confidence")
 
 
+def reranked(pool: DataFrame, asked: DataFrame, scale: bool = False, limit: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """finals() with ranks by final score, ties by id, rounded.
+
+    With a limit, Spark keeps that many rows a query in each task; without one every row is numbered in ranges of the
+    order, so that no task sorts a whole query. `keep` may store the rows, which the numbering reads several times.
+    """
+    out = finals(pool, asked, scale)
+    if limit is None:
+        return rounded(numbered(keep(out), ["qid"], "final_score", "id", "rank"))
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final_score"), "id"))
+    return rounded(out.withColumn("rank", best).where(F.col("rank") <= limit))
+
+
 def from_hybrid(raw: DataFrame) -> DataFrame:
     """The hybrid branch's nested rows (candidate_id, scores struct<primary, rrf>, ...) as flat candidates: both id names as text, the primary score unless it is empty."""
     cid = F.col("candidate_id").cast("string")

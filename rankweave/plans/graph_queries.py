@@ -243,8 +243,8 @@ def _intents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INTENTS, "qid int, intent string, confidence double, modifiers array<string>, negated array<string>")
 
 
-def _ranked(spark: SparkSession, sf: str, scale: bool = False) -> DataFrame:
-    return rerank.reranked(rerank.pooled(*_branches(spark, sf)), _intents(spark), scale)
+def _ranked(spark: SparkSession, sf: str, limit: int | None = None) -> DataFrame:
+    return rerank.reranked(rerank.pooled(*_branches(spark, sf)), _intents(spark), limit=limit, keep=settled)
 
 
 RANK_COLUMNS = ["qid", "id", "rank", "final_score", "hybrid_score", "kg_score", "alpha", "beta", "modifier_delta", "source", "years"]
@@ -267,7 +267,7 @@ FULL = f"{GRAPH}, {PATTERNS_SQL}, {CANDIDATES_SQL}, {BRANCHES_SQL}"
 
 def scaled_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Re-ranking with both branches brought to 0..1 first: extremes of the final scores by query and source."""
-    out = _ranked(spark, sf, scale=True)
+    out = rerank.rounded(rerank.finals(rerank.pooled(*_branches(spark, sf)), _intents(spark), scale=True))
     return out.groupBy("qid", "source").agg(F.count("*").alias("n"), F.max("final_score").alias("most"), F.min("final_score").alias("least"))
 
 
@@ -296,7 +296,7 @@ SELECT CAST(rk.qid AS INTEGER) AS qid, rk.id, CAST(rank AS INTEGER) AS rank, rol
 
 def explanations(spark: SparkSession, sf: str) -> DataFrame:
     """Stub texts, tiers and the narration that needs no service, for the best five of each query."""
-    top = _ranked(spark, sf).where("rank <= 5")
+    top = _ranked(spark, sf, limit=5)
     text = explain.narration(F.col("source"), F.col("alpha"), F.col("beta"), F.array().cast("array<string>"), F.col("core_skills"))
     return top.select("qid", "id", explain.score_tier(F.col("final_score")).alias("tier"), explain.share_tier(F.col("alpha")).alias("share"), explain.stub(F.col("id"), F.col("final_score"), F.col("source")).alias("stub"), text.alias("narration"))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
-from rankweave.operators import dictionary, fusion, index, lexical, merkle, names, pruned, ranks, threshold
+from rankweave.operators import dictionary, fusion, graph, index, lexical, merkle, names, pruned, ranks, rerank, threshold
 from rankweave.plans import graph_queries, index_queries
 from rankweave.plans.folders import settled
 
@@ -44,6 +44,21 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_hits_are_dealt_by_candidate(spark, monkeypatch):
+    """Tasks of the hits grow with the candidates' skills, and no join moves all rows of a query to one task."""
+    monkeypatch.setattr(graph, "EACH", 10)
+    held = spark.createDataFrame([(i, s) for i in range(40) for s in ("blue anvil", "red bolt")], "cid long, skill string")
+    suits = spark.createDataFrame([(i, "building") for i in range(40)], "cid long, role string")
+    edges = spark.createDataFrame([("r", "RELATED_TO", "blue anvil", "red bolt")], "edge_id string, type string, src string, dst string")
+    terms = spark.createDataFrame([(1, "bolt", "skill"), (1, "build", "role")], "qid int, term string, kind string")
+    found = graph.hits(held, suits, edges, terms, settled)
+    assert "hashpartitioning(cid#" in nodes_of(found) and nodes_of(found).count(", 9), REPARTITION_BY_NUM") == 2
+    assert Counter((r["via"], r["node"], r["delta"]) for r in found.collect()) == {("HAS_SKILL", "red bolt", 3.0): 40, ("RELATED_TO", "blue anvil", 0.75): 40, ("SUITABLE_FOR", "building", 2.0): 40}
+    people = spark.createDataFrame([(i, 3.0, ["building"]) for i in range(40)], "cid long, years double, roles array<string>")
+    asked = spark.createDataFrame([(1, 3.0, None, [])], "qid int, wanted double, band string, negated array<string>")
+    assert not re.search(r"hashpartitioning\(qid#\d+, \d+\)", nodes_of(graph.candidates(found, held, people, asked)))
+
+
 def test_texts_are_dealt_by_their_bytes(spark):
     docs = spark.createDataFrame([(i, "some words of a text") for i in range(100)], "doc_id long, text string")
     found = index.build_texts(docs, "doc_id", "text", settled, piece=100)
@@ -52,6 +67,16 @@ def test_texts_are_dealt_by_their_bytes(spark):
     assert index.build_texts(docs.limit(0), "doc_id", "text", settled)["corpus_stats"].first() == (0, 1.0)
 
 
+def test_whole_ranking_is_numbered_in_ranges(spark):
+    pool = spark.createDataFrame([(1, i, (i * 7 % 50) / 50, 0.0, ["a"], [], "both") for i in range(300)], "qid int, id long, hybrid_score double, kg_score double, core_skills array<string>, matched_terms array<string>, source string")
+    asked = spark.createDataFrame([(1, "x", 0.5, [], [])], "qid int, intent string, confidence double, modifiers array<string>, negated array<string>")
+    out = rerank.reranked(pool, asked, keep=settled)
+    assert "_b#" in nodes_of(out)
+    got = {r["id"]: r["rank"] for r in out.collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(300), key=lambda i: (-(i * 7 % 50), i)), 1)}
+    assert {r["id"]: r["rank"] for r in rerank.reranked(pool, asked, limit=20).collect()} == {i: n for i, n in got.items() if n <= 20}
+
+
 def test_blocks(spark):
     rng = random.Random(2)
     rows = [(i, t, rng.random()) for t in "abc" for i in rng.sample(range(500), {"a": 500, "b": 70, "c": 1}[t])]
