@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from rankweave.functions import vocab
 from rankweave.functions.text import let
 
+from .ranks import small
+
 WORD = r"[a-z0-9][a-z0-9+#./-]*"
+EACH = 1 << 12  # queries that a task parses
 
 
 def _strings() -> Column:
@@ -66,18 +69,37 @@ def _escaped(term: str) -> str:
 
 def ngrams(text: Column, longest: int = 4) -> Column:
     """All runs of 1 to `longest` words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    words = F.transform(words, lambda w: F.rtrim(w, F.lit("./-")))
-    each = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(F.flatten(F.array(*[F.when(F.size(words) >= k, each(k)).otherwise(_strings()) for k in range(1, longest + 1)])))
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.rtrim(w, F.lit("./-")))
+
+    def runs(w: Column, k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) >= k, each).otherwise(_strings())
+
+    return let(words, lambda w: F.array_distinct(F.flatten(F.array(*[runs(w, k) for k in range(1, longest + 1)]))))
+
+
+def _listed(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, found) of (keys, term, canonical): canonical names, longer terms first, then by name."""
+    best = hits.groupBy(*keys, "canonical").agg(F.min(F.struct((-F.size(F.split("term", " "))).alias("less"), "term")).alias("m"))
+    found = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("m.less", "m.term", "canonical"))).alias("l"))
+    return found.select(*keys, F.transform("l", lambda x: x["canonical"]).alias("found"))
 
 
 def terms_in(queries: DataFrame, vocabulary: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
     """(qid, found): canonical names of vocabulary terms (term, canonical) in each text; longer terms first, then by name."""
     grams = queries.select(key, F.explode(ngrams(F.col(text))).alias("term"))
-    hits = grams.join(vocabulary, "term").groupBy(key, "canonical").agg(F.min(F.struct((-F.size(F.split("term", " "))).alias("less"), "term")).alias("m"))
-    found = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("m.less", "m.term", "canonical"))).alias("l"))
-    return found.select(key, F.transform("l", lambda x: x["canonical"]).alias("found"))
+    return _listed(grams.join(small(vocabulary), "term"), [key])
+
+
+def terms_of_kinds(queries: DataFrame, vocabularies: Mapping[str, DataFrame], key: str = "qid", text: str = "text") -> DataFrame:
+    """(qid, a column of each kind): as terms_in of several vocabularies, with the runs of words made once; null where none is found."""
+    known = None
+    for kind, df in vocabularies.items():
+        one = df.select(F.lit(kind).alias("_kind"), "term", "canonical")
+        known = one if known is None else known.unionByName(one)
+    grams = queries.select(key, F.explode(ngrams(F.col(text))).alias("term"))
+    found = _listed(grams.join(small(known), "term"), [key, "_kind"])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_kind") == kind, F.col("found"))).alias(kind) for kind in vocabularies])
 
 
 def vocabulary(spark, terms: Sequence[str], aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -91,24 +113,21 @@ def vocabulary(spark, terms: Sequence[str], aliases: Mapping[str, Sequence[str]]
 
 def negated_spans(text: Column) -> Column:
     """Array of (start, end), 0-based: each trigger with the words that it covers."""
-    q = F.lower(text)
-    spans = []
-    for pattern, scope in vocab.NEGATIONS:
-        # Each match of the trigger with what follows it up to the next words of its scope.
-        head = F.split(q, pattern)
-        hits = F.regexp_extract_all(q, F.lit(f"({pattern})"), F.lit(1))
-        # Where each match starts: the lengths of what is before it and between.
-        before = F.transform(F.sequence(F.lit(0), F.size(hits)), lambda i: F.aggregate(F.slice(head, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-        def one(i: Column, hits: Column = hits, before: Column = before, scope: int = scope) -> Column:
-            return _span(q, F.get(before, i), F.length(F.get(hits, i)), scope)
+    return let(F.lower(text), lambda q: F.flatten(F.array(*[_spans_of(q, pattern, scope) for pattern, scope in vocab.NEGATIONS])))
 
-        at = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-        spans.append(_each(at, one))
-    return F.flatten(F.array(*spans))
 
+def _spans_of(q: Column, pattern: str, scope: int) -> Column:
+    """Each match of the trigger with what follows it up to the next words of its scope."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-def _each(places: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(places, lambda i: body(i))
+    def each(hits: Column, head: Column) -> Column:
+        # Where a match starts: the lengths of what is before it and between.
+        lengths = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda so_far, x: so_far + F.length(x))
+        start = lambda i: lengths(head, i + 1) + lengths(hits, i)
+        return F.transform(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: let(start(i), lambda at: _span(q, at, F.length(F.get(hits, i)), scope)))
+
+    found = F.regexp_extract_all(q, F.lit(f"({pattern})"), F.lit(1))
+    return let(found, lambda hits: F.when(F.size(hits) > 0, let(F.split(q, pattern), lambda head: each(hits, head))).otherwise(none))
 
 
 def _span(q: Column, start: Column, size: Column, scope: int) -> Column:
@@ -117,11 +136,11 @@ def _span(q: Column, start: Column, size: Column, scope: int) -> Column:
     return F.struct(start.alias("start"), (start + size + F.length(covered)).alias("end"))
 
 
-def negated(text: Column, skills: Column) -> Column:
-    """Skills whose first place in the text lies in a negated span."""
-    q = F.lower(text)
+def negated(text: Column, skills: Column, spans: Column | None = None) -> Column:
+    """Skills whose first place in the text lies in a negated span; `spans` are those of the text where they are known."""
     inside = lambda at, p: (at >= p["start"]) & (at <= p["end"])
-    return let(negated_spans(text), lambda spans: F.filter(skills, lambda s: (F.instr(q, s) > 0) & F.exists(spans, lambda p: inside(F.instr(q, s) - 1, p))))
+    held = lambda q, spans: F.filter(skills, lambda s: let(F.instr(q, s), lambda at: (at > 0) & F.exists(spans, lambda p: inside(at - 1, p))))
+    return let(F.lower(text), lambda q: let(negated_spans(text) if spans is None else spans, lambda x: held(q, x)))
 
 
 def exclusions(negated_skills: Column, negated_location: Column) -> Column:
@@ -129,9 +148,9 @@ def exclusions(negated_skills: Column, negated_location: Column) -> Column:
     return F.struct(F.when(F.size(negated_skills) > 0, negated_skills).alias("must_not_skills"), negated_location.alias("must_not_location"))
 
 
-def negated_location(text: Column) -> Column:
+def negated_location(text: Column, spans: Column | None = None) -> Column:
     modes = F.filter(F.array(*map(F.lit, vocab.WORK_MODES)), lambda m: F.contains(F.lower(text), m))
-    return F.get(negated(text, modes), F.lit(0))
+    return F.get(negated(text, modes, spans), F.lit(0))
 
 
 def rules_matched(text: Column, suppressed: Column | None = None) -> Column:
@@ -153,26 +172,34 @@ def intent(text: Column, skills: Column, role: Column, band_: Column, domain: Co
     free = lambda name: ~F.array_contains(suppressed, name)
     pick = lambda *pairs: F.array_except(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs])), suppressed)
     made = lambda name, confidence, modifiers: F.struct(name.alias("primary"), F.lit(confidence).alias("confidence"), modifiers.alias("modifiers"))
-    rules = rules_matched(text, suppressed)
-    rest = F.slice(rules, 2, F.greatest(F.size(rules), F.lit(1)))
-    more = F.when(domain.isNotNull() & ~F.array_contains(rules, "domain_search") & free("domain_search"), F.array_append(rest, F.lit("domain_search"))).otherwise(rest)
+
+    def by_rules(rules: Column) -> Column:
+        rest = F.slice(rules, 2, F.greatest(F.size(rules), F.lit(1)))
+        more = F.when(domain.isNotNull() & ~F.array_contains(rules, "domain_search") & free("domain_search"), F.array_append(rest, F.lit("domain_search"))).otherwise(rest)
+        return F.when(F.size(rules) > 0, made(F.get(rules, F.lit(0)), 0.93, more)).otherwise(made(F.lit("unknown"), 0.5, _strings()))
+
     return (
         F.when((n >= 2) & free("multi_skill"), made(F.lit("multi_skill"), 0.92, pick((band_.isNotNull(), "experience_filter"), (domain.isNotNull(), "domain_search"))))
         .when(band_.isNotNull() & ((n >= 1) | role.isNotNull()) & free("experience_filter"), made(F.lit("experience_filter"), 0.91, pick((n >= 1, "skill_search"), (role.isNotNull(), "role_search"), (domain.isNotNull(), "domain_search"))))
         .when(domain.isNotNull() & band_.isNull() & (n <= 1) & free("domain_search"), made(F.lit("domain_search"), 0.88, pick((role.isNotNull(), "role_search"))))
-        .when(F.size(rules) > 0, made(F.get(rules, F.lit(0)), 0.93, more))
-        .otherwise(made(F.lit("unknown"), 0.5, _strings()))
+        .otherwise(let(rules_matched(text, suppressed), by_rules))
     )
 
 
-def parse(queries: DataFrame, skills: DataFrame, roles: DataFrame, domains: Mapping[str, Sequence[str]] = vocab.DOMAINS, key: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, text, skills, negated, role, band, years, domain, location, negated_location, intent) of each query."""
-    found = queries.join(terms_in(queries, skills, key, text).withColumnRenamed("found", "_s"), key, "left").join(terms_in(queries, roles, key, text).withColumnRenamed("found", "_r"), key, "left")
+def parse(queries: DataFrame, skills: DataFrame, roles: DataFrame, domains: Mapping[str, Sequence[str]] = vocab.DOMAINS, key: str = "qid", text: str = "text", each: int = EACH) -> DataFrame:
+    """(qid, text, skills, negated, role, band, years, domain, location, negated_location, intent) of each query.
+
+    Queries are dealt by their key, about `each` to a task: parsing takes far more time than reading them, so their bytes, by which
+    Spark would join partitions, say little. All that follows of a query stays in its task.
+    """
+    own = queries.select(key, text).repartition(1 + queries.count() // each, key)
+    found = own.join(terms_of_kinds(own, {"_s": skills, "_r": roles}, key, text), key, "left")
     t = F.col(text)
-    out = found.select(key, text, F.coalesce("_s", _strings()).alias("all_skills"), F.get("_r", F.lit(0)).alias("role"), band(t).alias("band"), years_asked(t).alias("years"), first_contained(t, domains).alias("domain"), location(t).alias("place"), negated_location(t).alias("negated_location"))
-    out = out.withColumn("negated", negated(t, F.col("all_skills"))).withColumn("skills", F.array_except("all_skills", "negated"))
+    out = found.select(key, text, F.coalesce("_s", _strings()).alias("all_skills"), F.get("_r", F.lit(0)).alias("role"), band(t).alias("band"), years_asked(t).alias("years"), first_contained(t, domains).alias("domain"), location(t).alias("place"), negated_spans(t).alias("_spans"))
+    spans = F.col("_spans")
+    out = out.withColumn("negated_location", negated_location(t, spans)).withColumn("negated", negated(t, F.col("all_skills"), spans)).withColumn("skills", F.array_except("all_skills", "negated"))
     suppressed = F.array_compact(F.array(F.when(F.col("negated_location").isNotNull(), F.lit("availability")), F.when(F.size("negated") > 0, F.lit("skill_search"))))
-    return out.withColumn("intent", intent(t, F.col("skills"), F.col("role"), F.col("band"), F.col("domain"), suppressed)).withColumn("exclusions", exclusions(F.col("negated"), F.col("negated_location"))).drop("all_skills")
+    return out.withColumn("intent", intent(t, F.col("skills"), F.col("role"), F.col("band"), F.col("domain"), suppressed)).withColumn("exclusions", exclusions(F.col("negated"), F.col("negated_location"))).drop("all_skills", "_spans")
 
 
 def synonym_variants(parsed: DataFrame, aliases: Mapping[str, Sequence[str]] = vocab.SKILL_ALIASES, each: int = 2) -> DataFrame:
@@ -228,12 +255,14 @@ def expand(parsed: DataFrame, most: int = vocab.MOST_VARIANTS, extra: DataFrame
 
 
 def without_negated(variants: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Variants that hold no negated skill; the query itself where none is left."""
-    held = variants.join(parsed.select("qid", "negated", "text"), "qid")
-    bad = F.exists("negated", lambda n: F.contains(F.col("query"), n))
-    kept = held.where(~bad).drop("negated", "text")
-    empty = parsed.join(kept.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit(1).alias("ord"), F.lower("text").alias("query"), F.lit("original").alias("strategy"))
-    return kept.unionByName(empty)
+    """Variants that hold no negated skill; the query itself where none is left. Variants are read once."""
+    held = parsed.select("qid", "negated", "text").join(variants, "qid", "left")
+    good = F.coalesce(F.col("query").isNotNull() & ~F.exists("negated", lambda n: F.contains(F.col("query"), n)), F.lit(False))
+    own = Window.partitionBy("qid")
+    marked = held.withColumn("_good", good).withColumn("_any", F.max("_good").over(own)).withColumn("_at", F.row_number().over(own.orderBy("ord")))
+    kept = marked.where(F.col("_good") | (~F.col("_any") & (F.col("_at") == 1)))
+    or_own = lambda c, other: F.when(F.col("_good"), F.col(c)).otherwise(other).alias(c)
+    return kept.select("qid", or_own("ord", F.lit(1)), or_own("query", F.lower("text")), or_own("strategy", F.lit("original")))
 
 
 def synonym_table(spark, groups: Sequence[Sequence[str]] = vocab.SYNONYMS) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
-from rankweave.operators import dictionary, fusion, graph, index, lexical, merkle, names, pruned, ranks, rerank, threshold
+from rankweave.operators import dictionary, fusion, graph, index, lexical, merkle, names, pruned, ranks, rerank, threshold, understand
 from rankweave.plans import graph_queries, index_queries
 from rankweave.plans.folders import settled
 
@@ -67,6 +67,28 @@ def test_texts_are_dealt_by_their_bytes(spark):
     assert index.build_texts(docs.limit(0), "doc_id", "text", settled)["corpus_stats"].first() == (0, 1.0)
 
 
+def test_queries_are_dealt_by_their_number(spark):
+    asked = spark.createDataFrame([(i, f"senior java engineer not python, {i} years") for i in range(90)], "qid long, text string")
+    known = [understand.vocabulary(spark, ["java", "python"]), understand.vocabulary(spark, ["engineer"])]
+    parsed = settled(understand.parse(asked, *known, each=10))
+    assert parsed.rdd.getNumPartitions() == 10
+    assert {(*r["skills"], *r["negated"], r["role"]) for r in parsed.collect()} == {("java", "python", "engineer")} and parsed.count() == 90
+    assert understand.parse(asked.limit(0), *known).count() == 0
+
+
+def test_variants_are_made_once(spark):
+    asked = spark.createDataFrame([(1, "no java people"), (2, "go people"), (3, "abc"), (4, "x not python no docker y")], "qid int, text string")
+    parsed = settled(understand.parse(asked, understand.vocabulary(spark, ["java", "go", "python", "docker"]), understand.vocabulary(spark, [])))
+    assert {r["qid"]: r["negated"] for r in parsed.collect()} == {1: ["java"], 2: [], 3: [], 4: ["docker", "python"]}
+    out = understand.without_negated(understand.expand(parsed), parsed)
+    assert nodes_of(out).count("Generate") == nodes_of(understand.expand(parsed)).count("Generate") > 0
+    negated = {1: ["java"], 2: [], 3: [], 4: ["docker", "python"]}
+    want = {tuple(r) for r in understand.expand(parsed).collect() if not any(n in r["query"] for n in negated[r["qid"]])}
+    assert {tuple(r) for r in out.collect()} == want and (2, 1, "go people", "original") in want and (1, 1, "no java people", "original") not in want
+    none = understand.without_negated(understand.expand(parsed).limit(0), parsed)
+    assert {tuple(r) for r in none.collect()} == {(r["qid"], 1, r["text"], "original") for r in asked.collect()} and none.columns == out.columns
+
+
 def test_whole_ranking_is_numbered_in_ranges(spark):
     pool = spark.createDataFrame([(1, i, (i * 7 % 50) / 50, 0.0, ["a"], [], "both") for i in range(300)], "qid int, id long, hybrid_score double, kg_score double, core_skills array<string>, matched_terms array<string>, source string")
     asked = spark.createDataFrame([(1, "x", 0.5, [], [])], "qid int, intent string, confidence double, modifiers array<string>, negated array<string>")
