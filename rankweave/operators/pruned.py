@@ -23,10 +23,11 @@ from rankweave.functions import vocab
 
 from .index import idf
 from .lexical import saturation
-from .ranks import small
+from .ranks import MOST_ROWS, small
 
 RANGE, GROW = 4, 8
 MARGIN = 2e-6
+EACH = 1 << 20  # postings that a task puts into blocks
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -39,12 +40,17 @@ def with_impact(post: DataFrame, corpus: DataFrame, k1: float = vocab.K1, b: flo
     return rows.withColumn("u", saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) + delta).drop("avgdl")
 
 
-def range_blocks(impacts: DataFrame, size: int = RANGE, store: Callable[[DataFrame], DataFrame] = _plain) -> DataFrame:
-    """(range, term, n, most, rows array<struct<doc_id, u>>) of postings (doc_id, term, u). To be stored; bounds read its first four columns only."""
-    own = impacts.select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+def range_blocks(impacts: DataFrame, size: int = RANGE, store: Callable[[DataFrame], DataFrame] = _plain, each: int = EACH) -> DataFrame:
+    """(range, term, n, most, rows array<struct<doc_id, u>>) of postings (doc_id, term, u). To be stored; bounds read its first four columns only.
+
+    Postings are dealt by range, about `each` to a task: as plain rows they take less to move than as lists, and all blocks of a
+    range lie together, so sums over them are nearly complete before they move.
+    """
+    own = impacts.groupBy("doc_id").agg(F.count("*").alias("_n")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     # Numbers of a task's rows follow each other, so a range lies in one task, and its last ranges may be shorter.
     numbered = store(own.withColumn("range", F.call_function("div", F.monotonically_increasing_id(), F.lit(size))))
-    held = impacts.join(numbered, "doc_id")
+    total = numbered.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    held = impacts.join(numbered.drop("_n"), "doc_id").repartition(1 + total // each, "range")
     return held.groupBy("range", "term").agg(F.count("*").alias("n"), F.max("u").alias("most"), F.collect_list(F.struct("doc_id", "u")).alias("rows"))
 
 
@@ -61,8 +67,15 @@ def range_bounds(blocks: DataFrame, asked: DataFrame, keys: list[str]) -> DataFr
 
 
 def opened(blocks: DataFrame, asked: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, doc_id, score, scored) of all documents of the given ranges (keys, range), and how many postings each score took."""
-    parts = ranges.select(*keys, "range").join(asked, keys).join(blocks, ["range", "term"]).select(*keys, "w", F.inline("rows"))
+    """(keys, doc_id, score, scored) of all documents of the given ranges (keys, range), and how many postings each score took.
+
+    Few ranges go to the blocks; for many, only blocks of asked terms move, and where they are not too many, only those of such ranges.
+    """
+    pairs = small(ranges.select(*keys, "range").join(small(asked), keys))
+    held = blocks.select("range", "term", "rows").join(small(asked.select("term").distinct()), "term", "left_semi")
+    own = ranges.select("range").distinct()
+    held = held.join(F.broadcast(own), "range", "left_semi") if own.count() <= MOST_ROWS else held
+    parts = pairs.join(held, ["range", "term"]).select(*keys, "w", F.inline("rows"))
     return parts.groupBy(*keys, "doc_id").agg(F.sum(F.col("w") * F.col("u")).alias("score"), F.count("*").alias("scored"))
 
 

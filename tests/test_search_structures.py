@@ -126,6 +126,29 @@ def test_pruned_scores(spark, k, size):
     assert ranked(some) == ranked(lexical.bm25(found, terms, ["qid"]))
 
 
+def test_blocks_are_dealt_by_range(spark):
+    rows = spark.createDataFrame([(i, t, 1.0 + i) for i in range(400) for t in "abc"], "doc_id long, term string, u double")
+    blocks = settled(pruned.range_blocks(rows.repartition(6), 4, settled, each=100))
+    assert blocks.rdd.getNumPartitions() == 13
+    places = blocks.withColumn("at", F.spark_partition_id()).groupBy("range").agg(F.count_distinct("at").alias("n"))
+    assert places.where("n > 1").count() == 0
+    assert pruned.range_blocks(rows.limit(0), 4, settled).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3, 1 << 18])
+def test_opened_ranges_move_few_blocks(spark, most, monkeypatch):
+    monkeypatch.setattr(ranks, "MOST_ROWS", most)
+    monkeypatch.setattr(pruned, "MOST_ROWS", most)
+    monkeypatch.setattr(pruned, "small", lambda side: ranks.small(side, most))
+    found, terms = made_corpus(spark)
+    blocks = settled(pruned.range_blocks(pruned.with_impact(found["postings"], found["corpus_stats"]).select("doc_id", "term", "u"), 4, settled))
+    asked = settled(pruned.wanted(blocks, terms, ["qid"], found["corpus_stats"].first()["n"]))
+    part = pruned.opened(blocks, asked, pruned.range_bounds(blocks, asked, ["qid"]).where("range % 3 = 0").select("qid", "range"), ["qid"])
+    want = blocks.where("range % 3 = 0").select("term", F.inline("rows")).join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("u")), 6).alias("score"), F.count("*").alias("scored"))
+    as_rows = lambda df: {tuple(r) for r in df.collect()}
+    assert as_rows(part.withColumn("score", F.round("score", 6))) == as_rows(want) and want.count() > 100
+
+
 def test_few_postings_are_scored(spark):
     sf = "/root/testdata/sf0.01"
     every = index_queries._corpus(spark, sf)["postings"].join(index_queries._benchmark_terms(spark, sf), "term").count()
