@@ -59,17 +59,17 @@ def gate_passed(bm25: Column, dense: Column, best: Column) -> Column:
 
 
 def gated(scored: DataFrame, fused: str = "fused") -> DataFrame:
-    """Zeroes the fused score of rows that pass no quality gate; the dense gate follows the query's best row."""
+    """Zeroes the fused score of rows that pass no quality gate; the dense gate follows the query's best row, one row a query, so no join gathers a query's rows."""
     best = scored.groupBy("qid").agg(F.max("dense").alias("_best"))
     keep = gate_passed(F.col("bm25"), F.col("dense"), F.col("_best"))
-    return scored.join(best, "qid").withColumn(fused, F.when(keep, F.col(fused)).otherwise(0.0)).drop("_best")
+    return scored.join(F.broadcast(best), "qid").withColumn(fused, F.when(keep, F.col(fused)).otherwise(0.0)).drop("_best")
 
 
 def floored(scored: DataFrame, k: int, fused: str = "fused", positive: bool = True) -> DataFrame:
     """Rows of at least 0.35 of the query's best score, k at most, with their rank; `positive` leaves zero scores out."""
     top = scored.groupBy("qid").agg(F.max(fused).alias("_top"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(fused), "doc_id"))
-    out = scored.withColumn("rank", rank).where(F.col("rank") <= k).join(top, "qid")
+    out = scored.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(top), "qid")
     out = out.where(F.col(fused) >= F.col("_top") * vocab.SCORE_FLOOR).drop("_top")
     return out.where(F.col(fused) > 0) if positive else out
 

@@ -123,10 +123,20 @@ def domain(has_skill: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFram
     return _held(has_skill, _domain(edges, terms))
 
 
+def _role(suitable: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(qid, term, role, node, via, hops, delta): what a role adds to whoever suits it."""
+    met = _asked(terms.where(F.col("kind").isin("role", "skill")), terms_held(suitable, "role", terms) if held is None else held, "role")
+    return met.select("qid", "term", "role", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
+
+
+def _suited(suitable: DataFrame, met: DataFrame) -> DataFrame:
+    """Candidates that suit the roles of _role()."""
+    return suitable.join(small(met), "role").select("qid", "term", "cid", "node", "via", "hops", "delta").distinct()
+
+
 def role(suitable: DataFrame, terms: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """One hop to a role, for role and skill terms."""
-    met = _asked(terms.where(F.col("kind").isin("role", "skill")), terms_held(suitable, "role", terms) if held is None else held, "role")
-    return suitable.join(small(met), "role").select("qid", "term", "cid", F.col("role").alias("node"), F.lit("SUITABLE_FOR").alias("via"), F.lit(1).alias("hops"), F.lit(delta(vocab.GRAPH_ROLE, 1)).alias("delta")).distinct()
+    return _suited(suitable, _role(suitable, terms, held))
 
 
 def _far(walked: list[DataFrame], hops: int) -> DataFrame:
@@ -139,20 +149,60 @@ def far(has_skill: DataFrame, edges: DataFrame, terms: DataFrame, hops: int) ->
     return _held(has_skill, _far(sources(_linked(edges), terms, hops - 1), hops))
 
 
-def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All six patterns for all terms (qid, term, kind); names are looked up once, and the walks of three depths are made once, all stored by `keep`.
+def gains(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """What skills add, by all patterns of all terms (qid, term, kind), and what roles add; without candidates.
 
-    What skills add is gathered for all patterns first and joined with their holders once. Skills and roles are dealt by
-    candidate, a task for each `EACH` skills, so hits of a candidate meet in the task that made them. They compress so well
-    that tasks joined by the size of their shuffles would hold ever more of them.
+    Names are made different and looked up once, and the walks of three depths are made once, all stored by `keep`.
     """
-    names = has_skill.select(F.col("skill").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).unionByName(suitable.select(F.col("role").alias("name")))
+    each = [(has_skill, "skill"), (edges, "dst"), (suitable, "role")]
+    names = keep(reduce(DataFrame.unionByName, [df.select(F.col(c).alias("name")).distinct() for df, c in each]))
     held = keep(terms_held(names, "name", terms))
     walked = sources(_linked(edges), terms, 3, keep, held)
     at = keep(reduce(DataFrame.unionByName, [_direct(has_skill, terms, held), _related(walked), _domain(edges, terms, held), _far(walked, 3), _far(walked, 4)]))
+    return at, keep(_role(suitable, terms, held))
+
+
+def _dealt(has_skill: DataFrame, *sides: tuple[DataFrame, str]) -> list[DataFrame]:
+    """The sides with their columns cid and the named one, by candidate, a task for each `EACH` skills."""
     tasks = 1 + has_skill.count() // EACH
-    dealt = lambda df, name: df.select("cid", name).repartition(tasks, "cid")
-    return _held(dealt(has_skill, "skill"), at).unionByName(role(dealt(suitable, "role"), terms, held))
+    return [df.select("cid", name).repartition(tasks, "cid") for df, name in sides]
+
+
+def hits(has_skill: DataFrame, suitable: DataFrame, edges: DataFrame, terms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All six patterns for all terms (qid, term, kind).
+
+    What skills add is gathered for all patterns first and joined with their holders once. Skills and roles are dealt by
+    candidate, so hits of a candidate meet in the task that made them. They compress so well
+    that tasks joined by the size of their shuffles would hold ever more of them.
+    """
+    at, met = gains(has_skill, suitable, edges, terms, keep)
+    skills, roles = _dealt(has_skill, (has_skill, "skill"), (suitable, "role"))
+    return _held(skills, at).unionByName(_suited(roles, met))
+
+
+def hits_of(few: DataFrame, has_skill: DataFrame, suitable: DataFrame, at: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of hits() for some candidates `few` (qid, cid), from gains()."""
+    who = small(few.select("cid").distinct())
+    found = _held(has_skill.join(who, "cid", "left_semi"), at).unionByName(_suited(suitable.join(who, "cid", "left_semi"), met))
+    return found.join(small(few.select("qid", "cid").distinct()), ["qid", "cid"], "left_semi")
+
+
+def totals(has_skill: DataFrame, suitable: DataFrame, at: DataFrame, met: DataFrame) -> DataFrame:
+    """(qid, cid, graph_score) as scored(hits()) gives it, from gains() and without a row for each hit.
+
+    A hit counts once for each node. Where the node is the skill itself, a skill adds the same sum to all who hold it, so the
+    sums of a query are made by skill first; domains, which skills share, are made different for each candidate. Sums are in
+    whole ten-thousandths, to which every gain is rounded.
+    """
+    parts = F.sum(F.round(F.col("delta") * 10_000).cast("long")).alias("gain")
+    skills, roles = [df.distinct() for df in _dealt(has_skill, (has_skill, "skill"), (suitable, "role"))]
+    is_own = F.col("via") != "HAS_SUBDOMAIN"
+    own = skills.join(small(at.where(is_own).groupBy("qid", "skill").agg(parts)), "skill").select("qid", "cid", "gain")
+    domains = at.where(~is_own).groupBy("qid", "skill", "node").agg(parts)
+    shared = skills.join(small(domains), "skill").select("qid", "cid", "node", "gain").distinct().select("qid", "cid", "gain")
+    suits = roles.join(small(met.groupBy("qid", "role").agg(parts)), "role").select("qid", "cid", "gain")
+    every = own.unionByName(shared).unionByName(suits).groupBy("qid", "cid").agg(F.sum("gain").alias("gain"))
+    return every.select("qid", "cid", F.round(F.col("gain") / 10_000, 4).alias("graph_score"))
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -174,20 +224,25 @@ def experience_score(years, wanted, roles, band):
     return base + F.when(band.isNotNull() & F.coalesce(fits, F.lit(False)), vocab.SENIORITY_BONUS).otherwise(0.0)
 
 
-def candidates(found: DataFrame, has_skill: DataFrame, profiles: DataFrame, asked: DataFrame) -> DataFrame:
-    """Scored candidates with their skills; those with a negated term in a skill are left out.
+def judged(scores: DataFrame, has_skill: DataFrame, profiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (qid, cid, graph_score) with the candidates' skills and whole score; those with a negated term in a skill are left out.
 
     profiles(cid, years, roles array), asked(qid, wanted, band, negated array).
     """
     skills = has_skill.groupBy("cid").agg(F.sort_array(F.collect_set("skill")).alias("core_skills"))
     # Few queries: moved by qid, all candidates of a query would meet in one task.
-    out = scored(found).join(skills, "cid", "left").join(profiles, "cid", "left").join(small(asked), "qid")
+    out = scores.join(skills, "cid", "left").join(profiles, "cid", "left").join(small(asked), "qid")
     own = experience_score(F.col("years"), F.col("wanted"), F.col("roles"), F.col("band"))
     out = out.withColumn("experience_score", own).withColumn("score", F.round(F.col("graph_score") + own, 4))
     negated = F.exists("core_skills", lambda s: F.exists("negated", lambda n: F.contains(F.lower(s), n)))
     return out.where(~F.coalesce(negated, F.lit(False))).drop("wanted", "band", "negated")
 
 
+def candidates(found: DataFrame, has_skill: DataFrame, profiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scored candidates of hits(), with their terms and reasons, as judged() gives them."""
+    return judged(scored(found), has_skill, profiles, asked)
+
+
 def collect_terms(queries: DataFrame) -> DataFrame:
     """(qid, term, kind) from rows (qid, skills, role, band, negated, queries array<struct<query, strategy>>).
 

@@ -53,6 +53,8 @@ def profile_postings(profiles: DataFrame, key: str, skill_columns: list[str], te
     """
     cells = F.concat(*[T.skill_cell(F.col(c)) for c in skill_columns]) if skill_columns else F.array().cast("array<struct<skill:string,weight:double>>")
     skills = profiles.select(F.col(key).alias("doc_id"), F.inline(cells)).select("doc_id", F.explode(T.bm25_tokens(F.replace("skill", F.lit(" "), F.lit("_")))).alias("term"), T.skill_copies(F.col("weight")).cast("long").alias("tf"))
+    if not text_columns:
+        return skills.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     words = F.concat_ws(" ", *[T.normal_text(F.col(c)) for c in text_columns])
     plain = profiles.select(F.col(key).alias("doc_id"), F.explode(T.bm25_tokens(words)).alias("term"), F.lit(1).cast("long").alias("tf"))
     return skills.unionByName(plain).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,15 +206,15 @@ TOP5_SQL = """t5 AS (SELECT qid, query, strategy, p.doc_id, round(sum(m * idf *
 SELECT CAST(qid AS INTEGER) AS qid, query, strategy, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, query ORDER BY score DESC, doc_id) AS rank FROM t5 WHERE score > 0) WHERE rank <= 5"""
 
 
-def _profile_index(spark: SparkSession, sf: str, held: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def _profile_index(spark: SparkSession, sf: str, held: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = settled) -> tuple[dict[str, DataFrame], DataFrame]:
     """Relations of profiles as words, and their strongest skills; a skill of several words meets queries by its words."""
     held = settled(encoding.has_skill(spark, sf)) if held is None else held
     cells = encoding.cells(spark, sf, held).select(F.col("cid").alias("doc_id"), "cell")
     post = index.profile_postings(cells, "doc_id", ["cell"], [])
-    words = settled(post.select("doc_id", F.explode(F.split("term", "_")).alias("term"), "tf").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")))
+    words = store(post.select("doc_id", F.explode(F.split("term", "_")).alias("term"), "tf").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")))
     stats = index.doc_stats(words)
     corpus = index.corpus_stats(cells, stats)
-    return {"postings": words, "doc_stats": stats, "corpus_stats": corpus, "term_stats": index.term_stats(words, corpus)}, settled(index.top_skills(encoding.skill_rows(spark, sf, held)))
+    return {"postings": words, "doc_stats": stats, "corpus_stats": corpus, "term_stats": index.term_stats(words, corpus)}, store(index.top_skills(encoding.skill_rows(spark, sf, held)))
 
 
 def bm25_boosted_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import vocab
 from rankweave.operators import dictionary, fusion, graph, index, lexical, merkle, names, pruned, ranks, rerank, threshold, understand
-from rankweave.plans import graph_queries, index_queries
+from rankweave.plans import graph_queries, index_queries, search
 from rankweave.plans.folders import settled
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,54 @@ def test_hits_are_dealt_by_candidate(spark, monkeypatch):
     assert not re.search(r"hashpartitioning\(qid#\d+, \d+\)", nodes_of(graph.candidates(found, held, people, asked)))
 
 
+def test_totals_are_those_of_the_hits(spark):
+    """Domains that several skills share, repeated rows, terms of two kinds and roles count as often as their different hits."""
+    rng = random.Random(11)
+    skills = [f"{a} {b}" for a in ("red", "blue", "green") for b in ("bolt", "anvil", "gear")]
+    rows = [(i, rng.choice(skills)) for i in range(30) for _ in range(rng.randint(0, 6))]
+    held = spark.createDataFrame(rows + rows[:9], "cid long, skill string")
+    suits = spark.createDataFrame([(i, rng.choice(["building", "red tools"])) for i in range(34)] * 2, "cid long, role string")
+    near = [(f"r{i}", "RELATED_TO", *rng.sample(skills, 2)) for i in range(14)]
+    belongs = [(f"b{i}{d}", "BELONGS_TO", s, d) for i, s in enumerate(skills) for d in ("red metal", "bolt works", skills[0]) if rng.random() < 0.7]
+    edges = spark.createDataFrame(near + belongs, "edge_id string, type string, src string, dst string")
+    terms = spark.createDataFrame([(1, "red", "skill"), (1, "bolt", "domain"), (1, "build", "role"), (2, "anvil", "skill"), (2, "metal", "domain"), (2, "red", "role")], "qid int, term string, kind string")
+    at, met = graph.gains(held, suits, edges, terms, settled)
+    found = graph.hits(held, suits, edges, terms, settled)
+    score = graph.scored(found)
+    want = {(r["qid"], r["cid"]): r["graph_score"] for r in score.collect()}
+    got = graph.totals(held, suits, at, met).collect()
+    assert {(r["qid"], r["cid"]): r["graph_score"] for r in got} == want and len(got) == len(want) > 40
+    few = spark.createDataFrame([k for k in want if k[1] % 5 == k[0]], "qid int, cid long")
+    as_rows = lambda df: Counter(map(str, df.select("qid", "term", "cid", "node", "via", "hops", "delta").collect()))
+    assert as_rows(graph.hits_of(few, held, suits, at, met)) == as_rows(found.join(few, ["qid", "cid"], "left_semi")) and few.count() > 3
+
+
+def test_search_makes_hits_for_shown_rows_only(spark, monkeypatch):
+    seen, scored = [], graph.scored
+    monkeypatch.setattr(graph, "scored", lambda found: seen.append(found.select("qid", "cid").distinct().count()) or scored(found))
+    out = search.search(spark, SF).collect()
+    assert len(seen) == 1 and 0 < seen[0] <= len(out)
+    assert any("Matched '" in r["bullets"] for r in out)
+
+
+def test_gates_gather_no_query(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(1, i, i / 50, 0.0, i / 50) for i in range(50)], "qid int, doc_id long, bm25 double, dense double, fused double")
+        out = fusion.floored(fusion.gated(rows), 5)
+        assert "SortMergeJoin" not in nodes_of(out) and [r["doc_id"] for r in out.orderBy("rank").collect()] == [49, 48, 47, 46, 45]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_marks_below_a_place(spark):
+    rng = random.Random(3)
+    rows = [(sorted((rng.randint(0, 9) / 3, rng.randint(0, 9)) for _ in range(n)), (rng.randint(0, 9) / 3, rng.randint(0, 9))) for n in (0, 1, 2, 3, 63, 64, 65, 127, 128, 400, 1024) for _ in range(12)]
+    df = spark.createDataFrame(rows, "m array<struct<s:double,t:int>>, p struct<s:double,t:int>")
+    assert [r["n"] for r in df.select(ranks.below(F.col("m"), F.col("p")).alias("n")).collect()] == [sum(x < p for x in m) for m, p in rows]
+
+
 def test_texts_are_dealt_by_their_bytes(spark):
     docs = spark.createDataFrame([(i, "some words of a text") for i in range(100)], "doc_id long, text string")
     found = index.build_texts(docs, "doc_id", "text", settled, piece=100)
