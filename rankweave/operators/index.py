@@ -25,14 +25,16 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, term): the tokens of each text one by one, as text.bm25_tokens gives them; abbreviations come by a join with their fixed, small table."""
     table = docs.sparkSession.createDataFrame([(k, v.split(" ")) for k, v in vocab.ABBREVIATIONS.items()], "token string, words array<string>")
-    found = docs.select(F.col(key).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9][a-z0-9+#_]*"), F.lit(0))).alias("token"))
+    own = F.col(key) if key == "doc_id" else F.col(key).alias("doc_id")  # an alias to the same name would part the stored rows from what is known of their dealing
+    found = docs.select(own, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9][a-z0-9+#_]*"), F.lit(0))).alias("token"))
     return found.join(F.broadcast(table), "token", "left").select("doc_id", F.explode(F.coalesce("words", F.array("token"))).alias("term"))
 
 
 def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> dict[str, DataFrame]:
     """All lexical relations of a text corpus; postings carry their document's length (dl) and are stored once by `store`.
 
-    Texts move once, to their document's partition; counts, lengths and later scores of a document need no other move.
+    Texts move once, to their document's partition; counts and lengths of a document need no other move, nor do later scores where
+    `store` keeps how rows are dealt (folders.dealt), so that a task of theirs has the documents of one piece too.
     There is a partition for each `piece` bytes of text, by counting them: tokens take far more memory than the compressed
     text by which Spark would join partitions, so a task's memory depends on `piece` and not on the corpus.
     """

@@ -25,6 +25,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """As settled(), for rows dealt by a key that Spark goes on to know: later groups of that key don't move. An adaptive plan doesn't tell how its rows are dealt, so this one is planned without."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return settled(df)
+    finally:
+        conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Work a large relation out once, as Parquet in the shared folder. It is read back far faster than a checkpoint, and by column; how its rows were dealt is lost."""
     path = f"{working_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"

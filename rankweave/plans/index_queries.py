@@ -14,7 +14,7 @@ from rankweave.operators import dense, fusion, incremental, index, lexical, metr
 from rankweave.sources.io import table
 
 from . import encoding
-from .folders import settled
+from .folders import dealt, settled
 from .sql import INDEX, tokens, values
 
 TOP = 10  # of the top-k reports
@@ -36,7 +36,7 @@ DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 def _corpus(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return index.build_texts(table(spark, sf, "documents"), "doc_id", "text", settled)
+    return index.build_texts(table(spark, sf, "documents"), "doc_id", "text", dealt)
 
 
 def _benchmark_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -115,6 +115,21 @@ def test_texts_are_dealt_by_their_bytes(spark):
     assert index.build_texts(docs.limit(0), "doc_id", "text", settled)["corpus_stats"].first() == (0, 1.0)
 
 
+def test_scores_do_not_move_from_their_texts(spark):
+    found = index_queries._corpus(spark, SF)
+    terms = index_queries._benchmark_terms(spark, SF)
+    moved = lambda df: [line for line in nodes_of(df).splitlines() if "Exchange hashpartitioning" in line and "doc_id#" in line]
+    assert not moved(found["doc_stats"])
+    assert not moved(lexical.bm25(found, terms, ["item_id"]))
+    assert not moved(lexical.matched_terms(found["postings"], terms, ["item_id"]))
+    assert not moved(index_queries._ranked(lexical.bm25(found, terms, ["item_id"]), ["item_id"]))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    again = index.build_texts(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text", settled)
+    assert moved(lexical.bm25(again, terms, ["item_id"]))
+    rows = lambda at: {(r["item_id"], r["doc_id"], round(r["score"], 6)) for r in lexical.bm25(at, terms, ["item_id"]).collect()}
+    assert rows(found) == rows(again)
+
+
 def test_queries_are_dealt_by_their_number(spark):
     asked = spark.createDataFrame([(i, f"senior java engineer not python, {i} years") for i in range(90)], "qid long, text string")
     known = [understand.vocabulary(spark, ["java", "python"]), understand.vocabulary(spark, ["engineer"])]
