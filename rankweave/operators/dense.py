@@ -18,6 +18,7 @@ from rankweave.functions import vocab
 from rankweave.functions.text import let
 
 MOST_QUERY_BYTES = 64 << 20
+MOST_TERM_BYTES = 8 << 20  # of the terms whose weights are broadcast to postings
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -162,15 +163,46 @@ def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray]
     return df.withColumn(out, run(F.col(text)))
 
 
-def hashed_projection(post: DataFrame, terms: DataFrame, dimensions: int = 384) -> DataFrame:
-    """(doc_id, vec): tf·idf rows under a random sign projection that is drawn from hashes, without an encoder."""
-    weighted = post.join(terms.select("term", "idf"), "term")
-    sign = lambda i: F.when(F.xxhash64("term", i) % 2 == 0, 1.0).otherwise(-1.0)
+def _frequent(terms: DataFrame, most: int) -> int:
+    """The least document frequency from which on terms take at most `most` bytes, by sums of levels of frequencies."""
+    sizes = F.sum(F.octet_length("term").cast("long") + 32).alias("size")
+    levels = terms.groupBy(F.floor(F.log2("df") * 8).alias("level")).agg(sizes, F.min("df").alias("least"), F.max("df").alias("top")).orderBy(F.desc("level")).collect()
+    least, size = (levels[0]["top"] + 1 if levels else 1), 0
+    for r in levels:
+        size += r["size"]
+        if size > most:
+            break
+        least = r["least"]
+    return least
+
+
+def hashed_projection(post: DataFrame, terms: DataFrame, dimensions: int = 384, most: int = MOST_TERM_BYTES, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(doc_id, vec): tf·idf rows under a random sign projection that is drawn from hashes, without an encoder.
+
+    Postings stay where they are (dealt by document): the weights of the most frequent terms, `most` bytes of them, are broadcast
+    to them. Only postings of rarer terms move, to their weight and back to their document. `store` may keep the terms, which are
+    read a few times.
+    """
+    sign = F.when(F.xxhash64("term", F.lit(2)) % 2 == 0, 1.0).otherwise(-1.0)
     lane = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(dimensions)).cast("int")
-    lanes = weighted.select("doc_id", lane.alias("i"), (F.col("tf") * F.col("idf") * sign(F.lit(2))).alias("x")).groupBy("doc_id", "i").agg(F.sum("x").alias("x"))
-    full = lanes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return full.select("doc_id", unit(raw).alias("vec"))
+    weights = store(terms.select("term", "df", lane.alias("i"), (F.col("idf") * sign).alias("w")))
+    least = _frequent(weights, most)
+    held = lambda own: own.select("doc_id", "i", (F.col("tf") * F.col("w")).alias("x"))
+    known = post.select("doc_id", "term", "tf").join(F.broadcast(weights.where(F.col("df") >= least).select("term", "i", "w")), "term", "left")
+    parts = held(known.where(F.col("i").isNotNull()))
+    if least > 1:
+        rare = known.where(F.col("i").isNull()).select("doc_id", "term", "tf").join(weights.where(F.col("df") < least), "term")
+        parts = parts.unionByName(held(rare).repartition(post.rdd.getNumPartitions(), "doc_id"))
+    lanes = parts.groupBy("doc_id", "i").agg(F.sum("x").alias("x"))
+    listed = lanes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("l"))
+    return listed.select("doc_id", unit(_filled("l", dimensions)).alias("vec"))
+
+
+def _filled(lanes: str, dimensions: int) -> Column:
+    """All lanes of a vector from those that it has, (i, x) by i: zeros between them, without a search for each lane."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda k: F.coalesce(F.get(F.col(lanes), k - 1)["i"], F.lit(-1))
+    return F.concat(F.flatten(F.transform(lanes, lambda s, k: F.concat(zeros(s["i"] - before(k) - 1), F.array(s["x"])))), zeros(F.lit(dimensions - 1) - before(F.size(lanes))))
 
 
 def latent_vectors(docs: DataFrame, key: str, tokens: Column, k: int = 256, least: int = 2, most: float = 0.95, features: int = 1 << 15) -> DataFrame:

@@ -30,17 +30,25 @@ def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.join(F.broadcast(table), "token", "left").select("doc_id", F.explode(F.coalesce("words", F.array("token"))).alias("term"))
 
 
-def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> dict[str, DataFrame]:
-    """All lexical relations of a text corpus; postings carry their document's length (dl) and are stored once by `store`.
+def text_counts(docs: DataFrame, key: str, text: str, piece: int = PIECE) -> tuple[int, DataFrame]:
+    """The number of texts, and (doc_id, term, tf) dealt by document.
 
-    Texts move once, to their document's partition; counts and lengths of a document need no other move, nor do later scores where
-    `store` keeps how rows are dealt (folders.dealt), so that a task of theirs has the documents of one piece too.
+    Texts move once, to their document's partition; counts of a document need no other move.
     There is a partition for each `piece` bytes of text, by counting them: tokens take far more memory than the compressed
     text by which Spark would join partitions, so a task's memory depends on `piece` and not on the corpus.
     """
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     own = docs.select(F.col(key), F.col(text)).repartition(1 + size // piece, key)
-    counted = token_rows(own, key, text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return n, token_rows(own, key, text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def build_texts(docs: DataFrame, key: str, text: str, store: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> dict[str, DataFrame]:
+    """All lexical relations of a text corpus; postings carry their document's length (dl) and are stored once by `store`.
+
+    Rows are dealt as by text_counts(); lengths need no other move, nor do later scores where `store` keeps how rows are dealt
+    (folders.dealt), so that a task of theirs has the documents of one piece too.
+    """
+    n, counted = text_counts(docs, key, text, piece)
     post = store(counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))))
     stats = post.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     total = stats.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]

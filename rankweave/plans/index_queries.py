@@ -366,8 +366,9 @@ SELECT qid, round(coalesce(h, 0) / 10::DOUBLE, 5) AS p_at_k, round(coalesce(h, 0
 
 
 def hashed_projection(spark: SparkSession, sf: str) -> DataFrame:
-    found = _corpus(spark, sf)
-    vectors = dense.hashed_projection(found["postings"], found["term_stats"])
+    n, counted = index.text_counts(table(spark, sf, "documents"), "doc_id", "text")
+    post = dealt(counted)
+    vectors = dense.hashed_projection(post, index.term_stats(post, spark.createDataFrame([(n,)], "n long")), store=settled)
     return vectors.select("doc_id", F.size("vec").alias("dimensions"), F.round(dense.norm(F.col("vec")), 5).alias("norm"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import text as T
 from rankweave.functions import vocab
 from rankweave.operators import dense, explain, fuzzy, graph, index, lexical, metrics, ranks, rerank, understand
+from rankweave.plans.folders import dealt, settled
 
 
 def test_encode_with_prefix(spark):
@@ -197,6 +198,30 @@ def test_query_blocks(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_hashed_projection(spark):
+    """As worked out term by term, with all, some and no terms broadcast, a document without an id, one of rare terms only and one of a lane at either end."""
+    words = spark.range(4000).select(F.concat(F.lit("w"), "id").alias("term"), F.pmod(F.xxhash64(F.concat(F.lit("w"), "id"), F.lit(1)), F.lit(384)).alias("i"))
+    ends = {r["i"]: r["term"] for r in words.where("i in (0, 383)").collect()}
+    texts = [(i, " ".join(f"t{j}" for j in range(40) if (i * 7 + j * j) % (2 + j % 5) == 0) + f" u{i}") for i in range(30)]
+    docs = spark.createDataFrame([*texts, (None, "t1 t2 t2 alone"), (77, "rare rarer"), (78, ends[0]), (79, ends[383]), (80, ""), (81, None)], "doc_id long, text string")
+    n, counted = index.text_counts(docs, "doc_id", "text", piece=400)
+    post = dealt(counted)
+    terms = index.term_stats(post, spark.createDataFrame([(n,)], "n long"))
+    drawn = terms.select("term", "idf", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(384)).alias("i"), F.when(F.xxhash64("term", F.lit(2)) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+    weights = {r["term"]: (r["i"], r["idf"] * r["s"]) for r in drawn.collect()}
+    want = {}
+    for r in post.collect():
+        i, w = weights[r["term"]]
+        want.setdefault(r["doc_id"], np.zeros(384))[i] += r["tf"] * w
+    for most in (1 << 20, 1500, 0):
+        vectors = dense.hashed_projection(post, terms, most=most, store=settled)
+        got = {r["doc_id"]: np.array(r["vec"]) for r in vectors.collect()}
+        assert got.keys() == want.keys() and len(got) == 34
+        assert all(v.shape == (384,) and np.allclose(v, want[k] / np.linalg.norm(want[k]), atol=1e-12) for k, v in got.items())
+        plan = vectors._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning" in plan) == (most < 1 << 20)  # postings don't move where all terms are broadcast
+
+
 def test_vocabulary_file(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.createDataFrame([("Kubernetes", ["k8s", "kube"]), ("Go", ["golang"]), ("kube", ["k8s"])], "term string, aliases array<string>").write.json(path)
