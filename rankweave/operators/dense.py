@@ -18,6 +18,7 @@ from rankweave.functions import vocab
 from rankweave.functions.text import let
 
 MOST_QUERY_BYTES = 64 << 20
+MOST_PRODUCTS = 1 << 16  # that a Python worker holds at a time
 MOST_TERM_BYTES = 8 << 20  # of the terms whose weights are broadcast to postings
 
 
@@ -53,37 +54,67 @@ def _kinds(queries: DataFrame, vectors: DataFrame, q: str) -> str:
     return ", ".join([*own, f"doc_id {vectors.schema['doc_id'].dataType.simpleString()}", "score double"])
 
 
-def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int | None, places: int | None, most: int, clip: bool = False) -> DataFrame:
+def _clipped(x: np.ndarray) -> np.ndarray:
+    """As clipped(): NaN counts as the largest number."""
+    return np.where(np.isnan(x), 1.0, np.clip(x, 0.0, 1.0)) + 0.0
+
+
+def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """To the nearest, halves away from zero, as SQL rounds."""
+    y = x * 10.0**places
+    whole = np.trunc(y)
+    return (whole + np.sign(y) * (np.abs(y - whole) >= 0.5)) / 10.0**places
+
+
+def products(batches: Iterator[pa.RecordBatch], own: pa.Table, asked: np.ndarray, k: int | None, places: int | None, clip: bool) -> Iterator[pa.RecordBatch]:
+    """(query columns, doc_id, score) of batches (doc_id, vec) with all queries or the k best of each; about `MOST_PRODUCTS` are held at a time, however many queries there are."""
+    names = [*own.column_names, "doc_id", "score"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, rows = _rows_of(batch)
+        step = max(1, MOST_PRODUCTS // len(ids))
+        for first in range(0, len(asked), step):
+            found = (rows @ asked[first : first + step].T).T
+            if clip:
+                found = _clipped(found)
+            if places is not None:
+                found = _rounded(found, places)
+            if k is None:
+                at = np.tile(np.arange(len(ids)), len(found))
+            else:
+                best = [np.lexsort((ids.to_numpy(zero_copy_only=False), -x))[:k] for x in found]
+                at, found = np.concatenate(best), np.array([x[b] for x, b in zip(found, best, strict=True)])
+            named = own.take(pa.array(np.repeat(np.arange(first, first + len(found)), found.shape[1]))).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in named.columns], ids.take(pa.array(at)), pa.array(np.ascontiguousarray(found).ravel())], names)
+
+
+def _multiplied(queries: DataFrame, vectors: DataFrame, q: str, v: str, k: int | None, places: int | None, most: int, clip: bool = False, each: int | None = None) -> DataFrame:
     """(query columns, doc_id, score) of all pairs, or of the k best of each query in each batch of vectors."""
-    kinds, out = _kinds(queries, vectors, q), None
+    kinds, out, n = _kinds(queries, vectors, q), None, None
     for names, matrix in blocks(queries, q, most):
         shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, asked = shared.value
-            for batch in batches:
-                ids, rows = _rows_of(batch)
-                found = rows @ asked.T
-                if clip:
-                    found = np.clip(found, 0.0, 1.0)
-                if places is not None:
-                    found = np.round(found, places)
-                for j in range(len(asked)):
-                    at = np.arange(len(ids)) if k is None else np.lexsort((ids.to_numpy(zero_copy_only=False), -found[:, j]))[:k]
-                    named = own.take(pa.array(np.full(len(at), j))).columns
-                    yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in named], ids.take(pa.array(at)), pa.array(found[at, j])], [*own.column_names, "doc_id", "score"])
-
-        part = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v).mapInArrow(run, kinds)
+            return products(batches, *shared.value, k, places, clip)
+
+        held = vectors.where(F.size(v) == matrix.shape[1]).select("doc_id", v)
+        if each is not None:
+            n = held.count() if n is None else n
+            tasks = -(-n * len(matrix) // each)
+            held = held.repartition(tasks) if tasks > 1 else held
+        part = held.mapInArrow(run, kinds)
         out = part if out is None else out.unionByName(part)
     return vectors.sparkSession.createDataFrame([], kinds) if out is None else out
 
 
-def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "vec", most: int = MOST_QUERY_BYTES) -> DataFrame:
-    """(query columns, doc_id, score): inner product of each query with each vector, aligned by id; rows stay where they are.
+def scores(queries: DataFrame, vectors: DataFrame, q: str = "qvec", v: str = "vec", most: int = MOST_QUERY_BYTES, places: int | None = None, clip: bool = False, each: int | None = None) -> DataFrame:
+    """(query columns, doc_id, score): inner product of each query with each vector, aligned by id; cut to 0..1 and rounded where asked.
 
-    Vectors of another length than the queries' are left out.
+    Vectors of another length than the queries' are left out. Rows stay where they are; with `each`, where queries grow with the
+    vectors, these are dealt to tasks of about so many pairs.
     """
-    return _multiplied(queries, vectors, q, v, None, None, most)
+    return _multiplied(queries, vectors, q, v, None, places, most, clip, each)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, q: str = "qvec", v: str = "vec", places: int = 6, most: int = MOST_QUERY_BYTES, clip: bool = False) -> DataFrame:

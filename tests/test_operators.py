@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +201,37 @@ def test_query_blocks(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_products_are_held_in_parts():
+    """Memory of a batch doesn't grow with the queries; scores are those of the whole product."""
+    rng = np.random.default_rng(8)
+    rows, asked = rng.normal(size=(3000, 4)), rng.normal(size=(4000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(rows.tolist())], ["doc_id", "vec"])
+    own, n, whole = pa.table({"qid": np.arange(4000)}), 0, np.clip(asked @ rows.T, 0, 1)
+    tracemalloc.start()
+    for part in dense.products(iter([batch]), own, asked, None, None, True):
+        q, d = part.column(0).to_numpy(), part.column(1).to_numpy()
+        assert np.allclose(part.column(2).to_numpy(), whole[q, d], atol=1e-12)
+        n += part.num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 12_000_000 and most < 16 << 20  # 96 MB as a whole
+    top = list(dense.products(iter([batch]), own, asked, 2, 6, False))
+    assert sum(p.num_rows for p in top) == 8000
+    assert {tuple(r.values()) for p in top[:1] for r in p.slice(0, 2).to_pylist()} == {(0, int(d), float(np.round(x, 6))) for d, x in sorted(enumerate(rows @ asked[0]), key=lambda r: -r[1])[:2]}
+
+
+def test_scores_dealt_and_rounded(spark):
+    """Halves are rounded away from zero and NaN counts as the largest, as in SQL; pairs are the same when dealt to tasks."""
+    rows = spark.createDataFrame([(1, [0.0000125]), (2, [float("nan")]), (3, [-0.5]), (4, [7.0]), (5, [0.25])], "doc_id long, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0]), (2, [-1.0])], "qid long, qvec array<double>")
+    plain, dealt_ = (dense.scores(queries, rows, places=6, clip=True, each=n) for n in (None, 2))
+    want = {(1, 1): 0.000013, (1, 2): 1.0, (1, 3): 0.0, (1, 4): 1.0, (1, 5): 0.25, (2, 1): 0.0, (2, 2): 1.0, (2, 3): 0.5, (2, 4): 0.0, (2, 5): 0.0}
+    for found in (plain, dealt_):
+        assert {(r["qid"], r["doc_id"]): r["score"] for r in found.collect()} == want
+    assert plain.rdd.getNumPartitions() == 1 and dealt_.rdd.getNumPartitions() == 5
+    assert {r["s"] for r in dense.scores(queries, rows).where("not isnan(score)").select(F.round(F.abs("score"), 6).alias("s")).collect()} == {0.000013, 0.5, 7.0, 0.25}
+
+
 def test_hashed_projection(spark):
     """As worked out term by term, with all, some and no terms broadcast, a document without an id, one of rare terms only and one of a lane at either end."""
     words = spark.range(4000).select(F.concat(F.lit("w"), "id").alias("term"), F.pmod(F.xxhash64(F.concat(F.lit("w"), "id"), F.lit(1)), F.lit(384)).alias("i"))
